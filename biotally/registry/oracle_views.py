@@ -41,3 +41,19 @@ VIEWS = {
     "fingerprints": """select mol_id, label, cast(i as int) as bit from
         (select vec_id as mol_id, label, embedding, unnest(range(1,65)) as i from embeddings) where embedding[i] > 0""",
 }
+
+
+def windows_sql(name: str, view: str, key: str, k: int, partial: bool = False, seq: str = "seq", extra: str = "") -> str:
+    """CTEs giving each window of k letters as (key, i, w), 1-based.
+
+    Goes through overlapping tiles of 512 letters, because substr on a long text walks it from the start.
+    ``partial`` keeps the shorter windows at the end; ``extra`` names further columns of the view to carry.
+    """
+    more = f", {extra}" if extra else ""
+    last = "n" if partial else f"n - {k - 1}"
+    return (
+        f"{name}_tiles as materialized (select {key}{more}, b, n, substr({seq}, cast(b * 512 + 1 as int), {512 + k - 1}) as tile from "
+        f"(select {key}{more}, {seq}, length({seq}) as n, unnest(range(0, (length({seq}) + 511) // 512)) as b from {view})),\n"
+        f"{name} as materialized (select {key}{more}, cast(b * 512 + i as int) as i, substr(tile, cast(i as int), {k}) as w from "
+        f"(select {key}{more}, b, tile, unnest(range(1, least(512, {last} - b * 512) + 1)) as i from {name}_tiles))"
+    )

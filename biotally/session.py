@@ -36,3 +36,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
         configured = spark.conf.get("spark.checkpoint.dir", None)
         sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="biotally-checkpoint-"))
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partition rows by key before they are exploded into positions.
+
+    A sequence is one byte per letter here and tens of bytes per position afterwards, so this is the cheap side
+    of the explode to move, and the windows, groups and joins by the same key that follow need no exchange.
+    The explicit count keeps small inputs from being folded into one task.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *keys)
