@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_scratch: str | None = None
+
 
 def local_session(cpus: int = 8, shuffle_partitions: int | None = None) -> SparkSession:
     """A session for tests and the bench; on a cluster the caller passes in its own session."""
@@ -25,17 +28,26 @@ def local_session(cpus: int = 8, shuffle_partitions: int | None = None) -> Spark
     return spark
 
 
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder named by ``spark.checkpoint.dir``; a scratch folder only where none is set (tests)."""
+    global _scratch
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    if configured:
+        return configured.rstrip("/")
+    if _scratch is None:
+        _scratch = tempfile.mkdtemp(prefix="biotally-checkpoint-")
+    return _scratch
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared folder named by ``spark.checkpoint.dir``.
+    """Write the rows to the checkpoint folder and read them back.
 
-    Only when neither the configuration nor the context names a folder (tests) is a scratch folder used.
+    A written table survives lost executors, carries real sizes for the next plan, and, unlike a checkpointed plan,
+    does not hand on the constraints of the plan that made it, which grow with every round of an iterative job.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        configured = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="biotally-checkpoint-"))
-    return df.checkpoint(eager=True)
+    path = f"{checkpoint_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
