@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from biotally.functions.sequence import codon_residue, codons, gc_content, is_palindromic, overlapping_words
+from biotally.functions.sequence import codon_residue, codons, gc_content
 from biotally.operators.restriction import contains_any
-from biotally.reference_tables import CLONING_SITES, DEFAULT_SPECIES, SPECIES_ALIASES, UNKNOWN_CODON_FRACTION, fixed_table
-from biotally.session import spread
+from biotally.reference_tables import CLONING_SITES, CODON_BASES, CODON_RESIDUES, DEFAULT_SPECIES, SPECIES_ALIASES, UNKNOWN_CODON_FRACTION, fixed_table
+from biotally.session import cut_lineage, spread
 
 
 def species_alias_join(rows: DataFrame, name: str = "species") -> DataFrame:
@@ -33,8 +35,12 @@ def codon_counts(seqs: DataFrame, *keys: str) -> DataFrame:
 
 def codon_usage(seqs: DataFrame, species: str = "species") -> DataFrame:
     """Fraction of each codon within its amino acid per species."""
-    counts = codon_counts(seqs, species)
-    return counts.withColumn("fraction", F.col("n") / F.sum("n").over(Window.partitionBy(species, "aa")))
+    return usage_of_counts(codon_counts(seqs, species), species)
+
+
+def usage_of_counts(counts: DataFrame, species: str = "species") -> DataFrame:
+    total = counts.groupBy(species, "aa", "codon").agg(F.sum("n").alias("n"))
+    return total.select(species, "codon", "n", "aa", (F.col("n") / F.sum("n").over(Window.partitionBy(species, "aa"))).alias("fraction"))
 
 
 def preferred_codon(usage: DataFrame, species: str = "species") -> DataFrame:
@@ -44,41 +50,58 @@ def preferred_codon(usage: DataFrame, species: str = "species") -> DataFrame:
     )
 
 
-def adaptation_index(seqs: DataFrame, usage: DataFrame, key: str, species: str = "species") -> DataFrame:
+def adaptation_index(counts: DataFrame, usage: DataFrame, key: str, species: str = "species") -> DataFrame:
     """exp of the mean ln(fraction / best fraction of the residue); stops are skipped.
 
-    Sequences are reduced to codon counts before they meet the usage table, so at most 64 rows per sequence join.
+    ``counts`` holds the codon counts of each sequence, so at most 64 rows per sequence meet the usage table.
     """
     best = usage.withColumn("best", F.max("fraction").over(Window.partitionBy(species, "aa"))).filter("aa != '*'")
-    counts = codon_counts(seqs, key, species).filter("aa != '*'")
+    counts = counts.filter("aa != '*'")
     weight = F.coalesce("fraction", F.lit(UNKNOWN_CODON_FRACTION)) / F.coalesce("best", F.lit(1.0))
     joined = counts.join(best.select(species, "codon", "fraction", "best"), [species, "codon"], "left")
     return joined.groupBy(key).agg(F.exp(F.sum(F.col("n") * F.ln(weight)) / F.sum("n")).alias("cai"))
 
 
 def swap_map(usage: DataFrame, species: str = "species") -> DataFrame:
-    """One row per species: residue to preferred codon (at most 21 entries)."""
+    """One row per species: preferred codons of the residues that occur (at most 21 entries)."""
     return preferred_codon(usage, species).groupBy(species).agg(
         F.map_from_entries(F.collect_list(F.struct("aa", "codon"))).alias("preferred")
     )
 
 
 def swap_codons(seqs: DataFrame, usage: DataFrame, species: str = "species") -> DataFrame:
-    """Every codon replaced by the preferred codon of its residue, within the row."""
-    swapped = F.array_join(F.transform(codons(F.col("seq")), lambda c: F.element_at(F.col("preferred"), codon_residue(c))), "")
-    return seqs.join(swap_map(usage, species), species).withColumn("adapted", swapped).drop("preferred")
+    """Every codon replaced by the preferred codon of its residue, within the row.
+
+    Codons are set apart by blanks and replaced one kind at a time: compiled string passes instead of a call per
+    codon. A preferred codon maps to itself, so a codon already replaced does not change again.
+    """
+    joined = seqs.join(swap_map(usage, species), species)
+    text = F.regexp_replace(F.regexp_replace("seq", "(...)", "$1 "), "[ACGT]{1,2}$", "")
+    for c, aa in zip(itertools.product(CODON_BASES, repeat=3), CODON_RESIDUES):
+        codon = "".join(c)
+        text = F.replace(text, F.lit(f"{codon} "), F.concat(F.coalesce(F.try_element_at("preferred", F.lit(aa)), F.lit(codon)), F.lit(" ")))
+    return joined.withColumn("adapted", F.replace(text, F.lit(" "), F.lit(""))).drop("preferred")
 
 
 def palindromic_words(seq: Column, k: int = 6) -> Column:
-    """Number of positions whose k-letter word equals its reverse complement."""
-    return F.size(F.filter(overlapping_words(seq, k), is_palindromic))
+    """Number of positions whose k-letter word equals its reverse complement: one regex pass over the 4^(k/2) words."""
+
+    def words(half: int, tail: str) -> str:
+        if half == 0:
+            return tail
+        return "(?:" + "|".join(a + words(half - 1, b + tail) for a, b in zip("ACGT", "TGCA")) + ")"
+
+    return F.regexp_count(seq, F.lit(f"(?={words(k // 2, '')})"))
 
 
 def codon_adapt(seqs: DataFrame, key: str, species: str = "species") -> DataFrame:
     """Adaptation report: index before, GC before and after, sites introduced by the swap, palindromic words."""
-    usage = codon_usage(seqs, species)
-    index = adaptation_index(seqs, usage, key, species)
-    swapped = swap_codons(spread(seqs.select(key, species, "seq"), key), usage, species)
+    rows = spread(seqs.select(key, species, "seq"), key)
+    counts = codon_counts(rows, key, species)
+    # Written out once: the table is small, and its file size lets Spark decide to broadcast it.
+    usage = cut_lineage(usage_of_counts(counts, species))
+    index = adaptation_index(counts, usage, key, species)
+    swapped = swap_codons(rows, usage, species)
     introduced = F.array_distinct(F.array_except(contains_any(F.col("adapted"), CLONING_SITES), contains_any(F.col("seq"), CLONING_SITES)))
     report = swapped.select(
         key, species, F.length("adapted").alias("length"), F.md5("adapted").alias("adapted_md5"),

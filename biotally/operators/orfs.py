@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from biotally.functions.sequence import gc_content, overlapping_words, reverse_complement, translate_codons
+from biotally.functions.sequence import codons, gc_content, overlapping_words, reverse_complement, translate_codons
 from biotally.session import spread
 from biotally.reference_tables import STARTS, STOPS
 
@@ -17,6 +17,12 @@ def both_strands(seqs: DataFrame, key: str = "seq_id") -> DataFrame:
     return spread(seqs.select(key, "seq"), key).select(key, F.inline(F.array(plus, minus)))
 
 
+def start_stop_codons(seqs: DataFrame, key: str = "seq_id") -> DataFrame:
+    """Start and stop codons of all six frames: (key, strand, frame, i, codon), i 0-based on the strand."""
+    words = both_strands(seqs, key).select(key, "strand", F.posexplode(overlapping_words(F.col("seq"), 3)).alias("i", "codon"))
+    return words.filter(F.col("codon").isin(*STARTS, *STOPS)).withColumn("frame", F.col("i") % 3)
+
+
 def next_stop(codon_rows: DataFrame, key: str = "seq_id") -> DataFrame:
     """First in-frame stop after each start codon: a running minimum over positions read backwards.
 
@@ -31,25 +37,41 @@ def next_stop(codon_rows: DataFrame, key: str = "seq_id") -> DataFrame:
     return codon_rows.withColumn("stop", F.min(stop).over(w)).filter(F.col("codon").isin(*STARTS) & F.col("stop").isNotNull())
 
 
-def find_orfs(seqs: DataFrame, key: str = "seq_id", min_len: int = 30) -> DataFrame:
-    """Every start codon with its first in-frame stop, coordinates mapped back to the given strand."""
-    strands = both_strands(seqs, key)
-    rows = (
-        strands.select(key, "strand", F.posexplode(overlapping_words(F.col("seq"), 3)).alias("i", "codon"))
-        .filter(F.col("codon").isin(*STARTS, *STOPS))
-        .withColumn("frame", F.col("i") % 3)
+def stop_segments(seqs: DataFrame, key: str = "seq_id") -> DataFrame:
+    """Each strand and frame cut after its stop codons: (key, strand, n, at, segment), ``at`` 0-based on the strand.
+
+    Every segment ends with a stop, so it holds all start codons whose first in-frame stop is its last codon.
+    The match continues where the last one ended, so a tail without a stop yields nothing out of frame.
+    """
+    stop = "|".join(STOPS)
+    cut = F.regexp_extract_all(F.col("text"), F.lit(f"\\G((?:(?!{stop})...)*+(?:{stop}))"), F.lit(1))
+    frames = both_strands(seqs, key).select(
+        key, "strand", F.length("seq").alias("n"), F.inline(F.array(*[F.struct(F.lit(f).alias("frame"), F.expr(f"substr(seq, {f + 1})").alias("text")) for f in range(3)]))
     )
-    spans = next_stop(rows, key).withColumn("length", F.col("stop") + 3 - F.col("i")).filter(F.col("length") >= min_len)
-    n = F.length("seq")
-    orf = F.expr("substr(seq, i + 1, length)")
+    parts = frames.select(key, "strand", "n", "frame", F.posexplode(cut).alias("no", "segment"))
+    before = Window.partitionBy(key, "strand", "frame").orderBy("no").rowsBetween(Window.unboundedPreceding, -1)
+    at = F.col("frame") + F.coalesce(F.sum(F.length("segment")).over(before), F.lit(0))
+    return parts.select(key, "strand", "n", at.cast("int").alias("at"), "segment")
+
+
+def find_orfs(seqs: DataFrame, key: str = "seq_id", min_len: int = 30) -> DataFrame:
+    """Every start codon with its first in-frame stop, coordinates mapped back to the given strand.
+
+    Sequences are partitioned once by key; segments carry their own text, so nothing joins back to the sequence.
+    """
+    segments = stop_segments(seqs, key).filter(F.length("segment") >= min_len)
+    rows = segments.withColumn("protein", translate_codons(F.col("segment"))).select("*", F.posexplode(codons(F.col("segment"))).alias("j", "codon"))
+    length = F.length("segment") - F.col("j") * 3
+    starts = rows.filter(F.col("codon").isin(*STARTS) & (length >= min_len))
+    first = F.col("at") + F.col("j") * 3
     plus = F.col("strand") == "+"
-    return spans.join(strands, [key, "strand"]).select(
+    return starts.select(
         key,
         "strand",
-        F.when(plus, F.col("i") + 1).otherwise(n - F.col("stop") - 2).alias("start"),
-        F.when(plus, F.col("stop") + 3).otherwise(n - F.col("i")).alias("end"),
-        "length",
+        F.when(plus, first + 1).otherwise(F.col("n") - F.col("at") - F.length("segment") + 1).alias("start"),
+        F.when(plus, F.col("at") + F.length("segment")).otherwise(F.col("n") - first).alias("end"),
+        length.alias("length"),
         F.col("codon").alias("start_codon"),
-        translate_codons(orf).alias("protein"),
-        gc_content(orf).alias("gc"),
+        F.expr("substr(protein, j + 1)").alias("protein"),
+        gc_content(F.expr("substr(segment, 3 * j + 1)")).alias("gc"),
     )

@@ -8,6 +8,7 @@ from biotally.operators import codons
 from biotally.reference_tables import CLONING_SITES, CODON_RESIDUES, DEFAULT_SPECIES, SPECIES_ALIASES, sql_values
 from biotally.registry.core import job
 from biotally.registry.oracle_views import windows_sql
+from biotally.session import cut_lineage, spread
 from biotally.sources import tables as t
 
 
@@ -45,8 +46,8 @@ _CAI = """cai as (select isolate_id, exp(avg(ln(u.fraction / p.fraction))) as ca
 
 @job("cai", f"with {_COD}, {_CAI} select * from cai", "isolates")
 def cai(spark, sf):
-    s = _cds(spark, sf)
-    return codons.adaptation_index(s, codons.codon_usage(s), "isolate_id")
+    counts = codons.codon_counts(spread(_cds(spark, sf), "isolate_id"), "isolate_id", "species")
+    return codons.adaptation_index(counts, cut_lineage(codons.usage_of_counts(counts)), "isolate_id")
 
 
 def _sites(col: str) -> str:

@@ -138,6 +138,20 @@ orfs as (select isolate_id, strand, case when strand = '+' then i + 1 else cast(
   length(regexp_replace(orf, '[^GC]', '', 'g')) * 100.0::double / len as gc from sp)"""
 
 
+_NEXT = _ORFS[: _ORFS.index("sp as (")].rstrip().rstrip(",")
+
+
+@job(
+    "next_stop",
+    f"with {_NEXT} select isolate_id, strand, frame, count(*) as starts, max(stop - i) as longest, cast(sum(stop - i) as bigint) as total from nx where codon in {_in(STARTS)} and stop is not null group by 1, 2, 3",
+    "isolates",
+)
+def next_stop(spark, sf):
+    """Distance from each start codon to its first in-frame stop, per sequence and frame."""
+    rows = orfs.next_stop(orfs.start_stop_codons(_seqs(spark, sf), _KEY), _KEY).withColumn("gap", F.col("stop") - F.col("i"))
+    return rows.groupBy(_KEY, "strand", "frame").agg(F.count("*").alias("starts"), F.max("gap").alias("longest"), F.sum("gap").alias("total"))
+
+
 @job("find_orfs", f"with {_ORFS} select * from orfs", "isolates")
 def find_orfs(spark, sf):
     return orfs.find_orfs(_seqs(spark, sf), _KEY)
