@@ -50,7 +50,7 @@ def ball_counts(queries: DataFrame, targets: DataFrame, radius: int = 3) -> Data
     levels = radius + 1
     letters = (4,) * _HALF
 
-    def suffix_side(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def suffix_side(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         grid = np.zeros((_BLOCK, _SIDE, levels), dtype=np.int64)
         code = pdf["code"].to_numpy()
         np.add.at(grid, ((code // _SIDE) % _BLOCK, code % _SIDE, 0), pdf["n"].to_numpy())
@@ -59,7 +59,7 @@ def ball_counts(queries: DataFrame, targets: DataFrame, radius: int = 3) -> Data
         prefix, block = np.nonzero(used)
         return pd.DataFrame({"prefix": key[0] * _BLOCK + prefix, "suffix_block": block, "counts": [grid[p, b].tobytes() for p, b in zip(prefix, block)]})
 
-    def prefix_side(key, parts: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+    def prefix_side(key: tuple, parts: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         if asked.empty:
             return pd.DataFrame({"code": pd.Series(dtype="int64"), **{f"mm{m}": pd.Series(dtype="int64") for m in range(levels)}})
         grid = np.zeros((_SIDE, _BLOCK, levels), dtype=np.int64)

@@ -2,16 +2,33 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from biotally.registry.float_columns import FLOAT_COLUMNS
 from biotally.registry.oracle_views import VIEWS
 
 Job = Callable[[SparkSession, str], DataFrame]
 
 JOBS: dict[str, Job] = {}
 ORACLES: dict[str, str] = {}
+RAW_ORACLES: dict[str, str] = {}
+
+# Two engines add doubles in different orders; both sides are compared at this many decimals.
+DECIMALS = 6
+
+
+def _rounded(name: str, fn: Job) -> Job:
+    @functools.wraps(fn)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        df = fn(spark, sf_dir)
+        # Adding 0.0 turns a negative zero into zero.
+        return df.withColumns({c: F.round(c, DECIMALS) + 0.0 for c, kind in df.dtypes if kind == "double"})
+
+    return run
 
 
 def job(name: str, oracle: str | None = None, uses: str = "") -> Callable[[Job], Job]:
@@ -20,14 +37,16 @@ def job(name: str, oracle: str | None = None, uses: str = "") -> Callable[[Job],
     def register(fn: Job) -> Job:
         if name in JOBS:
             raise ValueError(f"duplicate query {name}")
-        JOBS[name] = fn
+        JOBS[name] = _rounded(name, fn)
         if oracle is not None:
             ctes = [f"{v} as ({VIEWS[v]})" for v in uses.split()]
             body = oracle.strip()
             if ctes:
                 joined = ",\n".join(ctes)
                 body = f"with {joined},\n{body[5:]}" if body.lower().startswith("with ") else f"with {joined}\n{body}"
-            ORACLES[name] = body
+            RAW_ORACLES[name] = body
+            rounded = ", ".join(f'round("{c}", {DECIMALS}) + 0.0::double as "{c}"' for c in FLOAT_COLUMNS.get(name, ()))
+            ORACLES[name] = f"select * replace ({rounded}) from ({body}) as result" if rounded else body
         return fn
 
     return register

@@ -153,7 +153,7 @@ _BRACES = r"\{(?:[^{}]|\{(?:[^{}]|\{(?:[^{}]|\{[^{}]*\})*\})*\})*\}"
 
 def first_json_object(text: Column) -> Column:
     """The fenced block if it holds an object, else the first balanced object (up to four levels deep)."""
-    fenced = F.trim(F.regexp_extract(text, "(?s)```(?:json)?\\s*(.*?)```", 1))
+    fenced = F.regexp_extract(text, "(?s)```(?:json)?\\s*(.*?)\\s*```", 1)
     return F.coalesce(F.when(F.startswith(fenced, F.lit("{")), fenced), F.nullif(F.regexp_extract(text, _BRACES, 0), F.lit("")))
 
 
