@@ -5,7 +5,7 @@ from __future__ import annotations
 import functools
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from biotally.registry.float_columns import FLOAT_COLUMNS
@@ -17,16 +17,25 @@ JOBS: dict[str, Job] = {}
 ORACLES: dict[str, str] = {}
 RAW_ORACLES: dict[str, str] = {}
 
-# Two engines add doubles in different orders; both sides are compared at this many decimals.
-DECIMALS = 6
+# Two engines add doubles in different orders; both sides are compared in millionths. Values a hair below a tie go up
+# with it, so a decimal that ends in 5 does not depend on the last bit. Very large values stay as they are.
+_SCALE, _UP, _LARGE = 1000000.0, 0.5001, 1e12
+
+
+def _millionths(c: str) -> Column:
+    x = F.col(c)
+    return F.when(F.abs(x) < _LARGE, F.floor(x * _SCALE + _UP) / _SCALE).otherwise(x)
+
+
+def _millionths_sql(c: str) -> str:
+    return f'case when abs("{c}") < {_LARGE}::double then floor("{c}" * {_SCALE}::double + {_UP}::double) / {_SCALE}::double else "{c}" end as "{c}"'
 
 
 def _rounded(name: str, fn: Job) -> Job:
     @functools.wraps(fn)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         df = fn(spark, sf_dir)
-        # Adding 0.0 turns a negative zero into zero.
-        return df.withColumns({c: F.round(c, DECIMALS) + 0.0 for c, kind in df.dtypes if kind == "double"})
+        return df.withColumns({c: _millionths(c) for c, kind in df.dtypes if kind == "double"})
 
     return run
 
@@ -45,7 +54,7 @@ def job(name: str, oracle: str | None = None, uses: str = "") -> Callable[[Job],
                 joined = ",\n".join(ctes)
                 body = f"with {joined},\n{body[5:]}" if body.lower().startswith("with ") else f"with {joined}\n{body}"
             RAW_ORACLES[name] = body
-            rounded = ", ".join(f'round("{c}", {DECIMALS}) + 0.0::double as "{c}"' for c in FLOAT_COLUMNS.get(name, ()))
+            rounded = ", ".join(_millionths_sql(c) for c in FLOAT_COLUMNS.get(name, ()))
             ORACLES[name] = f"select * replace ({rounded}) from ({body}) as result" if rounded else body
         return fn
 
