@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from biotally.functions.sequence import clamp, letter_value, overlapping_words, round_half_up
+from biotally.functions.sequence import clamp, letter_value, overlapping_words, round_half_up, substitution_score
 from biotally.reference_tables import (
     AMINO_ACIDS,
     ANCHOR_P2,
@@ -139,18 +139,18 @@ def antigenicity(seq: Column) -> Column:
     return F.length(F.regexp_replace(seq, f"[^{ANTIGENIC_RESIDUES}]", "")) / F.length(seq)
 
 
-def peptide_similarity(pep: Column, reference: str) -> Column:
+def peptide_similarity(pep: Column, reference: Column, length: int = 9) -> Column:
     """Substitution score against a reference peptide over the peptide's self score; 0 for another length."""
-    n, scores = len(reference), blosum62()
-    row = lambda r: {a: scores[a, r] for a in BLOSUM_ORDER}
-    letters = [F.substring(pep, i + 1, 1) for i in range(n)]
-    pairs = _add([letter_value(c, row(r), UNKNOWN_PAIR_SCORE) for c, r in zip(letters, reference)])
-    self_score = _add([letter_value(c, {a: scores[a, a] for a in BLOSUM_ORDER}, UNKNOWN_PAIR_SCORE) for c in letters])
-    return F.when((F.length(pep) == n) & (self_score > 0), pairs / self_score).otherwise(F.lit(0.0))
+    at = lambda x, i: F.substring(x, i, 1)
+    pairs = _add([substitution_score(at(pep, i), at(reference, i)) for i in range(1, length + 1)])
+    self_score = _add([letter_value(at(pep, i), {a: blosum62()[a, a] for a in BLOSUM_ORDER}, UNKNOWN_PAIR_SCORE) for i in range(1, length + 1)])
+    return F.when((F.length(pep) == length) & (self_score > 0), pairs / self_score).otherwise(F.lit(0.0))
 
 
 def max_reference_similarity(pep: Column, references=KNOWN_BINDERS) -> Column:
-    return clamp(F.greatest(*[peptide_similarity(pep, r) for r in references]), 0.0, 1.0)
+    """Highest similarity to a short fixed list of references, within the row."""
+    listed = F.array(*[F.lit(r) for r in references])
+    return clamp(F.array_max(F.transform(listed, lambda r: peptide_similarity(pep, r, len(references[0])))), 0.0, 1.0)
 
 
 def combined_binding(anchor: Column, naturalness: Column, similarity: Column) -> dict[str, Column]:

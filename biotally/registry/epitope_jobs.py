@@ -23,6 +23,7 @@ from biotally.reference_tables import (
 )
 from biotally.registry.core import job
 from biotally.registry.oracle_views import windows_sql
+from biotally.session import spread
 from biotally.sources import tables as t
 
 ALLELES = ["HLA-A*02:01", "HLA-A*02:06"]
@@ -293,7 +294,7 @@ s as (select *, least(1.0::double, greatest(0.0::double, {_SIM})) as similarity
 
 @job("max_reference_similarity", f"with {_BINDING} select sequence, similarity from s", "proteins")
 def max_reference_similarity(spark, sf):
-    p = epitopes.predict_t_epitopes(_proteins(spark, sf)).select("sequence").distinct()
+    p = spread(epitopes.predict_t_epitopes(_proteins(spark, sf)).select("sequence"), "sequence").distinct()
     return p.select("sequence", epitopes.max_reference_similarity(F.col("sequence")).alias("similarity"))
 
 
@@ -306,7 +307,7 @@ def max_reference_similarity(spark, sf):
 )
 def combined_binding(spark, sf):
     """Binding of the top peptides; the peptide score stands in for the naturalness a model would give."""
-    p = epitopes.predict_t_epitopes(_proteins(spark, sf)).select("sequence", "score").distinct()
+    p = spread(epitopes.predict_t_epitopes(_proteins(spark, sf)).select("sequence", "score"), "sequence").distinct()
     pep = F.col("sequence")
     anchor = letter_value(F.substring(pep, 2, 1), ANCHOR_P2) * 0.5 + letter_value(F.substring(pep, 9, 1), ANCHOR_P9) * 0.5
     q = p.select("sequence", anchor.alias("anchor"), (F.col("score") / 100.0).alias("nat"), epitopes.max_reference_similarity(pep).alias("similarity"))
