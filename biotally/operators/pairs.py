@@ -91,13 +91,19 @@ def p_distance(valid: Column, transitions: Column, transversions: Column) -> Col
     return F.when(valid == 0, 1.0).otherwise((transitions + transversions) / F.nullif(valid, F.lit(0)))
 
 
-def pair_distances(isolates: DataFrame, cluster: str = "cluster", key: str = "isolate_id", min_length: int = 10) -> DataFrame:
-    """Counts and distances of all pairs in each cluster; sequences travel as packed bit planes (a fifth of their size)."""
-    long_enough = isolates.filter(F.length("seq") >= min_length).select(cluster, key, "seq")
-    rows = spread(long_enough, key).select(cluster, key, encode_planes(F.col("seq")).alias("planes"))
-    pairs = cluster_pairs(rows, cluster, key, ["planes"])
+def pair_distances(
+    isolates: DataFrame, cluster: str = "cluster", key: str = "isolate_id", min_length: int = 10, carry: tuple[str, ...] = ()
+) -> DataFrame:
+    """Counts and distances of all pairs in each cluster; sequences travel as packed bit planes (less than half their size).
+
+    ``carry`` names columns that are the same for a whole cluster; they ride with the isolates, so that pairs need no
+    join afterwards.
+    """
+    long_enough = isolates.filter(F.length("seq") >= min_length).select(cluster, key, "seq", *carry)
+    rows = spread(long_enough, key).select(cluster, key, encode_planes(F.col("seq")).alias("planes"), *carry)
+    pairs = cluster_pairs(rows, cluster, key, ["planes", *carry])
     counts = substitution_counts(F.col("a_planes"), F.col("b_planes"))
-    out = pairs.select(cluster, "a", "b", *[c.alias(n) for n, c in counts.items()])
+    out = pairs.select(cluster, "a", "b", *[c.alias(n) for n, c in counts.items()], *[F.col(f"a_{c}").alias(c) for c in carry])
     v, ts, tv = F.col("valid"), F.col("transitions"), F.col("transversions")
     return out.select(
         "*", (v - ts - tv).alias("matches"), F.round(k2p_distance(v, ts, tv), 9).alias("d"), p_distance(v, ts, tv).alias("p")

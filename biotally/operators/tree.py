@@ -115,10 +115,10 @@ def cluster_tree(pairs: DataFrame, cluster: str = "cluster", method: str = "upgm
         else:
             # d(new, k) = (d(a, k) + d(b, k) - d(a, b)) / 2 for the merged node, unchanged otherwise.
             part = relabelled.groupBy(cluster, lo, hi).agg(F.sum("d").alias("s"), F.count("*").alias("c"))
+            # Only the rows of the merged node (one per open node, not per pair) meet the merge.
             dm = merges.select(cluster, F.col("d").alias("dm"))
-            d_next = part.join(dm, cluster, "left").select(
-                cluster, "a", "b", F.when(F.col("c") == 2, (F.col("s") - F.col("dm")) / 2).otherwise(F.col("s")).alias("d")
-            )
+            joined = part.filter("c = 2").join(dm, cluster).select(cluster, "a", "b", ((F.col("s") - F.col("dm")) / 2).alias("d"))
+            d_next = part.filter("c = 1").select(cluster, "a", "b", F.col("s").alias("d")).unionByName(joined)
         nodes_next, edges = _merge_nodes(nodes, merges, cluster)
         leaves = cut_lineage(_add_depth(leaves, edges, cluster))
         d = cut_lineage(d_next)

@@ -23,9 +23,9 @@ def label_clusters(isolates: DataFrame, cluster: str = "cluster", name: str = "l
 
 def timed_pairs(isolates: DataFrame, cluster: str = "cluster", key: str = "isolate_id") -> DataFrame:
     """Pair distances with identity and divergence time at the cluster's clock rate."""
-    d = pairs.pair_distances(isolates, cluster, key)
-    rates = label_clusters(isolates, cluster)
-    return d.join(rates, cluster).withColumn("identity", (1 - F.col("d")) * 100).withColumn("years", F.col("d") / (2 * F.col("rate")))
+    labelled = isolates.select(cluster, key, "seq").join(label_clusters(isolates, cluster), cluster)
+    d = pairs.pair_distances(labelled, cluster, key, carry=("pathogen", "rate"))
+    return d.withColumn("identity", (1 - F.col("d")) * 100).withColumn("years", F.col("d") / (2 * F.col("rate")))
 
 
 def outbreak_report(isolates: DataFrame, cluster: str = "cluster", key: str = "isolate_id", motifs=MOTIF_RULES) -> DataFrame:

@@ -101,7 +101,7 @@ _DUR = f"""case when years < 1 then {_f('years * 365')} || ' days' when years <
 )
 def divergence_time(spark, sf):
     iso = _isolates(spark, sf)
-    d = pairs.pair_distances(iso).join(outbreaks.label_clusters(iso), "cluster")
+    d = outbreaks.timed_pairs(iso)
     se = F.sqrt(F.col("p") * (1 - F.col("p")) / F.col("valid"))
     return d.select("cluster", "a", "b", *[c.alias(n) for n, c in clock.divergence_time(F.col("d"), F.col("rate"), se).items()])
 
