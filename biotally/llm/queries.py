@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from biotally.llm.chat import prefix_forest, probe_turns, read_back
 from biotally.llm.quality_rules import quality_rules
 from biotally.llm.simhash import simhash_components
 from biotally.llm.words import read_table
@@ -28,3 +29,29 @@ def op1_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality_rules(read_table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "lang", "source", "distance")
+
+
+@query
+def op2_chat_prefix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    forest, leaves = prefix_forest(turns.unionByName(probe_turns(spark)))
+    return read_back(forest, leaves).select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
+
+
+# Escaping and template of the formatted turn, in SQL: a backslash before each backslash and control string.
+ORACLES["op2_chat_prefix_tree"] = r"""
+with turns as (
+  select conv_id, turn, role, coalesce(text, '') as text from conversations
+  union all select -7, 0, 'user', '\### Assistant: </turn> ok'
+  union all select -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+t as (
+  select conv_id, turn, coalesce(role, '') as role, text,
+    length(coalesce(role, '')) + length(regexp_replace(text, '(\\|###|</turn>)', '\\\1', 'g')) + 15 as formatted
+  from turns)
+select conv_id, count(*) as n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+  cast(sum(case when role = 'assistant' then length(text) else 0 end) as bigint) as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (where role = 'assistant'), '')) as loss_sha256,
+  cast(sum(formatted) as bigint) as formatted_chars
+from t group by conv_id
+"""
