@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from biotally.llm.chat import prefix_forest, probe_turns, read_back
+from biotally.llm.html_main import extract
+from biotally.llm.mixing import mix
 from biotally.llm.quality_rules import quality_rules
 from biotally.llm.simhash import simhash_components
 from biotally.llm.words import read_table
@@ -55,3 +57,14 @@ select conv_id, count(*) as n_turns,
   cast(sum(formatted) as bigint) as formatted_chars
 from t group by conv_id
 """
+
+
+@query
+def op5_line_block_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(read_table(spark, sf_dir, "pages"))
+
+
+@query
+def op6_entropy_balancing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = mix(read_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return rows.select("doc_id", "size", "source_size", "target", "taken", "copies", "rate")
