@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from biotally.llm.chat import prefix_forest, probe_turns, read_back
 from biotally.llm.html_main import extract
+from biotally.llm.line_dedup import removed_spans
 from biotally.llm.mixing import mix
+from biotally.llm.quality_model import grade_documents
 from biotally.llm.quality_rules import quality_rules
 from biotally.llm.simhash import simhash_components
+from biotally.llm.toxicity import score_toxicity
 from biotally.llm.words import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -68,3 +71,55 @@ def op5_line_block_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_entropy_balancing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = mix(read_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return rows.select("doc_id", "size", "source_size", "target", "taken", "copies", "rate")
+
+
+@query
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return removed_spans(read_table(spark, sf_dir, "documents"))
+
+
+# Lines, then sentences of lines with several; chr(1) marks the cuts. Offsets are running lengths.
+ORACLES["op8_line_dedup"] = r"""
+with lines as (
+  select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as piece, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as k from documents),
+placed as (
+  select doc_id, piece, k, cast(coalesce(sum(length(piece) + 1) over (partition by doc_id order by k rows between unbounded preceding and 1 preceding), 0) as bigint) as line_start from lines),
+cuts as (
+  select doc_id, line_start, unnest(string_split(regexp_replace(piece, '([.!?]) ', '\1 ' || chr(1), 'g'), chr(1))) as part,
+    generate_subscripts(string_split(regexp_replace(piece, '([.!?]) ', '\1 ' || chr(1), 'g'), chr(1)), 1) as j,
+    len(string_split(regexp_replace(piece, '([.!?]) ', '\1 ' || chr(1), 'g'), chr(1))) as parts
+  from placed),
+sentences as (
+  select doc_id, line_start, part, parts, cast(line_start + coalesce(sum(length(part)) over (partition by doc_id, line_start order by j rows between unbounded preceding and 1 preceding), 0) as bigint) as start_char from cuts),
+units as (
+  select doc_id, 0 as level, line_start, line_start as start_char, line_start + length(piece) as end_char, piece as raw from placed
+  union all select doc_id, 1, line_start, start_char, start_char + length(part), part from sentences where parts > 1 and part <> ''),
+normal as (
+  select doc_id, level, line_start, start_char, end_char, regexp_extract_all(raw, '[^\x20\x09-\x0D]+') as words from units),
+keyed as (
+  select doc_id, level, line_start, start_char, end_char, lower(array_to_string(words, ' ')) as key from normal where len(words) >= 5),
+ranked as (
+  select *, first_value(doc_id) over w as first_doc_id, first_value(start_char) over w as first_start from keyed window w as (partition by key order by doc_id nulls last, start_char)),
+later as (select * from ranked where not (doc_id is not distinct from first_doc_id and start_char = first_start))
+select doc_id, start_char, end_char, level, first_doc_id, first_start from later
+where level = 0 or not exists (select 1 from later l where l.level = 0 and l.doc_id is not distinct from later.doc_id and l.line_start = later.line_start)
+"""
+
+# The pages of these tables mark their article and use five tags in it; the operator itself does without such a rule.
+ORACLES["op5_line_block_extraction"] = r"""
+with body as (
+  select page_id, url, string_split(regexp_replace(regexp_replace(regexp_extract(coalesce(html, ''), '<article>(.*)</article>', 1, 's'), '</?b>', '', 'g'), '</?(p|h1|br)>', chr(10), 'g'), chr(10)) as parts from pages),
+decoded as (
+  select page_id, url, list_filter(list_transform(parts, lambda x: trim(regexp_replace(replace(replace(replace(replace(x, '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\s+', ' ', 'g'))), lambda x: x <> '') as parts from body)
+select page_id, url, array_to_string(parts, chr(10)) as text, length(array_to_string(parts, chr(10))) as n_chars from decoded
+"""
+
+
+@query
+def op7_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grade_documents(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+@query
+def op10_noisy_channel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
