@@ -10,6 +10,7 @@ from biotally.llm.chat import prefix_forest, probe_turns, read_back
 from biotally.llm.html_main import extract
 from biotally.llm.line_dedup import removed_spans
 from biotally.llm.mixing import mix
+from biotally.llm.pii import find_personal_data
 from biotally.llm.quality_model import grade_documents
 from biotally.llm.quality_rules import quality_rules
 from biotally.llm.simhash import simhash_components
@@ -123,3 +124,8 @@ def op7_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_noisy_channel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+@query
+def op3_skip_chain_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_personal_data(read_table(spark, sf_dir, "documents"))
