@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from biotally.llm.chat import prefix_forest, probe_turns, read_back
+from biotally.llm.decontam import find_leaks
 from biotally.llm.html_main import extract
 from biotally.llm.line_dedup import removed_spans
 from biotally.llm.mixing import mix
@@ -129,3 +130,8 @@ def op10_noisy_channel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op3_skip_chain_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_personal_data(read_table(spark, sf_dir, "documents"))
+
+
+@query
+def op4_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))

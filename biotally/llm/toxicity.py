@@ -66,7 +66,7 @@ def gram_counts(docs: DataFrame) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(GRAMS, np.int64)
         for b in batches:
-            for t in chunks(b.column("text"), _WORDS, lower=True):
+            for t in chunks(b.column("text"), _WORDS, lower="latin"):
                 if not len(t.start):
                     continue
                 _, first = np.unique(Hashes(t.data).of(t.start, t.end), return_index=True)
@@ -201,7 +201,7 @@ def disguised(t: Texts) -> list[tuple[int, bytes]]:
 
 def _featuriser(restorer: Restorer) -> M.Featuriser:
     def featurise(text: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-        for white in chunks(text, lower=True):
+        for white in chunks(text, lower="latin"):
             t = Texts(white.data, white.bounds, white.first, _WORDS)
             doc, found = M.word_features(t, Hashes(t.data), PREFIXES)
             read = [(k, r) for k, token in disguised(white) if (r := restorer.restore(token))]

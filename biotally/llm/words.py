@@ -64,12 +64,18 @@ class Hashes:
 
 
 class Texts:
-    """The bytes of the texts of one chunk and the words in them; ``doc`` is the row of each word in the chunk."""
+    """The bytes of the texts of one chunk and the words in them; ``doc`` is the row of each word in the chunk.
 
-    def __init__(self, data: np.ndarray, bounds: np.ndarray, first: int, separators: np.ndarray = _SEP, lower: bool = False):
+    ``lower`` folds A-Z, and with "latin" the accented capitals of Latin-1 too.
+    """
+
+    def __init__(self, data: np.ndarray, bounds: np.ndarray, first: int, separators: np.ndarray = _SEP, lower: bool | str = False):
         self.first, self.n = first, len(bounds) - 1
         self.bounds = bounds
         self.data = _LOWER[data] if lower else data
+        if lower == "latin" and len(data) > 1:  # capitals of two bytes, U+00C0 to U+00DE without U+00D7
+            capital = (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)
+            self.data[1:][capital] += 0x20
         inside = ~separators[self.data]
         edge = np.empty(len(data) + 1, bool)
         edge[:-1], edge[-1] = inside, False
@@ -97,7 +103,7 @@ class Texts:
         return total[self.bounds[1:]] - total[self.bounds[:-1]]
 
 
-def chunks(column: pa.Array, separators: np.ndarray = _SEP, lower: bool = False, size: int = CHUNK) -> Iterator[Texts]:
+def chunks(column: pa.Array, separators: np.ndarray = _SEP, lower: bool | str = False, size: int = CHUNK) -> Iterator[Texts]:
     """Cut a text column into chunks of whole texts; null counts as empty."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     column = column.fill_null("").cast(pa.large_string())

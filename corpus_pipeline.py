@@ -8,6 +8,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from biotally.llm.decontam import find_leaks
+from biotally.llm.mixing import mix
+from biotally.llm.pii import redacted
 from biotally.llm.quality_rules import quality_rules
 from biotally.llm.simhash import simhash_components
 from biotally.session import cut_lineage
@@ -34,7 +37,33 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return once.unionByName(keep_ids(docs, first.where("n > 1")).dropDuplicates(["doc_id"]))
 
 
-STAGES = [("quality rules", quality), ("near duplicates", near_duplicates)]
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no item of the benchmark and no paraphrase of one. Rows that share an id go together."""
+    leaks = cut_lineage(find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
+    leaking = leaks.select(F.col("doc_id").alias("_leaking_id")).distinct()
+    return docs.join(leaking, docs["doc_id"].eqNullSafe(leaking["_leaking_id"]), "left_anti")
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document, with tags in place of the personal data in its text; n_chars follows the text."""
+    clean = redacted(docs)
+    if "n_chars" not in docs.columns:
+        return clean
+    return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the mix takes at least once, with their copies and the words taken."""
+    return mix(docs).where("copies > 0")
+
+
+STAGES = [
+    ("quality rules", quality),
+    ("near duplicates", near_duplicates),
+    ("decontamination", decontaminate),
+    ("personal data", personal_data),
+    ("mixing", mixing),
+]
 
 #: Fingerprints, robust estimates and message passing are beyond SQL; tests hold run() against plain versions.
 ORACLE_SQL = None
