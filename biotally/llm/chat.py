@@ -63,7 +63,7 @@ def parse(formatted: str) -> list[tuple[str, str]]:
 
 
 def _node_rows(tokenizer_path: str | None):
-    """Conversations to one row a turn: its node, the node before it, the path of nodes to it and its segment."""
+    """Conversations to one row a turn: its node, the node before it, the conversation's last node and its segment."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = None
@@ -75,27 +75,27 @@ def _node_rows(tokenizer_path: str | None):
             encode = lambda s: t.encode(s, add_special_tokens=False).ids
         for b in batches:
             for conv, turns in zip(b.column("conv_id").to_pylist(), b.column("turns").to_pylist(), strict=True):
-                node, path, at, out = b"", [], 0, []
+                node, at, out = b"", 0, []
                 for depth, turn in enumerate(turns):
                     role, text = turn["role"] or "", turn["text"] or ""
                     segment, lo, hi = format_turn(role, text)
                     parent, node = node or None, hashlib.blake2b(node + segment.encode(), digest_size=16).digest()
-                    path.append(node)
                     tokens = encode(segment) if encode else None
                     n = len(tokens) if encode else len(segment)
                     loss = role == LOSS_ROLE
-                    out.append((conv, depth, depth + 1 == len(turns), node, parent, b"".join(path), at, n, segment, lo if loss else None, hi if loss else None, tokens))
+                    out.append((conv, depth, depth + 1 == len(turns), node, parent, at, n, segment, lo if loss else None, hi if loss else None, tokens))
                     at += n
-                yield pa.RecordBatch.from_pylist([dict(zip(_NODE_SCHEMA.names, r, strict=True)) for r in out], _NODE_SCHEMA)
+                columns = [*zip(*out, strict=True), [node] * len(out)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _NODE_SCHEMA, strict=True)], schema=_NODE_SCHEMA)
 
     return rows
 
 
 _NODE_SCHEMA = pa.schema([
-    ("conv_id", pa.int64()), ("depth", pa.int64()), ("last", pa.bool_()), ("node", pa.binary()), ("parent", pa.binary()), ("path", pa.binary()),
-    ("position", pa.int64()), ("n_tokens", pa.int64()), ("segment", pa.string()), ("loss_from", pa.int64()), ("loss_to", pa.int64()), ("tokens", pa.list_(pa.int32())),
+    ("conv_id", pa.int64()), ("depth", pa.int64()), ("last", pa.bool_()), ("node", pa.binary()), ("parent", pa.binary()),
+    ("position", pa.int64()), ("n_tokens", pa.int64()), ("segment", pa.string()), ("loss_from", pa.int64()), ("loss_to", pa.int64()), ("tokens", pa.list_(pa.int32())), ("leaf", pa.binary()),
 ])
-_NODE_DDL = "conv_id long, depth long, last boolean, node binary, parent binary, path binary, position long, n_tokens long, segment string, loss_from long, loss_to long, tokens array<int>"
+_NODE_DDL = "conv_id long, depth long, last boolean, node binary, parent binary, position long, n_tokens long, segment string, loss_from long, loss_to long, tokens array<int>, leaf binary"
 
 
 def prefix_forest(turns: DataFrame, tokenizer_path: str | None = None) -> tuple[DataFrame, DataFrame]:
@@ -105,30 +105,49 @@ def prefix_forest(turns: DataFrame, tokenizer_path: str | None = None) -> tuple[
     role and text are empty, rows with a null conv_id form one conversation, repeated rows are repeated turns, and
     other columns are not read. A token is a code point, or an id of the tokenizer file at ``tokenizer_path``.
 
-    Node columns: root, node, parent, depth, start (offset of its first token in its tree, depth first), n_tokens,
-    position (of its first token in a conversation), segment (its text), tokens (with a tokenizer), loss_from and
-    loss_to (code points of the segment under the loss mask; null: none) and attends, the token intervals
-    [start, stop) of its ancestors from the root on.
+    Node columns: root, seq (its number in its tree, depth first), node, parent, depth, start (offset of its first
+    token in its tree), n_tokens, position (of its first token in a conversation), segment (its text), tokens (with a
+    tokenizer), loss_from and loss_to (code points of the segment under the loss mask; null: none) and attends, the
+    token intervals [start, stop) of its ancestors from the root on, with the numbers of their first and last nodes.
     """
     rows = turns.select(id_column(turns, "conv_id").alias("conv_id"), F.struct(id_column(turns, "turn").alias("turn"), text_column(turns, "role").alias("role"), text_column(turns, "text").alias("text")).alias("t"))
     whole = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
     steps = cut_lineage(whole.mapInArrow(_node_rows(tokenizer_path), _NODE_DDL))
     leaves = steps.where("last").select("conv_id", "node")
-    firsts = ("parent", "depth", "path", "position", "n_tokens", "segment", "loss_from", "loss_to", "tokens")
-    nodes = steps.groupBy("node").agg(*(F.first(c).alias(c) for c in firsts)).withColumn("root", F.expr("substring(path, 1, 16)"))
-    ranged = cut_lineage(nodes.repartitionByRange("path").withColumn("part", F.spark_partition_id()))
-    inside = Window.partitionBy("part", "root").orderBy("path").rowsBetween(Window.unboundedPreceding, -1)
+    own = ("parent", "depth", "position", "n_tokens", "segment", "loss_from", "loss_to", "tokens")
+    nodes = cut_lineage(steps.groupBy("node").agg(*(F.first(c).alias(c) for c in own)))
+    # Of equal conversations one is followed. A branch is a node with siblings, or a root; the branches on the way to
+    # a node, then its depth, are its place in depth-first order, however long the stretches between branches are.
+    forks = nodes.where("depth > 0").groupBy("parent").count().where("count > 1").select(F.col("parent").alias("fork"))
+    ways = steps.groupBy("leaf", "depth").agg(F.first("node").alias("node"), F.first("parent").alias("parent"), F.first("n_tokens").alias("n_tokens"))
+    ways = ways.join(forks, F.col("parent") == F.col("fork"), "left").withColumn("branch", F.when(F.col("depth").eqNullSafe(0) | F.col("fork").isNotNull(), F.hex("node")))
+    down = Window.partitionBy("leaf").orderBy("depth")
+    ways = cut_lineage(ways.withColumn("path", F.collect_list("branch").over(down)).select("leaf", "depth", "node", "n_tokens", "path"))
+    keyed = ways.groupBy("node").agg(F.first("depth").alias("depth"), F.first("n_tokens").alias("n_tokens"), F.first("path").alias("path"))
+    ranged = keyed.repartitionByRange("path", "depth").select("node", "n_tokens", "path", "depth", F.element_at("path", 1).alias("root"), F.spark_partition_id().alias("part"))
+    ranged = cut_lineage(ranged)
+    inside = Window.partitionBy("part", "root").orderBy("path", "depth").rowsBetween(Window.unboundedPreceding, -1)
     earlier = Window.partitionBy("root").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    sums = ranged.groupBy("part", "root").agg(F.sum("n_tokens").alias("n")).select(F.col("part").alias("p"), F.col("root").alias("r"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("offset"))
-    placed = ranged.withColumn("run", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))).join(sums, (F.col("part") == F.col("p")) & (F.col("root") == F.col("r")))
-    placed = cut_lineage(placed.withColumn("start", F.col("offset") + F.col("run")).drop("part", "p", "r", "offset", "run"))
-
-    ancestors = placed.where("depth > 0").select("node", F.explode(F.expr("transform(sequence(0, depth - 1), k -> substring(path, cast(16 * k + 1 as int), 16))")).alias("a"))
-    spans = placed.select(F.col("node").alias("a"), "depth", "start", (F.col("start") + F.col("n_tokens")).alias("stop"))
-    attends = ancestors.join(spans, "a").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("depth", "start", "stop"))).alias("s"))
-    attends = attends.select(F.col("node").alias("k"), F.expr("transform(s, x -> struct(x.start as start, x.stop as stop))").alias("attends"))
-    forest = placed.join(attends, F.col("node") == F.col("k"), "left").withColumn("attends", F.coalesce("attends", F.expr("cast(array() as array<struct<start:bigint,stop:bigint>>)")))
-    return cut_lineage(forest.select("root", "node", "parent", "depth", "start", "n_tokens", "position", "segment", "tokens", "loss_from", "loss_to", "attends")), leaves
+    sums = ranged.groupBy("part", "root").agg(F.sum("n_tokens").alias("n"), F.count("*").alias("k"))
+    sums = sums.select(F.col("part").alias("p"), F.col("root").alias("r"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("n0"), F.coalesce(F.sum("k").over(earlier), F.lit(0)).alias("k0"))
+    run = ranged.withColumn("n1", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))).withColumn("k1", F.count("*").over(inside))
+    placed = run.join(sums, (F.col("part") == F.col("p")) & (F.col("root") == F.col("r")))
+    placed = cut_lineage(placed.select("node", F.unhex("root").alias("root"), (F.col("n0") + F.col("n1")).alias("start"), (F.col("k0") + F.col("k1")).alias("seq")))
+
+    # Ancestors that follow each other in the emission share one interval: a new one begins where a node is not the
+    # first child of its parent.
+    along = ways.select("leaf", "depth", "node", "n_tokens").join(placed.select("node", "start", "seq"), "node").withColumn("stop", F.col("start") + F.col("n_tokens"))
+    along = along.withColumn("last_stop", F.lag("stop").over(down)).withColumn("last_seq", F.lag("seq").over(down))
+    fresh = F.col("last_seq").isNull() | (F.col("seq") != F.col("last_seq") + 1)
+    along = along.withColumn("opens", F.when(fresh, F.struct("start", "seq"))).withColumn("closes", F.when(fresh & F.col("last_seq").isNotNull(), F.struct(F.col("last_stop").alias("stop"), F.col("last_seq").alias("seq"))))
+    above = down.rowsBetween(Window.unboundedPreceding, -1)
+    along = along.withColumn("o", F.collect_list("opens").over(above)).withColumn("c", F.collect_list("closes").over(above))
+    ends = F.concat("c", F.array(F.struct(F.col("last_stop").alias("stop"), F.col("last_seq").alias("seq"))))
+    attends = F.zip_with("o", ends, lambda o, c: F.struct(o["start"].alias("start"), c["stop"].alias("stop"), o["seq"].alias("first"), c["seq"].alias("last")))
+    none = F.expr("cast(array() as array<struct<start:bigint,stop:bigint,first:bigint,last:bigint>>)")
+    seen = along.select("node", F.when(F.col("last_seq").isNull(), none).otherwise(attends).alias("attends")).groupBy("node").agg(F.first("attends").alias("attends"))
+    forest = nodes.join(placed, "node").join(seen, "node")
+    return cut_lineage(forest.select("root", "seq", "node", "parent", "depth", "start", "n_tokens", "position", "segment", "tokens", "loss_from", "loss_to", "attends")), leaves
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,12 +170,12 @@ def read_back(forest: DataFrame, leaves: DataFrame) -> DataFrame:
 
     Each distinct leaf is read once; conversations that are equal share it.
     """
-    ends = leaves.select("node").distinct().join(forest, "node")
-    own = F.array(F.struct("start", (F.col("start") + F.col("n_tokens")).alias("stop")))
-    wanted = ends.select("node", "root", F.explode(F.concat("attends", own)).alias("i")).select(F.col("node").alias("leaf"), F.col("root").alias("r"), F.col("i.start").alias("s"), F.col("i.stop").alias("e"))
-    # An empty token list can share its start with the next node: both ends and the order by position settle it.
-    held = forest.select("root", "start", (F.col("start") + F.col("n_tokens")).alias("stop"), "position", "segment", "loss_from", "loss_to")
-    met = wanted.join(held, (F.col("r") == F.col("root")) & (F.col("s") == F.col("start")) & (F.col("e") == F.col("stop")))
+    ends = leaves.select("node").distinct().join(forest.select("node", "root", "seq", "attends"), "node")
+    own = F.array(F.struct(F.col("seq").alias("first"), F.col("seq").alias("last")))
+    spans = F.concat(F.transform("attends", lambda x: F.struct(x["first"].alias("first"), x["last"].alias("last"))), own)
+    wanted = ends.select(F.col("node").alias("leaf"), F.col("root").alias("r"), F.explode(spans).alias("i")).select("leaf", "r", F.explode(F.sequence("i.first", "i.last")).alias("q"))
+    held = forest.select("root", "seq", "position", "segment", "loss_from", "loss_to")
+    met = wanted.join(held, (F.col("r") == F.col("root")) & (F.col("q") == F.col("seq")))
     whole = met.groupBy("leaf").agg(F.sort_array(F.collect_list(F.struct("position", "segment", "loss_from", "loss_to"))).alias("parts")).withColumnRenamed("leaf", "node")
     read = whole.mapInArrow(_digests, "node binary, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
     return leaves.join(read, "node").drop("node")

@@ -8,6 +8,7 @@ number of documents, so no group is large; exact copies share one fingerprint an
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -19,14 +20,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from biotally.llm.components import components
-from biotally.llm.words import chunks, id_column, text_column
+from biotally.llm.words import chunks, id_column, mix, text_column
 from biotally.session import cut_lineage
 
 BITS, SHINGLE, RADIUS, SEED = 64, 3, 2, 42
 
 
-def _fingerprints(text: pa.Array, shingle: int) -> np.ndarray:
-    out = np.zeros(len(text), np.uint64)
+def _fingerprints(text: pa.Array, shingle: int, parts: int = 1) -> np.ndarray:
+    """(texts, parts): part 0 from the shingles' hashes themselves, each other one from a scrambling of them."""
+    out = np.zeros((len(text), parts), np.uint64)
     for t in chunks(text, lower=True):
         # One space between words, none elsewhere: every shingle is then a slice.
         lengths = t.end - t.start
@@ -43,11 +45,14 @@ def _fingerprints(text: pa.Array, shingle: int) -> np.ndarray:
         last = np.minimum(base + shingle - 1, np.repeat(first + words - 1, n))
         digest = xxhash.xxh64_intdigest
         h = np.fromiter((digest(flat[a:b], SEED) for a, b in zip(starts[base].tolist(), ends[last].tolist(), strict=True)), np.uint64, len(base))
-        bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         at = np.flatnonzero(n)
-        if len(at):
+        if not len(at):
+            continue
+        for k in range(parts):
+            own = mix(h + np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) if k else h
+            bits = np.unpackbits(own.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
             ones = np.add.reduceat(bits, (np.cumsum(n) - n)[at], axis=0, dtype=np.int32)
-            out[t.first + at] = np.packbits(2 * ones > n[at, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
+            out[t.first + at, k] = np.packbits(2 * ones > n[at, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
     return out
 
 
@@ -57,7 +62,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(_fingerprints(b.column("text"), shingle).view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(_fingerprints(b.column("text"), shingle)[:, 0].view(np.int64))], names=["doc_id", "fp"])
 
     return base.mapInArrow(hashed, "doc_id long, fp long")
 
@@ -97,3 +102,49 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     of_fp = rooted.join(named, "root").select(F.col("fp").alias("k"), "component_id")
     digits = F.lpad(F.lower(F.hex("fp")), 16, "0")
     return marked.join(of_fp, F.col("fp") == F.col("k")).select("doc_id", digits.alias("fingerprint"), "component_id")
+
+
+# Narrow fingerprints of 28 bits keep chance meetings rare up to some ten million distinct texts; more texts want wider
+# ones, and more parts to keep the recall.
+SIMILAR, SIMILAR_SHINGLE, PARTS, NARROW = 0.8, 5, 5, 28
+
+
+def similarity_bits(similarity: float, bits: int) -> int:
+    """Differing bits that fingerprints of two texts have on average at a Jaccard similarity of their shingles."""
+    return math.floor(bits * math.acos(2 * similarity / (1 + similarity)) / math.pi)
+
+
+def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILAR, shingle: int = SIMILAR_SHINGLE) -> DataFrame:
+    """doc_id and component_id as of ``simhash_components``, for texts of a shingle similarity rather than a radius.
+
+    At the similarity of 0.8 two 64-bit fingerprints differ in about ten bits, and the ball of half of that is out of
+    reach. So ``PARTS`` fingerprints are taken and cut into narrow ones of ``NARROW`` bits; these are linked by ball
+    hashing with radius 2, each for itself, and the links checked on all bits together. A true pair has several
+    chances to meet, its recall is measured in the tests; texts with equal fingerprints take part once.
+    """
+    base = docs.select(id_column(docs, id_col).alias("doc_id"), text_column(docs, text_col).alias("text"))
+    words = [f"s{k}" for k in range(PARTS)]
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            f = _fingerprints(b.column("text"), shingle, PARTS).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(f[:, k]) for k in range(PARTS))], names=["doc_id", *words])
+
+    marked = cut_lineage(base.mapInArrow(hashed, "doc_id long, " + ", ".join(f"{w} long" for w in words)).withColumn("node", F.xxhash64(*words)))
+    distinct = cut_lineage(marked.groupBy("node").agg(F.min("doc_id").alias("least"), *(F.first(w).alias(w) for w in words)))
+    narrow = [F.shiftrightunsigned(w, NARROW * half).bitwiseAND(F.lit((1 << NARROW) - 1)) for w in words for half in (0, 1)]
+    tables = F.explode(F.array(*(F.shiftleft(F.lit(k).cast("long"), NARROW).bitwiseOR(n) for k, n in enumerate(narrow)))).alias("fp")
+    masks = F.array(*(F.lit(m).cast("long") for m in ball(RADIUS // 2, NARROW)))
+    emitted = distinct.select("node", tables).select("node", F.explode(masks).alias("mask"), "fp").select("node", F.col("fp").bitwiseXOR(F.col("mask")).alias("value"))
+    w = Window.partitionBy("value").orderBy("node")
+    behind = emitted.withColumn("b1", F.lag("node", 1).over(w)).withColumn("b2", F.lag("node", 2).over(w)).where(F.col("b1").isNotNull())
+    met = behind.select("node", F.explode(F.array("b1", "b2")).alias("before")).where(F.col("before").isNotNull() & (F.col("before") != F.col("node"))).distinct()
+    of = lambda c, side: distinct.select(F.col("node").alias(c), *(F.col(x).alias(f"{side}{x}") for x in words))
+    pairs = cut_lineage(met).join(of("node", "a"), "node").join(of("before", "b"), "before")
+    apart = sum((F.bit_count(F.col(f"a{x}").bitwiseXOR(F.col(f"b{x}"))) for x in words[1:]), F.bit_count(F.col("as0").bitwiseXOR(F.col("bs0"))))
+    links = pairs.where(apart <= similarity_bits(similarity, BITS * PARTS)).select(F.col("before").alias("a"), F.col("node").alias("b"))
+    found = components(links).withColumnRenamed("node", "k")
+    rooted = distinct.join(found, F.col("node") == F.col("k"), "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    of_node = rooted.join(named, "root").select(F.col("node").alias("k"), "component_id")
+    return marked.join(of_node, F.col("node") == F.col("k")).select("doc_id", "component_id")

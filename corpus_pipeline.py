@@ -12,7 +12,7 @@ from biotally.llm.decontam import find_leaks
 from biotally.llm.mixing import mix
 from biotally.llm.pii import redacted
 from biotally.llm.quality_rules import quality_rules
-from biotally.llm.simhash import simhash_components
+from biotally.llm.simhash import similar_components
 from biotally.session import cut_lineage
 
 
@@ -29,8 +29,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component: that with the smallest id, once."""
-    marked = simhash_components(docs)
+    """One document of each group that SimHash links at a five-word similarity of 0.8: that with the smallest id, once."""
+    marked = similar_components(docs)
     first = marked.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("n"))
     first = cut_lineage(first)
     once = keep_ids(docs, first.where("n = 1"))
