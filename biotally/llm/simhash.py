@@ -110,8 +110,9 @@ SIMILAR, SIMILAR_SHINGLE, PARTS, NARROW = 0.8, 5, 5, 28
 
 
 def similarity_bits(similarity: float, bits: int) -> int:
-    """Differing bits that fingerprints of two texts have on average at a Jaccard similarity of their shingles."""
-    return math.floor(bits * math.acos(2 * similarity / (1 + similarity)) / math.pi)
+    """Differing bits of fingerprints at a Jaccard similarity of the shingles: the mean and one standard deviation."""
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return math.floor(bits * p + math.sqrt(bits * p * (1 - p)))
 
 
 def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILAR, shingle: int = SIMILAR_SHINGLE) -> DataFrame:
