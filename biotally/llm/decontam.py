@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from biotally.llm.words import Hashes, Texts, chunks, id_column, mix, separators_but, text_column
+from biotally.llm.words import Hashes, Texts, chunks, collected, id_column, mix, separators_but, text_column
 from biotally.session import cut_lineage
 
 BLOCK = 24  # words
@@ -137,8 +137,8 @@ def _sketch(docs: DataFrame, terms: Terms) -> tuple[np.ndarray, np.ndarray, int]
         for lo in range(0, len(key), 1 << 16):
             yield pa.RecordBatch.from_arrays([pa.array(key[lo : lo + (1 << 16)]), pa.array(value[lo : lo + (1 << 16)])], names=["key", "value"])
 
-    got = docs.select("text").mapInArrow(work, "key long, value long").groupBy("key").agg(F.sum("value").alias("value")).toPandas()
-    key, value = got["key"].to_numpy(np.int64), got["value"].to_numpy(np.int64)
+    got = collected(docs.select("text").mapInArrow(work, "key long, value long").groupBy("key").agg(F.sum("value").alias("value")))
+    key, value = got["key"], got["value"]
     held, sums = np.zeros(n, np.int64), np.zeros(SKETCH * n, np.int64)
     held[-2 - key[key < -1]] = value[key < -1]
     sums[key[key >= 0]] = value[key >= 0]

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from biotally.llm.words import Hashes, Texts, mix
+from biotally.llm.words import Hashes, Texts, collected, mix
 
 BUCKETS = 1 << 20
 MAX_FEATURES = 2000
@@ -73,8 +73,8 @@ def presence(rows: DataFrame, featurise: Featuriser, classes: int) -> tuple[np.n
         for lo in range(0, len(key), 1 << 16):
             yield pa.RecordBatch.from_arrays([pa.array(key[lo : lo + (1 << 16)]), pa.array(n[lo : lo + (1 << 16)])], names=["key", "n"])
 
-    total = rows.mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toPandas()
-    key, n = total["key"].to_numpy(np.int64), total["n"].to_numpy(np.int64)
+    total = collected(rows.mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")))
+    key, n = total["key"], total["n"]
     docs, hits = np.zeros(classes, np.int64), np.zeros(classes * BUCKETS, np.int64)
     docs[-1 - key[key < 0]] = n[key < 0]
     hits[key[key >= 0]] = n[key >= 0]
@@ -116,10 +116,12 @@ def design(rows: DataFrame, featurise: Featuriser, features: np.ndarray, n_rows:
 
     share = int((1 << 30) * min(1.0, limit / max(n_rows, 1)))
     picked = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share)
-    got = picked.mapInArrow(held, "doc_id long, label int, held array<long>").toPandas().sort_values("doc_id", kind="stable")
-    y = got["label"].to_numpy(np.int64)
-    row = np.repeat(np.arange(len(y)), [len(h) for h in got["held"]])
-    return y, row, np.concatenate([np.asarray(h, np.int64) for h in got["held"]]) if len(row) else np.zeros(0, np.int64)
+    got = collected(picked.mapInArrow(held, "doc_id long, label int, held array<long>"))
+    order = np.argsort(got["doc_id"], kind="stable")
+    held_by = [got["held"][k] for k in order]
+    y = got["label"][order].astype(np.int64)
+    row = np.repeat(np.arange(len(y)), [len(h) for h in held_by])
+    return y, row, np.concatenate([np.asarray(h, np.int64) for h in held_by]) if len(row) else np.zeros(0, np.int64)
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from biotally.llm import text_model as M
-from biotally.llm.words import _BASE, _LETTER, _LOWER, Hashes, Texts, chunks, id_column, separators_but, text_column
+from biotally.llm.words import _BASE, _LETTER, _LOWER, Hashes, Texts, chunks, collected, id_column, separators_but, text_column
 
 ORDER = 5  # bytes to a gram of the language model
 GRAMS = 1 << 20  # counters of the hashed grams
@@ -83,9 +83,9 @@ def gram_counts(docs: DataFrame) -> np.ndarray:
             part = at[lo : lo + (1 << 16)]
             yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(total[part])], names=["slot", "n"])
 
-    found = docs.select(text_column(docs, "text").alias("text")).mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+    found = collected(docs.select(text_column(docs, "text").alias("text")).mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")))
     out = np.zeros(GRAMS, np.int64)
-    out[found["slot"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
+    out[found["slot"]] = found["n"]
     return out
 
 

@@ -139,3 +139,9 @@ def text_column(df: DataFrame, name: str) -> Column:
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def collected(df: DataFrame) -> dict[str, np.ndarray]:
+    """The columns of a small table, brought to the driver as Arrow: a row object for each row would take far more."""
+    table = df.toArrow()
+    return {c: table.column(c).combine_chunks().to_numpy(zero_copy_only=False) for c in table.column_names}
