@@ -100,7 +100,7 @@ def grade_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     rows = M.labelled(base, labels, grade(labels))
     counts, hits = M.presence(rows, featurise, GRADES)
     features = M.screen(counts, hits)
-    y, row, col = M.design(rows, featurise, features, int(counts.sum()))
+    y, row, col = M.design(rows, featurise, features)
     w, t = fit_cumulative(y, row, col, len(features)) if len(y) else (np.zeros(len(features)), np.arange(GRADES - 1) * 1e-3)
     weights = np.zeros(M.BUCKETS, np.float32)
     weights[features] = w

@@ -1,8 +1,9 @@
 """Hashed text features, their screening against labels, and linear models on the screened ones.
 
-A feature is present in a document or not. Presence is counted by label over all labelled rows; the ``MAX_FEATURES``
-most telling buckets go into a model that is fitted on at most ``FIT_ROWS`` labelled rows, taken in hash order of
-their ids. Scoring reads every text once. What leaves the tasks is bounded by ``BUCKETS`` and ``FIT_ROWS``.
+A model is learnt from about ``FIT_ROWS`` labelled rows, all if there are fewer: those whose ids have the smallest
+hashes. Their labels are few enough to go to every task, so no text is shuffled to meet its label. A feature is
+present in a document or not; presence is counted by label, and the ``MAX_FEATURES`` most telling buckets go into the
+model. Scoring reads every text once. What leaves the tasks is bounded by ``BUCKETS`` and ``FIT_ROWS``.
 """
 
 from __future__ import annotations
@@ -50,11 +51,13 @@ def fit_row(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 != 0, F.lit(False))
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: Column) -> DataFrame:
-    """(doc_id, text, label) of the rows that may be learnt; an id with several labels counts with its largest."""
+def labelled(docs: DataFrame, labels: DataFrame, label: Column, limit: int = FIT_ROWS) -> DataFrame:
+    """(doc_id, text, label) of about ``limit`` rows that may be learnt; an id with several labels has its largest."""
     marks = labels.select(F.col("doc_id").cast("long").alias("_id"), label.cast("int").alias("label")).where(F.col("_id").isNotNull() & F.col("label").isNotNull() & fit_row(F.col("_id")))
     marks = marks.groupBy("_id").agg(F.max("label").alias("label"))
-    return docs.join(marks, docs["doc_id"] == marks["_id"]).select("doc_id", "text", "label")
+    share = int((1 << 30) * min(1.0, limit / max(marks.count(), 1)))
+    few = marks.where(F.pmod(F.xxhash64("_id"), F.lit(1 << 30)) < share)
+    return docs.join(F.broadcast(few), docs["doc_id"] == few["_id"]).select("doc_id", "text", "label")
 
 
 def presence(rows: DataFrame, featurise: Featuriser, classes: int) -> tuple[np.ndarray, np.ndarray]:
@@ -99,8 +102,8 @@ def screen(docs: np.ndarray, hits: np.ndarray) -> np.ndarray:
     return np.sort(order[gain[order] >= LEAST_SIGNAL])
 
 
-def design(rows: DataFrame, featurise: Featuriser, features: np.ndarray, n_rows: int, limit: int = FIT_ROWS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Labels of about ``limit`` of ``n_rows`` rows, all if there are fewer, and the (row, feature) pairs in them."""
+def design(rows: DataFrame, featurise: Featuriser, features: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The labels of the rows, and the (row, feature) pairs in them."""
     slot = np.full(BUCKETS, -1, np.int32)
     slot[features] = np.arange(len(features), dtype=np.int32)
 
@@ -114,9 +117,7 @@ def design(rows: DataFrame, featurise: Featuriser, features: np.ndarray, n_rows:
                 lists.extend(s[a:z] for a, z in zip(cuts, cuts[1:], strict=False))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("label"), pa.array(lists, pa.list_(pa.int64()))], names=["doc_id", "label", "held"])
 
-    share = int((1 << 30) * min(1.0, limit / max(n_rows, 1)))
-    picked = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share)
-    got = collected(picked.mapInArrow(held, "doc_id long, label int, held array<long>"))
+    got = collected(rows.mapInArrow(held, "doc_id long, label int, held array<long>"))
     order = np.argsort(got["doc_id"], kind="stable")
     held_by = [got["held"][k] for k in order]
     y = got["label"][order].astype(np.int64)

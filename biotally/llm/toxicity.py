@@ -249,7 +249,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     rows = M.labelled(base, labels, F.col("toxic"))
     counts, hits = M.presence(rows, featurise, 2)
     features = M.screen(counts, hits)
-    y, row, col = M.design(rows, featurise, features, int(counts.sum()))
+    y, row, col = M.design(rows, featurise, features)
     w, bias = fit_logistic(y, row, col, len(features)) if len(y) else (np.zeros(len(features)), 0.0)
     weights = np.zeros(M.BUCKETS, np.float32)
     weights[features] = w
