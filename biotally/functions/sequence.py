@@ -19,6 +19,11 @@ from biotally.reference_tables import (
 ALPHABETS = {"dna": "ACGT", "protein": AMINO_ACIDS, "iupac": "ACGTNRYKMSWBDHV", "letters": "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
 
 
+def number(text: Column) -> Column:
+    """A decimal number of any length, with or without an exponent, as double; null for any other text."""
+    return F.when(F.regexp_like(text, F.lit(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$")), text.try_cast("double"))
+
+
 def sanitize(seq: Column, alphabet: str) -> Column:
     """Keep the letters of the alphabet, upper-cased (dropped first: some letters change length under upper)."""
     letters = ALPHABETS[alphabet]

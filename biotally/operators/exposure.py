@@ -52,8 +52,11 @@ def steady_state(dose: Column, interval: Column) -> dict[str, Column]:
     gap = F.nullif(ka - ke, F.lit(0.0))
     t_peak = F.when(ka == ke, 1 / F.nullif(ka, F.lit(0.0))).when(ka > 0, F.ln(F.nullif(ka, F.lit(0.0)) / ke) / gap)
     oral = f_over_v * (ka / gap) * gain
-    peak = F.when(c("route") == "IV", f_over_v * gain).otherwise(oral * (F.exp(-ke * t_peak) - F.exp(-ka * t_peak)))
-    trough = F.when(c("route") == "IV", f_over_v * gain * F.exp(-ke * interval)).otherwise(oral * (F.exp(-ke * interval) - F.exp(-ka * interval)))
+    # Equal rates: the limit of the difference of exponentials, summed over all earlier doses.
+    equal = lambda t: f_over_v * ka * F.exp(-ke * t) * (t * gain + interval * F.exp(-ke * interval) * gain * gain)
+    taken = lambda t: F.when(ka == ke, equal(t)).otherwise(oral * (F.exp(-ke * t) - F.exp(-ka * t)))
+    peak = F.when(c("route") == "IV", f_over_v * gain).otherwise(taken(t_peak))
+    trough = F.when(c("route") == "IV", f_over_v * gain * F.exp(-ke * interval)).otherwise(taken(interval))
     return {
         "half_life": math.log(2) / ke, "clearance": clearance, "css_avg": c("bioavailability") * dose / (clearance * interval),
         "css_max": peak, "css_min": F.greatest(F.lit(0.0), trough),
@@ -102,6 +105,11 @@ def dose_superposition(doses: DataFrame, samples: DataFrame, profile: dict, key:
     slow = decayed_sums(doses, samples, profile["ke"], key)
     if profile["route"] == "IV":
         return slow.select(key, "sample_id", "t", (F.col("amount") * scale).alias("conc"))
+    if profile["ka"] == profile["ke"]:
+        # The limit dose * ka * age * exp(-ke * age): the age of a dose is the sample's time less the dose's.
+        whole = decayed_sums(doses, samples, profile["ke"], key)
+        timed = decayed_sums(doses.withColumn("dose", F.col("dose") * F.col("t")), samples, profile["ke"], key).select(key, "sample_id", F.col("amount").alias("timed"))
+        return whole.join(timed, [key, "sample_id"]).select(key, "sample_id", "t", ((F.col("amount") * F.col("t") - F.col("timed")) * (scale * profile["ka"])).alias("conc"))
     fast = decayed_sums(doses, samples, profile["ka"], key).select(key, "sample_id", F.col("amount").alias("fast"))
     k = scale * profile["ka"] / (profile["ka"] - profile["ke"])
     return slow.join(fast, [key, "sample_id"]).select(key, "sample_id", "t", ((F.col("amount") - F.col("fast")) * k).alias("conc"))

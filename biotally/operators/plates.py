@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from biotally.functions.sequence import number
+
 
 def read_readings(text: Column) -> Column:
     """Numbers of a free text split at commas, blanks and line breaks; other tokens are dropped."""
     tokens = F.split(text, "[\\n,\\s]+")
-    return F.filter(F.transform(tokens, lambda x: F.try_to_number(x, F.lit("S999999999D999999999")).cast("double")), lambda v: v.isNotNull())
+    return F.filter(F.transform(tokens, number), lambda v: v.isNotNull())
 
 
 def plate_stats(wells: DataFrame, plate: str = "plate") -> DataFrame:

@@ -25,6 +25,7 @@ from biotally.reference_tables import (
 from biotally.session import spread
 
 SEED = 15
+LONGEST = 22  # letters of the primers that are designed here
 
 
 def dinucleotide_stacks(seq: Column, table: dict[str, float]) -> Column:
@@ -127,18 +128,20 @@ def design_primers(templates: DataFrame, key: str, top: int = 15, top_forward: i
     return scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= top)
 
 
-def mispriming_hits(primers: DataFrame, genome: DataFrame, genome_key: str = "seq_id") -> DataFrame:
+def mispriming_hits(primers: DataFrame, genome: DataFrame, genome_key: str = "seq_id", longest: int = LONGEST) -> DataFrame:
     """Genome windows within 3 mismatches of the last 15 letters of a primer or of its reverse complement, extended
     backwards letter by letter over the rest of the primer.
 
-    Seeds and windows meet as distinct words; only matching words go back to their places in the genome.
+    Seeds and windows meet as distinct words; only matching words go back to their places in the genome. ``longest``
+    says how far windows are carried back; a primer beyond it is an error, never compared on a part of it.
     """
     turns = F.array(F.struct(F.lit("+").alias("turn"), F.col("primer").alias("query")), F.struct(F.lit("-").alias("turn"), reverse_complement(F.col("primer")).alias("query")))
-    queries = primers.select("primer").distinct().filter(F.length("primer") >= SEED).select("primer", F.inline(turns))
+    fits = F.when(F.length("primer") <= longest, F.col("primer")).otherwise(F.raise_error(F.concat(F.lit(f"primer longer than {longest} letters: "), "primer")).cast("string"))
+    queries = primers.select(fits.alias("primer")).distinct().filter(F.length("primer") >= SEED).select("primer", F.inline(turns))
     queries = queries.withColumn("seed", word_code(F.right("query", F.lit(SEED))))
     near = near_pairs(queries.select(F.col("seed").alias("code")), word_counts(genome, SEED), SEED, 3)
     # Each place carries the letters before it, as far back as the longest primer reaches.
-    reach = 22 - SEED
+    reach = longest - SEED
     padded = F.concat(F.lit("#" * reach), F.col("seq"))
     places = spread(genome.select(genome_key, "seq"), genome_key).select(genome_key, F.posexplode(overlapping_words(padded, reach + SEED)).alias("i", "w"))
     places = places.select(genome_key, (F.col("i") + 1).alias("position"), F.substring("w", 1, reach).alias("before"), word_code(F.substring("w", reach + 1, SEED)).alias("target"))

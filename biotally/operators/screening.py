@@ -9,9 +9,6 @@ from biotally.functions import chem
 from biotally.functions.sequence import round_half_up
 from biotally.reference_tables import MECHANISM_RULES, PANEL_COLUMNS, POCKET_PANEL, fixed_table
 
-# A panel is explored inside each compound row; longer panels are taken in slices of this many pockets.
-PANEL_SLICE = 1024
-
 
 def pathogen_table(spark: SparkSession) -> DataFrame:
     """The panel as pathogen rows with nested targets and pockets."""
@@ -45,13 +42,21 @@ def mechanism_boost(mechanism: Column, target: Column, function: Column) -> Colu
     return total
 
 
-def with_panel(compounds: DataFrame, panel: DataFrame, limit: int = PANEL_SLICE) -> DataFrame:
+def with_panel(compounds: DataFrame, panel: DataFrame) -> DataFrame:
     """Each compound with every pocket of the panel.
 
-    The panel is a reference list: its size is checked, and it is carried as one array value (a scalar subquery) that
-    every compound row unfolds, so compounds stay where they are. A panel above the limit is taken slice by slice.
+    The panel is a fixed table: it is carried as one array value (a scalar subquery) that every compound row unfolds,
+    so compounds stay where they are and nothing runs while the query is built.
     """
     cols = [c for c in panel.columns if c not in compounds.columns]
+    packed = panel.agg(F.collect_list(F.struct(*cols)).alias("pockets"))
+    return compounds.withColumn("pockets", packed.scalar()).select(*compounds.columns, F.inline("pockets"))
+
+
+def _in_slices(compounds: DataFrame, references: DataFrame, limit: int) -> DataFrame:
+    """Each compound with every reference. The list grows with the data: its size is checked, and it is taken in slices."""
+    panel = references
+    cols = [c for c in panel.columns if c not in compounds.columns]
     size = panel.count()
     slices = -(-size // limit) or 1
     numbered = panel.select(*cols) if slices == 1 else panel.select(*cols, F.pmod(F.xxhash64(*cols), F.lit(slices)).alias("slice"))
@@ -131,7 +136,7 @@ def tanimoto_to_references(packed: DataFrame, references: DataFrame, limit: int
     """Similarity of every molecule to each known ligand: the ligand list is checked to be short and rides along as
     one array value; longer lists go slice by slice."""
     refs = references.select(F.col("mol_id").alias("ref_id"), F.col("fp").alias("ref_fp"))
-    rows = with_panel(packed, refs, limit)
+    rows = _in_slices(packed, refs, limit)
     return rows.withColumn("tanimoto", tanimoto(F.col("fp"), F.col("ref_fp")))
 
 

@@ -31,20 +31,28 @@ def timed_pairs(isolates: DataFrame, cluster: str = "cluster", key: str = "isola
 def outbreak_report(isolates: DataFrame, cluster: str = "cluster", key: str = "isolate_id", motifs=MOTIF_RULES) -> DataFrame:
     """Per cluster: isolates, pairs, closest pair, time to the nearest common ancestor, resistance counts and messages.
 
-    Pair rows are folded into one row per cluster inside the task that makes them; they are never shuffled.
+    Pair rows are folded into one row per cluster inside the task that makes them; they are never shuffled. A cluster
+    of one isolate has no pair: its distances are null, its pathogen, rate and counts are there.
     """
-    tp = timed_pairs(isolates, cluster, key)
-    pair_part = tp.groupBy(cluster).agg(
-        F.first("pathogen").alias("pathogen"),
-        F.first("rate").alias("rate"),
+    pair_part = timed_pairs(isolates, cluster, key).groupBy(cluster).agg(
         F.count("*").alias("pairs"),
         F.min(F.when(F.col("years") > 0, F.col("years"))).alias("tmrca"),
         F.min(F.struct("d", "a", "b", "identity", "years")).alias("closest"),
     )
+    report = outbreak_counts(isolates, cluster, key, motifs).join(label_clusters(isolates, cluster), cluster).join(pair_part, cluster, "left")
+    return report.na.fill(0, ["pairs"]).select(
+        cluster, "isolates", "pairs", "pathogen", "rate", "tmrca", F.when(F.col("pairs") > 0, clock.bin_divergence(F.col("tmrca"))).alias("divergence"),
+        F.col("closest.a").alias("closest_a"), F.col("closest.b").alias("closest_b"), F.col("closest.d").alias("closest_d"),
+        F.col("closest.identity").alias("closest_identity"), F.col("closest.years").alias("closest_years"), "resistant_isolates", "motif_hits", "mutation_hits",
+    )
+
+
+def outbreak_counts(isolates: DataFrame, cluster: str = "cluster", key: str = "isolate_id", motifs=MOTIF_RULES) -> DataFrame:
+    """Isolates of each cluster and their resistance hits; no pair is looked at."""
     hits = resistance.all_hits(isolates.select(key, "seq"), key, motifs).groupBy(key).agg(
         F.count_if(F.col("kind") == "motif").alias("motifs"), F.count_if(F.col("kind") == "mutation").alias("mutations")
     )
-    iso_part = (
+    return (
         isolates.select(cluster, key)
         .join(hits, key, "left")
         .na.fill(0, ["motifs", "mutations"])
@@ -56,12 +64,6 @@ def outbreak_report(isolates: DataFrame, cluster: str = "cluster", key: str = "i
             F.sum("mutations").alias("mutation_hits"),
         )
     )
-    report = iso_part.join(pair_part, cluster)
-    return report.select(
-        cluster, "isolates", "pairs", "pathogen", "rate", "tmrca", clock.bin_divergence(F.col("tmrca")).alias("divergence"),
-        F.col("closest.a").alias("closest_a"), F.col("closest.b").alias("closest_b"), F.col("closest.d").alias("closest_d"),
-        F.col("closest.identity").alias("closest_identity"), "resistant_isolates", "motif_hits", "mutation_hits",
-    )
 
 
 def report_lines(report: DataFrame, cluster: str = "cluster") -> DataFrame:
@@ -75,7 +77,7 @@ def report_lines(report: DataFrame, cluster: str = "cluster") -> DataFrame:
                 F.concat("resistant_isolates", F.lit(" of "), "isolates", F.lit(" isolates carry resistance genes ("), "motif_hits", F.lit(" in total)")),
             ).otherwise("no resistance genes found"),
             F.concat(F.lit("tree: "), "isolates", F.lit(" leaves")),
-            F.concat(F.lit("closest pair: "), "closest_a", F.lit(" - "), "closest_b", F.lit(" (identity "), F.format_string("%.1f", clock.half_up(F.col("closest_identity"), 1)), F.lit("%)")),
+            F.concat(F.lit("closest pair: "), "closest_a", F.lit(" - "), "closest_b", F.lit(" (identity "), F.format_string("%.1f", clock.half_up(F.col("closest_identity"), 1)), F.lit("%, ~"), F.format_string("%.1f", clock.half_up(F.col("closest_years"), 1)), F.lit(" years)")),
         )
     )
     return report.select(cluster, F.posexplode(lines).alias("line_no", "line"))

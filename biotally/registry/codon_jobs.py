@@ -75,7 +75,7 @@ def codon_adapt(spark, sf):
 @job(
     "palindromic_6mer_count",
     f"""with {windows_sql('w6', 'isolates', 'isolate_id', 6)}
-    select isolate_id, cast(count_if(w = reverse(translate(w, 'ACGT', 'TGCA'))) as int) as palindromic_6mers from w6 group by 1""",
+    select isolate_id, cast(coalesce(count_if(w = reverse(translate(w, 'ACGT', 'TGCA'))), 0) as int) as palindromic_6mers from isolates left join w6 using (isolate_id) group by 1""",
     "isolates",
 )
 def palindromic_6mer_count(spark, sf):

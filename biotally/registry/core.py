@@ -17,25 +17,32 @@ JOBS: dict[str, Job] = {}
 ORACLES: dict[str, str] = {}
 RAW_ORACLES: dict[str, str] = {}
 
-# Two engines add doubles in different orders; both sides are compared in millionths. Values a hair below a tie go up
-# with it, so a decimal that ends in 5 does not depend on the last bit. Very large values stay as they are.
-_SCALE, _UP, _LARGE = 1000000.0, 0.5001, 1e12
+# Two engines add doubles in different orders, so both sides give doubles with nine significant digits, small and large
+# values alike. Values a hair below a tie go up with it: a decimal that ends in 5 does not depend on the last bit.
+_DIGITS, _UP = 9, 0.5001
 
 
-def _millionths(c: str) -> Column:
+def _significant(c: str) -> Column:
     x = F.col(c)
-    return F.when(F.abs(x) < _LARGE, F.floor(x * _SCALE + _UP) / _SCALE).otherwise(x)
+    unit = F.pow(F.lit(10.0), F.floor(F.log10(F.abs(x))) - (_DIGITS - 1))
+    per = F.pow(F.lit(10.0), (_DIGITS - 1) - F.floor(F.log10(F.abs(x))))
+    return F.when((x == 0) | F.isnan(x) | (F.abs(x) == float("inf")), x).when(unit >= 1, F.signum(x) * F.floor(F.abs(x) / unit + _UP) * unit).otherwise(F.signum(x) * F.floor(F.abs(x) * per + _UP) / per)
 
 
-def _millionths_sql(c: str) -> str:
-    return f'case when abs("{c}") < {_LARGE}::double then floor("{c}" * {_SCALE}::double + {_UP}::double) / {_SCALE}::double else "{c}" end as "{c}"'
+def _significant_sql(c: str) -> str:
+    e = f'floor(log10(abs("{c}")))'
+    unit, per = f"pow(10.0::double, {e} - {_DIGITS - 1})", f"pow(10.0::double, {_DIGITS - 1} - {e})"
+    return (
+        f'case when "{c}" = 0 or isnan("{c}") or isinf("{c}") then "{c}" when {unit} >= 1 then sign("{c}") * floor(abs("{c}") / {unit} + {_UP}::double) * {unit} '
+        f'else sign("{c}") * floor(abs("{c}") * {per} + {_UP}::double) / {per} end as "{c}"'
+    )
 
 
 def _rounded(name: str, fn: Job) -> Job:
     @functools.wraps(fn)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         df = fn(spark, sf_dir)
-        return df.withColumns({c: _millionths(c) for c, kind in df.dtypes if kind == "double"})
+        return df.withColumns({c: _significant(c) for c, kind in df.dtypes if kind == "double"})
 
     return run
 
@@ -54,7 +61,7 @@ def job(name: str, oracle: str | None = None, uses: str = "") -> Callable[[Job],
                 joined = ",\n".join(ctes)
                 body = f"with {joined},\n{body[5:]}" if body.lower().startswith("with ") else f"with {joined}\n{body}"
             RAW_ORACLES[name] = body
-            rounded = ", ".join(_millionths_sql(c) for c in FLOAT_COLUMNS.get(name, ()))
+            rounded = ", ".join(_significant_sql(c) for c in FLOAT_COLUMNS.get(name, ()))
             ORACLES[name] = f"select * replace ({rounded}) from ({body}) as result" if rounded else body
         return fn
 

@@ -58,7 +58,7 @@ FLOAT_COLUMNS = {'adjacent_naturalness': ('naturalness',),
  'mispriming_hits': ('match_percent',),
  'nca_metrics': ('cmax', 'tmax', 'clast', 'auc'),
  'nearest_pair': ('d',),
- 'outbreak_report': ('rate', 'tmrca', 'closest_d', 'closest_identity'),
+ 'outbreak_report': ('rate', 'tmrca', 'closest_d', 'closest_identity', 'closest_years'),
  'pair_distances': ('k2p', 'p_distance', 'identity'),
  'panel_to_rows': ('value',),
  'pd_index': ('auc_mic', 'cmax_mic', 't_above_mic'),

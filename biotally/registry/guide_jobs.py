@@ -98,7 +98,7 @@ def hamming(spark, sf):
 
     blocks = F.regexp_extract_all(F.col("seq"), F.lit("(.{12})"), F.lit(1))
     rows = spread(_seqs(spark, sf), "isolate_id").select("isolate_id", blocks.alias("b"))
-    pairs = rows.select("isolate_id", F.explode(F.arrays_zip(F.expr("slice(b, 1, size(b) - 1)").alias("x"), F.expr("slice(b, 2, size(b) - 1)").alias("y"))).alias("p"))
+    pairs = rows.select("isolate_id", F.explode(F.arrays_zip(F.expr("slice(b, 1, greatest(size(b) - 1, 0))").alias("x"), F.expr("slice(b, 2, greatest(size(b) - 1, 0))").alias("y"))).alias("p"))
     d = near_words.mismatches(near_words.word_code(F.col("p.x")), near_words.word_code(F.col("p.y")), 12)
     same = letters(F.col("p.x"), F.col("p.y"))
     return pairs.select("isolate_id", F.when(d == same, d).alias("d")).groupBy("isolate_id").agg(

@@ -6,9 +6,9 @@ _HOURS = "(epoch_us(ts) - epoch_us(timestamp '2024-01-01 00:00:00')) / 360000000
 VIEWS = {
     "isolates": f"""select doc_id as isolate_id, lang as location, source, lang || '-' || cast(doc_id // 28 as varchar) as cluster,
         doc_id // 28 as batch, cast(date '2024-01-01' + cast(doc_id % 365 as int) as date) as collected, x as seq
-        from (select doc_id, lang, source, {_DNA} as x from documents) t where length(x) >= 120""",
+        from (select doc_id, lang, source, {_DNA} as x from documents) t where x <> ''""",
     "proteins": """select doc_id as protein_id, lang as species, x as seq from (select doc_id, lang,
-        regexp_replace(upper(regexp_replace(text,'[^A-Za-z]','','g')),'[BJOUXZ]','','g') as x from documents) t where length(x) >= 60""",
+        regexp_replace(upper(regexp_replace(text,'[^A-Za-z]','','g')),'[BJOUXZ]','','g') as x from documents) t where x <> ''""",
     "benchmark_dna": f"select item_id as seq_id, {_DNA} as seq from benchmark",
     "compounds": """select p_partkey as drug_id, p_name as name, p_type as pharm_group,
         case p_type when 'ECONOMY' then 'DNA gyrase inhibitor' when 'SMALL' then '30S subunit binder'

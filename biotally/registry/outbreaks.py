@@ -22,7 +22,7 @@ def _isolates(spark, sf):
 
 
 _DIST = """pr as materialized (select a.cluster, a.isolate_id as a, b.isolate_id as b, a.seq as sa, b.seq as sb, least(length(a.seq), length(b.seq)) as n
-  from isolates a join isolates b on a.cluster = b.cluster and a.isolate_id < b.isolate_id),
+  from isolates a join isolates b on a.cluster = b.cluster and a.isolate_id < b.isolate_id and length(a.seq) >= 10 and length(b.seq) >= 10),
 ch as materialized (select isolate_id, b as c, string_split(substr(seq, cast(b * 512 + 1 as int), 512), '') as letters from
   (select isolate_id, seq, unnest(range(0, (length(seq) + 511) // 512)) as b from isolates)),
 ds as (select cluster, a, b, sum(len(x)) as valid, sum(len(list_filter(x, lambda p: p in ('AG', 'GA', 'CT', 'TC')))) as transitions,
@@ -127,12 +127,13 @@ def tmrca(spark, sf):
 
 
 _REPORT = f"""{_YEARS}, {_HITS},
-cl as (select cluster, a as closest_a, b as closest_b, d as closest_d, (1 - d) * 100 as closest_identity from (select *, row_number() over (partition by cluster order by d, a, b) as r from dist) where r = 1),
+cl as (select cluster, a as closest_a, b as closest_b, d as closest_d, (1 - d) * 100 as closest_identity, d / (2 * rate) as closest_years from (select *, row_number() over (partition by cluster order by d, a, b) as r from dist) join rates using (cluster) where r = 1),
 hi as (select isolate_id, count_if(kind = 'motif') as motifs, count_if(kind = 'mutation') as mutations from hits group by 1),
 ic as (select cluster, count(*) as isolates, cast(coalesce(count_if(motifs > 0), 0) as bigint) as resistant_isolates, cast(coalesce(sum(motifs), 0) as bigint) as motif_hits, cast(coalesce(sum(mutations), 0) as bigint) as mutation_hits
   from isolates left join hi using (isolate_id) group by 1),
-rep as (select cluster, isolates, pairs, pathogen, rate, tmrca, {_BIN} as divergence, closest_a, closest_b, closest_d, closest_identity, resistant_isolates, motif_hits, mutation_hits
-  from ic join tm using (cluster) join cl using (cluster))"""
+rep as (select cluster, isolates, coalesce(tm.pairs, 0) as pairs, rates.pathogen, rates.rate, tmrca, case when tmrca is null and tm.pairs is null then null else {_BIN} end as divergence,
+  closest_a, closest_b, closest_d, closest_identity, closest_years, resistant_isolates, motif_hits, mutation_hits
+  from ic join rates using (cluster) left join tm using (cluster) left join cl using (cluster))"""
 
 
 @job("outbreak_report", f"with {_REPORT} select * from rep", "isolates")
@@ -142,14 +143,14 @@ def outbreak_report(spark, sf):
 
 @job("outbreak_counts", f"with {_REPORT} select cluster, isolates, resistant_isolates, motif_hits, mutation_hits from rep", "isolates")
 def outbreak_counts(spark, sf):
-    return outbreaks.outbreak_report(_isolates(spark, sf), motifs=PANEL).select("cluster", "isolates", "resistant_isolates", "motif_hits", "mutation_hits")
+    return outbreaks.outbreak_counts(_isolates(spark, sf), motifs=PANEL)
 
 
 @job(
     "report_lines",
     f"""with {_REPORT}, l as (select cluster, list_filter([case when tmrca is not null then 'TMRCA ~' || format('{{:.1f}}', floor(tmrca * 10 + 0.5) / 10) || ' years: ' || divergence end,
       case when resistant_isolates > 0 then resistant_isolates || ' of ' || isolates || ' isolates carry resistance genes (' || motif_hits || ' in total)' else 'no resistance genes found' end,
-      'tree: ' || isolates || ' leaves', 'closest pair: ' || closest_a || ' - ' || closest_b || ' (identity ' || format('{{:.1f}}', floor(closest_identity * 10 + 0.5) / 10) || '%)'], lambda x: x is not null) as lines from rep)
+      'tree: ' || isolates || ' leaves', 'closest pair: ' || closest_a || ' - ' || closest_b || ' (identity ' || format('{{:.1f}}', floor(closest_identity * 10 + 0.5) / 10) || '%, ~' || format('{{:.1f}}', floor(closest_years * 10 + 0.5) / 10) || ' years)'], lambda x: x is not null) as lines from rep)
     select cluster, cast(i - 1 as int) as line_no, lines[i] as line from (select cluster, lines, unnest(range(1, len(lines) + 1)) as i from l)""",
     "isolates",
 )

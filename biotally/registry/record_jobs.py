@@ -106,8 +106,8 @@ def _catalogs(spark, sf):
     return out
 
 
-_CAT = """cat as (select 'NCBI' as source, 'NP_' || p_partkey as id, p_name as title, p_type as organism, p_size as length from part union all
-  select 'UniProt', 'P' || s_suppkey, s_name, 'nation ' || s_nationkey, cast(s_suppkey + 100 as int) from supplier union all
+_CAT = """cat as (select 'NCBI' as source, 'NP_' || p_partkey as id, p_name as title, p_type as organism, cast(p_size as bigint) as length from part union all
+  select 'UniProt', 'P' || s_suppkey, s_name, 'nation ' || s_nationkey, cast(s_suppkey + 100 as bigint) from supplier union all
   select 'PDB', 'X' || c_custkey, case when c_custkey % 3 = 0 then c_name else 'PDB X' || c_custkey end, '—', null from customer)"""
 
 

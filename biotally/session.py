@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -29,11 +30,18 @@ def local_session(cpus: int = 8, shuffle_partitions: int | None = None) -> Spark
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a scratch folder only where none is set (tests)."""
+    """The shared folder named by ``spark.checkpoint.dir``.
+
+    Where none is set, a local master (tests, the bench) gets a scratch folder. A cluster without one is an error: what
+    its executors write to their own disks would be read back in part only.
+    """
     global _scratch
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
+    master = spark.conf.get("spark.master", "")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+        raise RuntimeError(f"spark.checkpoint.dir must name a folder that all executors share (master {master!r})")
     if _scratch is None:
         _scratch = tempfile.mkdtemp(prefix="biotally-checkpoint-")
     return _scratch

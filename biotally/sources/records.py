@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from biotally.functions.sequence import number
+
 # ---------------------------------------------------------------- FASTA and named lines
 
 
@@ -40,7 +42,7 @@ def read_named_sequences(spark: SparkSession, path: str) -> tuple[DataFrame, Dat
 
 def parse_atom_line(line: Column) -> tuple[Column, Column]:
     """Residue number (columns 23-26) and B-factor (columns 61-66) of a fixed-width ATOM line."""
-    num = lambda a, n: F.try_to_number(F.trim(F.substring(line, a, n)), F.lit("S999999999D999999"))
+    num = lambda a, n: number(F.trim(F.substring(line, a, n)))
     return num(23, 4).cast("int"), num(61, 6).cast("double")
 
 
@@ -105,7 +107,7 @@ def read_hit_xml(spark: SparkSession, path: str, query_length: int) -> DataFrame
 CATALOG_SCHEMAS = {
     "NCBI": "accessionversion string, uid string, title string, organism string, taxname string, slen string",
     "UniProt": "primaryAccession string, proteinDescription struct<recommendedName: struct<fullName: struct<value: string>>, submissionNames: array<struct<fullName: struct<value: string>>>>, "
-    "organism struct<scientificName: string>, sequence struct<length: int, value: string>",
+    "organism struct<scientificName: string>, sequence struct<length: bigint, value: string>",
     "PDB": "identifier string, description string",
 }
 
@@ -117,13 +119,13 @@ def _filled(*cols: Column) -> Column:
 def record_fields(r: Column, source: str) -> dict[str, Column]:
     """One record shape (source, id, title, organism, length) from the three catalog layouts."""
     if source == "NCBI":
-        ident, title, org, length = _filled(r["accessionversion"], r["uid"]), r["title"], _filled(r["organism"], r["taxname"]), F.try_to_number(r["slen"], F.lit("999999999")).cast("int")
+        ident, title, org, length = _filled(r["accessionversion"], r["uid"]), r["title"], _filled(r["organism"], r["taxname"]), F.trim(r["slen"]).try_cast("bigint")
     elif source == "UniProt":
         d = r["proteinDescription"]
         title = _filled(d["recommendedName"]["fullName"]["value"], F.get(d["submissionNames"], F.lit(0))["fullName"]["value"])
         ident, org, length = r["primaryAccession"], r["organism"]["scientificName"], F.coalesce(r["sequence"]["length"], F.length(r["sequence"]["value"]))
     else:
-        ident, org, length = r["identifier"], F.lit("—"), F.lit(None).cast("int")
+        ident, org, length = r["identifier"], F.lit("—"), F.lit(None).cast("bigint")
         title = _filled(r["description"], F.concat(F.lit("PDB "), r["identifier"]))
     return {
         "source": F.lit(source), "id": F.coalesce(_filled(ident), F.lit("Unknown")), "title": F.coalesce(_filled(title), F.lit("Unknown")),
@@ -148,13 +150,32 @@ def search_catalogs(catalogs: list[DataFrame], query: str, per_source: int = 5)
 
 # ---------------------------------------------------------------- stored model answers
 
-_BRACES = r"\{(?:[^{}]|\{(?:[^{}]|\{(?:[^{}]|\{[^{}]*\})*\})*\})*\}"
+def _balanced_object(text: Column) -> Column:
+    """The first object whose braces balance, at any depth; braces inside strings do not count. Null without one.
+
+    The text is folded over its marks and the runs between them, so a state change costs one step and not one a letter.
+    """
+    pieces = F.regexp_extract_all(text, F.lit(r'(?s)([{}"\\]|[^{}"\\]+)'), F.lit(1))
+    start = F.struct(*(F.lit(v).alias(n) for n, v in (("at", 1), ("depth", 0), ("quoted", False), ("escaped", False), ("first", 0), ("last", 0))))
+
+    def step(s: Column, piece: Column) -> Column:
+        quoted = F.when((piece == '"') & ~s["escaped"], ~s["quoted"]).otherwise(s["quoted"])
+        opens, closes = (piece == "{") & ~s["quoted"] & (s["last"] == 0), (piece == "}") & ~s["quoted"] & (s["last"] == 0)
+        depth = s["depth"] + F.when(opens, 1).when(closes, -1).otherwise(0)
+        return F.struct(
+            (s["at"] + F.length(piece)).alias("at"), depth.alias("depth"), quoted.alias("quoted"), ((piece == "\\") & ~s["escaped"]).alias("escaped"),
+            F.when(opens & (s["depth"] == 0), s["at"]).otherwise(s["first"]).alias("first"),
+            F.when(closes & (depth == 0) & (s["first"] > 0), s["at"]).otherwise(s["last"]).alias("last"),
+        )
+
+    found = F.aggregate(pieces, start, step)
+    return F.when(F.contains(text, F.lit("{")) & (found["last"] > 0), F.substring(text, found["first"], found["last"] - found["first"] + 1))
 
 
 def first_json_object(text: Column) -> Column:
-    """The fenced block if it holds an object, else the first balanced object (up to four levels deep)."""
+    """The fenced block if it holds an object, else the first balanced object."""
     fenced = F.regexp_extract(text, "(?s)```(?:json)?\\s*(.*?)\\s*```", 1)
-    return F.coalesce(F.when(F.startswith(fenced, F.lit("{")), fenced), F.nullif(F.regexp_extract(text, _BRACES, 0), F.lit("")))
+    return F.coalesce(F.when(F.startswith(fenced, F.lit("{")), fenced), _balanced_object(text))
 
 
 DIAGNOSIS_SCHEMA = "differentialDiagnoses array<struct<name: string, probability: double, reasoning: string>>, recommendedTests array<string>, urgency string, recommendation string"

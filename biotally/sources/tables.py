@@ -25,7 +25,7 @@ def _dna(text: Column) -> Column:
 
 
 def isolates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One DNA sequence per document; ``cluster`` is a location's submission batch of 28 consecutive accessions."""
+    """One DNA sequence per document with a letter; ``cluster`` is a location's submission batch of 28 consecutive accessions."""
     return (
         table(spark, sf_dir, "documents")
         .select(
@@ -37,7 +37,7 @@ def isolates(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.expr("date_add(date '2024-01-01', cast(doc_id % 365 as int))").alias("collected"),
             _dna(F.col("text")).alias("seq"),
         )
-        .filter(F.length("seq") >= 120)
+        .filter("seq <> ''")
     )
 
 
@@ -49,7 +49,7 @@ def proteins(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.col("lang").alias("species"),
             F.regexp_replace(_letters(F.col("text")), "[BJOUXZ]", "").alias("seq"),
         )
-        .filter(F.length("seq") >= 60)
+        .filter("seq <> ''")
     )
 
 
