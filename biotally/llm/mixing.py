@@ -4,8 +4,8 @@ Every source gets a target of words. The document rates r are those nearest to 1
 bound ``MOST``) whose words meet the targets; the convex dual has one multiplier a source, and its solution is the
 exponentially tilted rate r = MOST / (1 + (MOST - 1) exp(-lambda size / scale)). Newton steps, kept inside a bracket,
 run for all sources at once over counts of (source, size). Rates are then rounded into whole copies: a hash of the
-document decides its fraction, and a threshold per source, found in two histograms, moves small documents first until
-the source's words come nearest to its target. A decision depends on a row and its source's numbers only, so a source
+document decides its fraction, and thresholds per source, found in histograms, are set first for its large documents
+and then for its small ones, so that the source's words come nearest to its target. A decision depends on a row and its source's numbers only, so a source
 with a third of all rows needs no group, sort or join of its own. DataFrame expressions only.
 """
 
@@ -21,7 +21,7 @@ from biotally.session import cut_lineage
 WEIGHTS = (5, 2, 1)
 MOST = 3  # times its words that a source or a document may give
 ROUNDS, EXACT = 80, 1e-11
-SMALL = 0.25  # of a source's mean size by words: documents that are moved first
+SMALL = 0.25  # of a source's mean size by words: documents that are rounded last
 _BINS = 1024  # histogram bins to a unit of the rounding key, and again within the crossing bin
 _SEP = r"[\x20\x09-\x0D]"
 
@@ -53,9 +53,10 @@ def source_targets(sizes: DataFrame) -> DataFrame:
     return t.withColumn("target", F.when(F.col("capped"), F.col("cap").cast("double")).otherwise(F.col("w") * (left.cast("double") / free))).select("source", "source_size", "squares", "target", "capped")
 
 
-def _rate(size: Column) -> Column:
+def _rate(size: Column, mark: str = "") -> Column:
     """The tilted rate of a document of ``size`` words under the columns ``lambda``, ``scale`` and ``capped``."""
-    return F.when(F.col("capped"), F.lit(float(MOST))).otherwise(MOST / (1 + (MOST - 1) * F.exp(-F.col("lambda") * size / F.col("scale"))))
+    tilt = F.exp(-F.col(f"{mark}lambda") * size / F.col(f"{mark}scale"))
+    return F.when(F.col(f"{mark}capped"), F.lit(float(MOST))).otherwise(MOST / (1 + (MOST - 1) * tilt))
 
 
 def solve_dual(sizes: DataFrame, targets: DataFrame) -> DataFrame:
@@ -84,17 +85,42 @@ def solve_dual(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     return state.withColumn("lambda", F.round("lambda", 8))  # order of addition must not show
 
 
-def _key(size: Column, doc: Column) -> tuple[Column, Column]:
-    """Whole part of the rate, and the key at which a threshold gives the document one more copy.
+def _keys(size: Column, doc: Column, rate: Column) -> list[Column]:
+    """Where each possible copy of a document stands among those of its source: keys in (-MOST, MOST).
 
-    Rounding by the hash alone is threshold 0. Between -1 and 1 only small documents change, beyond it the others.
+    The copies with a key below 0 are the rate, rounded by the document's hash alone; a higher threshold gives more.
     """
-    r = _rate(size)
-    whole = F.least(F.floor(r), F.lit(MOST - 1))
     u = (F.pmod(F.xxhash64(doc, size), F.lit(1 << 30)) + 0.5) / float(1 << 30)
-    t = u - (r - whole)  # in (-1, 1): negative takes the copy
-    later = F.when(t < 0, t - 1).otherwise(t + 1)
-    return whole, F.when(size <= SMALL * F.col("scale"), t).otherwise(later)
+    return [u - rate + j for j in range(MOST)]
+
+
+def _place(key: Column) -> tuple[Column, Column]:
+    """Histogram bin of a key and its part of the bin."""
+    at = (key + MOST) * _BINS
+    return F.floor(at).cast("int"), F.floor((at - F.floor(at)) * _BINS).cast("int")
+
+
+def _thresholds(bins: DataFrame, need: DataFrame) -> DataFrame:
+    """(s, cross, cut, got): for each source the bin and part up to which copies are given, and their words.
+
+    ``bins`` has source, bin, part, words; ``need`` has s and need. The first bin whose words pass the need is cut at
+    the part that comes nearest to it.
+    """
+    coarse = bins.groupBy("source", "bin").agg(F.sum("words").alias("words")).join(need, F.col("source").eqNullSafe(F.col("s")))
+    upto = coarse.withColumn("run", F.sum("words").over(Window.partitionBy("s").orderBy("bin"))).select("s", "need", "bin", "words", "run")
+    crossing = upto.groupBy("s").agg(
+        F.coalesce(F.min(F.when(F.col("run") > F.col("need"), F.col("bin"))), F.lit(2 * MOST * _BINS)).alias("cross"),
+        F.coalesce(F.max(F.when(F.col("run") <= F.col("need"), F.col("run"))), F.lit(0)).alias("have"),
+        F.max("need").alias("need"),
+    )
+    fine = bins.join(crossing, F.col("source").eqNullSafe(F.col("s")) & (F.col("bin") == F.col("cross")))
+    fine = fine.withColumn("more", F.sum("words").over(Window.partitionBy("s").orderBy("part")))
+    fine = fine.withColumn("miss", F.abs(F.col("have") + F.col("more") - F.col("need")))
+    best = fine.groupBy("s").agg(F.min(F.struct("miss", "part", "more")).alias("b")).select(F.col("s").alias("bs"), "b")
+    nearer = F.col("b.miss") < F.abs(F.col("need") - F.col("have"))
+    return crossing.join(best, F.col("s").eqNullSafe(F.col("bs")), "left").select(
+        "s", "cross", F.when(nearer, F.col("b.part")).otherwise(F.lit(-1)).alias("cut"), (F.col("have") + F.when(nearer, F.col("b.more")).otherwise(F.lit(0))).alias("got")
+    )
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -111,31 +137,28 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     state = cut_lineage(solve_dual(counts, cut_lineage(source_targets(counts))).select("source", "source_size", "target", "capped", "lambda", "scale"))
     solved = state.withColumnRenamed("source", "s")
 
-    whole, key = _key(F.col("size"), F.col("_doc"))
-    keyed = rows.join(solved, F.col("source").eqNullSafe(F.col("s"))).withColumn("whole", whole).withColumn("at", (key + 2) * _BINS)
-    keyed = keyed.withColumn("bin", F.floor("at").cast("int")).withColumn("part", F.floor((F.col("at") - F.floor("at")) * _BINS).cast("int"))
-    bins = cut_lineage(keyed.groupBy("source", "bin", "part").agg(F.sum("size").alias("words"), F.sum(F.col("whole") * F.col("size")).alias("sure")))
-    need = bins.groupBy("source").agg(F.sum("sure").alias("sure")).join(state.select(F.col("source").alias("s"), "target"), F.col("source").eqNullSafe(F.col("s"))).select(F.col("s"), (F.col("target") - F.col("sure")).alias("need"))
-    coarse = bins.groupBy("source", "bin").agg(F.sum("words").alias("words")).join(need, F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    upto = coarse.withColumn("run", F.sum("words").over(Window.partitionBy("source").orderBy("bin")))
-    # The crossing bin: the first whose words would pass what is needed; none if all fit.
-    crossing = upto.groupBy("source").agg(F.coalesce(F.min(F.when(F.col("run") > F.col("need"), F.col("bin"))), F.lit(4 * _BINS)).alias("bin"), F.max("need").alias("need"))
-    crossing = upto.alias("u").join(crossing.alias("c"), F.col("u.source").eqNullSafe(F.col("c.source"))).groupBy("c.source", "c.bin", "c.need").agg(F.coalesce(F.sum(F.when(F.col("u.bin") < F.col("c.bin"), F.col("u.words"))), F.lit(0)).alias("have"))
-    crossing = crossing.select(F.col("source").alias("cs"), F.col("bin").alias("cross"), (F.col("need") - F.col("have")).alias("rest"))
-    fine = bins.join(crossing, F.col("source").eqNullSafe(F.col("cs")) & (F.col("bin") == F.col("cross")))
-    fine = fine.withColumn("miss", F.abs(F.sum("words").over(Window.partitionBy("cs").orderBy("part")) - F.col("rest")))
-    best = fine.groupBy("cs").agg(F.min(F.struct("miss", "part")).alias("b"), F.max("rest").alias("rest")).select(F.col("cs").alias("bs"), F.when(F.col("b.miss") < F.abs("rest"), F.col("b.part")).otherwise(F.lit(-1)).alias("cut"))
-    decided = crossing.join(best, F.col("cs").eqNullSafe(F.col("bs")), "left").select("cs", "cross", F.coalesce("cut", F.lit(-1)).alias("cut"))
-    numbers = cut_lineage(solved.join(decided, F.col("s").eqNullSafe(F.col("cs"))).select(*(F.col(c).alias(f"_{c}") for c in ("s", "source_size", "target", "cross", "cut")), "capped", "lambda", "scale"))
-    numbers = numbers.withColumnsRenamed({"capped": "_capped", "lambda": "_lambda", "scale": "_scale"})
+    rate = _rate(F.col("size"))
+    met = rows.join(solved, F.col("source").eqNullSafe(F.col("s"))).withColumns({"rate": rate, "big": F.col("size") > SMALL * F.col("scale")})
+    wanted = met.where("big").groupBy("source").agg(F.round(F.sum(F.col("size") * F.col("rate")), 3).alias("need"))
+    keyed = met.select("source", "size", "big", F.explode(F.array(*_keys(F.col("size"), F.col("_doc"), F.col("rate")))).alias("key"))
+    at, part = _place(F.col("key"))
+    bins = cut_lineage(keyed.groupBy("source", "big", at.alias("bin"), part.alias("part")).agg(F.sum("size").alias("words")))
+    # Large documents first, each source's to their own share; then the small ones make good what is left.
+    large = cut_lineage(_thresholds(bins.where("big"), wanted.withColumnRenamed("source", "s")))
+    large = large.select(F.col("s").alias("_ls"), F.col("cross").alias("_cross1"), F.col("cut").alias("_cut1"), "got")
+    left = state.join(large, F.col("source").eqNullSafe(F.col("_ls")), "left")
+    small = _thresholds(bins.where("not big"), left.select(F.col("source").alias("s"), (F.col("target") - F.coalesce("got", F.lit(0))).alias("need")))
+    small = small.select(F.col("s").alias("_fs"), F.col("cross").alias("_cross0"), F.col("cut").alias("_cut0"))
+    decided = solved.join(large, F.col("s").eqNullSafe(F.col("_ls")), "left").join(small, F.col("s").eqNullSafe(F.col("_fs")), "left")
+    numbers = cut_lineage(decided.select(*(F.col(c).alias(f"_{c}") for c in ("s", "source_size", "target", "capped", "lambda", "scale")), "_cross1", "_cut1", "_cross0", "_cut0"))
 
     size = F.col("_size")
     met = sized.join(numbers, F.col("_source").eqNullSafe(F.col("_s")))
-    rate = F.when(F.col("_capped"), F.lit(float(MOST))).otherwise(MOST / (1 + (MOST - 1) * F.exp(-F.col("_lambda") * size / F.col("_scale"))))
-    base = F.least(F.floor(rate), F.lit(MOST - 1))
-    t = (F.pmod(F.xxhash64("_doc", size), F.lit(1 << 30)) + 0.5) / float(1 << 30) - (rate - base)
-    at = (F.when(size <= SMALL * F.col("_scale"), t).when(t < 0, t - 1).otherwise(t + 1) + 2) * _BINS
-    part = F.floor((at - F.floor(at)) * _BINS)
-    one = (F.floor(at) < F.col("_cross")) | ((F.floor(at) == F.col("_cross")) & (part <= F.col("_cut")))
-    copies = (base + F.when(one, 1).otherwise(0)).cast("long")
+    rate = _rate(size, "_")
+    big = size > SMALL * F.col("_scale")
+    cross, cut = (F.when(big, F.col(f"_{c}1")).otherwise(F.col(f"_{c}0")) for c in ("cross", "cut"))
+    copies = F.lit(0).cast("long")
+    for key in _keys(size, F.col("_doc"), rate):
+        at, part = _place(key)
+        copies = copies + F.when((at < cross) | ((at == cross) & (part <= cut)), 1).otherwise(0)
     return met.select(*(F.col(f"`{c}`") for c in names), size.alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), rate.alias("rate"), copies.alias("copies"), (copies * size).alias("taken"))
