@@ -167,6 +167,7 @@ def _grouped(counts: DataFrame) -> DataFrame:
 def _start(vectors: DataFrame) -> DataFrame:
     """First estimates of each group: medians and interquartile widths, from exact counts of coarse values."""
     cells = vectors.select("grp", F.posexplode(F.array(*(F.shiftright(f"x{i}", 4) for i in range(P)))).alias("i", "v")).groupBy("grp", "i", "v").agg(F.count("*").alias("n"))
+    cells = cut_lineage(cells)  # else the grouping is dealt by (grp, i) too, and a task gets a large group's parts from all others
     w = Window.partitionBy("grp", "i")
     run = cells.withColumn("upto", F.sum("n").over(w.orderBy("v"))).withColumn("all", F.sum("n").over(w))
     reach = lambda q: F.min(F.when(F.col("upto") >= q * F.col("all"), F.col("v") * 16))
@@ -216,9 +217,9 @@ def _step(vectors: DataFrame, now: DataFrame, closest: bool) -> DataFrame:
     octave = F.when(F.col("d2") < 2.0**-10, -10 * _BIN).otherwise(F.floor(F.log2("d2") * _BIN)).cast("int")
     sums = [F.count("*").alias("h"), F.max("n").alias("n"), *(F.sum(f"x{i}").alias(f"s{i}") for i in range(P)), *(F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"p{i}{j}") for i, j in _PAIRS)]
     if closest:
-        bins = near.withColumn("bin", octave).groupBy("grp", "bin").agg(*sums)
+        bins = cut_lineage(near.withColumn("bin", octave).groupBy("grp", "bin").agg(*sums))  # dealt by both columns
         before = Window.partitionBy("grp").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-        bins = bins.where(F.lit(True)).withColumn("below", F.coalesce(F.sum("h").over(before), F.lit(0))).where(F.col("below") < COVERAGE * F.col("n"))
+        bins = bins.withColumn("below", F.coalesce(F.sum("h").over(before), F.lit(0))).where(F.col("below") < COVERAGE * F.col("n"))
         factor = consistency(COVERAGE)
     else:
         bins = near.where(F.col("d2") <= chi2_quantile(KEEP, P)).groupBy("grp").agg(*sums)
