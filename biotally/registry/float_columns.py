@@ -48,6 +48,7 @@ FLOAT_COLUMNS = {'adjacent_naturalness': ('naturalness',),
  'find_orfs': ('gc',),
  'gc_content': ('gc',),
  'guide_candidates': ('gc',),
+ 'find_guides': ('gc', 'combined', 'hairpin'),
  'guide_specificity': ('combined',),
  'identify_sequences': ('identity', 'coverage'),
  'ligand_score': ('tanimoto', 'likeness', 'affinity'),

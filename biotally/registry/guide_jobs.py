@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from biotally.operators import guides, near_words
 from biotally.reference_tables import GUIDE_PREFERRED, GUIDE_WEIGHTS
 from biotally.registry.core import job
-from biotally.registry.oracle_views import windows_sql
+from biotally.registry.oracle_views import folding_sql, windows_sql
 from biotally.sources import tables as t
 
 
@@ -65,7 +65,7 @@ def offtarget_counts(spark, sf):
     return guides.offtarget_counts(guides.guide_candidates(_seqs(spark, sf), "isolate_id"), t.benchmark_dna(spark, sf))
 
 
-_BEST = f"""sp as (select cand.*, cast(greatest(0, 100 - 20 * hits2 - 2 * hits3) as int) as specificity from cand join hc on hc.seed = {_code('substr(guide, 9, 12)', 12)}),
+_BEST = f"""sp as (select cand.*, hits2, hits3, cast(greatest(0, 100 - 20 * hits2 - 2 * hits3) as int) as specificity from cand join hc on hc.seed = {_code('substr(guide, 9, 12)', 12)}),
 best as (select * from (select *, row_number() over (partition by isolate_id order by 6 * on_target + 4 * specificity desc, position, strand) as rank from sp) where rank <= 20)"""
 
 
@@ -79,7 +79,13 @@ def guide_specificity(spark, sf):
     return g.select("isolate_id", "strand", "position", "guide", "on_target", "specificity", "rank", "combined")
 
 
-@job("find_guides")
+@job(
+    "find_guides",
+    f"""with {_cand('isolates', 'isolate_id')}, {_SPEC}, {_BEST}, gs as (select distinct guide as w, 20 as n from best), {folding_sql('gs', 'fg')}
+    select isolate_id, strand, position, guide, pam, gc, starts_with_g, on_target, cast(hits2 as bigint) as hits2, cast(hits3 as bigint) as hits3, specificity, cast(rank as int) as rank,
+      (6 * on_target + 4 * specificity) / 10.0::double as combined, hairpin from best join fg_hp on fg_hp.w = guide""",
+    "isolates benchmark_dna",
+)
 def find_guides(spark, sf):
     return guides.find_guides(_seqs(spark, sf), t.benchmark_dna(spark, sf), "isolate_id")
 

@@ -20,7 +20,7 @@ from biotally.reference_tables import (
     SYMMETRY_DS,
 )
 from biotally.registry.core import job
-from biotally.registry.oracle_views import windows_sql
+from biotally.registry.oracle_views import folding_sql, windows_sql
 from biotally.sources import tables as t
 
 _WORDS = windows_sql("w22", "benchmark_dna", "seq_id", 22, partial=True) + """,
@@ -107,15 +107,6 @@ def best_hairpin(spark, sf):
     return words.select("word", folding.best_hairpin("word").alias("hairpin"))
 
 
-def _folding(src: str, name: str) -> str:
-    """Hairpin and self dimer of each distinct word of ``src`` (w, n)."""
-    return f"""{name}_ij as (select w, i, unnest(range(i + 4, n + 1)) as j from (select w, n, unnest(range(1, n - 3)) as i from {src})),
-{name}_st as (select w, i, j, l, substr(w, i + l, 1) = translate(substr(w, j - l, 1), 'ACGT', 'TGCA') as ok from (select w, i, j, unnest(range(0, (j - i + 1) // 2)) as l from {name}_ij)),
-{name}_hp as materialized (select w, case when max(r) >= 3 then -1.5::double * max(r) else 0.0::double end as hairpin from (select w, i, j, coalesce(min(case when not ok then l end), max(l) + 1) as r from {name}_st group by 1, 2, 3) group by 1),
-{name}_sd as materialized (select w, case when max(pairs) >= 4 then -max(pairs)::double else 0.0::double end as self_dimer from (select w, o, count_if(substr(w, i, 1) = translate(substr(w, n - (i - o) + 1, 1), 'ACGT', 'TGCA')) as pairs from
-  (select w, n, o, unnest(range(greatest(1, 1 + o), least(n, n + o) + 1)) as i from (select w, n, unnest(range(3 - n, n - 3)) as o from {src})) group by 1, 2) group by 1)"""
-
-
 _PSCORE = """cast(greatest(0, least(100, floor(round(100 - abs(tm - 58) * 2 - case when gc between 40 and 60 then 0 else 10 end - case when hairpin < -3 then 8 else 0 end - case when hairpin < -5 then 12 else 0 end
   - case when self_dimer < -3 then 6 else 0 end - case when self_dimer < -5 then 10 else 0 end - case when gc_clamp between 1 and 3 then 0 else 8 end - case when three_prime < -8 then 5 else 0 end, 6) + 0.5))) as int)"""
 _CAND = f"""{_WORDS},
@@ -123,7 +114,7 @@ ori as (select seq_id, position, len, primer, 'forward' as orientation from pw u
 th as materialized (select * from (select *, {_tm('primer')} as tm, length(regexp_replace(primer, '[^GC]', '', 'g')) * 100.0::double / len as gc, {_DG} as three_prime,
   cast(length(regexp_replace(right(primer, 5), '[^GC]', '', 'g')) as int) as gc_clamp from ori) where gc between 40 and 60 and abs(tm - 58) <= 10),
 dw as materialized (select distinct primer as w, len as n from th),
-{_folding('dw', 'fo')},
+{folding_sql('dw', 'fo')},
 cand as materialized (select seq_id, position, len, primer, orientation, tm, gc, hairpin, self_dimer, three_prime, gc_clamp, {_PSCORE} as score from th join fo_hp on fo_hp.w = primer join fo_sd on fo_sd.w = primer
   where hairpin >= -6 and (orientation = 'reverse' or self_dimer >= -6))"""
 _DESIGN = f"""{_CAND}, lt as (select seq_id from benchmark_dna where length(seq) >= 100),
