@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from biotally.reference_tables import (
@@ -68,6 +68,22 @@ def overlapping_words(seq: Column, k: int) -> Column:
     return F.regexp_extract_all(seq, F.lit(f"(?=(.{{{k}}}))"), F.lit(1))
 
 
+TILE = 1 << 16  # letters
+
+
+def words_at(df: DataFrame, keep: tuple[str, ...], seq: Column, k: int, pos: str = "i", word: str = "w", tile: int = TILE) -> DataFrame:
+    """The columns ``keep`` with every k-letter window of ``seq`` and its 0-based position, a row each.
+
+    A text is cut into tiles, each with the first k - 1 letters of the next, so that the windows of a tile are the
+    longest array there is, however long the text.
+    """
+    pieces = df.select(*keep, F.regexp_extract_all(seq, F.lit(f"(?s).{{1,{tile}}}"), F.lit(0)).alias("_pieces"))
+    lapped = F.transform("_pieces", lambda t, i: F.concat(t, F.coalesce(F.substring(F.get("_pieces", i + 1), 1, k - 1), F.lit(""))))
+    tiles = pieces.select(*keep, F.posexplode(lapped).alias("_tile", "_text"))
+    rows = tiles.select(*keep, "_tile", F.posexplode(overlapping_words(F.col("_text"), k)).alias("_at", word))
+    return rows.select(*keep, (F.col("_tile") * tile + F.col("_at")).alias(pos), word)
+
+
 def codons(seq: Column) -> Column:
     return F.regexp_extract_all(seq, F.lit("(...)"), F.lit(1))
 

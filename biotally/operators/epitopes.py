@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from biotally.functions.sequence import clamp, letter_value, overlapping_words, round_half_up, substitution_score
+from biotally.functions.sequence import clamp, letter_value, words_at, round_half_up, substitution_score
 from biotally.reference_tables import (
     AMINO_ACIDS,
     ANCHOR_P2,
@@ -37,7 +37,7 @@ def sliding_scores(proteins: DataFrame, key: str = "protein_id", width: int = WI
     """Forward window means of the four residue scales, one row per window start. No shuffle."""
     padded = F.concat(F.col("seq"), F.lit("#" * (width - WINDOW)))
     rows = spread(proteins.filter(F.length("seq") >= WINDOW).select(key, "seq"), key)
-    words = rows.select(key, F.posexplode(overlapping_words(padded, width)).alias("p", "w"))
+    words = words_at(rows, (key,), padded, width, "p")
     letters = [F.substring("w", j, 1) for j in range(1, WINDOW + 1)]
     # The four scales travel as bit fields of one long (thousandths, shifted to be positive): one lookup per
     # letter instead of four, and an exact integer sum.
@@ -109,7 +109,7 @@ def binding_total(pep: Column) -> Column:
 
 def binding_peptides(proteins: DataFrame, key: str = "protein_id") -> DataFrame:
     """Every 9-letter peptide with its score, affinity estimate and number of good anchors."""
-    words = spread(proteins.select(key, "seq"), key).select(key, F.posexplode(overlapping_words(F.col("seq"), 9)).alias("p", "sequence"))
+    words = words_at(spread(proteins.select(key, "seq"), key), (key,), F.col("seq"), 9, "p", "sequence")
     pep = F.col("sequence")
     good = [(letter_value(F.substring(pep, 2, 1), ANCHOR_P2) > 0.5), (letter_value(F.substring(pep, 9, 1), ANCHOR_P9) > 0.5)]
     return (

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from biotally.functions.sequence import gc_content, overlapping_words, reverse_complement
+from biotally.functions.sequence import gc_content, words_at, reverse_complement
 from biotally.operators.folding import best_hairpin
 from biotally.operators.near_words import ball_counts, near_pairs, word_code, word_counts
 from biotally.operators.orfs import both_strands
@@ -29,7 +29,7 @@ def on_target_score(guide: Column) -> Column:
 
 def guide_candidates(seqs: DataFrame, key: str) -> DataFrame:
     """Every 20-letter guide followed by NGG, both strands, positions on the given strand."""
-    rows = both_strands(seqs, key).select(key, "strand", F.length("seq").alias("n"), F.posexplode(overlapping_words(F.col("seq"), 23)).alias("i", "w"))
+    rows = words_at(both_strands(seqs, key).withColumn("n", F.length("seq")), (key, "strand", "n"), F.col("seq"), 23)
     hits = rows.filter(F.substring("w", 22, 2) == "GG")
     guide = F.substring("w", 1, 20)
     return hits.select(

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from biotally.functions.sequence import overlapping_words
+from biotally.functions.sequence import words_at
 
 _HALF = 6  # letters in a prefix or suffix
 _SIDE = 4**_HALF
@@ -28,7 +28,7 @@ def word_code(word: Column) -> Column:
 
 def word_counts(seqs: DataFrame, k: int) -> DataFrame:
     """Distinct words with their number of occurrences: (code, n)."""
-    return seqs.select(F.explode(overlapping_words(F.col("seq"), k)).alias("w")).groupBy(word_code(F.col("w")).alias("code")).agg(F.count("*").alias("n"))
+    return words_at(seqs, (), F.col("seq"), k).groupBy(word_code(F.col("w")).alias("code")).agg(F.count("*").alias("n"))
 
 
 def _spread_mismatches(counts: np.ndarray, first_axis: int) -> np.ndarray:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from biotally.functions.sequence import codons, gc_content, overlapping_words, reverse_complement, translate_codons
+from biotally.functions.sequence import codons, gc_content, words_at, reverse_complement, translate_codons
 from biotally.session import spread
 from biotally.reference_tables import STARTS, STOPS
 
@@ -19,7 +19,7 @@ def both_strands(seqs: DataFrame, key: str = "seq_id") -> DataFrame:
 
 def start_stop_codons(seqs: DataFrame, key: str = "seq_id") -> DataFrame:
     """Start and stop codons of all six frames: (key, strand, frame, i, codon), i 0-based on the strand."""
-    words = both_strands(seqs, key).select(key, "strand", F.posexplode(overlapping_words(F.col("seq"), 3)).alias("i", "codon"))
+    words = words_at(both_strands(seqs, key), (key, "strand"), F.col("seq"), 3, "i", "codon")
     return words.filter(F.col("codon").isin(*STARTS, *STOPS)).withColumn("frame", F.col("i") % 3)
 
 

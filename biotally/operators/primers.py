@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from biotally.functions.sequence import gc_content, is_palindromic, overlapping_words, reverse_complement
+from biotally.functions.sequence import gc_content, is_palindromic, overlapping_words, reverse_complement, words_at
 from biotally.operators.folding import best_cross_dimer, best_hairpin, best_self_dimer
 from biotally.operators.near_words import near_pairs, word_code, word_counts
 from biotally.reference_tables import (
@@ -69,7 +69,7 @@ def primer_score(target_tm: float = 58.0) -> Column:
 def primer_words(templates: DataFrame, key: str, min_len: int = 18, max_len: int = 22) -> DataFrame:
     """Every template window of each primer length with its start (0-based)."""
     padded = F.concat(F.col("seq"), F.lit("#" * (max_len - min_len)))
-    words = spread(templates.select(key, "seq"), key).select(key, F.posexplode(overlapping_words(padded, max_len)).alias("i", "w"))
+    words = words_at(spread(templates.select(key, "seq"), key), (key,), padded, max_len)
     sizes = F.explode(F.array(*[F.lit(n) for n in range(min_len, max_len + 1)])).alias("len")
     cut = words.select(key, "i", "w", sizes).withColumn("word", F.expr("substr(w, 1, len)"))
     return cut.filter(~F.contains("word", F.lit("#"))).select(key, "i", "len", "word")
@@ -143,7 +143,7 @@ def mispriming_hits(primers: DataFrame, genome: DataFrame, genome_key: str = "se
     # Each place carries the letters before it, as far back as the longest primer reaches.
     reach = longest - SEED
     padded = F.concat(F.lit("#" * reach), F.col("seq"))
-    places = spread(genome.select(genome_key, "seq"), genome_key).select(genome_key, F.posexplode(overlapping_words(padded, reach + SEED)).alias("i", "w"))
+    places = words_at(spread(genome.select(genome_key, "seq"), genome_key), (genome_key,), padded, reach + SEED)
     places = places.select(genome_key, (F.col("i") + 1).alias("position"), F.substring("w", 1, reach).alias("before"), word_code(F.substring("w", reach + 1, SEED)).alias("target"))
     hits = queries.join(near.withColumnRenamed("query", "seed"), "seed").join(places, "target")
     rest = F.length("query") - SEED

@@ -7,7 +7,7 @@ import itertools
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from biotally.functions.sequence import iupac_regex, overlapping_words, round_half_up
+from biotally.functions.sequence import iupac_regex, words_at, round_half_up
 from biotally.reference_tables import CONTEXT_RULES, MOTIF_RULES, fixed_table
 from biotally.session import spread
 
@@ -46,7 +46,7 @@ def context_mutation_hits(seqs: DataFrame, key: str, rules=CONTEXT_RULES) -> Dat
     patterns = _patterns(seqs.sparkSession, rules)
     width = max(len(r[5]) + 1 + len(r[6]) for r in rules)
     padded = F.concat(F.col("seq"), F.lit("#" * (width - 1)))
-    windows = spread(seqs.select(key, "seq"), key).select(key, F.posexplode(overlapping_words(padded, width)).alias("i", "w"))
+    windows = words_at(spread(seqs.select(key, "seq"), key), (key,), padded, width)
     hits = windows.join(F.broadcast(patterns), F.substring("w", 1, _ANCHOR) == F.col("anchor")).filter("startswith(w, pattern)")
     return hits.select(
         key, "gene", "class", "wild_type", "mutant", "reference_position", "confidence", (F.col("i") + F.col("before") + 1).alias("position")

@@ -7,7 +7,7 @@ import itertools
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from biotally.functions.sequence import iupac_regex, overlapping_words
+from biotally.functions.sequence import iupac_regex, words_at
 from biotally.session import spread
 from biotally.reference_tables import (
     COMPLEMENT_FROM,
@@ -65,7 +65,7 @@ def find_cut_sites(seqs: DataFrame, key: str = "seq_id", enzymes=ENZYMES) -> Dat
     words = _recognition_words(seqs.sparkSession, enzymes)
     width = max(len(e[1]) for e in enzymes)
     padded = F.concat(F.col("seq"), F.lit("#" * (width - 1)))
-    windows = spread(seqs.select(key, "seq"), key).select(key, F.posexplode(overlapping_words(padded, width)).alias("i", "w"))
+    windows = words_at(spread(seqs.select(key, "seq"), key), (key,), padded, width)
     hits = windows.join(F.broadcast(words), F.substring("w", 1, _ANCHOR) == F.col("anchor")).filter(
         F.expr("w rlike pattern and (forward_pattern is null or not w rlike forward_pattern)")
     )

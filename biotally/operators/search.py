@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from biotally.functions.sequence import overlapping_words
+from biotally.functions.sequence import words_at
 from biotally.reference_tables import DEFAULT_ROUTE, NO_HIT_ROUTE, ROUTE_RULES
 from biotally.session import spread
 
@@ -17,7 +17,7 @@ def seed_diagonals(queries: DataFrame, subjects: DataFrame, k: int = 16) -> Data
     (query, subject, diagonal) counts inside the join's tasks. A word found in very many subjects is split at run
     time by its join partition, and no subject meets another subject.
     """
-    words = lambda df, key, pos: df.select(key, F.posexplode(overlapping_words(F.col("seq"), k)).alias(pos, "w")).select(key, pos, F.xxhash64("w").alias("h"), "w")
+    words = lambda df, key, pos: words_at(df, (key,), F.col("seq"), k, pos).select(key, pos, F.xxhash64("w").alias("h"), "w")
     q = words(queries.select("query_id", "seq"), "query_id", "qp")
     s = words(spread(subjects.select("subject_id", "seq"), "subject_id"), "subject_id", "sp")
     shared = q.join(s, ["h", "w"])

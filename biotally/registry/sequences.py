@@ -33,7 +33,7 @@ def reverse_complement(spark, sf):
 
 @job("kmers", f"with {windows_sql('w5', 'proteins', 'protein_id', 5)} select w as word, count(*) as n from w5 group by 1", "proteins")
 def kmers(spark, sf):
-    return t.proteins(spark, sf).select(F.explode(s.overlapping_words(F.col("seq"), 5)).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    return s.words_at(t.proteins(spark, sf), (), F.col("seq"), 5, word="word").groupBy("word").agg(F.count("*").alias("n"))
 
 
 @job(
@@ -58,7 +58,7 @@ def codon_counts(spark, sf):
     "isolates",
 )
 def iupac_regex(spark, sf):
-    w = t.isolates(spark, sf).select(F.explode(s.overlapping_words(F.col("seq"), 6)).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+    w = s.words_at(t.isolates(spark, sf), (), F.col("seq"), 6).groupBy("w").agg(F.count("*").alias("n"))
     fixed = F.when(F.regexp_like("w", F.lit(f"^{s.iupac_regex('GTYRAC')}$")), F.col("n")).otherwise(0)
     column = F.when(F.regexp_like("w", F.concat(F.lit("^"), s.iupac_regex_column(F.lit("GANTC")))), F.col("n")).otherwise(0)
     return w.agg(F.sum("n").alias("windows"), F.sum(fixed).alias("gtyrac"), F.sum(column).alias("gantc"))

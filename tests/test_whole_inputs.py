@@ -85,3 +85,13 @@ def test_equal_absorption_and_elimination_rates(spark):
     steady = row.select(*[c.alias(n) for n, c in exposure.steady_state(F.lit(100.0), F.lit(12.0)).items()]).first()
     many = lambda t: sum(0.8 * 100 / 10 * 0.3 * (t + 12 * k) * math.exp(-0.3 * (t + 12 * k)) for k in range(200))
     assert steady["css_max"] == pytest.approx(many(1 / 0.3)) and steady["css_min"] == pytest.approx(many(12.0))
+
+
+@pytest.mark.parametrize("tile", [4, 5, 7, 1 << 16])
+def test_tiles_give_every_window_once(spark, tile):
+    from biotally.functions.sequence import words_at
+
+    texts = ["", "A", "ACG", "ACGT", "ACGTACGTTGCA" * 3]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, seq string")
+    got = sorted(tuple(r) for r in words_at(df, ("id",), F.col("seq"), 4, tile=tile).collect())
+    assert got == sorted((k, i, t[i : i + 4]) for k, t in enumerate(texts) for i in range(len(t) - 3))
