@@ -71,16 +71,20 @@ def overlapping_words(seq: Column, k: int) -> Column:
 TILE = 1 << 16  # letters
 
 
-def words_at(df: DataFrame, keep: tuple[str, ...], seq: Column, k: int, pos: str = "i", word: str = "w", tile: int = TILE) -> DataFrame:
+def words_at(df: DataFrame, keep: tuple[str, ...], seq: Column, k: int, pos: str = "i", word: str = "w", tile: int = TILE, ending: str = "") -> DataFrame:
     """The columns ``keep`` with every k-letter window of ``seq`` and its 0-based position, a row each.
 
     A text is cut into tiles, each with the first k - 1 letters of the next, so that the windows of a tile are the
-    longest array there is, however long the text.
+    longest array there is, however long the text. With an ``ending`` only windows that end with it are given; all
+    other positions cost one letter.
     """
     pieces = df.select(*keep, F.regexp_extract_all(seq, F.lit(f"(?s).{{1,{tile}}}"), F.lit(0)).alias("_pieces"))
     lapped = F.transform("_pieces", lambda t, i: F.concat(t, F.coalesce(F.substring(F.get("_pieces", i + 1), 1, k - 1), F.lit(""))))
     tiles = pieces.select(*keep, F.posexplode(lapped).alias("_tile", "_text"))
-    rows = tiles.select(*keep, "_tile", F.posexplode(overlapping_words(F.col("_text"), k)).alias("_at", word))
+    found = F.regexp_extract_all("_text", F.lit(f"(?=(.{{{k - len(ending)}}}{ending}|.))"), F.lit(1)) if ending else overlapping_words(F.col("_text"), k)
+    rows = tiles.select(*keep, "_tile", F.posexplode(found).alias("_at", word))
+    if ending:
+        rows = rows.where(F.length(word) == k)
     return rows.select(*keep, (F.col("_tile") * tile + F.col("_at")).alias(pos), word)
 
 

@@ -29,10 +29,9 @@ def on_target_score(guide: Column) -> Column:
 
 def guide_candidates(seqs: DataFrame, key: str) -> DataFrame:
     """Every 20-letter guide followed by NGG, both strands, positions on the given strand."""
-    rows = words_at(both_strands(seqs, key).withColumn("n", F.length("seq")), (key, "strand", "n"), F.col("seq"), 23)
-    hits = rows.filter(F.substring("w", 22, 2) == "GG")
+    rows = words_at(both_strands(seqs, key).withColumn("n", F.length("seq")), (key, "strand", "n"), F.col("seq"), 23, ending="GG")
     guide = F.substring("w", 1, 20)
-    return hits.select(
+    return rows.select(
         key, "strand",
         F.when(F.col("strand") == "+", F.col("i") + 1).otherwise(F.col("n") - F.col("i") - 19).alias("position"),
         guide.alias("guide"), F.substring("w", 21, 3).alias("pam"), gc_content(guide).alias("gc"),
