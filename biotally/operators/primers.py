@@ -169,12 +169,16 @@ def top_mispriming_hits(hits: DataFrame, genome_key: str = "seq_id", top: int =
 
 
 def pair_specificity(pairs: DataFrame, hits: DataFrame, genome_key: str = "seq_id") -> DataFrame:
-    """100 - 5 per hit - 15 per hit with at most one mismatch, floored at 0, with a warning class per pair."""
-    per = hits.groupBy("primer").agg(F.count("*").alias("hits"), F.count_if(F.col("total_mismatches") <= 1).alias("strong"))
-    f = per.select(F.col("primer").alias("f_primer"), F.col("hits").alias("fh"), F.col("strong").alias("fs"))
-    r = per.select(F.col("primer").alias("r_primer"), F.col("hits").alias("rh"), F.col("strong").alias("rs"))
+    """100 - 5 per hit - 15 per hit with at most one mismatch, floored at 0, with a warning class per pair and the
+    distinct genomes of its strong hits, comma-joined."""
+    close = F.col("total_mismatches") <= 1
+    per = hits.groupBy("primer").agg(F.count("*").alias("hits"), F.count_if(close).alias("strong"), F.collect_set(F.when(close, F.col(genome_key))).alias("genomes"))
+    f = per.select(F.col("primer").alias("f_primer"), F.col("hits").alias("fh"), F.col("strong").alias("fs"), F.col("genomes").alias("fg"))
+    r = per.select(F.col("primer").alias("r_primer"), F.col("hits").alias("rh"), F.col("strong").alias("rs"), F.col("genomes").alias("rg"))
     joined = pairs.join(f, "f_primer", "left").join(r, "r_primer", "left").na.fill(0, ["fh", "fs", "rh", "rs"])
     total, strong = F.col("fh") + F.col("rh"), F.col("fs") + F.col("rs")
     return joined.withColumn("hits", total).withColumn("strong_hits", strong).withColumn(
         "specificity", F.greatest(F.lit(0), 100 - 5 * total - 15 * strong)
-    ).withColumn("warning", F.when(strong > 0, "high").when(total > 5, "moderate")).drop("fh", "fs", "rh", "rs")
+    ).withColumn("warning", F.when(strong > 0, "high").when(total > 5, "moderate")).withColumn(
+        "strong_sources", F.array_join(F.array_sort(F.array_union(F.coalesce("fg", F.array()), F.coalesce("rg", F.array()))), ",")
+    ).drop("fh", "fs", "rh", "rs", "fg", "rg")

@@ -170,8 +170,9 @@ def top_mispriming_hits(spark, sf):
 
 @job(
     "pair_specificity",
-    f"""with {_MIS}, pe as (select primer, count(*) as h, count_if(total_mismatches <= 1) as st from mis group by 1),
-    ps as (select seq_id, f_position, r_position, f_primer, r_primer, coalesce(a.h, 0) + coalesce(b.h, 0) as hits, cast(coalesce(a.st, 0) + coalesce(b.st, 0) as bigint) as strong_hits
+    f"""with {_MIS}, pe as (select primer, count(*) as h, count_if(total_mismatches <= 1) as st, list(distinct seq_id) filter (where total_mismatches <= 1) as src from mis group by 1),
+    ps as (select seq_id, f_position, r_position, f_primer, r_primer, coalesce(a.h, 0) + coalesce(b.h, 0) as hits, cast(coalesce(a.st, 0) + coalesce(b.st, 0) as bigint) as strong_hits,
+      array_to_string(list_sort(list_distinct(list_concat(coalesce(a.src, []), coalesce(b.src, [])))), ',') as strong_sources
       from design left join pe a on a.primer = f_primer left join pe b on b.primer = r_primer)
     select *, greatest(0, 100 - 5 * hits - 15 * strong_hits) as specificity, case when strong_hits > 0 then 'high' when hits > 5 then 'moderate' end as warning from ps""",
     "benchmark_dna",
