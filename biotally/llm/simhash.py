@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import combinations, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +21,7 @@ from pyspark.sql.window import Window
 
 from biotally.llm.components import components
 from biotally.llm.words import chunks, id_column, mix, text_column
-from biotally.session import cut_lineage
+from biotally.session import cut_lineage, spread
 
 BITS, SHINGLE, RADIUS, SEED = 64, 3, 2, 42
 
@@ -107,6 +107,7 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 # Narrow fingerprints of 28 bits keep chance meetings rare up to some ten million distinct texts; more texts want wider
 # ones, and more parts to keep the recall.
 SIMILAR, SIMILAR_SHINGLE, PARTS, NARROW = 0.8, 5, 5, 28
+TILE = 1024  # members of a value in a block; two blocks meet in one task
 
 
 def similarity_bits(similarity: float, bits: int) -> int:
@@ -115,6 +116,51 @@ def similarity_bits(similarity: float, bits: int) -> int:
     return math.floor(bits * p + math.sqrt(bits * p * (1 - p)))
 
 
+def _forest(tile: np.ndarray, limit: int) -> list[tuple[int, int]]:
+    """Links between the roots of a tile (rows of value, lo, hi, block, root and fingerprints), enough to connect all its close pairs."""
+    lo, hi = tile[0, 1], tile[0, 2]
+    root, prints = tile[:, 4], tile[:, 5:].view(np.uint64)
+    group, out = root.copy(), []
+    split = int(np.searchsorted(tile[:, 3], hi)) if lo < hi else 0
+    for i in range(split if lo < hi else len(tile)):
+        rest = slice(split if lo < hi else i + 1, len(tile))
+        close = np.bitwise_count(prints[rest] ^ prints[i]).sum(axis=1) <= limit
+        other, at = np.unique(group[rest][close], return_index=True)
+        if fresh := [(g, k) for g, k in zip(other.tolist(), at.tolist(), strict=True) if g != group[i]]:
+            ends = root[rest][close]
+            out.extend((int(root[i]), int(ends[k])) for _, k in fresh)
+            group[np.isin(group, [g for g, _ in fresh])] = group[i]
+    return out
+
+
+def _all_meetings(meetings: DataFrame, placed: DataFrame, words: list[str], limit: int) -> DataFrame:
+    """Links (a, b) between the ``near`` roots of nodes that share a value and lie within ``limit`` bits.
+
+    Values whose members have one root are done. The others are cut into blocks of ``TILE`` members, every two blocks
+    (and each with itself) meet in one tile, and all pairs of a tile are compared in the task that has it.
+    """
+    held = cut_lineage(meetings.join(placed.select(F.col("node").alias("k"), "near"), F.col("node") == F.col("k")).select("value", "place", "node", "near"))
+    mixed = held.groupBy("value").agg(F.min("near").alias("least_root"), F.max("near").alias("last_root"), F.max("place").alias("n")).where("least_root <> last_root")
+    mixed = mixed.select(F.col("value").alias("v"), F.expr(f"(n - 1) div {TILE}").alias("last"))
+    rows = held.drop("near").join(mixed, F.col("value") == F.col("v")).withColumn("block", F.expr(f"(place - 1) div {TILE}")).join(placed, "node")
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), "last")))
+    columns = ["value", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", F.col("near").alias("root"), *words]
+    tiles = spread(rows.select(*columns), "value", "lo", "hi").sortWithinPartitions("value", "lo", "hi", "block")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left = np.zeros((0, 5 + len(words)), np.int64)
+        for b in batches:
+            left = np.concatenate((left, np.stack([c.to_numpy(zero_copy_only=False) for c in b.columns], axis=1)))
+            cuts = [0, *(np.flatnonzero((left[1:, :3] != left[:-1, :3]).any(axis=1)) + 1).tolist()]
+            if out := [x for a, z in pairwise(cuts) for x in _forest(left[a:z], limit)]:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["a", "b"])
+            left = left[cuts[-1] :]
+        if len(left) and (out := _forest(left, limit)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["a", "b"])
+
+    return tiles.mapInArrow(compare, "a long, b long")
+
+
 def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILAR, shingle: int = SIMILAR_SHINGLE) -> DataFrame:
     """doc_id and component_id as of ``simhash_components``, for texts of a shingle similarity rather than a radius.
 
@@ -122,6 +168,9 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     reach. So ``PARTS`` fingerprints are taken and cut into narrow ones of ``NARROW`` bits; these are linked by ball
     hashing with radius 2, each for itself, and the links checked on all bits together. A true pair has several
     chances to meet, its recall is measured in the tests; texts with equal fingerprints take part once.
+
+    Members of a narrow value need not be alike, so every two of them are compared: first each with the two before it,
+    which joins most of a group of copies, then in values of four members or more all that are not yet of one component.
     """
     base = docs.select(id_column(docs, id_col).alias("doc_id"), text_column(docs, text_col).alias("text"))
     words = [f"s{k}" for k in range(PARTS)]
@@ -138,14 +187,19 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     masks = F.array(*(F.lit(m).cast("long") for m in ball(RADIUS // 2, NARROW)))
     emitted = distinct.select("node", tables).select("node", F.explode(masks).alias("mask"), "fp").select("node", F.col("fp").bitwiseXOR(F.col("mask")).alias("value"))
     w = Window.partitionBy("value").orderBy("node")
-    behind = emitted.withColumn("b1", F.lag("node", 1).over(w)).withColumn("b2", F.lag("node", 2).over(w)).where(F.col("b1").isNotNull())
-    met = behind.select("node", F.explode(F.array("b1", "b2")).alias("before")).where(F.col("before").isNotNull() & (F.col("before") != F.col("node"))).distinct()
+    around = emitted.select("node", "value", F.row_number().over(w).alias("place"), *(F.lag("node", k).over(w).alias(f"b{k}") for k in (1, 2)), *(F.lead("node", k).over(w).alias(f"n{k}") for k in (1, 2, 3)))
+    members = F.least(F.col("place") - 1, F.lit(3)) + sum((F.col(f"n{k}").isNotNull().cast("int") for k in (2, 3)), F.col("n1").isNotNull().cast("int"))
+    around = cut_lineage(around.select("node", "b1", "b2", (members >= 3).alias("many"), "value", "place").where(F.col("b1").isNotNull() | F.col("many")))
+    met = around.select("node", F.explode(F.array("b1", "b2")).alias("before")).where(F.col("before").isNotNull()).distinct()
     of = lambda c, side: distinct.select(F.col("node").alias(c), *(F.col(x).alias(f"{side}{x}") for x in words))
     pairs = cut_lineage(met).join(of("node", "a"), "node").join(of("before", "b"), "before")
     apart = sum((F.bit_count(F.col(f"a{x}").bitwiseXOR(F.col(f"b{x}"))) for x in words[1:]), F.bit_count(F.col("as0").bitwiseXOR(F.col("bs0"))))
-    links = pairs.where(apart <= similarity_bits(similarity, BITS * PARTS)).select(F.col("before").alias("a"), F.col("node").alias("b"))
+    limit = similarity_bits(similarity, BITS * PARTS)
+    links = pairs.where(apart <= limit).select(F.col("before").alias("a"), F.col("node").alias("b"))
     found = components(links).withColumnRenamed("node", "k")
-    rooted = distinct.join(found, F.col("node") == F.col("k"), "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+    placed = cut_lineage(distinct.join(found, F.col("node") == F.col("k"), "left").select("node", "least", F.coalesce("root", "node").alias("near"), *words))
+    merged = components(_all_meetings(around.where("many").select("value", "place", "node"), placed.drop("least"), words, limit)).withColumnRenamed("node", "k")
+    rooted = placed.join(merged, F.col("near") == F.col("k"), "left").select("node", "least", F.coalesce("root", "near").alias("root"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     of_node = rooted.join(named, "root").select(F.col("node").alias("k"), "component_id")
     return marked.join(of_node, F.col("node") == F.col("k")).select("doc_id", "component_id")

@@ -6,6 +6,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -116,6 +117,42 @@ def test_similar_components_find_copies_and_leave_others(spark, odd):
     assert simhash.similar_components(odd).count() == odd.count()
 
 
+def test_similar_components_inside_a_family_that_shares_a_passage(spark):
+    r = random.Random(21)
+    shared = prose(r, 200)
+    family = [shared + " " + prose(r, 80) for _ in range(2000)]  # five-word similarity about 0.5
+    copies = [" ".join(w if k % 61 else "edit" for k, w in enumerate(t.split())) for t in family[:300]]
+    texts = family + copies
+    prints = simhash._fingerprints(pa.array(texts), 5, 5)
+    mask = np.uint64((1 << simhash.NARROW) - 1)
+    parent = list(range(len(texts)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(texts) - 1):  # all that meet in a narrow value and lie close on all bits
+        apart = prints[i + 1 :] ^ prints[i]
+        meet = sum((np.bitwise_count(apart >> np.uint64(simhash.NARROW * half) & mask) <= simhash.RADIUS).any(axis=1) for half in (0, 1)) > 0
+        for j in np.flatnonzero(meet & (np.bitwise_count(apart).sum(axis=1) <= simhash.similarity_bits(0.8, 320))) + i + 1:
+            a, b = sorted((find(i), find(int(j))))
+            parent[b] = a
+    got = dict(rows_of(simhash.similar_components(documents(spark, texts)), "doc_id", "component_id"))
+    assert [k for k in range(len(texts)) if got[k] != find(k)] == []
+    assert sum(got[2000 + k] == got[k] for k in range(300)) >= 270
+
+
+def test_tiles_of_a_value_meet_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "TILE", 7)
+    r = random.Random(22)
+    base = [r.getrandbits(62) for _ in range(20)]
+    nodes = [(k, k, base[k % 20] ^ (1 << k // 20)) for k in range(60)]
+    links = simhash._all_meetings(spark.createDataFrame([(v, k + 1, k) for v in (1, 2) for k in range(60)], "value long, place int, node long"), spark.createDataFrame(nodes, "node long, near long, s0 long"), ["s0"], 2)
+    got = {x["node"]: x["root"] for x in components(links).collect()}
+    assert got == {k: k % 20 for k in range(60)}
+
+
 def test_components_of_chains_hubs_and_nothing(spark):
     chain = [(k, k + 1) for k in range(40)] + [(100, 100 + k) for k in range(50)] + [(7, 7), (None, 3)]
     got = {x["node"]: x["root"] for x in components(spark.createDataFrame(chain, "a long, b long")).collect()}
