@@ -49,45 +49,55 @@ def text_units(text: str, min_words: int = MIN_WORDS, separator: str = "\n") ->
         at += len(line) + len(separator)
 
 
-def units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, separator: str = "\n") -> DataFrame:
-    base = docs.select(id_column(docs, id_col).alias("doc_id"), text_column(docs, text_col).alias("text"))
-    names = [c.split()[0] for c in _UNITS.split(", ")]
+def units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, separator: str = "\n", key_col: str | None = None) -> DataFrame:
+    keys = [id_column(docs, key_col).alias("row_key")] if key_col else []
+    base = docs.select(*keys, id_column(docs, id_col).alias("doc_id"), text_column(docs, text_col).alias("text"))
+    schema = "row_key long, " * len(keys) + _UNITS
+    names = [c.split()[0] for c in schema.split(", ")]
+    n_ids = len(keys) + 1
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows: list[tuple] = []
-            for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
-                rows.extend((doc, *u) for u in text_units(text.as_py() or "", min_words, separator))
+            for *ids, text in zip(*(b.column(c).to_pylist() for c in names[:n_ids]), b.column("text"), strict=True):
+                rows.extend((*ids, *u) for u in text_units(text.as_py() or "", min_words, separator))
             if rows:
-                kinds = [pa.int64(), pa.int32(), *[pa.int64()] * 5]
+                kinds = [*[pa.int64()] * n_ids, pa.int32(), *[pa.int64()] * 5]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
-    return base.mapInArrow(cut, _UNITS)
+    return base.mapInArrow(cut, schema)
 
 
-def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, separator: str = "\n") -> DataFrame:
+def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, separator: str = "\n", key_col: str | None = None) -> DataFrame:
     """doc_id, start_char, end_char (code points of the original text), level, first_doc_id, first_start of every removed unit.
 
     Sentences of a removed line are not listed again. A line and a sentence with equal words are the same unit. Ids
     rank in order, null last. Rows that repeat an id and offset with the same unit tie for its first place and all
     stay. Null, blank and unit-free texts lose nothing. Other columns are not read.
+
+    With ``key_col``, a column that numbers the rows, rows that share an id are documents of their own: they rank by
+    id and then by number, none tie, and each span carries the number of its row as ``row_key``.
     """
-    seen = cut_lineage(units(docs, id_col, text_col, min_words, separator))
-    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "start_char")
+    seen = cut_lineage(units(docs, id_col, text_col, min_words, separator, key_col))
+    own, first_own, keys = ("row_key", "first_key", ["row_key"]) if key_col else ("doc_id", "first_doc_id", [])
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *keys, "start_char")
     groups = seen.groupBy("hi", "lo").agg(F.min(rank).alias("first"), F.max(rank).alias("last")).where(F.col("first") != F.col("last"))
-    groups = cut_lineage(groups.select(F.col("hi").alias("h"), F.col("lo").alias("l"), F.col("first.doc_id").alias("first_doc_id"), F.col("first.start_char").alias("first_start")))
+    groups = cut_lineage(groups.select(F.col("hi").alias("h"), F.col("lo").alias("l"), F.col("first.doc_id").alias("first_doc_id"), F.col("first.start_char").alias("first_start"), *(F.col("first.row_key").alias("first_key") for _ in keys)))
     met = seen.join(groups, (F.col("hi") == F.col("h")) & (F.col("lo") == F.col("l")))
-    later = met.where(~(F.col("doc_id").eqNullSafe(F.col("first_doc_id")) & (F.col("start_char") == F.col("first_start"))))
-    later = cut_lineage(later.select("doc_id", "level", "start_char", "end_char", "line_start", "first_doc_id", "first_start"))
-    lines = later.where("level = 0").select(F.col("doc_id").alias("d"), F.col("line_start").alias("s")).distinct()
-    inside = later.where("level = 1").join(lines, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("line_start") == F.col("s")), "left_anti")
-    return later.where("level = 0").unionByName(inside).select("doc_id", "start_char", "end_char", "level", "first_doc_id", "first_start")
+    later = met.where(~(F.col(own).eqNullSafe(F.col(first_own)) & (F.col("start_char") == F.col("first_start"))))
+    later = cut_lineage(later.select(*keys, "doc_id", "level", "start_char", "end_char", "line_start", "first_doc_id", "first_start"))
+    lines = later.where("level = 0").select(F.col(own).alias("d"), F.col("line_start").alias("s")).distinct()
+    inside = later.where("level = 1").join(lines, F.col(own).eqNullSafe(F.col("d")) & (F.col("line_start") == F.col("s")), "left_anti")
+    return later.where("level = 0").unionByName(inside).select(*keys, "doc_id", "start_char", "end_char", "level", "first_doc_id", "first_start")
+
 
+def deduplicated(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text", key_col: str | None = None) -> DataFrame:
+    """The columns of ``docs`` with the spans cut out of its text, and ``kept_spans``: the original offsets that remain.
 
-def deduplicated(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The columns of ``docs`` with the spans cut out of its text, and ``kept_spans``: the original offsets that remain."""
-    per = spans.groupBy(F.col("doc_id").alias("_span_doc")).agg(F.array_sort(F.collect_set(F.struct("start_char", "end_char"))).alias("_spans"))
-    joined = docs.join(per, F.col(id_col).cast("long").eqNullSafe(F.col("_span_doc")), "left").drop("_span_doc")
+    Spans are cut from every row of their id, or, with the ``key_col`` that they were found by, from their own row only.
+    """
+    per = spans.groupBy(F.col("row_key" if key_col else "doc_id").alias("_span_doc")).agg(F.array_sort(F.collect_set(F.struct("start_char", "end_char"))).alias("_spans"))
+    joined = docs.join(per, F.col(key_col or id_col).cast("long").eqNullSafe(F.col("_span_doc")), "left").drop("_span_doc")
     closed = F.concat(F.coalesce("_spans", F.expr("cast(array() as array<struct<start_char:bigint,end_char:bigint>>)")), F.array(F.struct(F.length(F.coalesce(text_col, F.lit(""))).cast("long").alias("start_char"), F.length(F.coalesce(text_col, F.lit(""))).cast("long").alias("end_char"))))
     kept = F.filter(F.transform(closed, lambda x, i: F.struct(F.when(i == 0, F.lit(0).cast("long")).otherwise(F.element_at(closed, i)["end_char"]).alias("start"), x["start_char"].alias("stop"))), lambda x: x["stop"] > x["start"])
     with_kept = joined.withColumn("kept_spans", kept)

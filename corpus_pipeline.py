@@ -16,32 +16,45 @@ from biotally.llm.simhash import similar_components
 from biotally.session import cut_lineage
 
 
-def keep_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose doc_id (null too) is among ``ids``; columns and repeated rows stay as they are."""
-    listed = ids.select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(listed, docs["doc_id"].eqNullSafe(listed["_kept_id"]), "left_semi")
+def keyed(docs: DataFrame) -> DataFrame:
+    """The rows with a number of their own, ``_row``, written once: a document is never taken for another by its doc_id."""
+    return cut_lineage(docs.withColumn("_row", F.monotonically_increasing_id()))
+
+
+def by_row(rows: DataFrame) -> DataFrame:
+    """``rows`` for an operator that tells documents apart by doc_id."""
+    return rows.withColumn("doc_id", F.col("_row"))
+
+
+def only(rows: DataFrame, listed: DataFrame, how: str = "left_semi") -> DataFrame:
+    """Rows whose number is among the first column of ``listed``, or (left_anti) is not, without their number."""
+    listed = listed.select(F.col(listed.columns[0]).alias("_listed")).distinct()
+    return rows.join(listed, rows["_row"] == listed["_listed"], how).drop("_row")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep. Of rows that share an id, all go unless all are kept."""
-    marked = quality_rules(docs)
-    return keep_ids(docs, marked.groupBy("doc_id").agg(F.bool_and("kept").alias("kept")).where("kept"))
+    """Documents that the quality rules keep, each row by its own text."""
+    rows = keyed(docs)
+    return only(rows, quality_rules(by_row(rows)).where("kept"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that SimHash links at a five-word similarity of 0.8: that with the smallest id, once."""
-    marked = similar_components(docs)
-    first = marked.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("n"))
-    first = cut_lineage(first)
-    once = keep_ids(docs, first.where("n = 1"))
-    return once.unionByName(keep_ids(docs, first.where("n > 1")).dropDuplicates(["doc_id"]))
+    """One row of each group that SimHash links at a five-word similarity of 0.8: that with the smallest id.
+
+    Rows of the group that share this id are told apart by a hash of the row; no id ranks last.
+    """
+    rows = keyed(docs)
+    ranks = rows.select(F.col("_row").alias("k"), F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64(*docs.columns).alias("hash"), "_row").alias("rank"))
+    marked = similar_components(by_row(rows))
+    first = marked.join(ranks, F.col("doc_id") == F.col("k")).groupBy("component_id").agg(F.min("rank").alias("first"))
+    return only(rows, cut_lineage(first.select("first._row")))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no item of the benchmark and no paraphrase of one. Rows that share an id go together."""
-    leaks = cut_lineage(find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
-    leaking = leaks.select(F.col("doc_id").alias("_leaking_id")).distinct()
-    return docs.join(leaking, docs["doc_id"].eqNullSafe(leaking["_leaking_id"]), "left_anti")
+    """Documents that hold no item of the benchmark and no paraphrase of one, each row by its own text."""
+    rows = keyed(docs)
+    leaks = cut_lineage(find_leaks(by_row(rows), spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
+    return only(rows, leaks, "left_anti")
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -443,6 +443,16 @@ def test_removed_spans_against_plain_version(spark, odd):
         assert "".join(text[s["start"] : s["stop"]] for s in kept[k]["kept_spans"]) == kept[k]["text"]
 
 
+def test_removed_spans_of_rows_that_share_an_id(spark):
+    a, b, c = ("one two three four five six", "seven eight nine ten eleven", "red green blue white black grey")
+    rows = [(0, 1, f"{a}\n{b}"), (1, 1, c + "!" * 22 + f"\n{a}"), (2, None, f"{a}\nlast"), (3, None, f"{c}{'!' * 22}\nnew"), (4, None, f"{a}\nlast")]
+    docs = spark.createDataFrame(rows, "k long, doc_id long, text string")
+    spans = line_dedup.removed_spans(docs, key_col="k")
+    assert rows_of(spans, "row_key", "start_char") == [(1, len(c) + 23), (2, 0), (3, 0), (4, 0)]
+    cut = line_dedup.deduplicated(docs, spans, key_col="k")
+    assert rows_of(cut, "k", "text") == [(0, rows[0][2]), (1, rows[1][2][: len(c) + 23]), (2, "\nlast"), (3, "\nnew"), (4, "\nlast")]
+
+
 # 9. Quality rules
 
 

@@ -56,6 +56,27 @@ def test_run_gives_the_stages_rows(spark, planted):
     assert first == again
 
 
+def test_rows_that_share_an_id_or_have_none_go_by_their_own_text(spark, planted, tmp_path):
+    _, texts = planted
+    r = random.Random(23)
+    items = [prose(r, 40)]
+    spark.createDataFrame([(0, items[0])], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    good = {k: texts[k] for k in range(100)}
+    rows = list(good.items())
+    other = [prose(r, 150) for _ in range(6)]
+    rows += [(None, other[0]), (None, other[1]), (None, "### " * 100), (None, texts[40]), (5, other[2]), (6, "### " * 100), (7, other[3] + " " + items[0] + " " + prose(r, 60)), (None, other[4] + " " + items[0] + " " + prose(r, 60)), (8, other[5]), (8, other[5]), (200, other[5])]
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(5)
+    seen = []
+    for _, stage in corpus_pipeline.STAGES[:3]:
+        docs = corpus_pipeline.cut_lineage(stage(spark, docs, str(tmp_path)))
+        seen.append(sorted(((x["doc_id"], x["text"]) for x in docs.collect()), key=lambda t: (t[0] is None, t[0] or 0, t[1])))
+    rank = lambda t: (t[0] is None, t[0] or 0, t[1])
+    kept = sorted((x for x in rows if not x[1].startswith("###")), key=rank)
+    single = [x for x in kept if x != (None, texts[40]) and x != (200, other[5])]
+    single.remove((8, other[5]))
+    assert seen == [kept, single, [x for x in single if items[0] not in x[1]]]
+
+
 def test_registered_queries():
     from __spark_entry__ import queries
 
