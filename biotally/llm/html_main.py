@@ -19,6 +19,7 @@ from biotally.llm.words import id_column, text_column
 
 WINDOW = 3  # lines to a block of the distribution; a gap is as long
 SURGE = 0.05  # of the page's largest block: where a run of lines counts as text
+ENOUGH = 60  # characters of a block that count as text on any page, however large its largest block
 
 _RAW = "script|style|noscript|template|textarea|svg|math|iframe|object|canvas|title|select|xmp"
 _TAG = re.compile(
@@ -34,14 +35,16 @@ _NAMED = re.compile(
     re.I,
 )
 _HEADER = frozenset(("header",))
+_HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 
-def _lines(page: str) -> tuple[list[str], list[bool]]:
-    """The lines of a page, gaps as empty ones, and whether each lies in a marked article."""
+def _lines(page: str) -> tuple[list[str], list[bool], list[bool]]:
+    """The lines of a page, gaps as empty ones, and whether each lies in a marked article and is a heading."""
     lines: list[str] = []
     inside: list[bool] = []
+    headings: list[bool] = []
     piece: list[str] = []
-    skip, depth, marked, at = "", 0, 0, 0
+    skip, depth, marked, at, heading = "", 0, 0, 0, False
 
     def close(gap: bool = False) -> None:
         text = " ".join(html.unescape("".join(piece)).split())
@@ -49,9 +52,11 @@ def _lines(page: str) -> tuple[list[str], list[bool]]:
         if text:
             lines.append(text)
             inside.append(marked > 0)
+            headings.append(heading)
         if gap:
             lines.extend([""] * WINDOW)
             inside.extend([marked > 0] * WINDOW)
+            headings.extend([False] * WINDOW)
 
     for m in _TAG.finditer(page):
         if not skip and m.start() > at:
@@ -71,22 +76,24 @@ def _lines(page: str) -> tuple[list[str], list[bool]]:
                 continue
         if not ends and name not in _VOID and (name in _SKIP or (name in _HEADER and not marked) or (name not in ("body", "html", "main") and attributes and _NAMED.search(attributes))):
             close(gap=True)
-            skip, depth = name, 1
+            skip, depth, heading = name, 1, False
         elif name in _MARKED:
             close(gap=True)
             marked = max(0, marked + (-1 if ends else 1))
         elif name not in _INLINE:
             close()
+            heading = not ends and name in _HEADING
     if not skip and at < len(page):
         piece.append(page[at:])
     close()
-    return lines, inside
+    return lines, inside, headings
 
 
 def main_text(page: str | None) -> str:
     """The kept lines of a page, joined by line feeds; empty where it has none."""
-    lines, inside = _lines(page or "")
-    if any(t and i for t, i in zip(lines, inside, strict=True)):
+    lines, inside, headings = _lines(page or "")
+    article = any(t and i for t, i in zip(lines, inside, strict=True))
+    if article:
         lines = [t if i else "" for t, i in zip(lines, inside, strict=True)]
     sizes = [len(t) for t in lines]
     run, blocks = sum(sizes[: WINDOW - 1]), []
@@ -94,15 +101,23 @@ def main_text(page: str | None) -> str:
         run += sizes[i + WINDOW - 1] if i + WINDOW - 1 < len(sizes) else 0
         blocks.append(run)
         run -= n
-    least = SURGE * max(blocks, default=0)
-    kept: list[str] = []
+    least = 0 if article else min(SURGE * max(blocks, default=0), ENOUGH)
+    runs: list[tuple[int, int]] = []
     begin = 0
     for i in range(len(blocks) + 1):
         if i == len(blocks) or blocks[i] == 0:  # a dive: the run up to here has ended
-            if begin < i and max(blocks[begin:i]) >= least:
-                kept.extend(t for t in lines[begin:i] if t)
+            if begin < i:
+                runs.append((begin, i))
             begin = i + 1
-    return "\n".join(kept)
+    text = [k for k, (a, z) in enumerate(runs) if max(blocks[a:z]) >= least]
+    if not text:
+        return ""
+    first, last = text[0], text[-1]  # short runs between two kept ones stay
+    while first > 0 and any(headings[slice(*runs[first - 1])]):
+        first -= 1
+    while last + 1 < len(runs) and any(headings[slice(*runs[last + 1])]):
+        last += 1
+    return "\n".join(t for a, z in runs[first : last + 1] for t in lines[a:z] if t)
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -321,6 +321,21 @@ def test_main_text():
     assert html_main.main_text(long).count("\n") == 20000
 
 
+def test_main_text_keeps_short_runs_of_long_pages():
+    long = "<p>" + "word " * 100 + "</p>"
+    share, advert = "<div class='share'>Share</div>", "<div class='ad'>Buy</div>"
+    title, end = "A heading of some forty characters or so", "closing " * 35
+    body = [("word " * 100).strip()] * 3
+    for opened, closed in (("<article>", "</article>"), ("<div>", "</div>")):
+        page = f"{opened}<h1>{title}</h1>{share}{long * 3}{closed}"
+        assert html_main.main_text(page).split("\n") == [title, *body]
+        page = f"{opened}<p>{'word ' * 1400}</p>{advert}<p>{end}</p>{closed}"
+        assert html_main.main_text(page).split("\n") == [("word " * 1400).strip(), end.strip()]
+        page = f"{opened}{long * 3}{advert}<p>Short.</p>{advert}{long * 3}{closed}"
+        assert html_main.main_text(page).split("\n") == [*body, "Short.", *body]
+    assert html_main.main_text(f"<article>{long * 3}{advert}<p>End.</p></article>").split("\n") == [*body, "End."]
+
+
 def test_extract_rows(spark):
     rows = [(1, "u", "<p>a b</p>", "t", 3), (1, "u", "<p>a b</p>", "t", 3), (None, None, None, None, None)]
     got = rows_of(html_main.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars int")), "page_id", "url", "text", "n_chars")
