@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from biotally.llm.centroids import CLUSTERS, ROUNDS, cluster
 from biotally.llm.chat import prefix_forest, probe_turns, read_back
 from biotally.llm.decontam import find_leaks
 from biotally.llm.html_main import extract
@@ -16,6 +18,8 @@ from biotally.llm.quality_model import grade_documents
 from biotally.llm.quality_rules import quality_rules
 from biotally.llm.simhash import simhash_components
 from biotally.llm.toxicity import score_toxicity
+from biotally.llm.vector_dedup import vector_components
+from biotally.llm.whitening import whiten
 from biotally.llm.words import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -135,3 +139,65 @@ def op3_skip_chain_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op4_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op11_small_world_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_components(read_table(spark, sf_dir, "embeddings"))
+
+
+# Every two vectors of a label, and all that links reach.
+ORACLES["op11_small_world_near_duplicates"] = """
+with recursive usable as (
+  select vec_id, label, cast(embedding as double[]) as v from embeddings
+  where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0
+    and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+pairs as (
+  select a.vec_id as a, b.vec_id as b from usable a join usable b on a.label = b.label and a.vec_id < b.vec_id and len(a.v) = len(b.v)
+  where list_cosine_similarity(a.v, b.v) >= 0.93),
+links as (select a, b from pairs union all select b, a from pairs),
+reach as (select vec_id as a, vec_id as b from embeddings union select r.a, l.b from reach r join links l on r.b = l.a),
+least as (select a, min(b) as component_id from reach group by a),
+degree as (select a, count(*) as n from links group by a)
+select vec_id, coalesce(n, 0) as n_links, component_id, vec_id = component_id as kept
+from embeddings join least on vec_id = least.a left join degree on vec_id = degree.a
+"""
+
+
+@query
+def op12_bit_sliced_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = whiten(read_table(spark, sf_dir, "embeddings"))
+    return rows.withColumn("deviation", F.expr("try_cast(deviation as long)"))
+
+
+@query
+def op13_orchard_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster(read_table(spark, sf_dir, "embeddings"))
+
+
+def _lloyd_sql() -> str:
+    """Every vector against every centroid, round by round."""
+    far = "list_sum(list_transform(list_zip(k.x, c.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+    nearest = f"select k.vec_id, k.x, c.cluster, {far} as distance from kept k cross join {{0}} c qualify row_number() over (partition by k.vec_id order by {far}, c.cluster) = 1"
+    out = [
+        "with kept as (select vec_id, list_transform(embedding, lambda v: cast(floor(64 * cast(v as double)) as bigint)) as x from embeddings"
+        " where len(embedding) = 64 and len(list_filter(embedding, lambda v: v is null or isnan(v) or isinf(v))) = 0)",
+        f"c0 as (select row_number() over (order by sha256('1:' || vec_id)) - 1 as cluster, x from kept order by sha256('1:' || vec_id) limit {CLUSTERS})",
+    ]
+    for r in range(ROUNDS):
+        out.append(f"a{r} as ({nearest.format(f'c{r}')})")
+        out.append(f"u{r} as (select cluster, unnest(x) as v, generate_subscripts(x, 1) as i from a{r})")
+        out.append(f"m{r} as (select cluster, i, cast((sum(v) - ((sum(v) % count(*)) + count(*)) % count(*)) // count(*) as bigint) as v from u{r} group by cluster, i)")
+        out.append(f"n{r} as (select cluster, list(v order by i) as x from m{r} group by cluster)")
+        out.append(f"c{r + 1} as (select c{r}.cluster, coalesce(n{r}.x, c{r}.x) as x from c{r} left join n{r} on c{r}.cluster = n{r}.cluster)")
+    out.append(f"final as ({nearest.format(f'c{ROUNDS}')})")
+    return (
+        ",\n".join(out)
+        + f"""
+select f.vec_id, cast(f.cluster as integer) as cluster, cast(f.distance as bigint) as distance, cast(sum(f.distance) over (partition by f.cluster) as bigint) as cluster_inertia,
+  cast(sum(f.distance) over () as bigint) as inertia, sha256(array_to_string(c.x, ',')) as centroid_sha256
+from final f join c{ROUNDS} c on f.cluster = c.cluster"""
+    )
+
+
+ORACLES["op13_orchard_clusters"] = _lloyd_sql()
