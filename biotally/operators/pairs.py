@@ -43,6 +43,40 @@ def substitution_counts(a: Column, b: Column) -> dict[str, Column]:
     }
 
 
+def encode_letters(seq: Column) -> Column:
+    """Sites packed 60 to a long: the five bits of a letter's place in the alphabet, and ``ok`` where there is one to compare.
+
+    Gaps and X are no letters to compare; every other letter is one, so twenty residues and the ambiguous ones differ alike.
+    """
+    chunks = F.regexp_extract_all(F.upper(seq), F.lit(f"(.{{1,{_SITES}}})"), F.lit(1))
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+    def bits(chunk: Column, ones: str) -> Column:
+        marked = F.translate(chunk, letters + "-", "".join("1" if x in ones else "0" for x in letters) + "0")
+        return F.conv(F.rpad(F.regexp_replace(marked, "[^01]", "0"), _SITES, "0"), 2, 10).cast("bigint")
+
+    planes = ["".join(x for i, x in enumerate(letters, 1) if i >> k & 1) for k in range(5)]
+    return F.transform(chunks, lambda c: F.struct(*[bits(c, ones).alias(f"p{k}") for k, ones in enumerate(planes)], bits(c, letters.replace("X", "")).alias("ok")))
+
+
+def residue_counts(a: Column, b: Column) -> dict[str, Column]:
+    """valid sites and mismatches of two sequences encoded by `encode_letters`, over their common length."""
+    n = F.least(F.size(a), F.size(b))
+
+    def count(fn) -> Column:
+        return F.aggregate(F.zip_with(F.slice(a, 1, n), F.slice(b, 1, n), fn), F.lit(0), lambda acc, x: acc + x)
+
+    both = lambda x, y: x["ok"].bitwiseAND(y["ok"])
+
+    def differ(x: Column, y: Column) -> Column:
+        out = x["p0"].bitwiseXOR(y["p0"])
+        for k in range(1, 5):
+            out = out.bitwiseOR(x[f"p{k}"].bitwiseXOR(y[f"p{k}"]))
+        return out
+
+    return {"valid": count(lambda x, y: F.bit_count(both(x, y))), "mismatches": count(lambda x, y: F.bit_count(both(x, y).bitwiseAND(differ(x, y))))}
+
+
 def cluster_pairs(rows: DataFrame, cluster: str, key: str, payload: list[str], block_rows: int = 256) -> DataFrame:
     """Every unordered pair inside a cluster, as columns ``a``, ``b`` (a < b) and ``a_<payload>``, ``b_<payload>``.
 
@@ -91,19 +125,30 @@ def p_distance(valid: Column, transitions: Column, transversions: Column) -> Col
     return F.when(valid == 0, 1.0).otherwise((transitions + transversions) / F.nullif(valid, F.lit(0)))
 
 
+def protein_distances(proteins: DataFrame, cluster: str = "cluster", key: str = "protein_id", min_length: int = 0) -> DataFrame:
+    """valid, matches, mismatches and the share of mismatches ``d`` of all pairs in each cluster; 1 without a valid site."""
+    rows = spread(proteins.filter(F.length("seq") >= min_length).select(cluster, key, "seq"), key).select(cluster, key, encode_letters(F.col("seq")).alias("planes"))
+    pairs = cluster_pairs(rows, cluster, key, ["planes"])
+    counts = residue_counts(F.col("a_planes"), F.col("b_planes"))
+    out = pairs.select(cluster, "a", "b", *[c.alias(n) for n, c in counts.items()])
+    share = F.when(F.col("valid") == 0, 1.0).otherwise(F.col("mismatches") / F.nullif(F.col("valid"), F.lit(0)))
+    return out.select("*", (F.col("valid") - F.col("mismatches")).alias("matches"), F.round(share, 9).alias("d"))
+
+
 def pair_distances(
-    isolates: DataFrame, cluster: str = "cluster", key: str = "isolate_id", min_length: int = 10, carry: tuple[str, ...] = ()
+    isolates: DataFrame, cluster: str = "cluster", key: str = "isolate_id", min_length: int = 10, carry: tuple[str, ...] = (), each: tuple[str, ...] = ()
 ) -> DataFrame:
     """Counts and distances of all pairs in each cluster; sequences travel as packed bit planes (less than half their size).
 
     ``carry`` names columns that are the same for a whole cluster; they ride with the isolates, so that pairs need no
-    join afterwards.
+    join afterwards. ``each`` names columns of the isolates that a pair keeps of both, as a_<name> and b_<name>.
     """
-    long_enough = isolates.filter(F.length("seq") >= min_length).select(cluster, key, "seq", *carry)
-    rows = spread(long_enough, key).select(cluster, key, encode_planes(F.col("seq")).alias("planes"), *carry)
-    pairs = cluster_pairs(rows, cluster, key, ["planes", *carry])
+    long_enough = isolates.filter(F.length("seq") >= min_length).select(cluster, key, "seq", *carry, *each)
+    rows = spread(long_enough, key).select(cluster, key, encode_planes(F.col("seq")).alias("planes"), *carry, *each)
+    pairs = cluster_pairs(rows, cluster, key, ["planes", *carry, *each])
     counts = substitution_counts(F.col("a_planes"), F.col("b_planes"))
-    out = pairs.select(cluster, "a", "b", *[c.alias(n) for n, c in counts.items()], *[F.col(f"a_{c}").alias(c) for c in carry])
+    both = [f"{side}_{c}" for c in each for side in "ab"]
+    out = pairs.select(cluster, "a", "b", *[c.alias(n) for n, c in counts.items()], *[F.col(f"a_{c}").alias(c) for c in carry], *both)
     v, ts, tv = F.col("valid"), F.col("transitions"), F.col("transversions")
     return out.select(
         "*", (v - ts - tv).alias("matches"), F.round(k2p_distance(v, ts, tv), 9).alias("d"), p_distance(v, ts, tv).alias("p")

@@ -59,7 +59,8 @@ def job(name: str, oracle: str | None = None, uses: str = "") -> Callable[[Job],
             body = oracle.strip()
             if ctes:
                 joined = ",\n".join(ctes)
-                body = f"with {joined},\n{body[5:]}" if body.lower().startswith("with ") else f"with {joined}\n{body}"
+                start = next((w for w in ("with recursive ", "with ") if body.lower().startswith(w)), "")
+                body = f"{start or 'with '}{joined}{',' if start else ''}\n{body[len(start):]}"
             RAW_ORACLES[name] = body
             rounded = ", ".join(_significant_sql(c) for c in FLOAT_COLUMNS.get(name, ()))
             ORACLES[name] = f"select * replace ({rounded}) from ({body}) as result" if rounded else body

@@ -30,6 +30,8 @@ FLOAT_COLUMNS = {'adjacent_naturalness': ('naturalness',),
  'clamp_and_round': ('clamped', 'two_digits'),
  'classify_wells': ('sensitivity', 'specificity'),
  'clock_rate_join': ('rate',),
+ 'cluster_tree_neighbor_joining': ('max_depth',),
+ 'cluster_tree_upgma': ('max_depth',),
  'codon_adapt': ('gc_before', 'gc_after', 'cai'),
  'codon_usage': ('fraction',),
  'combined_binding': ('anchor', 'similarity', 'combined', 'rank_proxy', 'confidence'),
@@ -45,10 +47,10 @@ FLOAT_COLUMNS = {'adjacent_naturalness': ('naturalness',),
  'emax_curve': ('top', 'mean_effect', 'first_effect'),
  'exposure_report': ('cmax', 'tmax', 'clast', 'auc', 't_above_mic', 'auc_mic', 'cmax_mic', 'pd_index'),
  'exposure_stream': ('t', 'amount'),
+ 'find_guides': ('gc', 'combined', 'hairpin'),
  'find_orfs': ('gc',),
  'gc_content': ('gc',),
  'guide_candidates': ('gc',),
- 'find_guides': ('gc', 'combined', 'hairpin'),
  'guide_specificity': ('combined',),
  'identify_sequences': ('identity', 'coverage'),
  'ligand_score': ('tanimoto', 'likeness', 'affinity'),
@@ -59,7 +61,8 @@ FLOAT_COLUMNS = {'adjacent_naturalness': ('naturalness',),
  'mispriming_hits': ('match_percent',),
  'nca_metrics': ('cmax', 'tmax', 'clast', 'auc'),
  'nearest_pair': ('d',),
- 'outbreak_report': ('rate', 'tmrca', 'closest_d', 'closest_identity', 'closest_years'),
+ 'outbreak_pairs': ('d', 'identity', 'years'),
+ 'outbreak_report': ('rate', 'tmrca', 'closest_d', 'closest_identity', 'closest_years', 'tree_depth'),
  'pair_distances': ('k2p', 'p_distance', 'identity'),
  'panel_to_rows': ('value',),
  'pd_index': ('auc_mic', 'cmax_mic', 't_above_mic'),
@@ -72,6 +75,9 @@ FLOAT_COLUMNS = {'adjacent_naturalness': ('naturalness',),
  'predict_b_epitopes': ('hydro', 'flex', 'surf', 'turn'),
  'preferred_codon': ('fraction',),
  'primer_candidates': ('tm', 'gc', 'hairpin', 'self_dimer', 'three_prime'),
+ 'protein_distances': ('p_distance', 'identity'),
+ 'protein_tree_neighbor_joining': ('max_depth',),
+ 'protein_tree_upgma': ('max_depth',),
  'q_criterion': ('q',),
  'read_hit_xml': ('identity', 'coverage', 'evalue', 'bit_score'),
  'read_pdb_confidence': ('plddt',),
@@ -94,6 +100,7 @@ FLOAT_COLUMNS = {'adjacent_naturalness': ('naturalness',),
  'top_mispriming_hits': ('match_percent',),
  'top_residues': ('propensity',),
  'trapezoid': ('auc',),
+ 'tree_depths': ('depth',),
  'tree_first_merge': ('height',),
  'validate_diagnosis': ('probability',),
  'validate_drug_analysis': ('confidence',),

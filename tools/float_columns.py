@@ -1,6 +1,6 @@
 """Write biotally/registry/float_columns.py: the double columns of every registered query that has an oracle.
 
-Both sides round these columns to six decimals, so that equal results are equal values.
+Both sides give these columns nine significant digits, so that equal results are equal values.
 usage: python tools/float_columns.py [--sf DIR]
 """
 
