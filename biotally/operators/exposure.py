@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from biotally.reference_tables import DOSE_COLUMNS, DOSE_RATES, PK_COLUMNS, PK_PROFILES, fixed_table
+from biotally.session import cut_lineage
 
 
 def dose_table(spark: SparkSession) -> DataFrame:
@@ -115,6 +116,49 @@ def dose_superposition(doses: DataFrame, samples: DataFrame, profile: dict, key:
     return slow.join(fast, [key, "sample_id"]).select(key, "sample_id", "t", ((F.col("amount") - F.col("fast")) * k).alias("conc"))
 
 
+def _terms() -> Column:
+    """The exponentials of a profile's concentration: rate, its share of the plain sum and of the sum weighted by age."""
+    c = F.col
+    scale = c("bioavailability") / c("volume")
+    gain = scale * c("ka") / F.nullif(c("ka") - c("ke"), F.lit(0.0))
+    term = lambda rate, plain, aged: F.struct(rate.cast("double").alias("rate"), plain.cast("double").alias("plain"), aged.cast("double").alias("aged"))
+    zero = F.lit(0.0)
+    bolus = F.array(term(c("ke"), scale, zero))
+    equal = F.array(term(c("ke"), zero, scale * c("ka")))
+    return F.when(c("route") == "IV", bolus).when(c("ka") == c("ke"), equal).otherwise(F.array(term(c("ke"), gain, zero), term(c("ka"), -gain, zero)))
+
+
+def own_superposition(doses: DataFrame, samples: DataFrame, profiles: DataFrame, key: str = "subject") -> DataFrame:
+    """Concentration at each sample from all earlier doses, each subject by its own profile, a row a subject of ``profiles``.
+
+    As `decayed_sums`, with rates and so spans that come from the row: a subject's time is cut into spans of 300 / rate,
+    one cut for each exponential of its profile. Equal rates need the sum of dose * age * exp(-rate * age) too, which is
+    carried over the spans beside the plain one. Subjects without a profile or with rates of zero or less are left out.
+    """
+    terms = profiles.select(key, F.posexplode(_terms()).alias("term", "x")).select(key, "term", "x.*").filter("rate > 0")
+    events = doses.select(key, "t", "dose", F.lit(None).cast("bigint").alias("sample_id"), F.lit(0).alias("is_sample")).unionByName(
+        samples.select(key, "t", F.lit(0.0).alias("dose"), F.col("sample_id").cast("bigint").alias("sample_id"), F.lit(1).alias("is_sample"))
+    )
+    wide = F.lit(300.0) / F.col("rate")
+    e = events.join(terms, key).withColumn("span", F.floor(F.col("t") / wide)).withColumn("offset", F.col("t") - F.col("span") * wide)
+    run = Window.partitionBy(key, "term", "span").orderBy("t", "is_sample").rowsBetween(Window.unboundedPreceding, 0)
+    grown = F.col("dose") * F.exp(F.col("offset") * F.col("rate"))
+    inside = e.withColumn("run", F.sum(grown).over(run)).withColumn("run_aged", F.sum(grown * F.col("offset")).over(run)).filter("is_sample = 1")
+    left = wide - F.col("offset")
+    faded = F.col("dose") * F.exp(-left * F.col("rate"))
+    totals = e.filter("is_sample = 0").groupBy(key, "term", "span").agg(F.sum(faded).alias("total"), F.sum(faded * left).alias("total_aged"), F.first("rate").alias("rate"))
+    ahead = totals.select(key, "term", "span", "total", "total_aged", wide.alias("wide"), F.explode(F.array(*[F.lit(i) for i in (1, 2, 3)])).alias("ahead"))
+    decay = F.exp((F.col("ahead") - 1) * (-300.0))
+    carried = ahead.groupBy(key, "term", (F.col("span") + F.col("ahead")).alias("span")).agg(
+        F.sum(F.col("total") * decay).alias("carry"), F.sum((F.col("total_aged") + (F.col("ahead") - 1) * F.col("wide") * F.col("total")) * decay).alias("carry_aged")
+    )
+    held = inside.join(carried, [key, "term", "span"], "left").na.fill(0.0, ["carry", "carry_aged"])
+    now = F.exp(F.col("offset") * -F.col("rate"))
+    plain = now * (F.col("run") + F.col("carry"))
+    aged = now * (F.col("offset") * (F.col("run") + F.col("carry")) - F.col("run_aged") + F.col("carry_aged"))
+    return held.groupBy(key, "sample_id", "t").agg(F.sum(F.col("plain") * plain + F.col("aged") * aged).alias("conc"))
+
+
 def trapezoid_steps(series: DataFrame, key: str = "subject", order: str = "sample_id", slices: float = 24.0) -> DataFrame:
     """(y_i + y_{i-1}) / 2 * dx per step. Steps inside a time slice come from a window per (key, slice); one more row
     per slice joins the last reading of the slice before, so a hot key is spread over its slices."""
@@ -140,10 +184,11 @@ def nca_metrics(series: DataFrame, key: str = "subject", order: str = "sample_id
     return m.join(area, key, "left").na.fill(0.0, ["auc"])
 
 
-def pd_index(series: DataFrame, metrics: DataFrame, mic: float, key: str = "subject") -> DataFrame:
-    """AUC/MIC, peak/MIC and percent of readings at or above the MIC."""
-    above = series.groupBy(key).agg((F.avg((F.col("conc") >= mic).cast("int")) * 100).alias("t_above_mic"))
-    return metrics.join(above, key).withColumn("auc_mic", F.col("auc") / mic).withColumn("cmax_mic", F.col("cmax") / mic)
+def pd_index(series: DataFrame, metrics: DataFrame, mic: float | None, key: str = "subject") -> DataFrame:
+    """AUC/MIC, peak/MIC and percent of readings at or above the MIC; ``mic`` is one value or, if None, a column of both."""
+    limit = F.col("mic") if mic is None else F.lit(mic)
+    above = series.groupBy(key).agg((F.avg((F.col("conc") >= limit).cast("int")) * 100).alias("t_above_mic"))
+    return metrics.join(above, key).withColumn("auc_mic", F.col("auc") / limit).withColumn("cmax_mic", F.col("cmax") / limit)
 
 
 def bin_pd_target(index: Column, kind: Column) -> Column:
@@ -151,6 +196,17 @@ def bin_pd_target(index: Column, kind: Column) -> Column:
     return F.when(kind == "auc_mic", cut(125, 40)).when(kind == "cmax_mic", cut(10, 4)).when(kind == "t_above_mic", cut(80, 40))
 
 
+def own_exposure_report(doses: DataFrame, samples: DataFrame, profiles: DataFrame, key: str = "subject") -> DataFrame:
+    """Exposure metrics, index and response of each subject by its own profile (a row a subject: key and PK columns)."""
+    profiles = profiles.select(key, *PK_COLUMNS)
+    series = cut_lineage(own_superposition(doses, samples, profiles, key).join(profiles.select(key, "mic"), key))
+    metrics = nca_metrics(series, key).join(profiles.select(key, "drug", "species", "mic", "target_type", "target"), key)
+    out = pd_index(series, metrics, None, key)
+    kind = F.col("target_type")
+    index = F.when(kind == "auc_mic", F.col("auc_mic")).when(kind == "cmax_mic", F.col("cmax_mic")).when(kind == "t_above_mic", F.col("t_above_mic"))
+    return out.withColumn("pd_index", index).withColumn("attained", index >= F.col("target")).withColumn("response", bin_pd_target(index, kind))
+
+
 def exposure_report(doses: DataFrame, samples: DataFrame, profile: dict, key: str = "subject") -> DataFrame:
     series = dose_superposition(doses, samples, profile, key)
     out = pd_index(series, nca_metrics(series, key), profile["mic"], key)

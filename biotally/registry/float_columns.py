@@ -45,7 +45,8 @@ FLOAT_COLUMNS = {'adjacent_naturalness': ('naturalness',),
  'dose_superposition_iv': ('t', 'conc'),
  'dose_superposition_oral': ('t', 'conc'),
  'emax_curve': ('top', 'mean_effect', 'first_effect'),
- 'exposure_report': ('cmax', 'tmax', 'clast', 'auc', 't_above_mic', 'auc_mic', 'cmax_mic', 'pd_index'),
+ 'exposure_report': ('cmax', 'tmax', 'clast', 'auc', 'mic', 'target', 't_above_mic', 'auc_mic', 'cmax_mic', 'pd_index'),
+ 'exposure_report_one_drug': ('cmax', 'tmax', 'clast', 'auc', 't_above_mic', 'auc_mic', 'cmax_mic', 'pd_index'),
  'exposure_stream': ('t', 'amount'),
  'find_guides': ('gc', 'combined', 'hairpin'),
  'find_orfs': ('gc',),
@@ -63,6 +64,7 @@ FLOAT_COLUMNS = {'adjacent_naturalness': ('naturalness',),
  'nearest_pair': ('d',),
  'outbreak_pairs': ('d', 'identity', 'years'),
  'outbreak_report': ('rate', 'tmrca', 'closest_d', 'closest_identity', 'closest_years', 'tree_depth'),
+ 'own_superposition': ('t', 'conc'),
  'pair_distances': ('k2p', 'p_distance', 'identity'),
  'panel_to_rows': ('value',),
  'pd_index': ('auc_mic', 'cmax_mic', 't_above_mic'),

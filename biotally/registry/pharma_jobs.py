@@ -163,11 +163,52 @@ def pd_index(spark, sf):
     return p.select("subject", "auc_mic", "cmax_mic", "t_above_mic", r("auc_mic").alias("auc_response"), r("cmax_mic").alias("cmax_response"), r("t_above_mic").alias("time_response"))
 
 
+# Subjects take the profiles in turn, and a last one whose absorption is as fast as its elimination.
+_OWN = [(i, *r) for i, r in enumerate(PK_PROFILES)] + [(len(PK_PROFILES), *PK_PROFILES[3][:4], PK_PROFILES[3][5], *PK_PROFILES[3][5:])]
+_OWN_PK = "pk as (select * from " + sql_values("q", ("profile_id", *PK_COLUMNS), _OWN) + ")"
+_OWN_SERIES = f"""{_OWN_PK}, of as (select distinct subject, pk.* from samples join pk on pk.profile_id = subject % {len(_OWN)}),
+se as materialized (select s.subject, s.event_id as sample_id, s.t, any_value(mic) as mic, coalesce(sum(d.dose * bioavailability / volume * case when route = 'IV' then exp(-ke * (s.t - d.t))
+    when ka = ke then ka * (s.t - d.t) * exp(-ke * (s.t - d.t)) else ka / (ka - ke) * (exp(-ke * (s.t - d.t)) - exp(-ka * (s.t - d.t))) end), 0) as conc
+  from samples s join of on s.subject = of.subject left join doses d on d.subject = s.subject and d.t <= s.t group by 1, 2, 3)"""
+
+
+def _own_profiles(samples):
+    """The profile of every subject that has samples."""
+    subjects = samples.select("subject").distinct().withColumn("profile_id", (F.col("subject") % len(_OWN)).cast("int"))
+    return subjects.join(F.broadcast(_fixed_profiles(samples.sparkSession)), "profile_id")  # seven rows
+
+
+def _fixed_profiles(spark):
+    from biotally.reference_tables import fixed_table
+
+    return fixed_table(spark, ("profile_id", *PK_COLUMNS), _OWN)
+
+
+@job("own_superposition", f"with {_OWN_SERIES} select subject, sample_id, t, conc from se", "doses samples")
+def own_superposition(spark, sf):
+    doses, samples = _logs(spark, sf)
+    return x.own_superposition(doses, samples, _own_profiles(samples))
+
+
 @job(
     "exposure_report",
+    f"""with {_OWN_SERIES}, {_nca('se')}, ab as (select subject, avg((conc >= mic)::int) * 100 as t_above_mic from se group by 1),
+    pd as (select nca.*, drug, species, of.mic, target_type, target, t_above_mic, auc / of.mic as auc_mic, cmax / of.mic as cmax_mic from nca join of using (subject) join ab using (subject)),
+    ix as (select *, case target_type when 'auc_mic' then auc_mic when 'cmax_mic' then cmax_mic else t_above_mic end as pd_index from pd)
+    select *, pd_index >= target as attained, case target_type when 'auc_mic' then {_bin('pd_index', 'auc_mic')} when 'cmax_mic' then {_bin('pd_index', 'cmax_mic')} else {_bin('pd_index', 't_above_mic')} end as response from ix""",
+    "doses samples",
+)
+def exposure_report(spark, sf):
+    """Every subject by its own profile."""
+    doses, samples = _logs(spark, sf)
+    return x.own_exposure_report(doses, samples, _own_profiles(samples))
+
+
+@job(
+    "exposure_report_one_drug",
     f"""with {_series_sql(IV, 'se')}, {_nca('se')} select subject, readings, cmax, tmax, clast, auc, tm as t_above_mic, auc / 2.0::double as auc_mic, cmax / 2.0::double as cmax_mic, cmax / 2.0::double as pd_index, cmax / 2.0::double >= 10 as attained,
     {_bin('cmax / 2.0::double', 'cmax_mic')} as response from nca join (select subject, avg((conc >= 2)::int) * 100 as tm from se group by 1) using (subject)""",
     "doses samples",
 )
-def exposure_report(spark, sf):
+def exposure_report_one_drug(spark, sf):
     return x.exposure_report(*_logs(spark, sf), IV)

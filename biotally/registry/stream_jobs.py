@@ -45,7 +45,9 @@ def plate_stream(spark, sf):
 
 @job(
     "exposure_stream",
-    f"select s.subject, s.event_id as sample_id, s.t, coalesce(sum(d.dose * exp(-{IV['ke']}::double * (s.t - d.t))), 0) as amount from samples s left join doses d on d.subject = s.subject and d.t <= s.t group by 1, 2, 3",
+    # Samples that the watermark, a day behind the latest row, has passed (in milliseconds).
+    f"""select s.subject, s.event_id as sample_id, s.t, coalesce(sum(d.dose * exp(-{IV['ke']}::double * (s.t - d.t))), 0) as amount from samples s left join doses d on d.subject = s.subject and d.t <= s.t
+    where s.event_id in (select event_id from events where epoch_us(ts) // 1000 <= (select max(epoch_us(ts)) // 1000 - 86400000 from events where event_type in ('purchase', 'click'))) group by 1, 2, 3""",
     "samples doses",
 )
 def exposure_stream(spark, sf):

@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 from biotally.session import checkpoint_folder
 
@@ -44,35 +44,72 @@ def plate_stream(wells: DataFrame, window: str = "1 day", delay: str = "1 day")
     )
 
 
-def exposure_stream(log: DataFrame, rate: float, delay: str = "1 day", idle_hours: float = 24.0 * 30) -> DataFrame:
-    """Body amount of each subject at its sampling times: the state is (time, amount) and decays between rows.
+class _Exposure(StatefulProcessor):
+    """Rows of a subject wait until the watermark has passed them, then count in order of time.
 
-    ``log`` holds (subject, ts, t, event_id, dose, is_sample). Rows of a trigger are taken in time order; the state of
-    a subject without rows for ``idle_hours`` of event time is dropped.
+    A waiting row lies in the state store under its millisecond, with a timer for it; timers of a subject fire in order
+    of time, each with the few rows of one millisecond. What has been counted is (time, amount) only.
     """
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = pd.concat(list(batches)).sort_values(["t", "is_sample", "event_id"])
-        last, amount = state.get if state.exists else (float(rows["t"].iloc[0]), 0.0)
+    def __init__(self, rate: float, idle_ms: int) -> None:
+        self.rate, self.idle_ms = rate, idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.body = handle.getValueState("body", "last double, amount double, seen_ms long")
+        self.waiting = handle.getMapState("waiting", "ms long", "t array<double>, dose array<double>, is_sample array<boolean>, event_id array<long>")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        for batch in rows:
+            ms = batch["ts"].astype("datetime64[us]").astype("int64") // 1000
+            for at, group in batch.groupby(ms.to_numpy(), sort=False):
+                at = int(at)
+                held = self.waiting.getValue((at,)) if self.waiting.containsKey((at,)) else ([], [], [], [])
+                if not held[0]:
+                    self.handle.registerTimer(at)
+                self.waiting.updateValue((at,), tuple([*old, *group[c].tolist()] for old, c in zip(held, ("t", "dose", "is_sample", "event_id"), strict=True)))
+        yield pd.DataFrame()
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        at = expiredTimerInfo.getExpiryTimeInMs()
+        known = self.body.exists()
+        last, amount, seen = self.body.get() if known else (0.0, 0.0, at)
         out = []
-        for t, dose, is_sample, event_id in zip(rows["t"], rows["dose"], rows["is_sample"], rows["event_id"]):
-            amount = amount * math.exp(-rate * max(0.0, t - last)) + dose
-            last = max(last, t)
-            if is_sample:
-                out.append((key[0], event_id, t, amount))
-        state.update((last, amount))
-        state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), int(rows["ts"].max().timestamp() * 1000)) + int(idle_hours * 3600 * 1000))
-        yield pd.DataFrame(out, columns=["subject", "sample_id", "t", "amount"])
+        if self.waiting.containsKey((at,)):
+            t, dose, is_sample, event_id = self.waiting.getValue((at,))
+            self.waiting.removeKey((at,))
+            for now, sampled, event, given in sorted(zip(t, is_sample, event_id, dose, strict=True)):
+                amount = (amount * math.exp(-self.rate * (now - last)) if known else 0.0) + given
+                last, known, seen = now, True, at
+                if sampled:
+                    out.append((key[0], event, now, amount))
+            if not self.body.exists():
+                self.handle.registerTimer(at + self.idle_ms)
+            self.body.update((last, amount, seen))
+        elif known and at >= seen + self.idle_ms:
+            self.body.clear()
+        elif known:
+            self.handle.registerTimer(seen + self.idle_ms)
+        yield pd.DataFrame(out, columns=["subject", "sample_id", "t", "amount"]).astype({"subject": "int64", "sample_id": "int64", "t": "float64", "amount": "float64"})
+
+    def close(self) -> None:
+        pass
+
 
+def exposure_stream(log: DataFrame, rate: float, delay: str = "1 day", idle_hours: float = 24.0 * 30) -> DataFrame:
+    """Body amount of each subject at its sampling times, in order of time whatever the order of arrival.
+
+    ``log`` holds (subject, ts, t, event_id, dose, is_sample), t in hours along with ts. A row waits in keyed state until
+    the watermark, ``delay`` behind the latest row, has passed it; a row later than that is dropped, and counted in the
+    query's ``numRowsDroppedByWatermark``. Samples of the last ``delay`` are still waiting when a stream stops. The state of
+    a subject without rows for ``idle_hours`` of event time is dropped. Sets the session's state store to RocksDB, which
+    keeps waiting rows on disk.
+    """
+    log.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     return (
         log.withWatermark("ts", delay)
         .groupBy("subject")
-        .applyInPandasWithState(
-            step, "subject bigint, sample_id bigint, t double, amount double", "last double, amount double", "append", GroupStateTimeout.EventTimeTimeout
-        )
+        .transformWithStateInPandas(_Exposure(rate, int(idle_hours * 3600 * 1000)), "subject bigint, sample_id bigint, t double, amount double", "append", "EventTime")
     )
 
 

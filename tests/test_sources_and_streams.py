@@ -66,7 +66,8 @@ def test_exposure_state_spans_triggers(spark, tmp_path):
     schema = "subject long, ts timestamp, t double, event_id long, dose double, is_sample boolean"
     row = lambda h, e, d, s: (1, t0 + datetime.timedelta(hours=h), float(h), e, d, s)
     src = str(tmp_path / "in")
-    for rows in ([row(0, 1, 10.0, False), row(2, 2, 0.0, True)], [row(5, 3, 4.0, False), row(6, 4, 0.0, True)]):
+    # The last row lets the watermark, a day behind, pass the others.
+    for rows in ([row(0, 1, 10.0, False), row(2, 2, 0.0, True)], [row(5, 3, 4.0, False), row(6, 4, 0.0, True)], [row(40, 5, 0.0, True)]):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
     files = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
     got = {r.sample_id: r.amount for r in jobs.run_available(jobs.exposure_stream(files, 0.1), "append", ["subject", "sample_id"]).collect()}
