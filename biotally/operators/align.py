@@ -1,11 +1,11 @@
-"""Gapped pair alignment over candidate pairs, and statistics of aligned strings."""
+"""Gapped pair alignment over candidate pairs in bounded memory, and statistics of aligned strings."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,62 +24,105 @@ def _score_table(alphabet: str) -> np.ndarray:
     return table
 
 
-def _fill(a: np.ndarray, b: np.ndarray, table: np.ndarray, gap: int, local: bool) -> np.ndarray:
-    """Score grid row by row. With a linear gap a row is settled at once: a gap run from column k to j costs
-    gap * (j - k), so the best of all starts is a running maximum of (cell - gap * k)."""
-    n = len(b)
+def _next_row(prev: np.ndarray, letter: int, i: int, b: np.ndarray, table: np.ndarray, gap: int, cost: np.ndarray, local: bool) -> np.ndarray:
+    """Scores of row ``i`` from those of the row before. With a linear gap a row is settled at once: a gap run from column
+    k to j costs gap * (j - k), so the best of all starts is a running maximum of (cell - gap * k)."""
+    row = np.empty_like(prev)
+    row[0] = 0 if local else gap * i
+    np.maximum(prev[:-1] + table[letter, b], prev[1:] + gap, out=row[1:])
+    if local:
+        np.maximum(row, 0, out=row)
+    row -= cost
+    np.maximum.accumulate(row, out=row)
+    row += cost
+    return row
+
+
+def _stride(rows: int) -> int:
+    """Rows between two kept ones: the kept rows (4 bytes a cell) and a block's codes (3 bits a cell) then take alike."""
+    return max(1, int(np.sqrt(rows * 32 / 3)))
+
+
+def align_texts(a: np.ndarray, b: np.ndarray, table: np.ndarray, gap: int, local: bool) -> tuple[int, str, str]:
+    """Score and aligned texts of two arrays of letter codes, in memory of about ``sqrt(rows)`` rows of scores.
+
+    The first pass keeps the score and every few rows. The path then goes back from the end (local: the first best cell)
+    block by block: a block's rows are filled once more from the kept row above it, and of each cell only three bits
+    stay, whether a pair or a gap in b leads to its score and whether that is above zero. A pair is preferred, then a
+    gap in b, then a gap in a, so the texts are those of the whole grid.
+    """
+    m, n = len(a), len(b)
     cost = gap * np.arange(n + 1, dtype=np.int32)
-    grid = np.zeros((len(a) + 1, n + 1), dtype=np.int32)
-    if not local:
-        grid[0] = cost
-    for i, letter in enumerate(a, 1):
-        prev, row = grid[i - 1], grid[i]
-        row[0] = 0 if local else gap * i
-        np.maximum(prev[:-1] + table[letter, b], prev[1:] + gap, out=row[1:])
-        if local:
-            np.maximum(row, 0, out=row)
-        np.maximum.accumulate(row - cost, out=row)
-        row += cost
-    return grid
-
-
-def _walk(grid: np.ndarray, a: np.ndarray, b: np.ndarray, table: np.ndarray, gap: int, local: bool) -> tuple[int, str, str]:
-    """Path back from the end (or the first best cell), preferring a pair, then a gap in b, then a gap in a."""
-    i, j = divmod(int(np.argmax(grid)), grid.shape[1]) if local else (len(a), len(b))
-    score, left, right = int(grid[i, j]), [], []
-    while (i > 0 and j > 0 and grid[i, j] > 0) if local else (i > 0 or j > 0):
-        here = grid[i, j]
-        if i > 0 and j > 0 and here == grid[i - 1, j - 1] + table[a[i - 1], b[j - 1]]:
-            i, j = i - 1, j - 1
-            left.append(a[i])
-            right.append(b[j])
-        elif i > 0 and here == grid[i - 1, j] + gap:
-            i -= 1
-            left.append(a[i])
-            right.append(45)
-        else:
-            j -= 1
-            left.append(45)
-            right.append(b[j])
-    text = lambda codes: bytes(bytearray(codes[::-1])).decode("ascii")
-    return score, text(left), text(right)
+    start = np.zeros(n + 1, np.int32) if local else cost.copy()
+    step = _stride(m)
+    kept, row = {0: start}, start
+    best, end_i, end_j = 0, 0, 0
+    for i in range(1, m + 1):
+        row = _next_row(row, a[i - 1], i, b, table, gap, cost, local)
+        if i % step == 0 and i < m:
+            kept[i] = row
+        if local and (top := int(row.max())) > best:
+            best, end_i, end_j = top, i, int(row.argmax())
+    score, i, j = (best, end_i, end_j) if local else (int(row[n]), m, n)
+    left, right = bytearray(), bytearray()
+    while (i > 0 and j > 0) if local else (i > 0 or j > 0):
+        if i == 0:
+            left += b"-" * j
+            right += b[:j][::-1].tobytes()
+            break
+        base = (i - 1) // step * step
+        prev, codes = kept.pop(base)[: j + 1], []
+        short, short_cost = b[:j], cost[: j + 1]
+        for k in range(base + 1, i + 1):
+            here = _next_row(prev, a[k - 1], k, short, table, gap, short_cost, local)
+            paired = np.zeros(j + 1, bool)
+            paired[1:] = here[1:] == prev[:-1] + table[a[k - 1], short]
+            codes.append((np.packbits(paired), np.packbits(here == prev + gap), np.packbits(here > 0)))
+            prev = here
+        at, stopped = base, False
+        while i > at and (j > 0 or not local):
+            pair, down, above = codes[i - at - 1]
+            byte, bit = j >> 3, 128 >> (j & 7)
+            if local and not above[byte] & bit:
+                stopped = True
+                break
+            if pair[byte] & bit:
+                i, j = i - 1, j - 1
+                left.append(a[i])
+                right.append(b[j])
+            elif down[byte] & bit:
+                i -= 1
+                left.append(a[i])
+                right.append(45)
+            else:
+                j -= 1
+                left.append(45)
+                right.append(b[j])
+        if stopped:
+            break
+    return score, left[::-1].decode("ascii"), right[::-1].decode("ascii")
 
 
 def align_pairs(pairs: DataFrame, mode: str = "global", alphabet: str = "dna", gap: int = GAP) -> DataFrame:
     """Score and aligned strings of each pair (pair_id, a, b); pairs are independent and stay in their partitions."""
     local, table = mode == "local", _score_table(alphabet)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for x, y in zip(batch["a"], batch["b"]):
-                a, b = (np.frombuffer(s.upper().encode("ascii", "replace"), dtype=np.uint8) for s in (x, y))
-                out.append(_walk(_fill(a, b, table, gap, local), a, b, table, gap, local))
-            done = pd.DataFrame(out, columns=["score", "aligned_a", "aligned_b"])
-            yield pd.concat([batch[["pair_id"]].reset_index(drop=True), done], axis=1)
+            for k in range(batch.num_rows):
+                a, b = (np.frombuffer((batch.column(c)[k].as_py() or "").upper().encode("ascii", "replace"), dtype=np.uint8) for c in ("a", "b"))
+                done = [pa.array([x]) for x in align_texts(a, b, table, gap, local)]
+                yield pa.RecordBatch.from_arrays([batch.column("pair_id").slice(k, 1), done[0].cast(pa.int32()), *done[1:]], names=["pair_id", "score", "aligned_a", "aligned_b"])
 
     schema = f"pair_id {dict(pairs.dtypes)['pair_id']}, score int, aligned_a string, aligned_b string"
-    return pairs.select("pair_id", "a", "b").mapInPandas(run, schema)
+    return pairs.select("pair_id", "a", "b").mapInArrow(run, schema)
+
+
+def rescored(a: Column, b: Column, alphabet: str = "dna", gap: int = GAP) -> Column:
+    """The score that two aligned strings add up to."""
+    letter = (lambda x, y: substitution_score(x, y)) if alphabet == "protein" else (lambda x, y: F.when(x == y, DNA_MATCH).otherwise(DNA_MISMATCH))
+    column = F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: F.when((x == "-") | (y == "-"), gap).otherwise(letter(x, y)))
+    return F.when(F.length(a) == 0, 0).otherwise(F.aggregate(column, F.lit(0), lambda s, v: s + v.cast("int")))
 
 
 def alignment_stats(a: Column, b: Column, alphabet: str = "protein") -> dict[str, Column]:

@@ -81,17 +81,47 @@ def _pairs(spark, sf):
     return spread(rows, "pair_id")
 
 
-@job("align_pairs_local")
+_LIST = "[" + ", ".join(str(blosum62().get((chr(65 + i), chr(65 + j)), UNKNOWN_PAIR_SCORE)) for i in range(26) for j in range(26)) + "]"
+
+
+def _scores_sql(local: bool) -> str:
+    """Scores of the pairs, a row of the grid of every pair a step; a gap run is a running maximum of (cell + 8 * column)."""
+    cell = f"greatest(lag(v) over w + {_LIST}[(ascii(substr(a, i + 1, 1)) - 65) * 26 + c - 64], v - 8{', 0' if local else ''})"
+    return f"""with recursive {_SEARCH}, pr as materialized (select rk.query_id as pair_id, qs.seq as a, sj.seq as b from rk join qs using (query_id) join sj using (subject_id) where rank = 1),
+dp(pair_id, i, j, c, v, top) using key (pair_id, j) as (
+  select pair_id, 0, cast(j as int), case when j > 0 then ascii(substr(b, j, 1)) end, cast({'0' if local else '-8 * j'} as int), 0 from (select pair_id, b, unnest(range(0, length(b) + 1)) as j from pr)
+  union
+  select pair_id, i + 1, j, c, v, greatest(top, max(v) over (partition by pair_id)) from (
+    select pair_id, i, j, c, top, cast(max(t) over (partition by pair_id order by j) - 8 * j as int) as v from (
+      select pair_id, i, j, c, top, case when j = 0 then {'0' if local else '-8 * (i + 1)'} else {cell} end + 8 * j as t from dp join pr using (pair_id) where i < length(a) window w as (partition by pair_id order by j))))
+select pair_id, cast({'max(top)' if local else 'arg_max(v, j)'} as int) as score"""
+
+
+def _checked(aligned):
+    """The score, and what the aligned texts say: the score they add up to."""
+    return aligned.withColumn("rescored", align.rescored(F.col("aligned_a"), F.col("aligned_b"), "protein"))
+
+
+@job("align_pairs_local", f"{_scores_sql(True)}, cast(max(top) as int) as rescored from dp group by 1")
 def align_pairs_local(spark, sf):
-    return align.align_pairs(_pairs(spark, sf), "local", "protein")
+    return _checked(align.align_pairs(_pairs(spark, sf), "local", "protein")).select("pair_id", "score", "rescored")
 
 
-@job("align_pairs_global")
+@job("align_pairs_global", f"{_scores_sql(False)}, cast(arg_max(v, j) as int) as rescored, any_value(a) as letters_a, any_value(b) as letters_b from dp join pr using (pair_id) group by 1")
 def align_pairs_global(spark, sf):
-    return align.align_pairs(_pairs(spark, sf), "global", "protein")
+    """With the texts that are left without the gaps: those that were aligned."""
+    gapless = [F.regexp_replace(f"aligned_{c}", "-", "").alias(f"letters_{c}") for c in "ab"]
+    return _checked(align.align_pairs(_pairs(spark, sf), "global", "protein")).select("pair_id", "score", "rescored", *gapless)
 
 
-_LIST = "[" + ", ".join(str(blosum62().get((chr(65 + i), chr(65 + j)), UNKNOWN_PAIR_SCORE)) for i in range(26) for j in range(26)) + "]"
+@job("aligned_texts_local")
+def aligned_texts_local(spark, sf):
+    return align.align_pairs(_pairs(spark, sf), "local", "protein")
+
+
+@job("aligned_texts_global")
+def aligned_texts_global(spark, sf):
+    return align.align_pairs(_pairs(spark, sf), "global", "protein")
 
 
 @job(
