@@ -72,15 +72,24 @@ def binding_affinity(score: Column) -> Column:
     return round_half_up(_tidy((-2 - F.ln(1 + score * score / 10) * 0.6) * 10)) / 10
 
 
-def selectivity_index() -> Column:
-    """Baseline 50 with terms for essential targets, target family, activity, size and lipophilicity."""
-    t = _c("target_id")
-    raw = F.lit(50) + _points(
-        (_c("essential"), 20), (F.contains(t, F.lit("fabI")) | F.contains(t, F.lit("3c")), 15), (_c("activity") == "antiviral", 10),
+def compound_selectivity() -> Column:
+    """What a compound adds to the selectivity: activity, mechanism, size and lipophilicity."""
+    return _points(
+        (_c("activity") == "antiviral", 10),
         ((_c("activity") == "antibacterial") & F.coalesce(F.contains(_c("mechanism"), F.lit("рибосом")), F.lit(False)), 10),
         (_c("mw") > 1000, -20), ((_c("mw") < 250) & (_c("logp") > 3), -10),
     )
-    return clamp(raw.cast("int"), 0, 100)
+
+
+def target_selectivity() -> Column:
+    """What a target adds: essential, and the family."""
+    t = _c("target_id")
+    return _points((_c("essential"), 20), (F.contains(t, F.lit("fabI")) | F.contains(t, F.lit("3c")), 15))
+
+
+def selectivity_index(compound: Column, target: Column) -> Column:
+    """50 and both parts, from 0 to 100."""
+    return clamp((F.lit(50) + compound + target).cast("int"), 0, 100)
 
 
 def bin_level(value: Column, low: float, high: float) -> Column:

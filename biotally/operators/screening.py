@@ -30,18 +30,39 @@ def lookup_by_id(pathogens: DataFrame, pathogen_id: str) -> DataFrame:
     return pathogens.filter(F.col("pathogen_id") == pathogen_id)
 
 
-def mechanism_boost(mechanism: Column, target: Column, function: Column) -> Column:
-    """Points of every rule whose mechanism pattern and target (or function) pattern both occur."""
-    mech, func = F.lower(F.coalesce(mechanism, F.lit(""))), F.lower(function)
+def mechanism_mask(mechanism: Column) -> Column:
+    """A bit for each mechanism rule whose pattern occurs in a compound's mechanism."""
+    text = F.lower(F.coalesce(mechanism, F.lit("")))
+    return _mask([F.regexp_like(text, F.lit(pattern)) for pattern, _, _, _ in MECHANISM_RULES])
+
+
+def target_mask(target: Column, function: Column) -> Column:
+    """A bit for each mechanism rule whose target pattern, or function pattern, occurs in a pocket's target."""
+    function = F.lower(function)
+    on = [F.regexp_like(function, F.lit(func)) | (F.regexp_like(target, F.lit(name)) if name else F.lit(False)) for _, name, func, _ in MECHANISM_RULES]
+    return _mask(on)
+
+
+def _mask(bits: list[Column]) -> Column:
     total = F.lit(0)
-    for mech_re, target_re, func_re, points in MECHANISM_RULES:
-        on_target = F.regexp_like(func, F.lit(func_re))
-        if target_re:
-            on_target = on_target | F.regexp_like(target, F.lit(target_re))
-        total = total + F.when(F.regexp_like(mech, F.lit(mech_re)) & on_target, points).otherwise(0)
+    for k, bit in enumerate(bits):
+        total = total + F.when(bit, 1 << k).otherwise(0)
     return total
 
 
+def rule_points(mask: Column) -> Column:
+    """Points of the mechanism rules whose bits are set."""
+    total = F.lit(0)
+    for k, (_, _, _, points) in enumerate(MECHANISM_RULES):
+        total = total + F.when(mask.bitwiseAND(F.lit(1 << k)) != 0, points).otherwise(0)
+    return total
+
+
+def mechanism_boost(mechanism: Column, target: Column, function: Column) -> Column:
+    """Points of every rule whose mechanism pattern and target (or function) pattern both occur."""
+    return rule_points(mechanism_mask(mechanism).bitwiseAND(target_mask(target, function)))
+
+
 def with_panel(compounds: DataFrame, panel: DataFrame) -> DataFrame:
     """Each compound with every pocket of the panel.
 
@@ -53,38 +74,31 @@ def with_panel(compounds: DataFrame, panel: DataFrame) -> DataFrame:
     return compounds.withColumn("pockets", packed.scalar()).select(*compounds.columns, F.inline("pockets"))
 
 
-def _in_slices(compounds: DataFrame, references: DataFrame, limit: int) -> DataFrame:
-    """Each compound with every reference. The list grows with the data: its size is checked, and it is taken in slices."""
-    panel = references
-    cols = [c for c in panel.columns if c not in compounds.columns]
-    size = panel.count()
-    slices = -(-size // limit) or 1
-    numbered = panel.select(*cols) if slices == 1 else panel.select(*cols, F.pmod(F.xxhash64(*cols), F.lit(slices)).alias("slice"))
-    out = None
-    for i in range(slices):
-        part = numbered if slices == 1 else numbered.filter(F.col("slice") == i).drop("slice")
-        packed = part.agg(F.collect_list(F.struct(*cols)).alias("pockets"))
-        rows = compounds.withColumn("pockets", packed.scalar()).select(*compounds.columns, F.inline("pockets"))
-        out = rows if out is None else out.unionByName(rows)
-    return out
+def compound_side(compounds: DataFrame) -> DataFrame:
+    """What a screening score takes from the compound alone, found once a compound: rules, polar surface, mechanism bits."""
+    violations = chem.lipinski_violations()
+    return compounds.select(
+        "*", (F.col("hbd") + F.col("hba")).alias("donors"), violations.alias("violations"), (violations <= 1).alias("lipinski_pass"), chem.tpsa_score(chem.tpsa()).alias("tpsa_score"),
+        mechanism_mask(F.col("mechanism")).alias("mechanism_bits"), chem.compound_selectivity().alias("compound_selectivity"),
+    )
+
+
+def pocket_side(panel: DataFrame) -> DataFrame:
+    """What a screening score takes from the pocket alone."""
+    return panel.select("*", target_mask(F.col("target_id"), F.col("function")).alias("target_bits"), chem.target_selectivity().alias("target_selectivity"))
 
 
 def score_pockets(pairs: DataFrame) -> DataFrame:
-    """Five weighted scores, mechanism boost and rule penalty for each compound and pocket."""
+    """Five weighted scores, mechanism boost and rule penalty of pairs of `compound_side` and `pocket_side`: arithmetic only."""
     c = F.col
-    donors = c("hbd") + c("hba")
-    violations = chem.lipinski_violations()
     scored = pairs.select(
         "*",
         chem.shape_score(c("radius"), c("pocket_radius")).alias("shape"),
         chem.electrostatic_score(c("charge"), c("pocket_charge")).alias("electrostatic"),
-        chem.hydrophobic_score(c("hydrophobicity"), donors, c("pocket_hydrophobicity")).alias("hydrophobic"),
-        chem.hbond_score(donors, c("pocket_hydrophobicity")).alias("hbond"),
-        chem.tpsa_score(chem.tpsa()).alias("tpsa_score"),
-        mechanism_boost(c("mechanism"), c("target_id"), c("function")).alias("boost"),
-        violations.alias("violations"),
-        (violations <= 1).alias("lipinski_pass"),
-        chem.selectivity_index().alias("selectivity"),
+        chem.hydrophobic_score(c("hydrophobicity"), c("donors"), c("pocket_hydrophobicity")).alias("hydrophobic"),
+        chem.hbond_score(c("donors"), c("pocket_hydrophobicity")).alias("hbond"),
+        rule_points(c("mechanism_bits").bitwiseAND(c("target_bits"))).alias("boost"),
+        chem.selectivity_index(c("compound_selectivity"), c("target_selectivity")).alias("selectivity"),
     )
     raw = c("shape") * 0.25 + c("electrostatic") * 0.2 + c("hydrophobic") * 0.2 + c("hbond") * 0.15 + c("tpsa_score") * 0.1 + c("boost") - c("violations") * 5
     score = round_half_up(F.round(F.greatest(F.lit(0.0), F.least(F.lit(100.0), raw)), 6)).cast("int")
@@ -92,7 +106,7 @@ def score_pockets(pairs: DataFrame) -> DataFrame:
 
 
 def virtual_screening(compounds: DataFrame, panel: DataFrame) -> DataFrame:
-    return score_pockets(with_panel(compounds, panel))
+    return score_pockets(with_panel(compound_side(compounds), pocket_side(panel)))
 
 
 def top_results(results: DataFrame, n: int = 20, lipinski_only: bool = False, by: str = "pathogen_id") -> DataFrame:
@@ -132,14 +146,63 @@ def tanimoto(a: Column, b: Column) -> Column:
     return F.when(either > 0, both / either).otherwise(0.0)
 
 
-def tanimoto_to_references(packed: DataFrame, references: DataFrame, limit: int = 256) -> DataFrame:
-    """Similarity of every molecule to each known ligand: the ligand list is checked to be short and rides along as
-    one array value; longer lists go slice by slice."""
-    refs = references.select(F.col("mol_id").alias("ref_id"), F.col("fp").alias("ref_fp"))
-    rows = _in_slices(packed, refs, limit)
+def tanimoto_to_references(packed: DataFrame, references: DataFrame, block: int = 256) -> DataFrame:
+    """Similarity of every molecule to each known ligand: as many rows as there are pairs.
+
+    Ligands are dealt by hash over blocks of about ``block``; a block is one array value that a molecule unfolds. The
+    number of blocks is a subquery of the plan: nothing runs while the query is built.
+    """
+    blocks = references.agg(F.greatest(F.lit(1), F.ceil(F.count("*") / block)).cast("int").alias("blocks")).scalar()
+    held = references.select(F.pmod(F.xxhash64("mol_id"), blocks).cast("int").alias("block"), F.struct(F.col("mol_id").alias("ref_id"), F.col("fp").alias("ref_fp")).alias("ref"))
+    held = held.groupBy("block").agg(F.collect_list("ref").alias("refs"))
+    rows = packed.withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).join(held, "block").select(*packed.columns, F.inline("refs"))
     return rows.withColumn("tanimoto", tanimoto(F.col("fp"), F.col("ref_fp")))
 
 
+def _rare_first(bits: DataFrame, references: DataFrame) -> DataFrame:
+    """(mol_id, n_bits, rare): a molecule's bits, the rarest among the references first; a row has no more than there are bits."""
+    rank = references.groupBy("bit").agg(F.count("*").alias("n"))
+    ranked = bits.join(rank, "bit", "left").withColumn("order", F.struct(F.coalesce("n", F.lit(0)), "bit"))
+    return ranked.groupBy("mol_id").agg(F.count("*").cast("int").alias("n_bits"), F.transform(F.array_sort(F.collect_list("order")), lambda x: x["bit"]).alias("rare"))
+
+
+def similar_references(bits: DataFrame, references: DataFrame, threshold: float, k: int | None = None) -> DataFrame:
+    """(mol_id, ref_id, tanimoto) of every molecule and reference at ``threshold`` or more, or the best ``k`` of a molecule.
+
+    ``bits`` and ``references`` hold (mol_id, bit), a row a set bit. An inverted index: two sets of a and b bits that are
+    that similar share a bit among the first a - ceil(t * a) + 1 of one and b - ceil(t * b) + 1 of the other, rarest
+    first, and t * a <= b <= a / t. References wait under (bit, number of bits), molecules ask for each bit of theirs and
+    each number in reach. A pair counts where it meets first, so no pair is made twice. Molecules without a bit have none.
+    """
+    if not 0 < threshold <= 1:
+        raise ValueError("the threshold lies above 0 and is 1 at most")
+    t = F.lit(threshold)
+    least = lambda n: F.greatest(F.lit(1), F.ceil(t * n - 1e-9)).cast("int")
+    prefix = lambda rare, n: F.slice(rare, 1, n - least(n) + 1)
+    index = _rare_first(references, references).select(F.col("mol_id").alias("ref_id"), F.col("n_bits").alias("ref_bits"), F.col("rare").alias("ref_rare"))
+    index = index.withColumn("key", F.explode(prefix(F.col("ref_rare"), F.col("ref_bits"))))
+    asked = _rare_first(bits, references).withColumn("key", F.explode(prefix(F.col("rare"), F.col("n_bits"))))
+    asked = asked.withColumn("ref_bits", F.explode(F.sequence(least(F.col("n_bits")), F.floor(F.col("n_bits") / t + 1e-9).cast("int"))))
+    met = asked.join(index, ["key", "ref_bits"])
+    shared = F.array_intersect("rare", "ref_rare")
+    first = F.element_at(F.array_intersect(prefix(F.col("rare"), F.col("n_bits")), prefix(F.col("ref_rare"), F.col("ref_bits"))), 1)
+    met = met.withColumn("both", F.size(shared)).filter(F.col("key") == first)
+    found = met.select("mol_id", "ref_id", (F.col("both") / (F.col("n_bits") + F.col("ref_bits") - F.col("both"))).alias("tanimoto")).filter(F.col("tanimoto") >= t)
+    if k is None:
+        return found
+    place = F.row_number().over(Window.partitionBy("mol_id").orderBy(F.desc("tanimoto"), "ref_id"))
+    return found.withColumn("rank", place).filter(F.col("rank") <= k)
+
+
+def ligand_alerts() -> Column:
+    """Messages for the limits that a ligand fails, over descriptor columns; unknown values fail none."""
+    tests = (
+        (F.col("logp") > 5, "LogP > 5: poor solubility"), (chem.tpsa() > 140, "TPSA > 140: poor bioavailability"),
+        (F.col("rotatable_bonds") > 10, "rotatable bonds > 10: low oral bioavailability"), (F.col("aromatic_rings") > 4, "aromatic rings > 4: may interfere with assays"),
+    )
+    return F.array_compact(F.array(*[F.when(failed, F.lit(text)) for failed, text in tests]))
+
+
 def ligand_score(similarity: Column) -> dict[str, Column]:
     """Similarity .4, drug-likeness .3, strict rules .3, over descriptor columns."""
     c = F.col

