@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from biotally.functions import chem
 from biotally.functions.sequence import round_half_up
 from biotally.reference_tables import MECHANISM_RULES, PANEL_COLUMNS, POCKET_PANEL, fixed_table
+from biotally.session import spread
 
 
 def pathogen_table(spark: SparkSession) -> DataFrame:
@@ -105,7 +106,9 @@ def score_pockets(pairs: DataFrame) -> DataFrame:
     return scored.withColumn("score", score).withColumn("binding_affinity", chem.binding_affinity(c("score")))
 
 
-def virtual_screening(compounds: DataFrame, panel: DataFrame) -> DataFrame:
+def virtual_screening(compounds: DataFrame, panel: DataFrame, key: str = "drug_id") -> DataFrame:
+    """Every compound against every pocket; compounds are dealt evenly before each becomes as many rows as there are pockets."""
+    compounds = spread(compounds, key)
     return score_pockets(with_panel(compound_side(compounds), pocket_side(panel)))
 
 
