@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import itertools
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,25 +65,47 @@ def adaptation_index(counts: DataFrame, usage: DataFrame, key: str, species: str
     return joined.groupBy(key).agg(F.exp(F.sum(F.col("n") * F.ln(weight)) / F.sum("n")).alias("cai"))
 
 
-def swap_map(usage: DataFrame, species: str = "species") -> DataFrame:
-    """One row per species: preferred codons of the residues that occur (at most 21 entries)."""
-    return preferred_codon(usage, species).groupBy(species).agg(
-        F.map_from_entries(F.collect_list(F.struct("aa", "codon"))).alias("preferred")
-    )
+def swap_table(usage: DataFrame, species: str = "species") -> DataFrame:
+    """One row per species: for each of the 64 codons in their fixed order the preferred codon of its residue, joined.
+
+    A residue that does not occur keeps its codons.
+    """
+    chosen = preferred_codon(usage, species).groupBy(species).agg(F.map_from_entries(F.collect_list(F.struct("aa", "codon"))).alias("preferred"))  # at most 21 entries
+    each = [F.coalesce(F.try_element_at("preferred", F.lit(aa)), F.lit("".join(c))) for c, aa in zip(itertools.product(CODON_BASES, repeat=3), CODON_RESIDUES, strict=True)]
+    return chosen.select(species, F.concat(*each).alias("codon_table"))
+
+
+_CODE = np.full(128, 64, np.uint8)  # two bits a base; 64 and more: no base
+_CODE[[ord(x) for x in CODON_BASES]] = range(4)
 
 
-def swap_codons(seqs: DataFrame, usage: DataFrame, species: str = "species") -> DataFrame:
-    """Every codon replaced by the preferred codon of its residue, within the row.
+def _swapped(text: str, table: str) -> str:
+    """The whole codons of a text through a table of 64 triples; codons with other letters stay."""
+    letters = np.frombuffer(text[: len(text) // 3 * 3].encode("ascii", "replace"), np.uint8).reshape(-1, 3)
+    code = _CODE[np.minimum(letters, 127)].astype(np.int64)
+    place = code[:, 0] * 16 + code[:, 1] * 4 + code[:, 2]
+    known = code.max(axis=1, initial=0) < 4
+    triples = np.frombuffer(table.encode("ascii"), np.uint8).reshape(64, 3)
+    return np.where(known[:, None], triples[np.where(known, place, 0)], letters).tobytes().decode("ascii")
 
-    Codons are set apart by blanks and replaced one kind at a time: compiled string passes instead of a call per
-    codon. A preferred codon maps to itself, so a codon already replaced does not change again.
+
+def swap_codons(seqs: DataFrame, usage: DataFrame, species: str = "species", seq: str = "seq") -> DataFrame:
+    """``seqs`` with ``adapted``: every codon replaced by the preferred codon of its residue, the incomplete last one left out.
+
+    A sequence is packed to two bits a base and goes through its species' table of 64 entries in one pass. Sequences of a
+    species without usage keep their codons; null stays null.
     """
-    joined = seqs.join(swap_map(usage, species), species)
-    text = F.regexp_replace(F.regexp_replace("seq", "(...)", "$1 "), "[ACGT]{1,2}$", "")
-    for c, aa in zip(itertools.product(CODON_BASES, repeat=3), CODON_RESIDUES):
-        codon = "".join(c)
-        text = F.replace(text, F.lit(f"{codon} "), F.concat(F.coalesce(F.try_element_at("preferred", F.lit(aa)), F.lit(codon)), F.lit(" ")))
-    return joined.withColumn("adapted", F.replace(text, F.lit(" "), F.lit(""))).drop("preferred")
+    joined = seqs.join(swap_table(usage, species), species, "left")
+    itself = "".join("".join(c) for c in itertools.product(CODON_BASES, repeat=3))
+    columns = seqs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            pairs = zip(b.column(seq).to_pylist(), b.column("codon_table").to_pylist(), strict=True)
+            adapted = pa.array([None if text is None else _swapped(text, table or itself) for text, table in pairs], pa.string())
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in columns), adapted], names=[*columns, "adapted"])
+
+    return joined.select(*columns, "codon_table").mapInArrow(run, seqs.withColumn("adapted", F.lit(None).cast("string")).schema)
 
 
 def palindromic_words(seq: Column, k: int = 6) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from biotally.functions.sequence import overlapping_words, substitution_score
 from biotally.operators import epitopes
+from biotally.operators.codons import swap_codons
 from biotally.reference_tables import HIS_TAG, LINKER, REVERSE_CODONS, SIGNAL_PEPTIDE
 
 
@@ -74,7 +75,11 @@ def select_parts(proteins: DataFrame, alleles: list[str], key: str = "protein_id
     return interleave(b, ranked, key)
 
 
-def assemble_construct(proteins: DataFrame, alleles: list[str], key: str = "protein_id", linker: str = LINKER) -> DataFrame:
+def assemble_construct(proteins: DataFrame, alleles: list[str], key: str = "protein_id", linker: str = LINKER, usage: DataFrame | None = None, species: str = "species") -> DataFrame:
+    """One construct per protein: signal, ranked parts with linkers, tag, its measures and its DNA in fixed codons.
+
+    With a codon ``usage`` table also ``adapted_dna``, in the codons that the protein's own ``species`` prefers.
+    """
     parts = select_parts(proteins, alleles, key)
     # At most ten parts per protein, so the list of a group is bounded.
     grouped = parts.groupBy(key).agg(
@@ -85,8 +90,12 @@ def assemble_construct(proteins: DataFrame, alleles: list[str], key: str = "prot
     body = F.array_join(F.col("parts.sequence"), linker)
     built = grouped.withColumn("construct", F.concat(F.lit(SIGNAL_PEPTIDE), body, F.lit(HIS_TAG + "*")))
     c = F.col("construct")
-    return built.select(
+    out = built.select(
         key, "construct", F.length(c).alias("length"), "b_count", "t_count",
         adjacent_naturalness(c).alias("naturalness"), molecular_weight(c).alias("kda"),
         reverse_translate(F.replace(c, F.lit("*"), F.lit(""))).alias("dna"),
     )
+    if usage is None:
+        return out
+    hosted = out.join(proteins.select(key, species), key)
+    return swap_codons(hosted, usage, species, "dna").drop(species).withColumnRenamed("adapted", "adapted_dna")

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from biotally.functions.sequence import letter_value
-from biotally.operators import epitopes
+from biotally.operators import codons, epitopes
 from biotally.plans import constructs
 from biotally.reference_tables import (
     ANCHOR_P2,
@@ -21,9 +21,10 @@ from biotally.reference_tables import (
     UNKNOWN_PAIR_SCORE,
     blosum62,
 )
+from biotally.registry.codon_jobs import _COD, _cds
 from biotally.registry.core import job
 from biotally.registry.oracle_views import windows_sql
-from biotally.session import spread
+from biotally.session import cut_lineage, spread
 from biotally.sources import tables as t
 
 ALLELES = ["HLA-A*02:01", "HLA-A*02:06"]
@@ -245,17 +246,20 @@ _REV = "map {" + ", ".join(f"'{k}': '{v}'" for k, v in REVERSE_CODONS.items()) +
 
 @job(
     "assemble_construct",
-    f"""with {_PARTS}, g as (select protein_id, '{SIGNAL_PEPTIDE}' || string_agg(sequence, '{LINKER}' order by part) || '{HIS_TAG}*' as construct,
+    f"""with {_COD}, pm as (select species, map_from_entries(list((aa, codon))) as pick from pref group by 1), {_PARTS}, g as (select protein_id, '{SIGNAL_PEPTIDE}' || string_agg(sequence, '{LINKER}' order by part) || '{HIS_TAG}*' as construct,
       count_if(kind = 'B-cell') as b_count, count_if(kind <> 'B-cell') as t_count from parts group by 1),
     nb as (select protein_id, avg({_pair("substr(construct, i, 1)", "substr(construct, i + 1, 1)")}) as m from (select protein_id, construct, cast(unnest(range(1, length(construct))) as int) as i from g) group by 1)
     select protein_id, construct, cast(length(construct) as int) as length, cast(b_count as bigint) as b_count, cast(t_count as bigint) as t_count, greatest(0.0::double, (m + 4) / 8) as naturalness,
       length(construct) * 110 / 1000.0::double as kda,
-      array_to_string(list_transform(string_split(replace(construct, '*', ''), ''), lambda c: coalesce({_REV}[c], 'NNN')), '') as dna
-    from g join nb using (protein_id)""",
-    "proteins",
+      array_to_string(list_transform(string_split(replace(construct, '*', ''), ''), lambda c: coalesce({_REV}[c], 'NNN')), '') as dna,
+      array_to_string(list_transform(string_split(replace(construct, '*', ''), ''), lambda c: coalesce(case when {_REV}[c] is not null then pick[c] end, {_REV}[c], 'NNN')), '') as adapted_dna
+    from g join nb using (protein_id) join proteins using (protein_id) left join pm on pm.species = proteins.species""",
+    "proteins isolates",
 )
 def assemble_construct(spark, sf):
-    return constructs.assemble_construct(_proteins(spark, sf), ALLELES)
+    """With the codons that the species of each protein prefers, counted on the isolates of the same species."""
+    usage = cut_lineage(codons.codon_usage(_cds(spark, sf)))
+    return constructs.assemble_construct(t.proteins(spark, sf).select("protein_id", "species", "seq"), ALLELES, usage=usage)
 
 
 @job(

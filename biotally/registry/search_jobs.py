@@ -23,7 +23,7 @@ def _queries(spark, sf):
 
 
 def _subjects(spark, sf):
-    return t.table(spark, sf, "documents").select(F.col("doc_id").alias("subject_id"), _letters().alias("seq"))
+    return t.dealt(t.table(spark, sf, "documents").select("doc_id", "text"), "doc_id").select(F.col("doc_id").alias("subject_id"), _letters().alias("seq"))
 
 
 _SEARCH = f"""qs as (select item_id as query_id, {_L} as seq from benchmark), sj as (select doc_id as subject_id, {_L} as seq from documents),

@@ -15,6 +15,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def dealt(rows: DataFrame, key: str) -> DataFrame:
+    """Rows of a table for work on whole texts: where its files give fewer tasks than there are cores, dealt by key first.
+
+    A file that cannot be split would otherwise be cleaned by one task. A table of many files is left as it is.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores, key) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def _letters(text: Column) -> Column:
     # Strip before upper-casing: some letters change length under upper().
     return F.upper(F.regexp_replace(text, "[^A-Za-z]", ""))
@@ -27,7 +36,7 @@ def _dna(text: Column) -> Column:
 def isolates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One DNA sequence per document with a letter; ``cluster`` is a location's submission batch of 28 consecutive accessions."""
     return (
-        table(spark, sf_dir, "documents")
+        dealt(table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text"), "doc_id")
         .select(
             F.col("doc_id").alias("isolate_id"),
             F.col("lang").alias("location"),
@@ -43,7 +52,7 @@ def isolates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def proteins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
-        table(spark, sf_dir, "documents")
+        dealt(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), "doc_id")
         .select(
             F.col("doc_id").alias("protein_id"),
             F.col("lang").alias("species"),
