@@ -71,6 +71,23 @@ def overlapping_words(seq: Column, k: int) -> Column:
 TILE = 1 << 16  # letters
 
 
+def sequence_tiles(df: DataFrame, keep: tuple[str, ...], seq: Column, k: int, tile: int = TILE) -> DataFrame:
+    """The columns ``keep`` with every tile of ``seq``, a row each: ``_tile`` and ``_text``, which has the first k - 1 letters of the next tile too."""
+    pieces = df.select(*keep, F.regexp_extract_all(seq, F.lit(f"(?s).{{1,{tile}}}"), F.lit(0)).alias("_pieces"))
+    lapped = F.transform("_pieces", lambda t, i: F.concat(t, F.coalesce(F.substring(F.get("_pieces", i + 1), 1, k - 1), F.lit(""))))
+    return pieces.select(*keep, F.posexplode(lapped).alias("_tile", "_text"))
+
+
+def tile_words(tiles: DataFrame, keep: tuple[str, ...], k: int, pos: str = "i", word: str = "w", tile: int = TILE, ending: str = "") -> DataFrame:
+    """The columns ``keep`` with every k-letter window of `sequence_tiles` and its 0-based position in the whole sequence."""
+    found = F.regexp_extract_all("_text", F.lit(f"(?=(.{{{k - len(ending)}}}{ending}|.))"), F.lit(1)) if ending else overlapping_words(F.col("_text"), k)
+    columns = [c for c in keep if c != "_tile"]
+    rows = tiles.select(*columns, "_tile", F.posexplode(found).alias("_at", word))
+    if ending:
+        rows = rows.where(F.length(word) == k)
+    return rows.select(*keep, (F.col("_tile") * tile + F.col("_at")).alias(pos), word)
+
+
 def words_at(df: DataFrame, keep: tuple[str, ...], seq: Column, k: int, pos: str = "i", word: str = "w", tile: int = TILE, ending: str = "") -> DataFrame:
     """The columns ``keep`` with every k-letter window of ``seq`` and its 0-based position, a row each.
 
@@ -78,14 +95,7 @@ def words_at(df: DataFrame, keep: tuple[str, ...], seq: Column, k: int, pos: str
     longest array there is, however long the text. With an ``ending`` only windows that end with it are given; all
     other positions cost one letter.
     """
-    pieces = df.select(*keep, F.regexp_extract_all(seq, F.lit(f"(?s).{{1,{tile}}}"), F.lit(0)).alias("_pieces"))
-    lapped = F.transform("_pieces", lambda t, i: F.concat(t, F.coalesce(F.substring(F.get("_pieces", i + 1), 1, k - 1), F.lit(""))))
-    tiles = pieces.select(*keep, F.posexplode(lapped).alias("_tile", "_text"))
-    found = F.regexp_extract_all("_text", F.lit(f"(?=(.{{{k - len(ending)}}}{ending}|.))"), F.lit(1)) if ending else overlapping_words(F.col("_text"), k)
-    rows = tiles.select(*keep, "_tile", F.posexplode(found).alias("_at", word))
-    if ending:
-        rows = rows.where(F.length(word) == k)
-    return rows.select(*keep, (F.col("_tile") * tile + F.col("_at")).alias(pos), word)
+    return tile_words(sequence_tiles(df, keep, seq, k, tile), keep, k, pos, word, tile, ending)
 
 
 def codons(seq: Column) -> Column:

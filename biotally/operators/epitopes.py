@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from biotally.functions.sequence import clamp, letter_value, words_at, round_half_up, substitution_score
+from biotally.functions.sequence import TILE, clamp, letter_value, round_half_up, sequence_tiles, substitution_score, tile_words, words_at
 from biotally.reference_tables import (
     AMINO_ACIDS,
     ANCHOR_P2,
@@ -20,8 +23,7 @@ from biotally.reference_tables import (
     UNKNOWN_PAIR_SCORE,
     blosum62,
 )
-
-from biotally.session import spread
+from biotally.session import cut_lineage, spread
 
 WINDOW = 7
 # One bit field per scale; only the first scale has negative values, the shift makes them positive.
@@ -33,58 +35,124 @@ def _add(cols: list[Column]) -> Column:
     return reduce(lambda a, b: a + b, cols)
 
 
-def sliding_scores(proteins: DataFrame, key: str = "protein_id", width: int = WINDOW) -> DataFrame:
-    """Forward window means of the four residue scales, one row per window start. No shuffle."""
-    padded = F.concat(F.col("seq"), F.lit("#" * (width - WINDOW)))
-    rows = spread(proteins.filter(F.length("seq") >= WINDOW).select(key, "seq"), key)
-    words = words_at(rows, (key,), padded, width, "p")
+def _window_means(words: DataFrame, *keep: str) -> DataFrame:
+    """``keep`` with the means of the four residue scales over the first letters of the window ``w``."""
     letters = [F.substring("w", j, 1) for j in range(1, WINDOW + 1)]
     # The four scales travel as bit fields of one long (thousandths, shifted to be positive): one lookup per
     # letter instead of four, and an exact integer sum.
     packed = {c: sum(round((s[c] + _SHIFT[i]) * 1000) << (_BITS * i) for i, s in enumerate(SCALES.values())) for c in AMINO_ACIDS}
     table = F.array(*[F.lit(packed.get(chr(65 + i), _NOTHING)).cast("bigint") for i in range(26)])
     total = _add([F.coalesce(F.get(table, F.ascii(c) - 65), F.lit(_NOTHING).cast("bigint")) for c in letters])
-    sums = words.select(key, (F.col("p") + 1).alias("pos"), "w", total.alias("packed"))
+    sums = words.select(*keep, total.alias("packed"))
     mask = (1 << _BITS) - 1
     means = [
         ((F.shiftright("packed", _BITS * i).bitwiseAND(F.lit(mask).cast("bigint")) - WINDOW * _SHIFT[i] * 1000) / F.lit(1000.0 * WINDOW)).alias(name)
         for i, name in enumerate(SCALES)
     ]
-    return sums.select(key, "pos", "w", *means)
+    return sums.select(*keep, *means)
 
 
-def minmax_normalize(scores: DataFrame, key: str = "protein_id") -> DataFrame:
-    """(value - min) / range per protein (range 0 counts as 1), then the weighted composite."""
-    whole = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+def _padded(width: int) -> Column:
+    return F.concat(F.col("seq"), F.lit("#" * (width - WINDOW)))
+
+
+def sliding_scores(proteins: DataFrame, key: str = "protein_id", width: int = WINDOW) -> DataFrame:
+    """Forward window means of the four residue scales, one row per window start. No shuffle."""
+    rows = spread(proteins.filter(F.length("seq") >= WINDOW).select(key, "seq"), key)
+    words = words_at(rows, (key,), _padded(width), width, "p")
+    return _window_means(words.withColumn("pos", F.col("p") + 1), key, "pos", "w")
+
+
+def _composite(scores: DataFrame, low: Callable[[str], Column], high: Callable[[str], Column]) -> DataFrame:
     out = scores
     for name in SCALES:
-        low, high = F.min(name).over(whole), F.max(name).over(whole)
-        out = out.withColumn(f"{name}_n", (F.col(name) - low) / F.coalesce(F.nullif(high - low, F.lit(0.0)), F.lit(1.0)))
+        out = out.withColumn(f"{name}_n", (F.col(name) - low(name)) / F.coalesce(F.nullif(high(name) - low(name), F.lit(0.0)), F.lit(1.0)))
     # Rounded so that a value on the threshold does not depend on the last bit.
-    composite = F.round(_add([F.lit(wt) * F.col(f"{name}_n") for name, wt in COMPOSITE_WEIGHTS.items()]), 9)
-    return out.withColumn("composite", composite)
+    return out.withColumn("composite", F.round(_add([F.lit(wt) * F.col(f"{name}_n") for name, wt in COMPOSITE_WEIGHTS.items()]), 9))
 
 
-def runs_above(scored: DataFrame, threshold: float = 0.5, key: str = "protein_id") -> DataFrame:
-    """Maximal runs of windows at or above the threshold (gaps and islands on the partitioning already in place)."""
-    kept = scored.filter(F.col("composite") >= threshold)
-    island = F.col("pos") - F.row_number().over(Window.partitionBy(key).orderBy("pos"))
-    return (
-        kept.withColumn("island", island)
-        .groupBy(key, "island")
-        .agg(
-            F.min("pos").alias("start"),
-            (F.max("pos") + WINDOW - 1).alias("end"),
-            F.min_by("w", "pos").alias("w"),
-            F.avg("composite").alias("mean_composite"),
-            *[F.avg(name).alias(name) for name in SCALES],
-        )
-        .drop("island")
+def minmax_normalize(scores: DataFrame, key: str = "protein_id") -> DataFrame:
+    """(value - min) / range per protein (range 0 counts as 1), then the weighted composite, for scores of any origin."""
+    limits = scores.groupBy(key).agg(*[f(n).alias(f"{e}_{n}") for n in SCALES for e, f in (("low", F.min), ("high", F.max))])
+    joined = scores.join(limits, key)
+    return _composite(joined, lambda n: F.col(f"low_{n}"), lambda n: F.col(f"high_{n}")).drop(*limits.columns[1:])
+
+
+def _extremes(key: str, width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Smallest and largest window sum of each scale in a tile, in thousandths."""
+    table = np.zeros((len(SCALES), 128), np.int64)
+    for i, scale in enumerate(SCALES.values()):
+        for c in AMINO_ACIDS:
+            table[i, ord(c)] = round(scale[c] * 1000)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys, least, most = [], [], []
+            for at, text in enumerate(b.column("_text").to_pylist()):
+                if len(text) < width:
+                    continue
+                letters = np.minimum(np.frombuffer(text[: len(text) - width + WINDOW].encode("ascii", "replace"), np.uint8), 127)
+                run_ = np.cumsum(table[:, letters], axis=1)
+                sums = run_[:, WINDOW - 1 :].copy()
+                sums[:, 1:] -= run_[:, :-WINDOW]
+                keys.append(at)
+                least.append(sums.min(axis=1))
+                most.append(sums.max(axis=1))
+            columns = [pa.array([float(v[i]) / (1000.0 * WINDOW) for v in side], pa.float64()) for i in range(len(SCALES)) for side in (least, most)]
+            yield pa.RecordBatch.from_arrays([b.column(key).take(pa.array(keys, pa.int64())), *columns], names=[key, *_LIMITS])
+
+    return run
+
+
+_LIMITS = [f"{end}_{name}" for name in SCALES for end in ("low", "high")]
+
+
+def composite_scores(proteins: DataFrame, key: str = "protein_id", width: int = WINDOW, tile: int = TILE) -> DataFrame:
+    """`sliding_scores` with the composite, its sequences cut into tiles that are dealt over tasks.
+
+    A first pass gives the extremes of every tile, which fold to one row a sequence; a tile then carries those of its
+    sequence into the second pass, so windows are never shuffled and a long sequence is as many tasks as it has tiles.
+    """
+    tiles = sequence_tiles(proteins.filter(F.length("seq") >= WINDOW).select(key, "seq"), (key,), _padded(width), width, tile)
+    kind = proteins.schema[key].dataType.simpleString()
+    found = tiles.select(key, "_text").mapInArrow(_extremes(key, width), f"{key} {kind}, " + ", ".join(f"{c} double" for c in _LIMITS))
+    limits = cut_lineage(found.groupBy(key).agg(*[(F.min if c.startswith("low") else F.max)(c).alias(c) for c in _LIMITS]))
+    ready = spread(tiles.join(limits, key), key, "_tile")
+    words = tile_words(ready, (key, "_tile", *_LIMITS), width, "p", tile=tile)
+    scores = _window_means(words.withColumn("pos", F.col("p") + 1), key, "_tile", "pos", "w", *_LIMITS)
+    return _composite(scores, lambda n: F.col(f"low_{n}"), lambda n: F.col(f"high_{n}")).drop(*_LIMITS)
+
+
+def runs_above(scored: DataFrame, threshold: float = 0.5, key: str = "protein_id", tile: int = TILE) -> DataFrame:
+    """Maximal runs of windows of `composite_scores` at or above the threshold.
+
+    Gaps and islands inside each tile, on the partitioning already in place. Only the runs that touch a border of their
+    tile can go on in the next one: they meet by sequence, all others stay with their tile.
+    """
+    # The count runs over all windows and not over those above: a filter on the composite would be pushed below its
+    # projection and compute it twice.
+    marked = scored.withColumn("above", (F.col("composite") >= threshold).cast("int"))
+    island = F.col("pos") - F.sum("above").over(Window.partitionBy(key, "_tile").orderBy("pos"))
+    names = ["composite", *SCALES]
+    parts = (
+        marked.withColumn("island", island)
+        .filter("above = 1")
+        .groupBy(key, "_tile", "island")
+        .agg(F.min("pos").alias("start"), F.max("pos").alias("last"), F.min_by("w", "pos").alias("w"), F.count("*").alias("n"), *[F.sum(c).alias(f"sum_{c}") for c in names])
+    )
+    border = ((F.col("_tile") > 0) & (F.col("start") == F.col("_tile") * tile + 1)) | (F.col("last") == (F.col("_tile") + 1) * tile)
+    placed = parts.withColumn("place", F.when(border, -1).otherwise(F.col("_tile")))
+    along = Window.partitionBy(key, "place").orderBy("start")
+    fresh = placed.withColumn("fresh", (F.col("start") != F.coalesce(F.lag("last").over(along) + 1, F.lit(-1))).cast("int"))
+    runs = fresh.withColumn("chain", F.sum("fresh").over(along)).groupBy(key, "place", "chain").agg(
+        F.min("start").alias("start"), F.max("last").alias("last"), F.min_by("w", "start").alias("w"), F.sum("n").alias("n"), *[F.sum(f"sum_{c}").alias(f"sum_{c}") for c in names]
     )
+    mean = lambda c: F.col(f"sum_{c}") / F.col("n")
+    return runs.select(key, "start", (F.col("last") + WINDOW - 1).alias("end"), "w", mean("composite").alias("mean_composite"), *[mean(c).alias(c) for c in SCALES])
 
 
-def predict_b_epitopes(proteins: DataFrame, key: str = "protein_id", min_len: int = 6, max_len: int = 20, top: int = 15) -> DataFrame:
-    runs = runs_above(minmax_normalize(sliding_scores(proteins, key, max(max_len, WINDOW)), key), key=key)
+def predict_b_epitopes(proteins: DataFrame, key: str = "protein_id", min_len: int = 6, max_len: int = 20, top: int = 15, tile: int = TILE) -> DataFrame:
+    runs = runs_above(composite_scores(proteins, key, max(max_len, WINDOW), tile), key=key, tile=tile)
     length = F.col("end") - F.col("start") + 1
     score = clamp(round_half_up(F.col("mean_composite") * 100).cast("int"), 0, 100)
     w = Window.partitionBy(key).orderBy(F.desc("score"), "start")

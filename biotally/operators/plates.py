@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from biotally.functions.sequence import number
+from biotally.session import cut_lineage
 
 
 def read_readings(text: Column) -> Column:
@@ -46,20 +47,17 @@ def classify_wells(wells: DataFrame, cutoffs: DataFrame, plate: str = "plate") -
 def roc_points(wells: DataFrame, plate: str = "plate", value: str = "od", label: str = "control") -> DataFrame:
     """True and false positive rate at every distinct cut-off, one pass over the distinct values.
 
-    Wells collapse to distinct values first. The running count above a value is a sum over value ranges plus a sum
-    inside the range, so a group with very many values is not one window.
+    Wells collapse to distinct values, which are dealt by ranges of (plate, value) cut at quantiles of the values that
+    occur, so ranges hold about as many whatever the values are. The running count above a value is a carried sum of the
+    higher ranges of its plate, a row each, plus a sum inside the range. The ranges are written: ``slice`` stays the same.
     """
     w = wells.filter(F.col(label).isin("pos", "neg"))
     counts = w.groupBy(plate, F.col(value).alias("cutoff")).agg(F.count_if(F.col(label) == "pos").alias("p"), F.count_if(F.col(label) == "neg").alias("n"))
-    slices = 64
-    low = counts.groupBy(plate).agg(F.min("cutoff").alias("lo"), F.max("cutoff").alias("hi"), F.sum("p").alias("np"), F.sum("n").alias("nn"))
-    span = F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0))
-    cut = counts.join(low, plate).withColumn(
-        "slice", F.least(F.lit(slices - 1), F.coalesce(F.floor((F.col("cutoff") - F.col("lo")) / span * slices), F.lit(0)))
-    )
+    cut = cut_lineage(counts.repartitionByRange(plate, "cutoff").withColumn("slice", F.spark_partition_id()))
     per_slice = cut.groupBy(plate, "slice").agg(F.sum("p").alias("sp"), F.sum("n").alias("sn"))
-    higher = Window.partitionBy(plate).orderBy(F.desc("slice")).rowsBetween(Window.unboundedPreceding, -1)
-    before = per_slice.select(plate, "slice", F.coalesce(F.sum("sp").over(higher), F.lit(0)).alias("bp"), F.coalesce(F.sum("sn").over(higher), F.lit(0)).alias("bn"))
+    every, higher = Window.partitionBy(plate), Window.partitionBy(plate).orderBy(F.desc("slice")).rowsBetween(Window.unboundedPreceding, -1)
+    sums = {"bp": F.coalesce(F.sum("sp").over(higher), F.lit(0)), "bn": F.coalesce(F.sum("sn").over(higher), F.lit(0)), "np": F.sum("sp").over(every), "nn": F.sum("sn").over(every)}
+    before = per_slice.select(plate, "slice", *[c.alias(n) for n, c in sums.items()])
     inside = Window.partitionBy(plate, "slice").orderBy(F.desc("cutoff")).rowsBetween(Window.unboundedPreceding, 0)
     run = cut.join(before, [plate, "slice"])
     tpr = (F.sum("p").over(inside) + F.col("bp")) / F.nullif(F.col("np"), F.lit(0))
@@ -68,7 +66,7 @@ def roc_points(wells: DataFrame, plate: str = "plate", value: str = "od", label:
 
 
 def roc_auc(points: DataFrame, plate: str = "plate") -> DataFrame:
-    """Trapezoids over the curve from (0, 0): within value slices, then one step between the ends of the slices."""
+    """Trapezoids over the curve from (0, 0): within the ranges of values, then one step between the ends of the ranges."""
     step = lambda w: (F.col("fpr") - F.lag("fpr").over(w)) * (F.col("tpr") + F.lag("tpr").over(w)) / 2
     inside = Window.partitionBy(plate, "slice").orderBy("fpr", "tpr")
     parts = points.withColumn("area", step(inside)).groupBy(plate, "slice").agg(

@@ -125,7 +125,7 @@ def scale_join(spark, sf):
 )
 def composite_score(spark, sf):
     """Normalised scales and composite of every window, averaged per protein."""
-    out = epitopes.minmax_normalize(epitopes.sliding_scores(_proteins(spark, sf)))
+    out = epitopes.composite_scores(_proteins(spark, sf))
     return out.groupBy("protein_id").agg(
         *[F.avg(f"{n}_n").alias(f"{n}_n") for n in SCALES],
         F.avg("composite").alias("mean_composite"),
@@ -136,7 +136,7 @@ def composite_score(spark, sf):
 
 @job("runs_above", f"with {_SCORES}, {_NORM}, {_RUNS} select * from runs", "proteins")
 def runs_above(spark, sf):
-    return epitopes.runs_above(epitopes.minmax_normalize(epitopes.sliding_scores(_proteins(spark, sf)))).drop("w")
+    return epitopes.runs_above(epitopes.composite_scores(_proteins(spark, sf))).drop("w")
 
 
 @job("predict_b_epitopes", f"with {_SCORES}, {_NORM}, {_RUNS}, {_b_sql('b', 6, 20, 15)} select * from b", "proteins")
