@@ -27,9 +27,12 @@ def by_row(rows: DataFrame) -> DataFrame:
 
 
 def only(rows: DataFrame, listed: DataFrame, how: str = "left_semi") -> DataFrame:
-    """Rows whose number is among the first column of ``listed``, or (left_anti) is not, without their number."""
+    """Rows whose number is among the first column of ``listed``, or (left_anti) is not, without their number.
+
+    The list grows with the documents, so both sides are always sorted and merged: a small corpus is treated as a large one.
+    """
     listed = listed.select(F.col(listed.columns[0]).alias("_listed")).distinct()
-    return rows.join(listed, rows["_row"] == listed["_listed"], how).drop("_row")
+    return rows.join(listed.hint("merge"), rows["_row"] == listed["_listed"], how).drop("_row")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
