@@ -7,12 +7,14 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from biotally.reference_tables import DOSE_COLUMNS, DOSE_RATES, PK_COLUMNS, PK_PROFILES, fixed_table
+from biotally.reference_tables import DOSE_COLUMNS, DOSE_NOTES, DOSE_RATES, PK_COLUMNS, PK_PROFILES, fixed_table
 from biotally.session import cut_lineage
 
 
 def dose_table(spark: SparkSession) -> DataFrame:
-    return fixed_table(spark, ("rate_id", *DOSE_COLUMNS), [(i, *r) for i, r in enumerate(DOSE_RATES)])
+    """The rates with their notes; no rate has contraindications, the column is there for tables that do."""
+    rates = fixed_table(spark, ("rate_id", *DOSE_COLUMNS, "notes"), [(i, *r, n) for i, (r, n) in enumerate(zip(DOSE_RATES, DOSE_NOTES, strict=True))])
+    return rates.withColumn("contraindications", F.lit(None).cast("string"))
 
 
 def profile_table(spark: SparkSession) -> DataFrame:
@@ -28,7 +30,7 @@ def dose_join(patients: DataFrame, rates: DataFrame, on: list[str]) -> DataFrame
 
 
 def dose_plan(rows: DataFrame) -> DataFrame:
-    """Amounts, volume, cost and warning of a treatment; an interval of 0 means one administration per day."""
+    """Amounts, volume, cost and warning of a treatment, and what its rate notes; an interval of 0 means one administration per day."""
     c = F.col
     factor = F.when(c("age_group") == "neonate", 0.7).when(c("age_group") == "young", 0.85).otherwise(1.0)
     per_day = F.when(c("interval_hours") > 0, F.lit(24.0) / F.nullif(c("interval_hours"), F.lit(0))).otherwise(1.0)
@@ -41,6 +43,7 @@ def dose_plan(rows: DataFrame) -> DataFrame:
     return rows.select(
         "patient_id", "drug", "species", "route", "dose_mg", (c("dose_mg") * c("per_day")).alias("daily_mg"), (c("dose_mg") * times).alias("course_mg"),
         F.ceil(times).cast("int").alias("administrations"), volume.alias("volume_ml"), cost.alias("cost"), warning.alias("warning"),
+        "notes", "contraindications",
     )
 
 

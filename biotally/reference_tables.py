@@ -208,6 +208,20 @@ DOSE_RATES = (
     ("doxycycline", "Лошадь", 10.0, "oral", 12, 7), ("metronidazole", "Лошадь", 15.0, "oral", 8, 7), ("ceftiofur", "Лошадь", 2.2, "IM", 24, 5),
 )
 
+# Notes to the rates above, in their order (fixed values); the rates have no contraindications.
+DOSE_NOTES = (
+    "Не применять у свиней на откорме (период ожидания 10 дней)", "Развести в 2 точки введения при дозе >10 мл", "Период ожидания 14 дней",
+    "Для лечения респираторных инфекций", "Однократно. Период ожидания 33 дня", "В комбинации с сульфадиазином 1:5", "Перорально через воду",
+    "Период ожидания 14 дней (молоко 84 часа)", "Вводить медленно IV. Период ожидания 22 дня", "2 введения с интервалом 48ч. Период ожидания 38 дней",
+    "Для лечения пневмонии. Не применять у жвачных < 8 недель", "Однократно. Период ожидания 49 дней", "Доза в IU/кг. Период ожидания 14 дней",
+    "В комбинации с триметопримом", "Через воду. Период ожидания 12 дней", "Через воду. Не использовать у несушек", "Через воду",
+    "Через воду. Период ожидания 7 дней", "Через воду", "Через воду", "Не применять щенкам < 8 мес (хрящевая ткань)", "Клавулановая кислота 2:1",
+    "Давать с водой (эзофагит)", "Антианаэробный", "Контроль функции почек. Не > 7 дней", "Нефротоксичный у кошек", "Кожные инфекции",
+    "С клавулановой кислотой", "Давать с водой (эзофагит)", "Ограничить курс (нефротоксичность)", "Не применять котятам < 8 мес",
+    "Горький — давать в капсуле", None, "IU/кг. Не давать лошадям orally", "Контроль функции почек", "Не применять жеребятам < 12 мес",
+    "Давать с водой", "Анаэробные инфекции", None,
+)
+
 # ---------------------------------------------------------------- kinetic profiles (fixed values)
 # drug, species, bioavailability, volume, absorption rate, elimination rate, route, MIC, target type, target
 PK_PROFILES = (
@@ -250,6 +264,18 @@ POCKET_PANEL = (
     ("h5n1", "virus", "h5n1-ha", "связывается с сиаловой кислотой", 13.0, 0, 0.4, True), ("h5n1", "virus", "h5n1-na", "отщепляет сиаловую кислоту", 10.0, -1, 0.3, True),
     ("corynebacterium", "bacterium", "corynebacterium-pld", "фактор вирулентности", 9.0, 0, 0.5, False),
 )
+# target, its name, its structure's PDB id (fixed values)
+TARGETS = (
+    ("asfv-p72", "Капсидный белок p72", "6QU9"), ("asfv-polx", "ДНК-полимераза X", "3QZJ"), ("fmdv-3c", "3C-протеаза", "6QYL"),
+    ("fmdv-vp1", "Капсидный белок VP1", "1FOD"), ("brucella-fabI", "Эноил-АЦП-редуктаза FabI", "4LSY"), ("hpai-na", "Нейраминидаза NA", "2HTY"),
+    ("hpai-m2", "Ионный канал M2", "2LKF"), ("ndv-hn", "Гемагглютинин-нейраминидаза HN", "3T1E"), ("rv-g", "Гликопротеин G", "6LGW"),
+    ("salmonella-gyra", "ДНК-гираза GyrA", "2XCT"), ("salmonella-flic", "Флагеллин FliC", "1UC1"), ("bvdv-ns3", "NS3 протеаза/хеликаза", "1S48"),
+    ("bvdv-erns", "Eᴿⁿˢ гликопротеин", "2BTT"), ("leptospira-lip32", "Лipoprotein LipL32", "5DNG"), ("leptospira-fab", "β-кетоацил-ACP-синтаза", "2Q9B"),
+    ("pedv-spike", "Спайковый гликопротеин S", "7XGX"), ("pedv-3clpro", "Основная протеаза 3CLpro", "7QEU"), ("ecoli-gyra", "ДНК-гираза GyrA", "6F87"),
+    ("ecoli-ltab", "Термолабильный энтеротоксин LT", "1LTS"), ("anaplasma-msp5", "Major Surface Protein 5", "2VWM"), ("clostridium-cpa", "Альфа-токсин (фосфолипаза C)", "1QMY"),
+    ("campylobacter-gyra", "ДНК-гираза GyrA", "5NVL"), ("mycoplasma-p146", "Адгезин P146", "2MTS"), ("h5n1-ha", "Гемагглютинин H5", "2FK0"),
+    ("h5n1-na", "Нейраминидаза N1", "2HTY"), ("corynebacterium-pld", "Фосфолипаза D", "1V0O"),
+)
 # mechanism pattern, target-id pattern, function pattern, boost
 MECHANISM_RULES = (
     ("гираз|dna gyrase|topoisomerase", "gyr", "гираз|суперскручив", 15),
@@ -263,6 +289,7 @@ MECHANISM_RULES = (
 ENZYME_COLUMNS = ("name", "recognition", "cut_top", "cut_bottom", "cut_type", "palindromic")
 PANEL_COLUMNS = ("pathogen_id", "kind", "target_id", "function", "pocket_radius", "pocket_charge", "pocket_hydrophobicity", "essential")
 DOSE_COLUMNS = ("drug", "species", "dose_mg_kg", "route", "interval_hours", "duration_days")
+TARGET_COLUMNS = ("target_id", "target_name", "pdb_id")
 PK_COLUMNS = ("drug", "species", "bioavailability", "volume", "ka", "ke", "route", "mic", "target_type", "target")
 
 

@@ -10,7 +10,7 @@ VIEWS = {
     "proteins": """select doc_id as protein_id, lang as species, x as seq from (select doc_id, lang,
         regexp_replace(upper(regexp_replace(text,'[^A-Za-z]','','g')),'[BJOUXZ]','','g') as x from documents) t where x <> ''""",
     "benchmark_dna": f"select item_id as seq_id, {_DNA} as seq from benchmark",
-    "compounds": """select p_partkey as drug_id, p_name as name, p_type as pharm_group,
+    "compounds": """select p_partkey as drug_id, p_name as name, lower(split_part(p_name, ' ', 1)) as inn, p_type as pharm_group,
         case p_type when 'ECONOMY' then 'DNA gyrase inhibitor' when 'SMALL' then '30S subunit binder'
         when 'MEDIUM' then 'transpeptidase (PBP) inhibitor' when 'PROMO' then 'RdRp polymerase inhibitor'
         when 'STANDARD' then 'protease (3CL) inhibitor' end as mechanism,

@@ -7,17 +7,17 @@ import math
 from pyspark.sql import functions as F
 
 from biotally.operators import exposure as x
-from biotally.reference_tables import DOSE_COLUMNS, DOSE_RATES, PK_COLUMNS, PK_PROFILES, sql_values
+from biotally.reference_tables import DOSE_COLUMNS, DOSE_NOTES, DOSE_RATES, PK_COLUMNS, PK_PROFILES, sql_values
 from biotally.registry.core import job
 from biotally.sources import tables as t
 
-_RATES = "rates as (select * from " + sql_values("r", ("rate_id", *DOSE_COLUMNS), [(i, *r) for i, r in enumerate(DOSE_RATES)]) + ")"
+_RATES = "rates as (select * from " + sql_values("r", ("rate_id", *DOSE_COLUMNS, "notes"), [(i, *r, n) for i, (r, n) in enumerate(zip(DOSE_RATES, DOSE_NOTES, strict=True))]) + ")"
 _PLAN = f"""{_RATES}, p1 as (select *, round(dose_mg_kg * case age_group when 'neonate' then 0.7::double when 'young' then 0.85::double else 1.0::double end * weight, 9) as dose_mg,
   case when interval_hours > 0 then 24.0::double / interval_hours else 1.0::double end as per_day from patients join rates using (rate_id)),
 p2 as (select *, per_day * duration_days as times, case when concentration > 0 then dose_mg / concentration else 0.0::double end as volume_ml from p1),
 plan as (select patient_id, drug, species, route, dose_mg, dose_mg * per_day as daily_mg, dose_mg * times as course_mg, cast(ceil(times) as int) as administrations, volume_ml,
   case when price > 0 and volume_ml > 0 then volume_ml * times * price end as cost,
-  case when weight > 500 and route = 'IM' then 'IM in large animal' when dose_mg > 5000 then 'split dose' end as warning from p2)"""
+  case when weight > 500 and route = 'IM' then 'IM in large animal' when dose_mg > 5000 then 'split dose' end as warning, notes, cast(null as varchar) as contraindications from p2)"""
 
 
 @job("dose_report", f"with {_PLAN} select * from plan", "patients")

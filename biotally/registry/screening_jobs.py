@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from biotally.functions import chem
 from biotally.operators import screening as s
-from biotally.reference_tables import MECHANISM_RULES, PANEL_COLUMNS, POCKET_PANEL, sql_values
+from biotally.reference_tables import MECHANISM_RULES, PANEL_COLUMNS, POCKET_PANEL, TARGET_COLUMNS, TARGETS, sql_values
 from biotally.registry.core import job
 from biotally.sources import reports
 from biotally.sources import tables as t
@@ -15,6 +15,7 @@ _PANEL = sql_values("p", PANEL_COLUMNS, POCKET_PANEL)
 _VIOL = "(mw > 600)::int + (logp > 5)::int + (hbd > 5)::int + (hba > 10)::int + (rotatable_bonds > 12)::int"
 _STRICT = "(mw > 500)::int + (logp > 5)::int + (hbd > 5)::int + (hba > 10)::int + (rotatable_bonds > 10)::int"
 _D = "::double"
+_TARGETS = sql_values("ta", TARGET_COLUMNS, TARGETS)
 
 
 def _boost() -> str:
@@ -62,7 +63,7 @@ def top_results(spark, sf):
 
 
 _FIELDS = {
-    "drug_name": "name", "inn": "name", "target": "target_id", "pdb_id": "''", "shape": "cast(floor(shape + 0.5) as bigint)", "electrostatic": "cast(floor(electrostatic + 0.5) as bigint)",
+    "drug_name": "name", "target": "target_name", "shape": "cast(floor(shape + 0.5) as bigint)", "electrostatic": "cast(floor(electrostatic + 0.5) as bigint)",
     "hydrophobic": "cast(floor(hydrophobic + 0.5) as bigint)", "dg_kcal_mol": "binding_affinity", "lipinski_pass": "case when lipinski_pass then 'pass' else 'fail' end",
     "lipinski_violations": "violations", "mechanism": "coalesce(mechanism, '')", "ru_registered": "case when registered then 'yes' else 'no' end",
 }
@@ -75,7 +76,7 @@ def _field(n):
 
 @job(
     "screen_compounds",
-    f"with {_SCREEN}, {_TOP.format(where=' where lipinski_pass')} select pathogen_id, rank, concat_ws(',', {', '.join(_field(n) for n in reports.CSV_COLUMNS)}) as line from top where rank <= 50",
+    f"with {_SCREEN}, {_TOP.format(where=' where lipinski_pass')} select pathogen_id, rank, concat_ws(',', {', '.join(_field(n) for n in reports.CSV_COLUMNS)}) as line from top join {_TARGETS} using (target_id) where rank <= 50",
     "compounds",
 )
 def screen_compounds(spark, sf):

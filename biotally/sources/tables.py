@@ -71,6 +71,7 @@ def compounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(
         F.col("p_partkey").alias("drug_id"),
         F.col("p_name").alias("name"),
+        F.lower(F.split_part("p_name", F.lit(" "), F.lit(1))).alias("inn"),
         F.col("p_type").alias("pharm_group"),
         F.expr(
             "case p_type when 'ECONOMY' then 'DNA gyrase inhibitor' when 'SMALL' then '30S subunit binder' "
