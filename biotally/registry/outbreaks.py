@@ -263,3 +263,18 @@ def protein_tree_upgma(spark, sf):
 @job("protein_tree_neighbor_joining", f"with recursive {_PROTEIN_DIST}, {_NJ.format()} select cluster, cast(leaves as bigint) as leaves, max_depth, newick from nj_tree", "proteins")
 def protein_tree_neighbor_joining(spark, sf):
     return tree.cluster_tree(pairs.protein_distances(_protein_batches(spark, sf)), method="neighbor-joining")[0]
+
+
+_BY_SOURCE = _DISTANCES.format(p="", long=" and length(a.seq) >= 10 and length(b.seq) >= 10").replace("isolates", "by_source")
+
+
+@job(
+    "source_distances",
+    f"with by_source as (select isolate_id, source as cluster, seq from isolates), {_BY_SOURCE} select cluster, count(*) as pairs, min(d) as closest, max(d) as farthest, avg(d) as mean_d, cast(count_if(d = 0) as bigint) as equal from dist group by 1",
+    "isolates",
+)
+def source_distances(spark, sf):
+    """Distances inside a whole source, whose isolates grow with the table: many blocks a cluster, folded where pairs are made."""
+    by_source = t.isolates(spark, sf).select("isolate_id", F.col("source").alias("cluster"), "seq")
+    folded = pairs.pair_distances(by_source).groupBy("cluster")
+    return folded.agg(F.count("*").alias("pairs"), F.min("d").alias("closest"), F.max("d").alias("farthest"), F.avg("d").alias("mean_d"), F.count_if(F.col("d") == 0).alias("equal"))
