@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from biotally.functions.sequence import codons, gc_content, words_at, reverse_complement, translate_codons
-from biotally.session import spread
+from biotally.functions.sequence import codons, gc_content, reverse_complement, sequence_tiles, translate_codons, words_at
 from biotally.reference_tables import STARTS, STOPS
+from biotally.session import spread
 
 
 def both_strands(seqs: DataFrame, key: str = "seq_id") -> DataFrame:
@@ -37,29 +37,60 @@ def next_stop(codon_rows: DataFrame, key: str = "seq_id") -> DataFrame:
     return codon_rows.withColumn("stop", F.min(stop).over(w)).filter(F.col("codon").isin(*STARTS) & F.col("stop").isNotNull())
 
 
-def stop_segments(seqs: DataFrame, key: str = "seq_id") -> DataFrame:
-    """Each strand and frame cut after its stop codons: (key, strand, n, at, segment), ``at`` 0-based on the strand.
+ORF_TILE = 3 << 14  # letters; whole codons, so that a frame goes on from tile to tile
 
-    Every segment ends with a stop, so it holds all start codons whose first in-frame stop is its last codon.
-    The match continues where the last one ended, so a tail without a stop yields nothing out of frame.
+
+def _frame_tiles(seqs: DataFrame, key: str, tile: int) -> DataFrame:
+    """The three frames of every tile of both strands: (key, strand, n, _tile, frame, pieces), dealt by tile.
+
+    ``pieces`` are cut after each stop codon; a last one without a stop is what the next tile goes on with.
     """
     stop = "|".join(STOPS)
-    cut = F.regexp_extract_all(F.col("text"), F.lit(f"\\G((?:(?!{stop})...)*+(?:{stop}))"), F.lit(1))
-    frames = both_strands(seqs, key).select(
-        key, "strand", F.length("seq").alias("n"), F.inline(F.array(*[F.struct(F.lit(f).alias("frame"), F.expr(f"substr(seq, {f + 1})").alias("text")) for f in range(3)]))
-    )
-    parts = frames.select(key, "strand", "n", "frame", F.posexplode(cut).alias("no", "segment"))
-    before = Window.partitionBy(key, "strand", "frame").orderBy("no").rowsBetween(Window.unboundedPreceding, -1)
-    at = F.col("frame") + F.coalesce(F.sum(F.length("segment")).over(before), F.lit(0))
-    return parts.select(key, "strand", "n", at.cast("int").alias("at"), "segment")
+    inner = f"(?:(?!{stop})...)"
+    cut = F.regexp_extract_all("text", F.lit(f"\\G({inner}*+(?:{stop})|{inner}++)"), F.lit(1))
+    plus = F.struct(F.lit("+").alias("strand"), F.col("seq").alias("seq"))
+    minus = F.struct(F.lit("-").alias("strand"), reverse_complement(F.col("seq")).alias("seq"))
+    strands = seqs.select(key, F.inline(F.array(plus, minus))).withColumn("n", F.length("seq"))
+    tiles = spread(sequence_tiles(strands, (key, "strand", "n"), F.col("seq"), 3, tile), key, "strand", "_tile")
+    frames = F.array(*[F.struct(F.lit(f).alias("frame"), F.expr(f"substr(_text, {f + 1}, {tile})").alias("text")) for f in range(3)])
+    return tiles.select(key, "strand", "n", "_tile", F.inline(frames)).select(key, "strand", "n", "_tile", "frame", cut.alias("pieces"))
 
 
-def find_orfs(seqs: DataFrame, key: str = "seq_id", min_len: int = 30) -> DataFrame:
+def stop_segments(seqs: DataFrame, key: str = "seq_id", tile: int = ORF_TILE) -> DataFrame:
+    """Each strand and frame cut after its stop codons: (key, strand, n, at, segment), ``at`` 0-based on the strand.
+
+    Every segment ends with a stop, so it holds all start codons whose first in-frame stop is its last codon. Segments
+    inside a tile are made where the tile is; what a tile begins and ends with meets its neighbours' by frame, a row or
+    two a tile, and only of sequences that have several.
+    """
+    if tile % 3:
+        raise ValueError("a tile holds whole codons")
+    frames = _frame_tiles(seqs, key, tile)
+    stops = lambda c: F.right(c, F.lit(3)).isin(*STOPS)
+    parts = frames.select(key, "strand", "n", "_tile", "frame", F.posexplode("pieces").alias("no", "segment"))
+    before = Window.partitionBy(key, "strand", "_tile", "frame").orderBy("no").rowsBetween(Window.unboundedPreceding, -1)
+    at = F.col("_tile") * tile + F.col("frame") + F.coalesce(F.sum(F.length("segment")).over(before), F.lit(0))
+    inside = parts.withColumn("at", at.cast("int")).filter(stops(F.col("segment")) & ((F.col("no") > 0) | (F.col("_tile") == 0)))
+
+    start = F.col("_tile") * tile + F.col("frame")
+    open_end = F.size("pieces") > F.when(F.col("_tile") > 0, 1).otherwise(0)
+    letters = F.aggregate("pieces", F.lit(0), lambda n, x: n + F.length(x))
+    head = F.when((F.col("_tile") > 0) & (F.size("pieces") > 0), F.struct(start.alias("at"), F.get("pieces", F.lit(0)).alias("piece")))
+    tail = F.when(open_end & ~stops(F.try_element_at("pieces", F.lit(-1))), F.struct((start + letters - F.length(F.try_element_at("pieces", F.lit(-1)))).alias("at"), F.try_element_at("pieces", F.lit(-1)).alias("piece")))
+    edges = frames.filter(F.col("n") > tile).select(key, "strand", "n", "frame", F.inline(F.array_compact(F.array(head, tail))))
+    along = Window.partitionBy(key, "strand", "frame").orderBy("at")
+    chained = edges.withColumn("chain", F.coalesce(F.sum(stops(F.col("piece")).cast("int")).over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "piece"))), lambda x: x["piece"]), "")
+    across = chained.groupBy(key, "strand", "n", "frame", "chain").agg(F.min("at").cast("int").alias("at"), text.alias("segment")).filter(stops(F.col("segment")))
+    return inside.select(key, "strand", "n", "at", "segment").unionByName(across.select(key, "strand", "n", "at", "segment"))
+
+
+def find_orfs(seqs: DataFrame, key: str = "seq_id", min_len: int = 30, tile: int = ORF_TILE) -> DataFrame:
     """Every start codon with its first in-frame stop, coordinates mapped back to the given strand.
 
-    Sequences are partitioned once by key; segments carry their own text, so nothing joins back to the sequence.
+    Sequences are dealt once, by tile; segments carry their own text, so nothing joins back to the sequence.
     """
-    segments = stop_segments(seqs, key).filter(F.length("segment") >= min_len)
+    segments = stop_segments(seqs, key, tile).filter(F.length("segment") >= min_len)
     rows = segments.withColumn("protein", translate_codons(F.col("segment"))).select("*", F.posexplode(codons(F.col("segment"))).alias("j", "codon"))
     length = F.length("segment") - F.col("j") * 3
     starts = rows.filter(F.col("codon").isin(*STARTS) & (length >= min_len))

@@ -167,7 +167,8 @@ def test_alignment_scores(spark, mode):
             assert r.aligned_a.replace("-", "") == a and r.aligned_b.replace("-", "") == b
 
 
-def test_orfs(spark):
+@pytest.mark.parametrize("tile", [orfs.ORF_TILE, 60, 9])
+def test_orfs(spark, tile):
     rnd = random.Random(12)
     seq = "".join(rnd.choice("ACGT") for _ in range(900))
     rc = seq[::-1].translate(str.maketrans("ACGT", "TGCA"))
@@ -180,7 +181,7 @@ def test_orfs(spark):
                         if j + 3 - i >= 30:
                             want.add((strand, i + 1, j + 3) if strand == "+" else (strand, len(s) - j - 2, len(s) - i))
                         break
-    got = {(r.strand, r.start, r.end) for r in orfs.find_orfs(spark.createDataFrame([(1, seq)], "seq_id long, seq string")).collect()}
+    got = {(r.strand, r.start, r.end) for r in orfs.find_orfs(spark.createDataFrame([(1, seq)], "seq_id long, seq string"), tile=tile).collect()}
     assert got == want
 
 
