@@ -171,6 +171,7 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     Members of a narrow value need not be alike, so every two of them are compared: first each with the two before it,
     which joins most of a group of copies, then in values of four members or more all that are not yet of one component.
+    Members of equal narrow fingerprints, which share all their values, meet where the value is that fingerprint.
     """
     base = docs.select(id_column(docs, id_col).alias("doc_id"), text_column(docs, text_col).alias("text"))
     words = [f"s{k}" for k in range(PARTS)]
@@ -185,11 +186,15 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     narrow = [F.shiftrightunsigned(w, NARROW * half).bitwiseAND(F.lit((1 << NARROW) - 1)) for w in words for half in (0, 1)]
     tables = F.explode(F.array(*(F.shiftleft(F.lit(k).cast("long"), NARROW).bitwiseOR(n) for k, n in enumerate(narrow)))).alias("fp")
     masks = F.array(*(F.lit(m).cast("long") for m in ball(RADIUS // 2, NARROW)))
-    emitted = distinct.select("node", tables).select("node", F.explode(masks).alias("mask"), "fp").select("node", F.col("fp").bitwiseXOR(F.col("mask")).alias("value"))
+    emitted = distinct.select("node", tables).select("node", F.posexplode(masks).alias("k", "mask"), "fp").select("node", F.col("fp").bitwiseXOR(F.col("mask")).alias("value"), F.col("k").cast("byte").alias("k"))
+    # A value that only members with one and the same narrow fingerprint emitted, other than itself, brings nothing: they
+    # all meet at that fingerprint too.
+    whole = Window.partitionBy("value")
+    useful = (F.min("k").over(whole) == 0) | (F.min("k").over(whole) != F.max("k").over(whole))
     w = Window.partitionBy("value").orderBy("node")
-    around = emitted.select("node", "value", F.row_number().over(w).alias("place"), *(F.lag("node", k).over(w).alias(f"b{k}") for k in (1, 2)), *(F.lead("node", k).over(w).alias(f"n{k}") for k in (1, 2, 3)))
+    around = emitted.select("node", "value", useful.alias("useful"), F.row_number().over(w).alias("place"), *(F.lag("node", k).over(w).alias(f"b{k}") for k in (1, 2)), *(F.lead("node", k).over(w).alias(f"n{k}") for k in (1, 2, 3)))
     members = F.least(F.col("place") - 1, F.lit(3)) + sum((F.col(f"n{k}").isNotNull().cast("int") for k in (2, 3)), F.col("n1").isNotNull().cast("int"))
-    around = cut_lineage(around.select("node", "b1", "b2", (members >= 3).alias("many"), "value", "place").where(F.col("b1").isNotNull() | F.col("many")))
+    around = cut_lineage(around.select("node", "b1", "b2", ((members >= 3) & F.col("useful")).alias("many"), "value", "place").where(F.col("b1").isNotNull() | F.col("many")))
     met = around.select("node", F.explode(F.array("b1", "b2")).alias("before")).where(F.col("before").isNotNull()).distinct()
     of = lambda c, side: distinct.select(F.col("node").alias(c), *(F.col(x).alias(f"{side}{x}") for x in words))
     pairs = cut_lineage(met).join(of("node", "a"), "node").join(of("before", "b"), "before")
