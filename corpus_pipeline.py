@@ -21,6 +21,15 @@ def keyed(docs: DataFrame) -> DataFrame:
     return cut_lineage(docs.withColumn("_row", F.monotonically_increasing_id()))
 
 
+def by_content(docs: DataFrame, *columns: str) -> DataFrame:
+    """The rows with a hash of what a verdict depends on as ``_row``: nothing is written, and equal rows have one verdict.
+
+    The hash has 64 bits: that a document shares it with another one of a different verdict is out of reach for any corpus
+    of practical size.
+    """
+    return docs.withColumn("_row", F.xxhash64(*columns, *(F.col(c).isNull() for c in columns)))
+
+
 def by_row(rows: DataFrame) -> DataFrame:
     """``rows`` for an operator that tells documents apart by doc_id."""
     return rows.withColumn("doc_id", F.col("_row"))
@@ -36,8 +45,8 @@ def only(rows: DataFrame, listed: DataFrame, how: str = "left_semi") -> DataFram
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep, each row by its own text."""
-    rows = keyed(docs)
+    """Documents that the quality rules keep, each row by its own text, language and source."""
+    rows = by_content(docs, "text", "lang", "source")
     return only(rows, quality_rules(by_row(rows)).where("kept"))
 
 
@@ -55,7 +64,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no item of the benchmark and no paraphrase of one, each row by its own text."""
-    rows = keyed(docs)
+    rows = by_content(docs, "text")
     leaks = cut_lineage(find_leaks(by_row(rows), spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
     return only(rows, leaks, "left_anti")
 
