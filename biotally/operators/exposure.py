@@ -43,7 +43,7 @@ def dose_plan(rows: DataFrame) -> DataFrame:
     return rows.select(
         "patient_id", "drug", "species", "route", "dose_mg", (c("dose_mg") * c("per_day")).alias("daily_mg"), (c("dose_mg") * times).alias("course_mg"),
         F.ceil(times).cast("int").alias("administrations"), volume.alias("volume_ml"), cost.alias("cost"), warning.alias("warning"),
-        "notes", "contraindications",
+        *[(c(n) if n in rows.columns else F.lit(None).cast("string")).alias(n) for n in ("notes", "contraindications")],
     )
 
 
