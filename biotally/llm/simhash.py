@@ -169,8 +169,9 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     hashing with radius 2, each for itself, and the links checked on all bits together. A true pair has several
     chances to meet, its recall is measured in the tests; texts with equal fingerprints take part once.
 
-    Members of a narrow value need not be alike, so every two of them are compared: first each with the two before it,
-    which joins most of a group of copies, then in values of four members or more all that are not yet of one component.
+    Members of a narrow value need not be alike, so every two of them are compared: first each with the one before it,
+    and in values of up to three members with the two before it, which joins most of a group of copies, then in values of
+    four members or more all that are not yet of one component.
     Members of equal narrow fingerprints, which share all their values, meet where the value is that fingerprint.
     """
     base = docs.select(id_column(docs, id_col).alias("doc_id"), text_column(docs, text_col).alias("text"))
@@ -194,8 +195,10 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     w = Window.partitionBy("value").orderBy("node")
     around = emitted.select("node", "value", useful.alias("useful"), F.row_number().over(w).alias("place"), *(F.lag("node", k).over(w).alias(f"b{k}") for k in (1, 2)), *(F.lead("node", k).over(w).alias(f"n{k}") for k in (1, 2, 3)))
     members = F.least(F.col("place") - 1, F.lit(3)) + sum((F.col(f"n{k}").isNotNull().cast("int") for k in (2, 3)), F.col("n1").isNotNull().cast("int"))
-    around = cut_lineage(around.select("node", "b1", "b2", ((members >= 3) & F.col("useful")).alias("many"), "value", "place").where(F.col("b1").isNotNull() | F.col("many")))
-    met = around.select("node", F.explode(F.array("b1", "b2")).alias("before")).where(F.col("before").isNotNull()).distinct()
+    around = around.where("useful").select("node", "b1", "b2", (members >= 3).alias("many"), "value", "place")
+    around = cut_lineage(around.where(F.col("b1").isNotNull() | F.col("many")))
+    # Where all members are compared later, a path through them is enough here.
+    met = around.select("node", F.explode(F.array("b1", F.when(~F.col("many"), F.col("b2")))).alias("before")).where(F.col("before").isNotNull()).distinct()
     of = lambda c, side: distinct.select(F.col("node").alias(c), *(F.col(x).alias(f"{side}{x}") for x in words))
     pairs = cut_lineage(met).join(of("node", "a"), "node").join(of("before", "b"), "before")
     apart = sum((F.bit_count(F.col(f"a{x}").bitwiseXOR(F.col(f"b{x}"))) for x in words[1:]), F.bit_count(F.col("as0").bitwiseXOR(F.col("bs0"))))
