@@ -47,50 +47,90 @@ def plate_stream(wells: DataFrame, window: str = "1 day", delay: str = "1 day")
 class _Exposure(StatefulProcessor):
     """Rows of a subject wait until the watermark has passed them, then count in order of time.
 
-    A waiting row lies in the state store under its millisecond, with a timer for it; timers of a subject fire in order
-    of time, each with the few rows of one millisecond. What has been counted is (time, amount) only.
+    Waiting rows lie in the state store in pieces of at most ``PIECE`` rows, each sorted by time, under their first
+    millisecond and a running number. A subject has a timer for its first waiting millisecond; when it fires, all that the
+    watermark has passed is taken from the pieces that have begun, and the rest of these waits on. So state is called a few
+    times a subject and trigger, not for every row. What has been counted is (time, amount) only.
     """
 
+    PIECE = 512
+
     def __init__(self, rate: float, idle_ms: int) -> None:
         self.rate, self.idle_ms = rate, idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.body = handle.getValueState("body", "last double, amount double, seen_ms long")
-        self.waiting = handle.getMapState("waiting", "ms long", "t array<double>, dose array<double>, is_sample array<boolean>, event_id array<long>")
+        self.body = handle.getValueState("body", "last double, amount double, seen_ms long, idle_ms long")
+        self.pieces = handle.getValueState("pieces", "next long, passed_ms long")
+        self.waiting = handle.getMapState("waiting", "ms long, no long", "ms array<long>, t array<double>, dose array<double>, is_sample array<boolean>, event_id array<long>")
+
+    def _wait(self, rows: list[tuple], number: int) -> int:
+        """Store (ms, t, dose, is_sample, event_id) rows in pieces; returns the next free number."""
+        for k in range(0, len(rows), self.PIECE):
+            piece = rows[k : k + self.PIECE]
+            self.waiting.updateValue((piece[0][0], number), tuple(list(c) for c in zip(*piece, strict=True)))
+            number += 1
+        return number
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        number, passed = self.pieces.get() if self.pieces.exists() else (0, None)
+        first = None
         for batch in rows:
-            ms = batch["ts"].astype("datetime64[us]").astype("int64") // 1000
-            for at, group in batch.groupby(ms.to_numpy(), sort=False):
-                at = int(at)
-                held = self.waiting.getValue((at,)) if self.waiting.containsKey((at,)) else ([], [], [], [])
-                if not held[0]:
-                    self.handle.registerTimer(at)
-                self.waiting.updateValue((at,), tuple([*old, *group[c].tolist()] for old, c in zip(held, ("t", "dose", "is_sample", "event_id"), strict=True)))
-        yield pd.DataFrame()
+            ms = (batch["ts"].astype("datetime64[us]").astype("int64") // 1000).tolist()
+            new = sorted(zip(ms, *(batch[c].tolist() for c in ("t", "dose", "is_sample", "event_id")), strict=True), key=lambda x: x[0])
+            if new:
+                number = self._wait(new, number)
+                first = new[0][0] if first is None else min(first, new[0][0])
+        if first is not None:
+            # A row may come at a millisecond that was passed only in part: what was passed is looked at again.
+            self.pieces.update((number, None))
+            self.handle.registerTimer(first)
+        return iter(())
+
+    def _passed(self, watermark: int) -> list[tuple]:
+        """The waiting rows up to the watermark, taken out of their pieces; a timer is set for the first of the others."""
+        number, passed = self.pieces.get() if self.pieces.exists() else (0, None)
+        if passed is not None and passed >= watermark:
+            return []
+        ready, rest, later = [], [], []
+        for at, no in list(self.waiting.keys()):
+            if at > watermark:
+                later.append(at)
+                continue
+            for row in zip(*self.waiting.getValue((at, no)), strict=True):
+                (ready if row[0] <= watermark else rest).append(row)
+            self.waiting.removeKey((at, no))
+        rest.sort(key=lambda x: x[0])
+        later += [row[0] for row in rest[:1]]
+        self.pieces.update((self._wait(rest, number), watermark))
+        if later:
+            self.handle.registerTimer(min(later))
+        return ready
 
     def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
-        at = expiredTimerInfo.getExpiryTimeInMs()
-        known = self.body.exists()
-        last, amount, seen = self.body.get() if known else (0.0, 0.0, at)
+        watermark = timerValues.getCurrentWatermarkInMs()
+        known = created = self.body.exists()
+        last, amount, seen, idle = self.body.get() if known else (0.0, 0.0, 0, 0)
         out = []
-        if self.waiting.containsKey((at,)):
-            t, dose, is_sample, event_id = self.waiting.getValue((at,))
-            self.waiting.removeKey((at,))
-            for now, sampled, event, given in sorted(zip(t, is_sample, event_id, dose, strict=True)):
-                amount = (amount * math.exp(-self.rate * (now - last)) if known else 0.0) + given
-                last, known, seen = now, True, at
-                if sampled:
-                    out.append((key[0], event, now, amount))
-            if not self.body.exists():
-                self.handle.registerTimer(at + self.idle_ms)
-            self.body.update((last, amount, seen))
-        elif known and at >= seen + self.idle_ms:
+        ready = self._passed(watermark)
+        for at, now, sampled, event, given in sorted((ms, t, sampled, event, dose) for ms, t, dose, sampled, event in ready):
+            amount = (amount * math.exp(-self.rate * (now - last)) if known else 0.0) + given
+            last, known, seen = now, True, at
+            if sampled:
+                out.append((key[0], event, now, amount))
+        due = known and created and expiredTimerInfo.getExpiryTimeInMs() >= idle
+        if due and watermark >= seen + self.idle_ms:
             self.body.clear()
-        elif known:
-            self.handle.registerTimer(seen + self.idle_ms)
-        yield pd.DataFrame(out, columns=["subject", "sample_id", "t", "amount"]).astype({"subject": "int64", "sample_id": "int64", "t": "float64", "amount": "float64"})
+            if next(iter(self.waiting.keys()), None) is None:
+                self.pieces.clear()
+        elif known and (ready or due):
+            if due or not created:
+                idle = seen + self.idle_ms
+                self.handle.registerTimer(idle)
+            self.body.update((last, amount, seen, idle))
+        if not out:
+            return iter(())
+        return iter([pd.DataFrame(out, columns=["subject", "sample_id", "t", "amount"]).astype({"subject": "int64", "sample_id": "int64", "t": "float64", "amount": "float64"})])
 
     def close(self) -> None:
         pass

@@ -91,3 +91,64 @@ def test_rows_beyond_the_delay_are_counted_as_dropped(spark, tmp_path):
     assert dropped == 1  # the dose of hour 1, which came after hour 30
     kept = [x for f in files for x in f if x[2] != 5]
     assert set(got) == {2, 3, 6} and all(got[e] == pytest.approx(plain_amount(kept, 1, h)) for _, h, e, _, m in kept if e in got)
+
+
+def test_state_is_called_a_few_times_a_subject(spark, tmp_path, monkeypatch):
+    import pandas as pd
+
+    calls = []
+
+    class Value:
+        def __init__(self):
+            self.value = None
+
+        def exists(self):
+            calls.append("exists")
+            return self.value is not None
+
+        def get(self):
+            calls.append("get")
+            return self.value
+
+        def update(self, value):
+            calls.append("update")
+            self.value = value
+
+        def clear(self):
+            self.value = None
+
+    class Rows(dict):
+        def __getattr__(self, name):
+            held = {"updateValue": self.__setitem__, "getValue": self.__getitem__, "containsKey": self.__contains__, "removeKey": self.pop, "keys": None}[name]
+            return lambda *given: calls.append(name) or held(*given)
+
+        def keys(self):
+            calls.append("keys")
+            return iter(list(dict.keys(self)))
+
+    class Handle:
+        timers: set = set()
+        getValueState = lambda self, *_: Value()
+        getMapState = lambda self, *_: Rows()
+
+        def registerTimer(self, at):
+            calls.append("timer")
+            self.timers.add(at)
+
+    class At:
+        def __init__(self, at):
+            self.getExpiryTimeInMs = self.getCurrentWatermarkInMs = lambda: at
+
+    r = random.Random(9)
+    rows = [(1, r.uniform(0, 90), k, 0.0 if k % 2 else r.uniform(1, 9), bool(k % 2)) for k in range(2000)]
+    machine = jobs._Exposure(0.1, 10**9)
+    machine.init(Handle())
+    log = pd.DataFrame([(START + datetime.timedelta(hours=h), h, e, d, m) for _, h, e, d, m in rows], columns=["ts", "t", "event_id", "dose", "is_sample"])
+    list(machine.handleInputRows((1,), iter([log[:900], log[900:]]), None))
+    got = {}
+    start = int(START.replace(tzinfo=datetime.timezone.utc).timestamp() * 1000)
+    for hour in (30, 60, 100):  # the watermark goes on in steps
+        for out in machine.handleExpiredTimer((1,), At(start + hour * 3600000), At(start + hour * 3600000)):
+            got.update(zip(out["sample_id"], out["amount"], strict=True))
+    assert len(got) == 1000 and all(got[e] == pytest.approx(plain_amount(rows, 1, h)) for _, h, e, _, m in rows if m)
+    assert len(calls) < 100  # a timer and some calls for every row before
