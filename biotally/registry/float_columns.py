@@ -96,6 +96,7 @@ FLOAT_COLUMNS = {'adjacent_naturalness': ('naturalness',),
  'seed_search': ('identity', 'coverage'),
  'sequence_summary': ('antigenicity',),
  'sliding_score': ('hydro', 'flex', 'surf', 'turn'),
+ 'similar_ligands': ('tanimoto',),
  'source_distances': ('closest', 'farthest', 'mean_d'),
  'steady_state': ('half_life', 'clearance', 'css_avg', 'css_max', 'css_min'),
  'tanimoto_join': ('tanimoto',),

@@ -241,8 +241,8 @@ def _references(bits):
     return bits.join(first, "mol_id", "left_semi").select("mol_id", "bit")
 
 
-@job("tanimoto_join", f"with {_FP} select mol_id, ref_id, tanimoto from tan where tanimoto >= 0.4", "fingerprints")
-def tanimoto_join(spark, sf):
+@job("similar_ligands", f"with {_FP} select mol_id, ref_id, tanimoto from tan where tanimoto >= 0.4", "fingerprints")
+def similar_ligands(spark, sf):
     """Known ligands at a similarity of 0.4 or more."""
     bits = t.fingerprints(spark, sf)
     return s.similar_references(bits.select("mol_id", "bit"), _references(bits), 0.4)
@@ -261,6 +261,11 @@ def _tanimoto(spark, sf):
     return s.tanimoto_to_references(packed, first)
 
 
+@job("tanimoto_join", f"with {_FP} select mol_id, ref_id, n_bits, tanimoto from tan", "fingerprints")
+def tanimoto_join(spark, sf):
+    return _tanimoto(spark, sf).select("mol_id", "ref_id", "n_bits", "tanimoto")
+
+
 @job("tanimoto_pairs", f"with {_FP} select mol_id, ref_id, n_bits, tanimoto from tan", "fingerprints")
 def tanimoto_pairs(spark, sf):
     """Every molecule against every known ligand."""

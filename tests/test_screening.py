@@ -63,3 +63,13 @@ def test_no_pattern_is_matched_per_pair(spark):
 def test_ligand_alerts(spark):
     rows = spark.createDataFrame([(6.0, 3, 10, 11, 5), (1.0, 1, 1, 2, 1), (None, None, None, None, None)], "logp double, hbd int, hba int, rotatable_bonds int, aromatic_rings int")
     assert [len(x.a) for x in rows.select(screening.ligand_alerts().alias("a")).collect()] == [3, 0, 0]
+
+
+def test_the_tanimoto_join_gives_every_pair(spark, tmp_path):
+    from biotally.registry import load
+
+    rows = [(k, k % 3, [1.0 if k >> i & 1 else -1.0 for i in range(6)]) for k in range(1, 40)]
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = {(x.mol_id, x.ref_id): (x.n_bits, x.tanimoto) for x in load()[0]["tanimoto_join"](spark, str(tmp_path)).collect()}
+    assert set(got) == {(m, r) for m in range(1, 40) for r in (1, 2, 3)}
+    assert all(n == m.bit_count() and abs(t - (m & r).bit_count() / (m | r).bit_count()) < 1e-8 for (m, r), (n, t) in got.items())
