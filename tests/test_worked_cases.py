@@ -1,6 +1,7 @@
 """Hand-worked cases."""
 
 import math
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -147,3 +148,18 @@ def test_superposition_over_many_spans(spark):
     got = {r.sample_id: r.amount for r in out.collect()}
     for _, t, i in ss:
         assert got[i] == pytest.approx(sum(d * math.exp(-0.4 * (t - u)) for _, u, d in ds if u <= t), rel=1e-9, abs=1e-12)
+
+
+def test_cells_give_the_pairs_of_the_join(spark):
+    import random
+
+    r = random.Random(4)
+    rows = [(c, k, "".join(r.choice("ACGTACGTN") for _ in range(r.choice((10, 59, 60, 61, 200, 1500))))) for c, n in (("large", 700), ("small", 3), ("lone", 1)) for k in range(n)]
+    df = spark.createDataFrame([*rows, ("small", 2, "ACGTACGTACGT")], "cluster string, isolate_id long, seq string").withColumn("tag", F.upper("cluster"))
+    got, want = ({tuple(x): n for x, n in Counter(pairs.pair_distances(df, carry=("tag",), each=("seq",), in_cells=cells).collect()).items()} for cells in (True, False))
+    assert got == want and sum(n for x, n in got.items()) == 700 * 699 // 2 + 5
+
+
+def test_rows_are_sent_a_bounded_number_of_times(spark):
+    sent = lambda n: pairs._blocked(spark.range(n).selectExpr("0 as c", "id"), "c", "id", 4).agg(F.max("blocks")).first()[0]
+    assert sent(400) == sent(4000) == 8  # a block for every four rows before
