@@ -78,12 +78,27 @@ def minmax_normalize(scores: DataFrame, key: str = "protein_id") -> DataFrame:
     return _composite(joined, lambda n: F.col(f"low_{n}"), lambda n: F.col(f"high_{n}")).drop(*limits.columns[1:])
 
 
-def _extremes(key: str, width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Smallest and largest window sum of each scale in a tile, in thousandths."""
+def _scale_table() -> np.ndarray:
+    """The residue scales in thousandths, by the code of a letter."""
     table = np.zeros((len(SCALES), 128), np.int64)
     for i, scale in enumerate(SCALES.values()):
         for c in AMINO_ACIDS:
             table[i, ord(c)] = round(scale[c] * 1000)
+    return table
+
+
+def _window_sums(text: str, table: np.ndarray) -> np.ndarray:
+    """Sums of the scales over every window of a text, a row a scale."""
+    letters = np.minimum(np.frombuffer(text.encode("ascii", "replace"), np.uint8), 127)
+    run = np.cumsum(table[:, letters], axis=1)
+    sums = run[:, WINDOW - 1 :].copy()
+    sums[:, 1:] -= run[:, :-WINDOW]
+    return sums
+
+
+def _extremes(key: str, width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Smallest and largest window sum of each scale in a tile, in thousandths."""
+    table = _scale_table()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -91,10 +106,7 @@ def _extremes(key: str, width: int) -> Callable[[Iterator[pa.RecordBatch]], Iter
             for at, text in enumerate(b.column("_text").to_pylist()):
                 if len(text) < width:
                     continue
-                letters = np.minimum(np.frombuffer(text[: len(text) - width + WINDOW].encode("ascii", "replace"), np.uint8), 127)
-                run_ = np.cumsum(table[:, letters], axis=1)
-                sums = run_[:, WINDOW - 1 :].copy()
-                sums[:, 1:] -= run_[:, :-WINDOW]
+                sums = _window_sums(text[: len(text) - width + WINDOW], table)
                 keys.append(at)
                 least.append(sums.min(axis=1))
                 most.append(sums.max(axis=1))
@@ -107,39 +119,93 @@ def _extremes(key: str, width: int) -> Callable[[Iterator[pa.RecordBatch]], Iter
 _LIMITS = [f"{end}_{name}" for name in SCALES for end in ("low", "high")]
 
 
-def composite_scores(proteins: DataFrame, key: str = "protein_id", width: int = WINDOW, tile: int = TILE) -> DataFrame:
-    """`sliding_scores` with the composite, its sequences cut into tiles that are dealt over tasks.
+def scored_tiles(proteins: DataFrame, key: str = "protein_id", width: int = WINDOW, tile: int = TILE) -> DataFrame:
+    """Tiles of the sequences, dealt over tasks, each with the extremes of its whole sequence in the residue scales.
 
     A first pass gives the extremes of every tile, which fold to one row a sequence; a tile then carries those of its
-    sequence into the second pass, so windows are never shuffled and a long sequence is as many tasks as it has tiles.
+    sequence, so windows are never shuffled and a long sequence is as many tasks as it has tiles.
     """
     tiles = sequence_tiles(proteins.filter(F.length("seq") >= WINDOW).select(key, "seq"), (key,), _padded(width), width, tile)
     kind = proteins.schema[key].dataType.simpleString()
     found = tiles.select(key, "_text").mapInArrow(_extremes(key, width), f"{key} {kind}, " + ", ".join(f"{c} double" for c in _LIMITS))
     limits = cut_lineage(found.groupBy(key).agg(*[(F.min if c.startswith("low") else F.max)(c).alias(c) for c in _LIMITS]))
-    ready = spread(tiles.join(limits, key), key, "_tile")
+    return spread(tiles.join(limits, key), key, "_tile").select(key, "_tile", "_text", *_LIMITS)
+
+
+def composite_scores(proteins: DataFrame, key: str = "protein_id", width: int = WINDOW, tile: int = TILE) -> DataFrame:
+    """`sliding_scores` with the composite, its sequences cut into tiles that are dealt over tasks (`scored_tiles`)."""
+    ready = scored_tiles(proteins, key, width, tile)
     words = tile_words(ready, (key, "_tile", *_LIMITS), width, "p", tile=tile)
     scores = _window_means(words.withColumn("pos", F.col("p") + 1), key, "_tile", "pos", "w", *_LIMITS)
     return _composite(scores, lambda n: F.col(f"low_{n}"), lambda n: F.col(f"high_{n}")).drop(*_LIMITS)
 
 
-def runs_above(scored: DataFrame, threshold: float = 0.5, key: str = "protein_id", tile: int = TILE) -> DataFrame:
-    """Maximal runs of windows of `composite_scores` at or above the threshold.
+_SUMS = [f"sum_{c}" for c in ("composite", *SCALES)]
 
-    Gaps and islands inside each tile, on the partitioning already in place. Only the runs that touch a border of their
-    tile can go on in the next one: they meet by sequence, all others stay with their tile.
-    """
+
+def _tile_runs(key: str, width: int, threshold: float, tile: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The runs of windows at or above the threshold inside each tile of `scored_tiles`, with their sums."""
+    table = _scale_table()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            limits = {c: b.column(c).to_numpy() for c in _LIMITS}
+            tiles = b.column("_tile").to_numpy()
+            rows, starts, lasts, words, sums = [], [], [], [], []
+            for at, text in enumerate(b.column("_text").to_pylist()):
+                if len(text) < width:
+                    continue
+                means = _window_sums(text[: len(text) - width + WINDOW], table) / (1000.0 * WINDOW)
+                composite = np.zeros(means.shape[1])
+                for (name, weight), mean in zip(COMPOSITE_WEIGHTS.items(), means, strict=True):
+                    low, high = limits[f"low_{name}"][at], limits[f"high_{name}"][at]
+                    composite += weight * ((mean - low) / ((high - low) or 1.0))
+                composite = np.floor(composite * 1e9 + 0.5) / 1e9
+                edges = np.flatnonzero(np.diff((composite >= threshold).astype(np.int8), prepend=0, append=0))
+                if not len(edges):
+                    continue
+                first, end = edges[::2], edges[1::2]
+                rows.append(np.full(len(first), at))
+                starts.append(tiles[at] * tile + first + 1)
+                lasts.append(tiles[at] * tile + end)
+                words += [text[k : k + width] for k in first.tolist()]
+                # Sums of each run by itself, not as differences of running sums, which lose digits.
+                sums.append(np.add.reduceat(np.vstack([composite, means])[:, : end[-1]], edges[:-1], axis=1)[:, ::2])
+            if rows:
+                kept, start, last = (np.concatenate(x) for x in (rows, starts, lasts))
+                columns = [b.column(key).take(pa.array(kept)), pa.array(tiles[kept], pa.int32()), pa.array(start, pa.int32()), pa.array(last, pa.int32()), pa.array(words, pa.string()), pa.array(last - start + 1, pa.int64())]
+                yield pa.RecordBatch.from_arrays([*columns, *[pa.array(x) for x in np.hstack(sums)]], names=[key, "_tile", "start", "last", "w", "n", *_SUMS])
+
+    return run
+
+
+def _runs_of_tiles(tiles: DataFrame, key: str, width: int, threshold: float, tile: int) -> DataFrame:
+    kind = tiles.schema[key].dataType.simpleString()
+    schema = f"{key} {kind}, _tile int, start int, last int, w string, n bigint, " + ", ".join(f"{c} double" for c in _SUMS)
+    return tiles.mapInArrow(_tile_runs(key, width, threshold, tile), schema)
+
+
+def _runs_of_windows(scored: DataFrame, key: str, threshold: float) -> DataFrame:
     # The count runs over all windows and not over those above: a filter on the composite would be pushed below its
     # projection and compute it twice.
     marked = scored.withColumn("above", (F.col("composite") >= threshold).cast("int"))
     island = F.col("pos") - F.sum("above").over(Window.partitionBy(key, "_tile").orderBy("pos"))
-    names = ["composite", *SCALES]
-    parts = (
+    return (
         marked.withColumn("island", island)
         .filter("above = 1")
         .groupBy(key, "_tile", "island")
-        .agg(F.min("pos").alias("start"), F.max("pos").alias("last"), F.min_by("w", "pos").alias("w"), F.count("*").alias("n"), *[F.sum(c).alias(f"sum_{c}") for c in names])
+        .agg(F.min("pos").alias("start"), F.max("pos").alias("last"), F.min_by("w", "pos").alias("w"), F.count("*").alias("n"), *[F.sum(c.removeprefix("sum_")).alias(c) for c in _SUMS])
     )
+
+
+def runs_above(scored: DataFrame, threshold: float = 0.5, key: str = "protein_id", tile: int = TILE, width: int = WINDOW) -> DataFrame:
+    """Maximal runs of windows at or above the threshold, of `scored_tiles` or of the windows of `composite_scores`.
+
+    Tiles find their runs in one pass over their letters and give no row for a window; windows are sorted. Only the runs
+    that touch a border of their tile can go on in the next one: they meet by sequence, all others stay with their tile.
+    """
+    parts = _runs_of_tiles(scored, key, width, threshold, tile) if "_text" in scored.columns else _runs_of_windows(scored, key, threshold)
+    names = ["composite", *SCALES]
     border = ((F.col("_tile") > 0) & (F.col("start") == F.col("_tile") * tile + 1)) | (F.col("last") == (F.col("_tile") + 1) * tile)
     placed = parts.withColumn("place", F.when(border, -1).otherwise(F.col("_tile")))
     along = Window.partitionBy(key, "place").orderBy("start")
@@ -152,7 +218,8 @@ def runs_above(scored: DataFrame, threshold: float = 0.5, key: str = "protein_id
 
 
 def predict_b_epitopes(proteins: DataFrame, key: str = "protein_id", min_len: int = 6, max_len: int = 20, top: int = 15, tile: int = TILE) -> DataFrame:
-    runs = runs_above(composite_scores(proteins, key, max(max_len, WINDOW), tile), key=key, tile=tile)
+    width = max(max_len, WINDOW)
+    runs = runs_above(scored_tiles(proteins, key, width, tile), key=key, tile=tile, width=width)
     length = F.col("end") - F.col("start") + 1
     score = clamp(round_half_up(F.col("mean_composite") * 100).cast("int"), 0, 100)
     w = Window.partitionBy(key).orderBy(F.desc("score"), "start")
@@ -175,9 +242,7 @@ def binding_total(pep: Column) -> Column:
     return F.round(p2 * 0.4 + p9 * 0.4 + _add(aux), 9)
 
 
-def binding_peptides(proteins: DataFrame, key: str = "protein_id") -> DataFrame:
-    """Every 9-letter peptide with its score, affinity estimate and number of good anchors."""
-    words = words_at(spread(proteins.select(key, "seq"), key), (key,), F.col("seq"), 9, "p", "sequence")
+def _scored_peptides(words: DataFrame, key: str) -> DataFrame:
     pep = F.col("sequence")
     good = [(letter_value(F.substring(pep, 2, 1), ANCHOR_P2) > 0.5), (letter_value(F.substring(pep, 9, 1), ANCHOR_P9) > 0.5)]
     return (
@@ -194,9 +259,52 @@ def binding_peptides(proteins: DataFrame, key: str = "protein_id") -> DataFrame:
     )
 
 
-def predict_t_epitopes(proteins: DataFrame, key: str = "protein_id", top: int = 20) -> DataFrame:
+def binding_peptides(proteins: DataFrame, key: str = "protein_id") -> DataFrame:
+    """Every 9-letter peptide with its score, affinity estimate and number of good anchors."""
+    return _scored_peptides(words_at(spread(proteins.select(key, "seq"), key), (key,), F.col("seq"), 9, "p", "sequence"), key)
+
+
+def _best_peptides(key: str, top: int, tile: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The ``top`` peptides of each tile by affinity estimate and place; `binding_total` in thousandths, which hold it exactly."""
+    table = np.zeros((4, 128), np.int64)
+    for row, values in ((0, ANCHOR_P2), (1, ANCHOR_P9)):
+        for c, v in values.items():
+            table[row, ord(c)] = round(v * 400)
+    for row, letters, points in ((2, "AILMVFYW", 100), (3, "STNQDEKR", 50)):
+        for c in letters:
+            table[row, ord(c)] = points
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            tiles = b.column("_tile").to_pylist()
+            rows, places, words = [], [], []
+            for at, text in enumerate(b.column("_text").to_pylist()):
+                n = len(text) - 8
+                if n < 1:
+                    continue
+                by = table[:, np.minimum(np.frombuffer(text.encode("ascii", "replace"), np.uint8), 127)]
+                total = by[0, 1 : n + 1] + by[1, 8 : n + 8]
+                for j in (0, 2, 5):
+                    total = total + by[2, j : n + j]
+                for j in (3, 4, 6):
+                    total = total + by[3, j : n + j]
+                ic50 = np.maximum(5, (1000 - total) * 5 + 50)
+                best = np.argsort(ic50, kind="stable")[:top].tolist()
+                rows += [at] * len(best)
+                places += [tiles[at] * tile + k for k in best]
+                words += [text[k : k + 9] for k in best]
+            yield pa.RecordBatch.from_arrays([b.column(key).take(pa.array(rows, pa.int64())), pa.array(places, pa.int32()), pa.array(words, pa.string())], names=[key, "p", "sequence"])
+
+    return run
+
+
+def predict_t_epitopes(proteins: DataFrame, key: str = "protein_id", top: int = 20, tile: int = TILE) -> DataFrame:
+    """The ``top`` peptides of each sequence; a tile keeps as many of its own before any become rows to be sorted."""
+    tiles = spread(sequence_tiles(proteins.select(key, "seq"), (key,), F.col("seq"), 9, tile), key, "_tile")
+    kind = proteins.schema[key].dataType.simpleString()
+    best = tiles.select(key, "_tile", "_text").mapInArrow(_best_peptides(key, top, tile), f"{key} {kind}, p int, sequence string")
     w = Window.partitionBy(key).orderBy("ic50", "start")
-    return binding_peptides(proteins, key).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top)
+    return _scored_peptides(best, key).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top)
 
 
 def bin_ic50(ic50: Column) -> Column:

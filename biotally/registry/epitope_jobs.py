@@ -136,7 +136,7 @@ def composite_score(spark, sf):
 
 @job("runs_above", f"with {_SCORES}, {_NORM}, {_RUNS} select * from runs", "proteins")
 def runs_above(spark, sf):
-    return epitopes.runs_above(epitopes.composite_scores(_proteins(spark, sf))).drop("w")
+    return epitopes.runs_above(epitopes.scored_tiles(_proteins(spark, sf))).drop("w")
 
 
 @job("predict_b_epitopes", f"with {_SCORES}, {_NORM}, {_RUNS}, {_b_sql('b', 6, 20, 15)} select * from b", "proteins")

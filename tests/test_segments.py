@@ -50,3 +50,33 @@ def test_tiles_of_one_sequence_are_dealt(spark):
     scored = epitopes.composite_scores(spark.createDataFrame([(1, seq)], "protein_id long, seq string"), tile=100)
     sizes = scored.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
     assert sum(sizes) == 4994 and sum(x > 0 for x in sizes) > 2
+
+
+@pytest.mark.parametrize("tile", [1 << 16, 40, 7])
+def test_tiles_find_the_runs_of_the_windows_without_a_row_for_each(spark, tile):
+    r = random.Random(19)
+    seqs = [(k, "".join(r.choice("ACDEFGHIKLMNPQRSTVWY") for _ in range(n))) for k, n in enumerate([6, 7, 46, 333, 900])] + [(50, "K" * 90 + "I" * 45 + "K" * 81), (51, "A" * 60)]
+    rows = spark.createDataFrame(seqs, "protein_id long, seq string")
+    flat = lambda df: sorted((x.protein_id, x.start, x.end, x.w, *(round(v, 9) for v in x[4:])) for x in df.collect())
+    out = epitopes.runs_above(epitopes.scored_tiles(rows, width=20, tile=tile), tile=tile, width=20)
+    windows = epitopes.runs_above(epitopes.composite_scores(rows, width=20, tile=tile), tile=tile)
+    assert out.schema.simpleString() == windows.schema.simpleString()
+    for got, want in zip(flat(out), flat(windows), strict=True):
+        assert got[:4] == want[:4] and got[4:] == pytest.approx(want[4:], abs=1e-8)
+    assert "above" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("tile", [1 << 16, 50])
+def test_best_peptides_are_chosen_before_they_become_rows(spark, tile):
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    r = random.Random(29)
+    seqs = [(k, "".join(r.choice("ALVIMSKX" if k % 2 else "ACDEFGHIKLMNPQRSTVWY") for _ in range(n))) for k, n in enumerate([8, 9, 60, 333, 2000])] + [(9, "L" * 300)]
+    rows = spark.createDataFrame(seqs, "protein_id long, seq string")
+    out = epitopes.predict_t_epitopes(rows, top=7, tile=tile)
+    rank = F.row_number().over(Window.partitionBy("protein_id").orderBy("ic50", "start"))
+    want = epitopes.binding_peptides(rows).withColumn("rank", rank).filter("rank <= 7")
+    assert out.schema.simpleString() == want.schema.simpleString()
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, want.collect()))
+    assert "MapInArrow" in out._jdf.queryExecution().optimizedPlan().toString()
