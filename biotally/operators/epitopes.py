@@ -111,7 +111,8 @@ def _extremes(key: str, width: int) -> Callable[[Iterator[pa.RecordBatch]], Iter
                 least.append(sums.min(axis=1))
                 most.append(sums.max(axis=1))
             columns = [pa.array([float(v[i]) / (1000.0 * WINDOW) for v in side], pa.float64()) for i in range(len(SCALES)) for side in (least, most)]
-            yield pa.RecordBatch.from_arrays([b.column(key).take(pa.array(keys, pa.int64())), *columns], names=[key, *_LIMITS])
+            kept = pa.array(keys, pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(key).take(kept), b.column("_tile").take(kept), *columns], names=[key, "_tile", *_LIMITS])
 
     return run
 
@@ -123,23 +124,28 @@ def scored_tiles(proteins: DataFrame, key: str = "protein_id", width: int = WIND
     """Tiles of the sequences, dealt over tasks, each with the extremes of its whole sequence in the residue scales.
 
     A first pass gives the extremes of every tile, which fold to one row a sequence; a tile then carries those of its
-    sequence, so windows are never shuffled and a long sequence is as many tasks as it has tiles.
+    sequence, so windows are never shuffled and a long sequence is as many tasks as it has tiles. ``_single`` is false where
+    several sequences have one key.
     """
     tiles = sequence_tiles(proteins.filter(F.length("seq") >= WINDOW).select(key, "seq"), (key,), _padded(width), width, tile)
     kind = proteins.schema[key].dataType.simpleString()
-    found = tiles.select(key, "_text").mapInArrow(_extremes(key, width), f"{key} {kind}, " + ", ".join(f"{c} double" for c in _LIMITS))
-    limits = cut_lineage(found.groupBy(key).agg(*[(F.min if c.startswith("low") else F.max)(c).alias(c) for c in _LIMITS]))
-    return spread(tiles.join(limits, key), key, "_tile").select(key, "_tile", "_text", *_LIMITS)
+    found = tiles.select(key, "_tile", "_text").mapInArrow(_extremes(key, width), f"{key} {kind}, _tile int, " + ", ".join(f"{c} double" for c in _LIMITS))
+    single = F.count("*") == F.max("_tile") - F.min("_tile") + 1
+    limits = cut_lineage(found.groupBy(key).agg(*[(F.min if c.startswith("low") else F.max)(c).alias(c) for c in _LIMITS], single.alias("_single")))
+    return spread(tiles.join(limits, key), key, "_tile").select(key, "_tile", "_text", *_LIMITS, "_single")
 
 
-def composite_scores(proteins: DataFrame, key: str = "protein_id", width: int = WINDOW, tile: int = TILE) -> DataFrame:
-    """`sliding_scores` with the composite, its sequences cut into tiles that are dealt over tasks (`scored_tiles`)."""
-    ready = scored_tiles(proteins, key, width, tile)
-    words = tile_words(ready, (key, "_tile", *_LIMITS), width, "p", tile=tile)
+def _windows(tiles: DataFrame, key: str, width: int, tile: int) -> DataFrame:
+    words = tile_words(tiles, (key, "_tile", *_LIMITS), width, "p", tile=tile)
     scores = _window_means(words.withColumn("pos", F.col("p") + 1), key, "_tile", "pos", "w", *_LIMITS)
     return _composite(scores, lambda n: F.col(f"low_{n}"), lambda n: F.col(f"high_{n}")).drop(*_LIMITS)
 
 
+def composite_scores(proteins: DataFrame, key: str = "protein_id", width: int = WINDOW, tile: int = TILE) -> DataFrame:
+    """`sliding_scores` with the composite, its sequences cut into tiles that are dealt over tasks (`scored_tiles`)."""
+    return _windows(scored_tiles(proteins, key, width, tile), key, width, tile)
+
+
 _SUMS = [f"sum_{c}" for c in ("composite", *SCALES)]
 
 
@@ -203,8 +209,14 @@ def runs_above(scored: DataFrame, threshold: float = 0.5, key: str = "protein_id
 
     Tiles find their runs in one pass over their letters and give no row for a window; windows are sorted. Only the runs
     that touch a border of their tile can go on in the next one: they meet by sequence, all others stay with their tile.
+    Several sequences of one key have their windows counted together, also those of tiles.
     """
-    parts = _runs_of_tiles(scored, key, width, threshold, tile) if "_text" in scored.columns else _runs_of_windows(scored, key, threshold)
+    if "_text" in scored.columns:
+        parts = _runs_of_tiles(scored.filter("_single"), key, width, threshold, tile)
+        shared = _windows(scored.filter("not _single"), key, width, tile)
+        parts = parts.unionByName(_runs_of_windows(shared, key, threshold).select(*parts.columns))
+    else:
+        parts = _runs_of_windows(scored, key, threshold)
     names = ["composite", *SCALES]
     border = ((F.col("_tile") > 0) & (F.col("start") == F.col("_tile") * tile + 1)) | (F.col("last") == (F.col("_tile") + 1) * tile)
     placed = parts.withColumn("place", F.when(border, -1).otherwise(F.col("_tile")))
