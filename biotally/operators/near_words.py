@@ -7,6 +7,7 @@ comparison, however large the text tables are and however often one word repeats
 from __future__ import annotations
 
 import itertools
+from collections.abc import Callable
 from functools import reduce
 
 import numpy as np
@@ -18,6 +19,7 @@ from biotally.functions.sequence import words_at
 
 _HALF = 6  # letters in a prefix or suffix
 _SIDE = 4**_HALF
+HALF_WORDS = _SIDE  # suffixes of a 12-letter word
 _BLOCK = 64  # prefixes or suffixes handled together
 
 
@@ -40,14 +42,8 @@ def _spread_mismatches(counts: np.ndarray, first_axis: int) -> np.ndarray:
     return counts
 
 
-def ball_counts(queries: DataFrame, targets: DataFrame, radius: int = 3) -> DataFrame:
-    """For each distinct 12-letter query word the number of target words at 0..radius mismatches.
-
-    ``queries`` holds (code), ``targets`` (code, n). Mismatches are spread letter by letter: the suffix letters within
-    groups of 64 prefixes, then the prefix letters within groups of 64 suffixes. A group never exceeds 64 x 4096
-    words, and there are two exchanges whatever the size of the inputs.
-    """
-    levels = radius + 1
+def _suffix_spread(targets: DataFrame, levels: int) -> DataFrame:
+    """Counts with the mismatches of suffixes spread, by prefix and block of 64 suffixes: (prefix, suffix_block, counts)."""
     letters = (4,) * _HALF
 
     def suffix_side(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -59,25 +55,56 @@ def ball_counts(queries: DataFrame, targets: DataFrame, radius: int = 3) -> Data
         prefix, block = np.nonzero(used)
         return pd.DataFrame({"prefix": key[0] * _BLOCK + prefix, "suffix_block": block, "counts": [grid[p, b].tobytes() for p, b in zip(prefix, block)]})
 
+    return (
+        targets.withColumn("prefix_block", F.expr(f"code div {_SIDE * _BLOCK}"))
+        .groupBy("prefix_block")
+        .applyInPandas(suffix_side, "prefix bigint, suffix_block bigint, counts binary")
+    )
+
+
+def _prefix_spread(parts: pd.DataFrame, levels: int) -> np.ndarray:
+    """Counts of a block of suffixes with all mismatches spread: (prefix, suffix of the block, mismatches)."""
+    grid = np.zeros((_SIDE, _BLOCK, levels), dtype=np.int64)
+    for prefix, raw in zip(parts["prefix"], parts["counts"]):
+        grid[prefix] = np.frombuffer(raw, dtype=np.int64).reshape(_BLOCK, levels)
+    return _spread_mismatches(grid.reshape(*(4,) * _HALF, _BLOCK, levels), 0).reshape(_SIDE, _BLOCK, levels)
+
+
+def ball_counts(queries: DataFrame, targets: DataFrame, radius: int = 3) -> DataFrame:
+    """For each distinct 12-letter query word the number of target words at 0..radius mismatches.
+
+    ``queries`` holds (code), ``targets`` (code, n). Mismatches are spread letter by letter: the suffix letters within
+    groups of 64 prefixes, then the prefix letters within groups of 64 suffixes. A group never exceeds 64 x 4096
+    words, and there are two exchanges whatever the size of the inputs.
+    """
+    levels = radius + 1
+
     def prefix_side(key: tuple, parts: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         if asked.empty:
             return pd.DataFrame({"code": pd.Series(dtype="int64"), **{f"mm{m}": pd.Series(dtype="int64") for m in range(levels)}})
-        grid = np.zeros((_SIDE, _BLOCK, levels), dtype=np.int64)
-        for prefix, raw in zip(parts["prefix"], parts["counts"]):
-            grid[prefix] = np.frombuffer(raw, dtype=np.int64).reshape(_BLOCK, levels)
-        grid = _spread_mismatches(grid.reshape(*letters, _BLOCK, levels), 0).reshape(_SIDE, _BLOCK, levels)
+        grid = _prefix_spread(parts, levels)
         code = asked["code"].to_numpy()
         found = grid[code // _SIDE, code % _BLOCK]
         return pd.DataFrame({"code": code, **{f"mm{m}": found[:, m] for m in range(levels)}})
 
-    parts = (
-        targets.withColumn("prefix_block", F.expr(f"code div {_SIDE * _BLOCK}"))
-        .groupBy("prefix_block")
-        .applyInPandas(suffix_side, "prefix bigint, suffix_block bigint, counts binary")
-    )
     asked = queries.select("code").distinct().withColumn("suffix_block", F.expr(f"(code % {_SIDE}) div {_BLOCK}"))
     schema = "code bigint, " + ", ".join(f"mm{m} bigint" for m in range(levels))
-    return parts.groupBy("suffix_block").cogroup(asked.groupBy("suffix_block")).applyInPandas(prefix_side, schema)
+    return _suffix_spread(targets, levels).groupBy("suffix_block").cogroup(asked.groupBy("suffix_block")).applyInPandas(prefix_side, schema)
+
+
+def ball_values(targets: DataFrame, value: Callable[[np.ndarray], np.ndarray], radius: int = 3) -> DataFrame:
+    """A value of one byte for every 12-letter word: (suffix, values), the values by the code of the prefix.
+
+    ``value`` makes it of the target words at 0..radius mismatches (last axis). Suffixes without a target word in reach
+    may have no row. There are 4**6 rows of 4**6 bytes at most, whatever the size of the targets.
+    """
+    levels = radius + 1
+
+    def prefix_side(key: tuple, parts: pd.DataFrame) -> pd.DataFrame:
+        values = value(_prefix_spread(parts, levels)).astype(np.int8)
+        return pd.DataFrame({"suffix": key[0] * _BLOCK + np.arange(_BLOCK), "values": list(np.ascontiguousarray(values.T))})
+
+    return _suffix_spread(targets, levels).groupBy("suffix_block").applyInPandas(prefix_side, "suffix bigint, values array<tinyint>")
 
 
 def _masks(k: int, radius: int, blocks: int) -> list[int]:
