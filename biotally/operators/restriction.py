@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-import itertools
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from biotally.functions.sequence import iupac_regex, words_at
+from biotally.functions.letters import as_strings, inside, letters, passes, words
+from biotally.functions.sequence import TILE, sequence_tiles
 from biotally.session import spread
 from biotally.reference_tables import (
     COMPLEMENT_FROM,
@@ -18,7 +21,8 @@ from biotally.reference_tables import (
     fixed_table,
 )
 
-_ANCHOR = 4
+_BITS = np.zeros(256, np.uint8)
+_BITS[list(b"ACGT")] = (1, 2, 4, 8)
 
 
 def enzyme_table(spark: SparkSession) -> DataFrame:
@@ -40,8 +44,8 @@ def rare_cutters(enzymes: DataFrame) -> DataFrame:
     return enzymes.filter(F.length("recognition") >= 6)
 
 
-def _recognition_words(spark: SparkSession, rows) -> DataFrame:
-    """One row per enzyme, orientation and concrete first four letters."""
+def _recognition_turns(rows) -> list[tuple]:
+    """(enzyme, letters allowed at each place, those of the forward word or none, cuts, kind), one for each orientation."""
     out = []
     for name, word, top, bottom, kind, palindromic in rows:
         flipped = word.translate(str.maketrans(COMPLEMENT_FROM, COMPLEMENT_TO))[::-1]
@@ -49,42 +53,70 @@ def _recognition_words(spark: SparkSession, rows) -> DataFrame:
         for strand, w in turns:
             k = len(w)
             cuts = (top, bottom) if strand == "+" else (k - bottom, k - top)
-            other = iupac_regex(word) if strand == "-" else None
-            for letters in itertools.product(*[IUPAC_CLASSES[c] for c in w[:_ANCHOR]]):
-                out.append((name, "".join(letters), f"^{iupac_regex(w)}", other and f"^{other}", k, cuts[0], cuts[1], kind))
-    cols = ("enzyme", "anchor", "pattern", "forward_pattern", "k", "cut_top", "cut_bottom", "cut_type")
-    return fixed_table(spark, cols, out, "enzyme string, anchor string, pattern string, forward_pattern string, k int, cut_top int, cut_bottom int, cut_type string")
-
-
-def find_cut_sites(seqs: DataFrame, key: str = "seq_id", enzymes=ENZYMES) -> DataFrame:
+            out.append((name, _allowed(w), _allowed(word) if strand == "-" else None, *cuts, kind))
+    return out
+
+
+def _allowed(word: str) -> list[int]:
+    return [int(_BITS[list(IUPAC_CLASSES[c].encode())].sum()) for c in word]
+
+
+def _tile_sites(key: str, enzymes, tile: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The sites of tiles, each where it begins."""
+    turns = _recognition_turns(enzymes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in passes(batches, "_text"):
+            data, starts, ends = letters(b.column("_text"))
+            tiles = b.column("_tile").to_numpy()
+            bits = _BITS[data]
+            pairs: dict[tuple[int, int], np.ndarray] = {}
+
+            def fits(at: np.ndarray, allowed: list[int]) -> np.ndarray:
+                for j, mask in enumerate(allowed):
+                    at = at[(bits[at + j] & mask) != 0]
+                return at
+
+            for name, allowed, forward, top, bottom, kind in turns:
+                k = len(allowed)
+                if len(data) < k:
+                    continue
+                begin = tuple(allowed[:2])
+                if begin not in pairs:
+                    pairs[begin] = np.flatnonzero(((bits[:-1] & begin[0]) != 0) & ((bits[1:] & begin[1]) != 0))
+                at = fits(inside(pairs[begin], k, starts, ends)[0], allowed)
+                if forward:
+                    at = np.setdiff1d(at, fits(at, forward), assume_unique=True)
+                at, row = inside(at, k, starts, ends)
+                off = at - starts[row]
+                at, row, off = at[off < tile], row[off < tile], off[off < tile]
+                if not len(at):
+                    continue
+                i = tiles[row].astype(np.int64) * tile + off
+                columns = [pa.array(c, pa.int32()) for c in (i + 1, i + k, i + top, i + bottom)]
+                same = [pa.array([x] * len(at), pa.string()) for x in (name, kind)]
+                yield pa.RecordBatch.from_arrays([b.column(key).take(pa.array(row)), same[0], *columns, as_strings(words(data, at, k)), same[1]], names=[key, "enzyme", "position", "end", "top_cut", "bottom_cut", "match_seq", "cut_type"])
+
+    return run
+
+
+def find_cut_sites(seqs: DataFrame, key: str = "seq_id", enzymes=ENZYMES, tile: int = TILE) -> DataFrame:
     """Every recognition site of every enzyme; cuts are 0-based bond offsets on the top strand.
 
-    One linear pass makes the windows; a broadcast hash join on the first four letters leaves about a tenth of
-    the positions for the full pattern test, so the cost does not multiply by the number of enzymes.
+    Tiles are dealt over tasks. A pass over the letters of a batch of tiles compares sets of letters as bits; enzymes whose words
+    begin alike share the search for the first two letters, and further ones are tested where these fit.
     """
-    words = _recognition_words(seqs.sparkSession, enzymes)
     width = max(len(e[1]) for e in enzymes)
-    padded = F.concat(F.col("seq"), F.lit("#" * (width - 1)))
-    windows = words_at(spread(seqs.select(key, "seq"), key), (key,), padded, width)
-    hits = windows.join(F.broadcast(words), F.substring("w", 1, _ANCHOR) == F.col("anchor")).filter(
-        F.expr("w rlike pattern and (forward_pattern is null or not w rlike forward_pattern)")
-    )
-    return hits.select(
-        key,
-        "enzyme",
-        (F.col("i") + 1).alias("position"),
-        (F.col("i") + F.col("k")).alias("end"),
-        (F.col("i") + F.col("cut_top")).alias("top_cut"),
-        (F.col("i") + F.col("cut_bottom")).alias("bottom_cut"),
-        F.expr("substr(w, 1, k)").alias("match_seq"),
-        "cut_type",
-    )
+    tiles = spread(sequence_tiles(seqs, (key,), F.col("seq"), width, tile), key, "_tile")
+    kind = seqs.schema[key].dataType.simpleString()
+    return tiles.mapInArrow(_tile_sites(key, enzymes, tile), f"{key} {kind}, enzyme string, position int, end int, top_cut int, bottom_cut int, match_seq string, cut_type string")
 
 
 def fragment_sizes(sites: DataFrame, lengths: DataFrame, key: str = "seq_id") -> DataFrame:
     """Distances between consecutive cuts, with both sequence ends; sizes sum to the sequence length."""
+    # The rows of a sequence and enzyme grow with the table and look small to a plan: they are never broadcast.
     cut_by = sites.select(key, "enzyme").distinct()
-    ends = cut_by.join(lengths, key).select(key, "enzyme", F.col("length").alias("cut"), F.lit(1).alias("is_end"))
+    ends = cut_by.hint("merge").join(lengths, key).select(key, "enzyme", F.col("length").alias("cut"), F.lit(1).alias("is_end"))
     cuts = sites.select(key, "enzyme", F.col("top_cut").alias("cut"), F.lit(0).alias("is_end")).unionByName(ends)
     w = Window.partitionBy(key, "enzyme").orderBy("cut", "is_end")
     return cuts.select(

@@ -6,8 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from biotally.operators import guides, near_words, orfs
-from biotally.reference_tables import CODON_BASES, CODON_RESIDUES, GUIDE_PREFERRED, GUIDE_WEIGHTS, STARTS, STOPS
+from biotally.operators import guides, near_words, orfs, restriction
+from biotally.reference_tables import CODON_BASES, CODON_RESIDUES, COMPLEMENT_FROM, COMPLEMENT_TO, ENZYMES, GUIDE_PREFERRED, GUIDE_WEIGHTS, IUPAC_CLASSES, STARTS, STOPS
 
 
 def flipped(seq):
@@ -95,3 +95,23 @@ def test_frames_of_a_batch_share_their_tasks(spark):
     """Frames are made in passes over batches: no row for a codon and no expression over the codons of a segment."""
     plan = orfs.find_orfs(spark.createDataFrame([(1, "ATGAAATAA")], "seq_id long, seq string"))._jdf.queryExecution().optimizedPlan().toString()
     assert "posexplode" not in plan.split("MapInArrow")[0] and plan.count("MapInArrow") == 3
+
+
+@pytest.mark.parametrize("tile", [1 << 16, 40, 13])
+def test_cut_sites_of_many_texts_in_one_pass(spark, tile):
+    r = random.Random(10)
+    seqs = [(k, "".join(r.choice("ACGTN" if k == 4 else "ACGT") for _ in range(n))) for k, n in enumerate([0, 3, 4, 2500, 300, 12])] + [(None, "GAATTC"), (3, "TTAGCTAA"), (8, "GAAT"), (9, "TC")]
+    rows = spark.createDataFrame(seqs, "k long, seq string").coalesce(1)
+    got = sorted((-1 if x[0] is None else x[0], *x[1:]) for x in (tuple(x) for x in restriction.find_cut_sites(rows, "k", tile=tile).collect()))
+    want = []
+    for k, seq in seqs:
+        for name, word, top, bottom, kind, palindromic in ENZYMES:
+            back = word.translate(str.maketrans(COMPLEMENT_FROM, COMPLEMENT_TO))[::-1]
+            for i in range(len(seq) - len(word) + 1):
+                w = seq[i : i + len(word)]
+                fits = [all(c in IUPAC_CLASSES[x] for c, x in zip(w, turn)) for turn in (word, back)]
+                cuts = (top, bottom) if fits[0] else (len(word) - bottom, len(word) - top)
+                if fits[0] or (fits[1] and not palindromic):
+                    want.append((-1 if k is None else k, name, i + 1, i + len(word), i + cuts[0], i + cuts[1], w, kind))
+    assert got == sorted(want) and len(want) > 50
+    assert sum(restriction.fragment_sizes(restriction.find_cut_sites(rows.where("k = 4"), "k", tile=tile), rows.select("k", F.length("seq").alias("length")), "k").where("enzyme = 'AluI'").toPandas()["size"]) in (0, 300)
