@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from biotally.functions.letters import as_strings, letters, passes
+from biotally.functions.letters import words as letters_at
 from biotally.functions.sequence import TILE, clamp, letter_value, round_half_up, sequence_tiles, substitution_score, tile_words, words_at
 from biotally.reference_tables import (
     AMINO_ACIDS,
@@ -141,9 +143,56 @@ def _windows(tiles: DataFrame, key: str, width: int, tile: int) -> DataFrame:
     return _composite(scores, lambda n: F.col(f"low_{n}"), lambda n: F.col(f"high_{n}")).drop(*_LIMITS)
 
 
+_SCORED = ("pos", "w", *SCALES, *[f"{n}_n" for n in SCALES], "composite")
+
+
+def _tile_scores(key: str, width: int, tile: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The windows of each tile of `scored_tiles` with their means, normalized means and composite."""
+    table = _scale_table()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in passes(batches, "_text", _WINDOWS):
+            limits = {c: b.column(c).to_numpy() for c in _LIMITS}
+            tiles = b.column("_tile").to_numpy().astype(np.int64)
+            data, starts, ends = letters(b.column("_text"))
+            counts = np.maximum(ends - starts - width + 1, 0)
+            if not counts.sum():
+                continue
+            row = np.repeat(np.arange(len(counts)), counts)
+            off = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
+            at = starts[row] + off
+            upto = np.zeros((len(SCALES), len(data) + 1), np.int64)
+            np.cumsum(table[:, data], axis=1, out=upto[:, 1:])
+            means = (upto[:, at + WINDOW] - upto[:, at]) / (1000.0 * WINDOW)
+            composite, normal = np.zeros(len(at)), {}
+            for name, mean in zip(SCALES, means, strict=True):
+                low, high = limits[f"low_{name}"], limits[f"high_{name}"]
+                span = np.where(high == low, 1.0, high - low)
+                normal[name] = (mean - low[row]) / span[row]
+            for name, weight in COMPOSITE_WEIGHTS.items():
+                composite += weight * normal[name]
+            # Rounded so that a value on the threshold does not depend on the last bit.
+            columns = [*means, *[normal[n] for n in SCALES], np.floor(composite * 1e9 + 0.5) / 1e9]
+            taken = pa.array(row)
+            yield pa.RecordBatch.from_arrays(
+                [b.column(key).take(taken), pa.array(tiles[row], pa.int32()), pa.array(tiles[row] * tile + off + 1, pa.int32()), as_strings(letters_at(data, at, width)), *map(pa.array, columns)],
+                names=[key, "_tile", *_SCORED],
+            )
+
+    return run
+
+
+_WINDOWS = 1 << 17  # letters, and so about as many rows, of a pass
+
+
 def composite_scores(proteins: DataFrame, key: str = "protein_id", width: int = WINDOW, tile: int = TILE) -> DataFrame:
-    """`sliding_scores` with the composite, its sequences cut into tiles that are dealt over tasks (`scored_tiles`)."""
-    return _windows(scored_tiles(proteins, key, width, tile), key, width, tile)
+    """`sliding_scores` with the composite, its sequences cut into tiles that are dealt over tasks (`scored_tiles`).
+
+    The windows of a batch of tiles are made in one pass over its letters.
+    """
+    kind = proteins.schema[key].dataType.simpleString()
+    schema = f"{key} {kind}, _tile int, pos int, w string, " + ", ".join(f"{c} double" for c in _SCORED[2:])
+    return scored_tiles(proteins, key, width, tile).mapInArrow(_tile_scores(key, width, tile), schema)
 
 
 _SUMS = [f"sum_{c}" for c in ("composite", *SCALES)]

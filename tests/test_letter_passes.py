@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from biotally.operators import guides, near_words, orfs, restriction
+from biotally.operators import epitopes, guides, near_words, orfs, restriction
 from biotally.reference_tables import CODON_BASES, CODON_RESIDUES, COMPLEMENT_FROM, COMPLEMENT_TO, ENZYMES, GUIDE_PREFERRED, GUIDE_WEIGHTS, IUPAC_CLASSES, STARTS, STOPS
 
 
@@ -115,3 +115,17 @@ def test_cut_sites_of_many_texts_in_one_pass(spark, tile):
                     want.append((-1 if k is None else k, name, i + 1, i + len(word), i + cuts[0], i + cuts[1], w, kind))
     assert got == sorted(want) and len(want) > 50
     assert sum(restriction.fragment_sizes(restriction.find_cut_sites(rows.where("k = 4"), "k", tile=tile), rows.select("k", F.length("seq").alias("length")), "k").where("enzyme = 'AluI'").toPandas()["size"]) in (0, 300)
+
+
+def test_scores_of_windows_are_made_for_many_tiles_at_once(spark):
+    """The windows of a batch of tiles are those of the expressions, without a row made and scored for each by the plan."""
+    r = random.Random(14)
+    seqs = [(k, "".join(r.choice("ACDEFGHIKLMNPQRSTVWY") for _ in range(n))) for k, n in enumerate([0, 6, 7, 8, 120, 333])] + [(4, "KLMNPQRST" * 4), (None, "ACDEFGHIK"), (9, "A" * 60)]
+    rows = spark.createDataFrame(seqs, "protein_id long, seq string")
+    for tile, width in ((1 << 16, 7), (40, 20)):
+        got = epitopes.composite_scores(rows, width=width, tile=tile)
+        assert "explode" not in got._jdf.queryExecution().optimizedPlan().toString().split("MapInArrow")[0]
+        want = epitopes._windows(epitopes.scored_tiles(rows, "protein_id", width, tile), "protein_id", width, tile)
+        assert got.dtypes == want.dtypes
+        plain = lambda df: sorted([round(x, 8) if isinstance(x, float) else x for x in row] for row in df.collect())
+        assert plain(got) == plain(want) and got.count() > 400
