@@ -139,7 +139,9 @@ def _all_meetings(meetings: DataFrame, placed: DataFrame, words: list[str], limi
     Values whose members have one root are done. The others are cut into blocks of ``TILE`` members, every two blocks
     (and each with itself) meet in one tile, and all pairs of a tile are compared in the task that has it.
     """
-    held = cut_lineage(meetings.join(placed.select(F.col("node").alias("k"), "near"), F.col("node") == F.col("k")).select("value", "place", "node", "near"))
+    # A node has 290 values at most: they travel to its root as one row, and not as a row of the join each.
+    listed = meetings.groupBy("node").agg(F.collect_list(F.struct("value", "place")).alias("at"))
+    held = cut_lineage(listed.join(placed.select(F.col("node").alias("k"), "near"), F.col("node") == F.col("k")).select(F.inline("at"), "node", "near"))
     mixed = held.groupBy("value").agg(F.min("near").alias("least_root"), F.max("near").alias("last_root"), F.max("place").alias("n")).where("least_root <> last_root")
     mixed = mixed.select(F.col("value").alias("v"), F.expr(f"(n - 1) div {TILE}").alias("last"))
     rows = held.drop("near").join(mixed, F.col("value") == F.col("v")).withColumn("block", F.expr(f"(place - 1) div {TILE}")).join(placed, "node")
