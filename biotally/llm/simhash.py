@@ -139,13 +139,13 @@ def _all_meetings(meetings: DataFrame, placed: DataFrame, words: list[str], limi
     Values whose members have one root are done. The others are cut into blocks of ``TILE`` members, every two blocks
     (and each with itself) meet in one tile, and all pairs of a tile are compared in the task that has it.
     """
-    # A node has 290 values at most: they travel to its root as one row, and not as a row of the join each.
+    # A node has 290 values at most: they travel to its root, and then to its fingerprints, as one row and not as a row of the join each.
     listed = meetings.groupBy("node").agg(F.collect_list(F.struct("value", "place")).alias("at"))
     held = cut_lineage(listed.join(placed.select(F.col("node").alias("k"), "near"), F.col("node") == F.col("k")).select(F.inline("at"), "node", "near"))
     mixed = held.groupBy("value").agg(F.min("near").alias("least_root"), F.max("near").alias("last_root"), F.max("place").alias("n")).where("least_root <> last_root")
     mixed = mixed.select(F.col("value").alias("v"), F.expr(f"(n - 1) div {TILE}").alias("last"))
-    rows = held.drop("near").join(mixed, F.col("value") == F.col("v")).withColumn("block", F.expr(f"(place - 1) div {TILE}")).join(placed, "node")
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), "last")))
+    again = held.drop("near").join(mixed, F.col("value") == F.col("v")).groupBy("node").agg(F.collect_list(F.struct("value", "last", F.expr(f"(place - 1) div {TILE}").alias("block"))).alias("at"))
+    rows = again.join(placed, "node").select(F.inline("at"), "near", *words).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), "last")))
     columns = ["value", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", F.col("near").alias("root"), *words]
     tiles = spread(rows.select(*columns), "value", "lo", "hi").sortWithinPartitions("value", "lo", "hi", "block")
 
@@ -171,9 +171,9 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     hashing with radius 2, each for itself, and the links checked on all bits together. A true pair has several
     chances to meet, its recall is measured in the tests; texts with equal fingerprints take part once.
 
-    Members of a narrow value need not be alike, so every two of them are compared: first each with the one before it,
-    and in values of up to three members with the two before it, which joins most of a group of copies, then in values of
-    four members or more all that are not yet of one component.
+    Members of a narrow value need not be alike, so every two of them are compared unless they are of one component
+    already: first each with the one before it of an equal narrow fingerprint, then in each value that has several
+    components their neighbours, and in values of up to three members all, then all in values of four members or more.
     Members of equal narrow fingerprints, which share all their values, meet where the value is that fingerprint.
     """
     base = docs.select(id_column(docs, id_col).alias("doc_id"), text_column(docs, text_col).alias("text"))
@@ -187,25 +187,35 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     marked = cut_lineage(base.mapInArrow(hashed, "doc_id long, " + ", ".join(f"{w} long" for w in words)).withColumn("node", F.xxhash64(*words)))
     distinct = cut_lineage(marked.groupBy("node").agg(F.min("doc_id").alias("least"), *(F.first(w).alias(w) for w in words)))
     narrow = [F.shiftrightunsigned(w, NARROW * half).bitwiseAND(F.lit((1 << NARROW) - 1)) for w in words for half in (0, 1)]
-    tables = F.explode(F.array(*(F.shiftleft(F.lit(k).cast("long"), NARROW).bitwiseOR(n) for k, n in enumerate(narrow)))).alias("fp")
+    tables = F.array(*(F.shiftleft(F.lit(k).cast("long"), NARROW).bitwiseOR(n) for k, n in enumerate(narrow)))
+    limit = similarity_bits(similarity, BITS * PARTS)
+
+    def close(met: DataFrame) -> DataFrame:
+        of = lambda c, side: distinct.select(F.col("node").alias(c), *(F.col(x).alias(f"{side}{x}") for x in words))
+        pairs = cut_lineage(met.where(F.col("before").isNotNull()).distinct()).join(of("node", "a"), "node").join(of("before", "b"), "before")
+        apart = sum((F.bit_count(F.col(f"a{x}").bitwiseXOR(F.col(f"b{x}"))) for x in words[1:]), F.bit_count(F.col("as0").bitwiseXOR(F.col("bs0"))))
+        return pairs.where(apart <= limit).select(F.col("before").alias("a"), F.col("node").alias("b"))
+
+    # Equal narrow fingerprints come first: they join most of a family, whose values then bring no pair of one component.
+    same = distinct.select("node", F.explode(tables).alias("fp")).select("node", F.lag("node").over(Window.partitionBy("fp").orderBy("node")).alias("before"))
+    early = cut_lineage(components(close(same)).withColumnRenamed("node", "k"))
     masks = F.array(*(F.lit(m).cast("long") for m in ball(RADIUS // 2, NARROW)))
-    emitted = distinct.select("node", tables).select("node", F.posexplode(masks).alias("k", "mask"), "fp").select("node", F.col("fp").bitwiseXOR(F.col("mask")).alias("value"), F.col("k").cast("byte").alias("k"))
+    rooted = distinct.select("node", tables.alias("fps")).join(early, F.col("node") == F.col("k"), "left").select("node", "root", F.explode("fps").alias("fp"))
+    emitted = rooted.select("node", "root", F.posexplode(masks).alias("k", "mask"), "fp").select("node", "root", F.col("fp").bitwiseXOR(F.col("mask")).alias("value"), F.col("k").cast("byte").alias("k"))
     # A value that only members with one and the same narrow fingerprint emitted, other than itself, brings nothing: they
-    # all meet at that fingerprint too.
+    # all meet at that fingerprint too. Nor does a value whose members are of one component (a node without one is its own).
     whole = Window.partitionBy("value")
+    members = F.count("*").over(whole)
     useful = (F.min("k").over(whole) == 0) | (F.min("k").over(whole) != F.max("k").over(whole))
-    w = Window.partitionBy("value").orderBy("node")
-    around = emitted.select("node", "value", useful.alias("useful"), F.row_number().over(w).alias("place"), *(F.lag("node", k).over(w).alias(f"b{k}") for k in (1, 2)), *(F.lead("node", k).over(w).alias(f"n{k}") for k in (1, 2, 3)))
-    members = F.least(F.col("place") - 1, F.lit(3)) + sum((F.col(f"n{k}").isNotNull().cast("int") for k in (2, 3)), F.col("n1").isNotNull().cast("int"))
-    around = around.where("useful").select("node", "b1", "b2", (members >= 3).alias("many"), "value", "place")
-    around = cut_lineage(around.where(F.col("b1").isNotNull() | F.col("many")))
-    # Where all members are compared later, a path through them is enough here.
-    met = around.select("node", F.explode(F.array("b1", F.when(~F.col("many"), F.col("b2")))).alias("before")).where(F.col("before").isNotNull()).distinct()
-    of = lambda c, side: distinct.select(F.col("node").alias(c), *(F.col(x).alias(f"{side}{x}") for x in words))
-    pairs = cut_lineage(met).join(of("node", "a"), "node").join(of("before", "b"), "before")
-    apart = sum((F.bit_count(F.col(f"a{x}").bitwiseXOR(F.col(f"b{x}"))) for x in words[1:]), F.bit_count(F.col("as0").bitwiseXOR(F.col("bs0"))))
-    limit = similarity_bits(similarity, BITS * PARTS)
-    links = pairs.where(apart <= limit).select(F.col("before").alias("a"), F.col("node").alias("b"))
+    mixed = (F.count("root").over(whole) < members) | (F.min("root").over(whole) != F.max("root").over(whole))
+    w = Window.partitionBy("value").orderBy("root", "node")
+    other = lambda k: F.when(F.col("root").isNull() | ~F.col("root").eqNullSafe(F.lag("root", k).over(w)), F.lag("node", k).over(w))
+    around = emitted.select("node", "value", (useful & mixed & (members > 1)).alias("useful"), (members > 3).alias("many"), F.row_number().over(w).alias("place"), *(other(k).alias(f"b{k}") for k in (1, 2)))
+    around = around.where("useful and (many or b1 is not null or b2 is not null)").select("node", "b1", "b2", "many", "value", "place")
+    around = cut_lineage(around)
+    # Where all members are compared later, a path through their components is enough here.
+    links = close(around.select("node", F.explode(F.array("b1", F.when(~F.col("many"), F.col("b2")))).alias("before")))
+    links = links.unionByName(early.where("k <> root").select(F.col("k").alias("a"), F.col("root").alias("b")))
     found = components(links).withColumnRenamed("node", "k")
     placed = cut_lineage(distinct.join(found, F.col("node") == F.col("k"), "left").select("node", "least", F.coalesce("root", "node").alias("near"), *words))
     merged = components(_all_meetings(around.where("many").select("value", "place", "node"), placed.drop("least"), words, limit)).withColumnRenamed("node", "k")

@@ -1,6 +1,9 @@
 """Members of narrow values on their way to the roots of their nodes."""
 
+import random
+
 from biotally.llm import simhash
+from tests.llm.test_operators import documents, prose
 
 
 def test_a_node_joins_its_root_once_whatever_its_values(spark, monkeypatch):
@@ -16,3 +19,19 @@ def test_a_node_joins_its_root_once_whatever_its_values(spark, monkeypatch):
     links = {tuple(x) for x in simhash._all_meetings(meetings, nodes, ["s0"], 2).collect()}
     assert links == {(0, 1)}
     assert plans[0].index("inline") < plans[0].index("Join") < plans[0].index("collect_list")
+
+
+def test_a_family_of_near_copies_is_compared_along_few_pairs(spark, monkeypatch):
+    met, kept = [], simhash.cut_lineage
+
+    def noted(df):
+        if df.columns == ["node", "before"]:
+            met.append(df.count())
+        return kept(df)
+
+    monkeypatch.setattr(simhash, "cut_lineage", noted)
+    words = prose(random.Random(31), 400).split()
+    texts = [" ".join([*words[: 2 * k], f"edit{k}", *words[2 * k + 1 :]]) for k in range(150)]
+    found = simhash.similar_components(documents(spark, texts)).collect()
+    assert {x["component_id"] for x in found} == {min(x["doc_id"] for x in found)}
+    assert sum(met) <= 12 * len(texts)
