@@ -193,6 +193,16 @@ def _cell_pairs(key: str, keep: dict[str, tuple[str, str]], counts: Callable[[di
     return run
 
 
+def _pair_columns(rows: DataFrame, cluster: str, key: str, names: list[str], carry: tuple[str, ...], each: tuple[str, ...]) -> tuple[dict[str, tuple[str, str]], list[str], pa.Schema]:
+    """Columns of a pair that are taken from the row of one side, and the types of all of its columns."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    keep = {cluster: ("a", cluster), "a": ("a", key), "b": ("b", key), **{c: ("a", c) for c in carry}, **{f"{side}_{c}": (side, c) for c in each for side in "ab"}}
+    kinds = [f"`{out}` {rows.schema[name].dataType.simpleString()}" for out, (_, name) in keep.items()] + [f"{n} int" for n in names]
+    return keep, kinds, to_arrow_schema(StructType.fromDDL(", ".join(kinds)))
+
+
 def _counted_pairs(rows: DataFrame, cluster: str, key: str, counts: Callable[[dict, dict], tuple], names: list[str], carry: tuple[str, ...] = (), each: tuple[str, ...] = (), block_rows: int = 256) -> DataFrame:
     """Every unordered pair in each cluster of rows with ``planes``: (cluster, a, b, ``names``, ``carry``, a_ and b_ ``each``).
 
@@ -201,13 +211,7 @@ def _counted_pairs(rows: DataFrame, cluster: str, key: str, counts: Callable[[di
     blocked = _blocked(rows.filter(F.col(key).isNotNull()), cluster, key, block_rows)
     cells = blocked.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cells = cells.select(cluster, F.least("block", "other").alias("lo_block"), F.greatest("block", "other").alias("hi_block"), "block", key, "planes", *carry, *each)
-    keep = {cluster: ("a", cluster), "a": ("a", key), "b": ("b", key), **{c: ("a", c) for c in carry}, **{f"{side}_{c}": (side, c) for c in each for side in "ab"}}
-    kinds = [f"`{out}` {rows.schema[name].dataType.simpleString()}" for out, (_, name) in keep.items()] + [f"{n} int" for n in names]
-
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
-
-    schema = to_arrow_schema(StructType.fromDDL(", ".join(kinds)))
+    keep, kinds, schema = _pair_columns(rows, cluster, key, names, carry, each)
     pairs_of = _cell_pairs(key, keep, counts, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,6 +222,119 @@ def _counted_pairs(rows: DataFrame, cluster: str, key: str, counts: Callable[[di
     return out.select(cluster, "a", "b", *names, *carry, *[f"{side}_{c}" for c in each for side in "ab"])
 
 
+_WORDS = 1 << 17  # words of a plane compared at a time
+_DNA_SITES = {"hi": "GT", "lo": "CT", "ok": "ACGT"}
+_ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_RESIDUE_SITES = {**{f"p{k}": "".join(x + x.lower() for i, x in enumerate(_ALPHABET, 1) if i >> k & 1) for k in range(5)}, "ok": "".join(x + x.lower() for x in _ALPHABET if x != "X")}
+
+
+def _residue_masks(x: dict, y: dict) -> tuple:
+    both = x["ok"] & y["ok"]
+    differ = x["p0"] ^ y["p0"]
+    for k in range(1, 5):
+        differ |= x[f"p{k}"] ^ y[f"p{k}"]
+    return both, both & differ
+
+
+def _packed(seq: pa.Array, sites: dict[str, str]) -> tuple[np.ndarray, np.ndarray, dict[str, np.ndarray]]:
+    """First word and number of words of each text, and its planes: 64 sites a word, a site for each code point."""
+    ends = np.frombuffer(seq.buffers()[1], np.int64)[seq.offset : seq.offset + len(seq) + 1]
+    data = np.frombuffer(seq.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+    ends = ends - ends[0]
+    begins = (data & 0xC0) != 0x80
+    if not begins.all():
+        ends = np.concatenate(([0], np.cumsum(begins)))[ends]
+        data = data[begins]
+    lengths = np.diff(ends)
+    size = -(-lengths // 64)
+    start = np.cumsum(size) - size
+    codes = np.zeros(256, np.uint8)
+    for k, ones in enumerate(sites.values()):
+        codes[list(ones.encode())] |= 1 << k
+    marked = np.zeros(64 * int(size.sum()), np.uint8)
+    marked[np.arange(len(data)) + np.repeat(64 * start - ends[:-1], lengths)] = codes[data]
+    return start, size, {p: np.packbits(marked >> k & 1, bitorder="little").view(np.uint64) for k, p in enumerate(sites)}
+
+
+def _bits_of_pairs(i: np.ndarray, j: np.ndarray, start: np.ndarray, size: np.ndarray, planes: dict[str, np.ndarray], masks: Callable[[dict, dict], tuple], kinds: int) -> list[np.ndarray]:
+    """Bits of each mask for the pairs (i, j), those of like common length at a time."""
+    out = [np.zeros(len(i), np.int32) for _ in range(kinds)]
+    common = np.minimum(size[i], size[j])
+    order = np.argsort(common, kind="stable")
+    common = common[order]
+    at = int(np.searchsorted(common, 1))
+    while at < len(order):
+        least = int(common[at])
+        end = min(at + max(1, _WORDS // least), int(np.searchsorted(common, 2 * least + 1)))
+        some, step = order[at:end], np.arange(common[end - 1])
+        inside = step < common[at:end, None]
+        x, y = ({p: w[np.where(inside, start[k[some], None] + step, 0)] for p, w in planes.items()} for k in (i, j))
+        x["ok"] = np.where(inside, x["ok"], np.uint64(0))
+        for kept, mask in zip(out, masks(x, y), strict=True):
+            kept[some] = np.bitwise_count(mask).sum(axis=1, dtype=np.int32)
+        at = end
+    return out
+
+
+def _sequence_pairs(rows: DataFrame, cluster: str, key: str, sites: dict[str, str], masks: Callable[[dict, dict], tuple], names: list[str], carry: tuple[str, ...] = (), each: tuple[str, ...] = (), block_rows: int = 256) -> DataFrame:
+    """Every unordered pair in each cluster of rows with ``seq``: (cluster, a, b, ``names``, ``carry``, a_ and b_ ``each``).
+
+    Rows lie sorted by cluster, pair of blocks and key, so one pass over a task's batches packs and compares the rows of many
+    small clusters together; the rows of one pair of blocks are the most that a task holds.
+    """
+    blocked = _blocked(rows.filter(F.col(key).isNotNull()), cluster, key, block_rows)
+    cells = blocked.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cells = cells.select(cluster, F.least("block", "other").alias("lo_block"), F.greatest("block", "other").alias("hi_block"), "block", key, *dict.fromkeys(("seq", *carry, *each)))
+    keep, kinds, schema = _pair_columns(rows, cluster, key, names, carry, each)
+    cell = [cluster, "lo_block", "hi_block"]
+
+    def changes(table: pa.Table, columns: list[str]) -> np.ndarray:
+        changed = np.zeros(max(len(table) - 1, 0), bool)
+        for c in columns:
+            values = table.column(c).combine_chunks()
+            changed |= pc.not_equal(values[1:], values[:-1]).to_numpy(zero_copy_only=False)
+        return changed
+
+    def compared(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        cuts = np.flatnonzero(changes(table, cell)) + 1
+        end = np.repeat([*cuts, len(table)], np.diff([0, *cuts, len(table)]))
+        rank = np.concatenate(([0], np.cumsum(changes(table, [key]))))
+        block, crossed = table.column("block").to_numpy(), pc.less(table.column("lo_block"), table.column("hi_block")).to_numpy()
+        start, size, planes = _packed(table.column("seq").cast(pa.large_binary()).combine_chunks(), sites)
+        columns = {name: table.column(name).combine_chunks() for _, name in keep.values()}
+        after = end - np.arange(len(table)) - 1
+        total = np.concatenate(([0], np.cumsum(after)))
+        row = 0
+        while row < len(table):
+            last = max(row + 1, int(np.searchsorted(total, total[row] + _OUT, side="right")) - 1)
+            i = np.repeat(np.arange(row, last), after[row:last])
+            j = i + 1 + np.arange(len(i)) - np.repeat(total[row:last] - total[row], after[row:last])
+            fits = np.where(crossed[i], block[i] != block[j], rank[i] != rank[j])
+            i, j, row = i[fits], j[fits], last
+            if len(i):
+                at = {"a": pa.array(i), "b": pa.array(j)}
+                bits = _bits_of_pairs(i, j, start, size, planes, masks, len(names))
+                yield pa.RecordBatch.from_arrays([*(columns[name].take(at[side]) for side, name in keep.values()), *map(pa.array, bits)], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            held.append(b)
+            if all(held[0].column(c)[0] == b.column(c)[-1] for c in cell):
+                continue
+            table = pa.Table.from_batches(held)
+            cut = int(np.flatnonzero(changes(table, cell))[-1]) + 1
+            yield from compared(table.slice(0, cut))
+            held = table.slice(cut).to_batches()
+        if held:
+            yield from compared(pa.Table.from_batches(held))
+
+    out = spread(cells, *cell).sortWithinPartitions(*cell, key).mapInArrow(run, ", ".join(kinds))
+    return out.select(cluster, "a", "b", *names, *carry, *[f"{side}_{c}" for c in each for side in "ab"])
+
+
 def k2p_distance(valid: Column, transitions: Column, transversions: Column) -> Column:
     """Kimura two-parameter distance; plain mismatch share where the logarithms do not exist; 1 without valid sites."""
     p, q = transitions / F.nullif(valid, F.lit(0)), transversions / F.nullif(valid, F.lit(0))
@@ -231,10 +348,8 @@ def p_distance(valid: Column, transitions: Column, transversions: Column) -> Col
 
 def protein_distances(proteins: DataFrame, cluster: str = "cluster", key: str = "protein_id", min_length: int = 0) -> DataFrame:
     """valid, matches, mismatches and the share of mismatches ``d`` of all pairs in each cluster; 1 without a valid site."""
-    rows = spread(proteins.filter(F.length("seq") >= min_length).select(cluster, key, "seq"), key).select(cluster, key, encode_letters(F.col("seq")).alias("planes"))
-    pairs = cluster_pairs(rows, cluster, key, ["planes"])
-    counts = residue_counts(F.col("a_planes"), F.col("b_planes"))
-    out = pairs.select(cluster, "a", "b", *[c.alias(n) for n, c in counts.items()])
+    rows = proteins.filter(F.length("seq") >= min_length).select(cluster, key, "seq")
+    out = _sequence_pairs(rows, cluster, key, _RESIDUE_SITES, _residue_masks, ["valid", "mismatches"])
     share = F.when(F.col("valid") == 0, 1.0).otherwise(F.col("mismatches") / F.nullif(F.col("valid"), F.lit(0)))
     return out.select("*", (F.col("valid") - F.col("mismatches")).alias("matches"), F.round(share, 9).alias("d"))
 
@@ -242,22 +357,19 @@ def protein_distances(proteins: DataFrame, cluster: str = "cluster", key: str =
 def pair_distances(
     isolates: DataFrame, cluster: str = "cluster", key: str = "isolate_id", min_length: int = 10, carry: tuple[str, ...] = (), each: tuple[str, ...] = (), in_cells: bool = False
 ) -> DataFrame:
-    """Counts and distances of all pairs in each cluster; sequences travel as packed bit planes (less than half their size).
+    """Counts and distances of all pairs in each cluster.
 
     ``carry`` names columns that are the same for a whole cluster; they ride with the isolates, so that pairs need no
     join afterwards. ``each`` names columns of the isolates that a pair keeps of both, as a_<name> and b_<name>.
-    ``in_cells``: for clusters that grow with the table. A pair of blocks is counted in one group, many pairs at a time; for
-    clusters of some dozen rows the join of rows is quicker.
+    ``in_cells``: for clusters that grow with the table. Sequences travel as packed bit planes (less than half their size), as
+    they are sent once for each block, and a pair of blocks is counted in one group; else many small clusters are counted in one pass.
     """
     long_enough = isolates.filter(F.length("seq") >= min_length).select(cluster, key, "seq", *carry, *each)
-    rows = spread(long_enough, key).select(cluster, key, encode_planes(F.col("seq")).alias("planes"), *carry, *each)
     if in_cells:
+        rows = spread(long_enough, key).select(cluster, key, encode_planes(F.col("seq")).alias("planes"), *carry, *each)
         out = _counted_pairs(rows, cluster, key, _dna_counts, ["valid", "transversions", "transitions"], carry, each)
     else:
-        pairs = cluster_pairs(rows, cluster, key, ["planes", *carry, *each])
-        counts = substitution_counts(F.col("a_planes"), F.col("b_planes"))
-        both = [f"{side}_{c}" for c in each for side in "ab"]
-        out = pairs.select(cluster, "a", "b", *[c.alias(n) for n, c in counts.items()], *[F.col(f"a_{c}").alias(c) for c in carry], *both)
+        out = _sequence_pairs(long_enough, cluster, key, _DNA_SITES, _dna_counts, ["valid", "transversions", "transitions"], carry, each)
     v, ts, tv = F.col("valid"), F.col("transitions"), F.col("transversions")
     return out.select(
         "*", (v - ts - tv).alias("matches"), F.round(k2p_distance(v, ts, tv), 9).alias("d"), p_distance(v, ts, tv).alias("p")

@@ -1,13 +1,15 @@
 """Passes over the letters of many tiles at once against plain versions."""
 
 import random
+import re
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from biotally.operators import epitopes, guides, near_words, orfs, restriction
+from biotally.operators import epitopes, guides, near_words, orfs, pairs, restriction
 from biotally.reference_tables import CODON_BASES, CODON_RESIDUES, COMPLEMENT_FROM, COMPLEMENT_TO, ENZYMES, GUIDE_PREFERRED, GUIDE_WEIGHTS, IUPAC_CLASSES, STARTS, STOPS
+from biotally.sources import tables
 
 
 def flipped(seq):
@@ -136,3 +138,32 @@ def test_frames_of_sequences_with_one_key_are_counted_together(spark):
     rows = spark.createDataFrame([(1, seq), (1, seq), (2, seq)], "seq_id long, seq string")
     got = sorted((x.seq_id, x.start, x.end) for x in orfs.find_orfs(rows, min_len=9).where("strand = '+'").collect())
     assert got == [(1, 1, 9), (1, 10, 18), (1, 19, 27), (1, 28, 36), (2, 1, 9), (2, 10, 18)]
+
+
+def plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_pairs_of_many_small_clusters_are_those_of_the_joined_planes(spark):
+    r = random.Random(8)
+    seqs = ["".join(r.choice("ACGTMKX-N") for _ in range(r.choice([0, 1, 60, 63, 64, 65, 300]))) for _ in range(400)]
+    rows = [(None if k % 97 == 0 else f"c{k % 40}", None if k % 31 == 0 else k // 80, s) for k, s in enumerate(seqs)] + [("c1", 50 + k // 2, s) for k, s in enumerate(seqs[:300])] + [("c2", 2, None)]
+    df = spark.createDataFrame(rows, "cluster string, k long, seq string").repartition(3)
+    for encoded, counts, found in ((pairs.encode_planes, pairs.substitution_counts, pairs.pair_distances(df, key="k", min_length=0)), (pairs.encode_letters, pairs.residue_counts, pairs.protein_distances(df, key="k"))):
+        joined = pairs.cluster_pairs(df.where("seq is not null and k is not null").select("cluster", "k", encoded(F.col("seq")).alias("planes")), "cluster", "k", ["planes"])
+        n = counts(F.col("a_planes"), F.col("b_planes"))
+        want = joined.select("cluster", "a", "b", *(c.alias(x) for x, c in n.items()))
+        assert sorted(found.select(*want.columns).collect()) == sorted(want.collect()) and want.count() > 40000
+        assert "regexp_extract_all" not in plan(found)
+
+
+def test_sequences_are_the_letters_of_whole_texts(spark, tmp_path):
+    texts = ["Ab cé\nZ-x", "", None, "123 é", "bjoux zz", "aaß İi" * 3000, "MKT"]
+    df = spark.createDataFrame([(k if k % 4 else None, t, "en", "s") for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    only = [re.sub("[^A-Za-z]", "", t or "").upper() for t in texts]
+    dna_of = str.maketrans("BDEFHIJKLMNOPQRSUVWXYZ", "ACGTACGTACGTACGTACGTAC")
+    found = tables.isolates(spark, str(tmp_path))
+    assert sorted(x.seq for x in found.collect()) == sorted(s.translate(dna_of) for s in only if s)
+    assert sorted(x.seq for x in tables.proteins(spark, str(tmp_path)).collect()) == sorted(x for s in only if (x := re.sub("[BJOUXZ]", "", s)))
+    assert "regexp_replace" not in plan(found)
