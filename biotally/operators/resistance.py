@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-import itertools
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from biotally.functions.sequence import iupac_regex, words_at, round_half_up
+from biotally.functions.letters import inside, letters, passes
+from biotally.functions.sequence import iupac_regex, round_half_up
 from biotally.reference_tables import CONTEXT_RULES, MOTIF_RULES, fixed_table
-from biotally.session import spread
-
-_ANCHOR = 4
-
 
 def bin_resistance(score: Column) -> Column:
     return F.when(score < 25, "susceptible").when(score < 60, "intermediate").otherwise("resistant")
@@ -31,24 +30,31 @@ def motif_hits(seqs: DataFrame, key: str, motifs=MOTIF_RULES, dna: bool = True)
     return seqs.select(key, F.inline(F.array(*probes))).filter("position > 0")
 
 
-def _patterns(spark, rules) -> DataFrame:
-    rows = [
-        (before + mutant + after, (before + mutant + after)[:_ANCHOR], len(before), gene, cls, wild, mutant, pos, conf)
-        for cls, gene, pos, wild, mutants, before, after, conf in rules
-        for mutant in mutants
-    ]
-    cols = ("pattern", "anchor", "before", "gene", "class", "wild_type", "mutant", "reference_position", "confidence")
-    return fixed_table(spark, cols, rows)
+def _patterns(rules) -> list[tuple]:
+    return [(before + mutant + after, len(before), gene, cls, wild, mutant, pos, conf) for cls, gene, pos, wild, mutants, before, after, conf in rules for mutant in mutants]
 
 
 def context_mutation_hits(seqs: DataFrame, key: str, rules=CONTEXT_RULES) -> DataFrame:
-    """Every occurrence of before + mutant + after, overlaps included: windows joined to the patterns on four letters."""
-    patterns = _patterns(seqs.sparkSession, rules)
-    width = max(len(r[5]) + 1 + len(r[6]) for r in rules)
-    padded = F.concat(F.col("seq"), F.lit("#" * (width - 1)))
-    windows = words_at(spread(seqs.select(key, "seq"), key), (key,), padded, width)
-    hits = windows.join(F.broadcast(patterns), F.substring("w", 1, _ANCHOR) == F.col("anchor")).filter("startswith(w, pattern)")
-    return hits.select(
+    """Every occurrence of before + mutant + after, overlaps included, from one pass over the letters of a batch."""
+    patterns = _patterns(rules)
+    words = [np.frombuffer(p[0].encode(), np.uint8) for p in patterns]
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in passes(batches, "seq"):
+            data, starts, ends = letters(b.column("seq"))
+            first = {w[0]: np.flatnonzero(data == w[0]) for w in words}
+            for k, w in enumerate(words):
+                at, row = inside(first[w[0]], len(w), starts, ends)
+                for n, x in enumerate(w[1:], 1):
+                    fits = data[at + n] == x
+                    at, row = at[fits], row[fits]
+                if len(at):
+                    yield pa.RecordBatch.from_arrays([b.column(key).take(pa.array(row)), pa.array(np.full(len(at), k, np.int32)), pa.array((at - starts[row]).astype(np.int32))], names=[key, "rule", "i"])
+
+    columns = ("before", "gene", "class", "wild_type", "mutant", "reference_position", "confidence", "of")
+    table = fixed_table(seqs.sparkSession, columns, [(*p[1:], k) for k, p in enumerate(patterns)])
+    rows = seqs.select(key, "seq").mapInArrow(found, f"`{key}` {seqs.schema[key].dataType.simpleString()}, rule int, i int")
+    return rows.join(F.broadcast(table), F.col("rule") == F.col("of")).select(
         key, "gene", "class", "wild_type", "mutant", "reference_position", "confidence", (F.col("i") + F.col("before") + 1).alias("position")
     )
 

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from biotally.operators import epitopes, guides, near_words, orfs, pairs, restriction
+from biotally.operators import epitopes, guides, near_words, orfs, pairs, resistance, restriction
 from biotally.reference_tables import CODON_BASES, CODON_RESIDUES, COMPLEMENT_FROM, COMPLEMENT_TO, ENZYMES, GUIDE_PREFERRED, GUIDE_WEIGHTS, IUPAC_CLASSES, STARTS, STOPS
 from biotally.sources import tables
 
@@ -144,6 +144,21 @@ def plan(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_mutations_in_context_are_found_without_a_row_for_each_window(spark):
+    rules = [("x", "g1", 5, "S", "AC", "GG", "T", 90), ("y", "g2", 2, "T", "G", "G", "TGG", 70)]
+    r = random.Random(6)
+    seqs = [(k, dna(r, n)) for k, n in enumerate([0, 3, 4, 60, 500])] + [(4, "GGATGGCT"), (None, "GGGTGGATGGTGG"), (7, None), (8, "GGé" + "GGATGG"), (9, "GGA"), (10, "T")]
+    out = resistance.context_mutation_hits(spark.createDataFrame(seqs, "k long, seq string"), "k", rules)
+    want = []
+    for k, seq in seqs:
+        for cls, gene, pos, wild, mutants, before, after, conf in rules:
+            for m in mutants:
+                w = before + m + after
+                want += [(k or -1, gene, cls, wild, m, pos, conf, i + len(before) + 1) for i in range(len(seq or "")) if seq.startswith(w, i)]
+    assert sorted((x[0] or -1, *x[1:]) for x in out.collect()) == sorted(want) and len(want) > 5
+    assert "Generate" not in plan(out)
+
+
 def test_pairs_of_many_small_clusters_are_those_of_the_joined_planes(spark):
     r = random.Random(8)
     seqs = ["".join(r.choice("ACGTMKX-N") for _ in range(r.choice([0, 1, 60, 63, 64, 65, 300]))) for _ in range(400)]
