@@ -10,12 +10,12 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from itertools import combinations, pairwise
+from itertools import chain, combinations, pairwise
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -104,10 +104,11 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return marked.join(of_fp, F.col("fp") == F.col("k")).select("doc_id", digits.alias("fingerprint"), "component_id")
 
 
-# Narrow fingerprints of 28 bits keep chance meetings rare up to some ten million distinct texts; more texts want wider
-# ones, and more parts to keep the recall.
+# Narrow fingerprints of 28 bits have several chances to meet in each of which most strangers differ: strangers that do meet
+# grow with the square of the texts, so they are told apart where they meet and become no rows.
 SIMILAR, SIMILAR_SHINGLE, PARTS, NARROW = 0.8, 5, 5, 28
 TILE = 1024  # members of a value in a block; two blocks meet in one task
+GROUP = 8192  # members of a group that are compared with each other in one task
 
 
 def similarity_bits(similarity: float, bits: int) -> int:
@@ -133,6 +134,98 @@ def _forest(tile: np.ndarray, limit: int) -> list[tuple[int, int]]:
     return out
 
 
+def bits_left_out(count: int, bits: int = NARROW, radius: int = RADIUS, group: int = GROUP) -> list[int]:
+    """Masks of which one covers any ``radius`` of ``bits`` bits: fingerprints that close are equal outside of one of them.
+
+    The bits are cut into so many blocks that ``count`` random fingerprints, equal outside of ``radius`` blocks, come in
+    groups of an eighth of ``group`` or less. More blocks mean smaller groups and more of them, never other meetings.
+    """
+    for parts in range(2 * radius, bits + 1):
+        blocks = [sum(1 << int(i) for i in block) for block in np.array_split(np.arange(bits), parts)]
+        masks = [sum(c) for c in combinations(blocks, radius)]
+        if 8 * count <= group << bits - max(m.bit_count() for m in masks):
+            break
+    return masks
+
+
+def _merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Labels (the smallest row of each component, every row its own at first) after rows ``a`` and ``b`` are linked."""
+    while len(a):
+        x, y = label[a], label[b]
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while (label[label] != label).any():
+            label[:] = label[label]
+        apart = label[a] != label[b]
+        a, b = a[apart], b[apart]
+
+
+def _group_links(rows: np.ndarray, narrow: np.ndarray, limit: int, held: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """Links between roots, enough to connect all close pairs of the groups (rows of key, node, root and fingerprints, by key and root).
+
+    A pair counts if its narrow fingerprints are within ``RADIUS`` bits and all fingerprints within ``limit``. Each row is
+    compared with the k-th one before it, of all groups at once, for k = 1, 2, ...; at most some ``held`` pairs are held.
+    """
+    key, root, prints = rows[:, 0], rows[:, 2], np.ascontiguousarray(rows[:, 3:]).view(np.uint64)
+    number = np.arange(len(rows))
+    fresh = np.ones(len(rows), bool)
+    fresh[1:] = key[1:] != key[:-1]
+    place = number - np.maximum.accumulate(np.where(fresh, number, 0))
+    fresh[1:] |= root[1:] != root[:-1]
+    label = np.maximum.accumulate(np.where(fresh, number, 0))
+    found, n, k, later = [], 0, 1, number[place >= 1]
+    while len(later):
+        at = later[np.bitwise_count(narrow[later] ^ narrow[later - k]) <= RADIUS]
+        at = at[label[at] != label[at - k]]
+        if len(at):
+            at = at[np.bitwise_count(prints[at] ^ prints[at - k]).sum(axis=1) <= limit]
+            found.append((at - k, at))
+            n += len(at)
+        k += 1
+        later = later[place[later] >= k]
+        if n > held or n and not len(later):
+            _merge(label, *(np.concatenate(x) for x in zip(*found, strict=True)))
+            found, n = [], 0
+    moved = np.flatnonzero(fresh & (label != number))
+    return root[moved], root[label[moved]]
+
+
+def _group_meetings(placed: DataFrame, tables: Column, words: list[str], limit: int, masks: list[int], group: int) -> DataFrame:
+    """(a, b, fp): links between the ``near`` roots of nodes with close narrow fingerprints, where fp is null.
+
+    Nodes whose narrow fingerprints of a table are equal outside of a mask are a group; all pairs of up to ``group`` members
+    are compared in the task that has them. Members of larger groups come back: a is the node, b its root, fp its fingerprint.
+    """
+    keys = placed.select("node", "near", *words, F.explode(tables).alias("fp"))
+    keys = keys.select("node", "near", *words, "fp", F.posexplode(F.array(*(F.lit(~m).cast("long") for m in masks))).alias("c", "mask"))
+    key = F.col("fp").bitwiseAND(F.col("mask")).bitwiseOR(F.shiftleft(F.col("c").cast("long"), NARROW + 12))
+    members = spread(keys.select(key.alias("key"), "node", "near", *words), "key").sortWithinPartitions("key", "near")
+    names, types = ["a", "b", "fp"], [pa.int64()] * 3
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left, crowded = np.zeros((0, 3 + len(words)), np.int64), -1
+        for b in chain(batches, (None,)):
+            rows = left if b is None else np.concatenate((left, np.stack([c.to_numpy(zero_copy_only=False) for c in b.columns], axis=1)))
+            if not len(rows):
+                continue
+            found, n = np.unique(rows[:, 0], return_counts=True)
+            large = (n > group) | (found == crowded)
+            crowded = int(found[-1]) if large[-1] else -1
+            crowd = np.repeat(large, n)
+            # The last group may go on in the next batch.
+            ready = crowd | (b is None) | (rows[:, 0] != found[-1])
+            table = rows[:, 0] >> NARROW & 0xFFF
+            narrow = rows[np.arange(len(rows)), 3 + table // 2] >> NARROW * (table % 2) & (1 << NARROW) - 1
+            if crowd.any():
+                yield pa.RecordBatch.from_arrays([pa.array(rows[crowd, 1]), pa.array(rows[crowd, 2]), pa.array((table << NARROW | narrow)[crowd])], names=names)
+            light = ready & ~crowd
+            one, other = _group_links(rows[light], narrow[light], limit)
+            if len(one):
+                yield pa.RecordBatch.from_arrays([pa.array(one), pa.array(other), pa.nulls(len(one), types[2])], names=names)
+            left = rows[~ready]
+
+    return members.mapInArrow(compare, "a long, b long, fp long")
+
+
 def _all_meetings(meetings: DataFrame, placed: DataFrame, words: list[str], limit: int) -> DataFrame:
     """Links (a, b) between the ``near`` roots of nodes that share a value and lie within ``limit`` bits.
 
@@ -172,8 +265,11 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     chances to meet, its recall is measured in the tests; texts with equal fingerprints take part once.
 
     Members of a narrow value need not be alike, so every two of them are compared unless they are of one component
-    already: first each with the one before it of an equal narrow fingerprint, then in each value that has several
-    components their neighbours, and in values of up to three members all, then all in values of four members or more.
+    already: first each with the one before it of an equal narrow fingerprint, then all whose narrow fingerprints are
+    equal outside of a mask, in the task where they meet. Chance meetings, which grow with the square of the texts, make
+    no rows there. A group of more than ``GROUP`` members sends its members on to the values of their balls: in each value
+    that has several components neighbours are compared, in values of up to three members all, then all in values of four
+    members or more.
     Members of equal narrow fingerprints, which share all their values, meet where the value is that fingerprint.
     """
     base = docs.select(id_column(docs, id_col).alias("doc_id"), text_column(docs, text_col).alias("text"))
@@ -199,23 +295,25 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # Equal narrow fingerprints come first: they join most of a family, whose values then bring no pair of one component.
     same = distinct.select("node", F.explode(tables).alias("fp")).select("node", F.lag("node").over(Window.partitionBy("fp").orderBy("node")).alias("before"))
     early = cut_lineage(components(close(same)).withColumnRenamed("node", "k"))
+    rooted = cut_lineage(distinct.join(early, F.col("node") == F.col("k"), "left").select("node", F.coalesce("root", "node").alias("near"), *words))
+    met = cut_lineage(_group_meetings(rooted, tables, words, limit, bits_left_out(rooted.count(), group=GROUP), GROUP))
+    crowd = met.where("fp is not null").select(F.col("a").alias("node"), F.col("b").alias("root"), "fp").distinct()
     masks = F.array(*(F.lit(m).cast("long") for m in ball(RADIUS // 2, NARROW)))
-    rooted = distinct.select("node", tables.alias("fps")).join(early, F.col("node") == F.col("k"), "left").select("node", "root", F.explode("fps").alias("fp"))
-    emitted = rooted.select("node", "root", F.posexplode(masks).alias("k", "mask"), "fp").select("node", "root", F.col("fp").bitwiseXOR(F.col("mask")).alias("value"), F.col("k").cast("byte").alias("k"))
+    emitted = crowd.select("node", "root", F.posexplode(masks).alias("k", "mask"), "fp").select("node", "root", F.col("fp").bitwiseXOR(F.col("mask")).alias("value"), F.col("k").cast("byte").alias("k"))
     # A value that only members with one and the same narrow fingerprint emitted, other than itself, brings nothing: they
-    # all meet at that fingerprint too. Nor does a value whose members are of one component (a node without one is its own).
+    # all meet at that fingerprint too. Nor does a value whose members are of one component.
     whole = Window.partitionBy("value")
     members = F.count("*").over(whole)
     useful = (F.min("k").over(whole) == 0) | (F.min("k").over(whole) != F.max("k").over(whole))
-    mixed = (F.count("root").over(whole) < members) | (F.min("root").over(whole) != F.max("root").over(whole))
+    mixed = F.min("root").over(whole) != F.max("root").over(whole)
     w = Window.partitionBy("value").orderBy("root", "node")
-    other = lambda k: F.when(F.col("root").isNull() | ~F.col("root").eqNullSafe(F.lag("root", k).over(w)), F.lag("node", k).over(w))
+    other = lambda k: F.when(F.col("root") != F.lag("root", k).over(w), F.lag("node", k).over(w))
     around = emitted.select("node", "value", (useful & mixed & (members > 1)).alias("useful"), (members > 3).alias("many"), F.row_number().over(w).alias("place"), *(other(k).alias(f"b{k}") for k in (1, 2)))
     around = around.where("useful and (many or b1 is not null or b2 is not null)").select("node", "b1", "b2", "many", "value", "place")
     around = cut_lineage(around)
     # Where all members are compared later, a path through their components is enough here.
     links = close(around.select("node", F.explode(F.array("b1", F.when(~F.col("many"), F.col("b2")))).alias("before")))
-    links = links.unionByName(early.where("k <> root").select(F.col("k").alias("a"), F.col("root").alias("b")))
+    links = links.unionByName(met.where("fp is null").select("a", "b")).unionByName(early.where("k <> root").select(F.col("k").alias("a"), F.col("root").alias("b")))
     found = components(links).withColumnRenamed("node", "k")
     placed = cut_lineage(distinct.join(found, F.col("node") == F.col("k"), "left").select("node", "least", F.coalesce("root", "node").alias("near"), *words))
     merged = components(_all_meetings(around.where("many").select("value", "place", "node"), placed.drop("least"), words, limit)).withColumnRenamed("node", "k")
