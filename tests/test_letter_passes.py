@@ -182,3 +182,39 @@ def test_sequences_are_the_letters_of_whole_texts(spark, tmp_path):
     assert sorted(x.seq for x in found.collect()) == sorted(s.translate(dna_of) for s in only if s)
     assert sorted(x.seq for x in tables.proteins(spark, str(tmp_path)).collect()) == sorted(x for s in only if (x := re.sub("[BJOUXZ]", "", s)))
     assert "regexp_replace" not in plan(found)
+
+
+def test_folded_pairs_are_those_of_the_rows(spark, monkeypatch):
+    r = random.Random(9)
+    text = lambda letters, n: "".join(r.choices(letters, k=n))
+    near = dna(r, 700)
+    rows = [("whole", k, dna(r, r.choice([9, 10, 63, 64, 65, 254, 255, 256, 510, 900]))) for k in range(150)]
+    rows += [("whole", 200 + k, near[:k] + "A" + near[k + 1 :]) for k in range(20)] + [("whole", 300, near), ("whole", 301, near), ("whole", 301, near)]
+    rows += [("odd", k // 2, text("ACGTNR-é", r.choice([10, 12, 64, 300]))) for k in range(80)] + [("odd", 90, "N" * 40), ("odd", None, near), ("odd", 91, None)]
+    rows += [("long", k, dna(r, 33000 + k)) for k in range(3)] + [("lone", 1, near), ("twice", 1, near), ("twice", 1, near), (None, 1, near), (None, 2, near)]
+    rows += [("edge", k, "ACGT" * n + "A" * n * 2) for k, n in enumerate(range(3, 40))] + [("edge", 50 + n, "G" * n + "ACTT" * n) for n in range(3, 40)]
+    df = spark.createDataFrame(rows, "cluster string, isolate_id long, seq string").repartition(3)
+    every = pairs.pair_distances(df).groupBy("cluster").agg(F.count("*").alias("pairs"), F.count_if(F.col("d") == 0).alias("equal"), F.min("d").alias("closest"), F.max("d").alias("farthest"), F.avg("d").alias("mean"))
+    want = {x.cluster: x[1:] for x in every.collect()}
+    assert set(want) == {"whole", "odd", "long", "edge"} and want["whole"][1] >= 5
+    for letters, least, rows_of_block in ((1 << 27, 4, 2048), (4000, 40, 2048), (1 << 27, 15, 16)):
+        monkeypatch.setattr(pairs, "_BLOCK_LETTERS", letters)
+        monkeypatch.setattr(pairs, "_FOLDED_ROWS", rows_of_block)
+        folded = pairs.pair_distances(df, in_cells=True, folded=True)
+        found = folded.groupBy("cluster").agg(F.sum("pairs"), F.sum("equal"), F.min("closest"), F.max("farthest"), F.sum("total") / F.sum("pairs"), F.count("*").alias("n")).collect()
+        assert {x.cluster: x[1:5] for x in found} == {c: x[:4] for c, x in want.items()}
+        assert all(abs(x[5] - want[x.cluster][4]) < 1e-9 for x in found)
+        # A row for each pair of blocks, none for a pair of sequences.
+        assert least <= sum(x.n for x in found) < 1000
+
+
+def test_distances_inside_a_source_make_no_row_for_a_pair(spark, tmp_path):
+    from __spark_entry__ import queries
+
+    r = random.Random(10)
+    docs = [(k, dna(r, 30 + k % 50), "en", f"s{k % 2}") for k in range(400)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = queries()["source_distances"](spark, str(tmp_path))
+    assert sorted((x.cluster, x.pairs) for x in out.collect()) == [("s0", 200 * 199 // 2), ("s1", 200 * 199 // 2)]
+    grouped = [line for line in plan(out).splitlines() if "FlatMapGroupsInArrow" in line]
+    assert len(grouped) == 1 and "total" in grouped[0]
